@@ -1,0 +1,21 @@
+"""Which rows of a result table have outlived their retention."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def cutoff(now: datetime.datetime, days: int) -> Column:
+    moment = now - datetime.timedelta(days=days)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def expired_rows(frame: DataFrame, stamp: str, now: datetime.datetime, days: int) -> DataFrame:
+    return frame.where(F.col(stamp) < cutoff(now, days))
+
+
+def kept_rows(frame: DataFrame, stamp: str, now: datetime.datetime, days: int) -> DataFrame:
+    return frame.where(F.col(stamp) >= cutoff(now, days))

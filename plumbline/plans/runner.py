@@ -228,7 +228,7 @@ def latest_watermarks(rule_results: DataFrame) -> DataFrame:
     marks = F.struct(core.alias("core"), conf.alias("conf"))
     passed = rule_results.where(F.col("is_success") & core.isNotNull())
     return passed.groupBy("rule_config_id").agg(
-        F.max_by(marks, F.struct("run_timestamp", "dataset_run_id")).alias("marks")
+        F.max_by(marks, F.struct("run_timestamp", "dataset_run_id", marks)).alias("marks")
     ).select("rule_config_id", "marks.core", "marks.conf")
 
 

@@ -24,9 +24,10 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
-def summary_columns(rows: DataFrame, digits: int = 4) -> DataFrame:
+def summary_columns(rows: DataFrame, digits: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """Result columns compared with the oracle; absent counts show as 0."""
     return rows.select(
+        *keep,
         F.col("expectation_name" if "expectation_name" in rows.columns else "check").alias("expectation"),
         "element_count",
         F.coalesce("missing_count", F.lit(0)).alias("missing_count"),
