@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import find_column
+from plumbline.functions.local import small_frame
 from plumbline.operators import aggregate, custom, grouped, recon, row, schema, typecheck, volume
 from plumbline.operators.spec import Spec
 from plumbline.rule import Rule, RuleError
@@ -237,7 +238,8 @@ def master_frame(spark: SparkSession) -> DataFrame:
         (e.expectation_id, e.name, e.dimension, e.check_type, e.check_level, e.expected_datatype, "Y", "SQL")
         for e in EXPECTATIONS
     ]
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         rows,
         "expectation_id bigint, validation_name string, dimension string, check_type string, "
         "check_level string, expected_datatype string, is_active string, dq_engine string",
@@ -247,7 +249,8 @@ def master_frame(spark: SparkSession) -> DataFrame:
 def mapping_frame(spark: SparkSession) -> DataFrame:
     """Which operator handles which expectation."""
     rows = [(e.check_type, e.name, e.build.__name__, "v1.0", True) for e in EXPECTATIONS]
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         rows,
         "check_type string, expectation_type string, handler string, handler_version string, "
         "is_active boolean",
@@ -261,7 +264,8 @@ def arguments_frame(spark: SparkSession) -> DataFrame:
         for e in EXPECTATIONS
         for a in e.arguments
     ]
-    return spark.createDataFrame(
+    return small_frame(
+        spark,
         rows,
         "expectation_id bigint, expectation_name string, argument_name string, "
         "is_mandatory boolean, default_value string",

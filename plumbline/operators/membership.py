@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.local import small_frame
 from plumbline.functions.matching import INLINE_VALUES, literal, members
 
 # A joined value set is broadcast up to this size and shuffled beyond it.
@@ -30,7 +31,7 @@ def _size(rows: list[tuple]) -> int:
 
 def _set_frame(df: DataFrame, rows: list[tuple], types: list[T.DataType], names: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
-    frame = df.sparkSession.createDataFrame(rows, schema)
+    frame = small_frame(df.sparkSession, rows, schema)
     return F.broadcast(frame) if _size(rows) <= BROADCAST_BYTES else frame
 
 

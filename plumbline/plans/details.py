@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import find_column, is_text, missing, quoted, type_of
+from plumbline.functions.local import small_frame
 from plumbline.functions.matching import to_column_type
 from plumbline.operators.membership import member_test
 from plumbline.operators.skew import group_counts
@@ -149,7 +150,7 @@ def set_difference(df: DataFrame, column: str, value_set: list) -> DataFrame:
     kind = type_of(df, name)
     values = to_column_type(value_set, kind)
     schema = T.StructType([T.StructField("value", kind)])
-    expected = df.sparkSession.createDataFrame([(v,) for v in values], schema)
+    expected = small_frame(df.sparkSession, [(v,) for v in values], schema)
     observed = df.select(F.col(quoted(name)).alias("value")).where(F.col("value").isNotNull()).distinct()
     marked = observed.withColumn("seen", F.lit(True)).join(
         expected.withColumn("wanted", F.lit(True)), "value", "full_outer"

@@ -7,10 +7,11 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.store import cutoff_literal
+
 
 def cutoff(now: datetime.datetime, days: int) -> Column:
-    moment = now - datetime.timedelta(days=days)
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+    return cutoff_literal(now - datetime.timedelta(days=days))
 
 
 def expired_rows(frame: DataFrame, stamp: str, now: datetime.datetime, days: int) -> DataFrame:

@@ -12,10 +12,12 @@ import datetime
 import re
 from typing import Any, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.local import small_frame
+
 DAY = "event_date"
 
 # Column lists of the tables.  ``event_date`` is added to the dated ones.
@@ -85,6 +87,10 @@ FIRST_RUN_ID = 1
 FIRST_BATCH_ID = 1000
 
 
+def cutoff_literal(moment: datetime.datetime) -> Column:
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def failure_table_name(dataset_name: str) -> str:
     return re.sub(r"[^a-zA-Z0-9]", "_", dataset_name).lower() + "_dq_failure"
 
@@ -117,7 +123,7 @@ class Store:
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Append a frame, filling columns it does not have with NULL."""
-        schema = T._parse_datatype_string(TABLES[table])
+        schema = T.StructType.fromDDL(TABLES[table])
         have = {c.lower() for c in rows.columns}
         columns = [
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -135,9 +141,9 @@ class Store:
         rows = list(rows)
         if not rows:
             return
-        schema = T._parse_datatype_string(TABLES[table])
+        schema = T.StructType.fromDDL(TABLES[table])
         data = [tuple(row.get(f.name) for f in schema.fields) for row in rows]
-        self.append(table, self.spark.createDataFrame(data, schema).coalesce(1))
+        self.append(table, small_frame(self.spark, data, schema).coalesce(1))
 
     def next_id(self, table: str, column: str, first: int) -> int:
         top = self.read(table).agg(F.max(column).alias("top")).first()["top"]
@@ -178,7 +184,7 @@ class Store:
         for table, keep in (days or RETENTION_DAYS).items():
             cutoff = now - datetime.timedelta(days=keep)
             stamp = F.col(TIMESTAMPS[table])
-            limit = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
+            limit = cutoff_literal(cutoff)
             day = F.lit(cutoff.date().isoformat()).cast("date")
             frame = self.spark.table(self.name(table))
             counts = frame.where(F.col(DAY) <= day).agg(

@@ -40,9 +40,7 @@ add(
 )
 add(
     "recon_health",
-    lambda spark, d: reports.recon_health(*_frames(spark, d, "recon_results_q", "dataset_q")).withColumn(
-        "last_run", F.col("last_run").cast("string")
-    ).drop("last_run"),
+    lambda spark, d: reports.recon_health(*_frames(spark, d, "recon_results_q", "dataset_q")).drop("last_run"),
     f"""
     SELECT d.dataset_name, CAST(sum(CASE WHEN rr.result = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS passed,
            count(*) AS total
@@ -161,12 +159,12 @@ add(
 add(
     "rules_shown_in_pivot",
     lambda spark, d: shown_rules(
-        *_frames(spark, d, "rule_results_q", "run_log_q", "rule_config_q"), 5, 3
+        *_frames(spark, d, "rule_results_q", "supplier_runs_q", "rule_config_q"), 5, 3
     ).select("rule_config_id", "expectation_id", "column_name"),
     f"""
     SELECT rule_config_id, expectation_id, column_name FROM {RULES} AS rc WHERE rule_config_id IN (
         SELECT rule_config_id FROM {RESULTS} AS r WHERE dataset_id = 5 AND dataset_run_id IN (
-            SELECT dataset_run_id FROM (SELECT dataset_run_id FROM {RUNS} AS l WHERE dataset_id = 5
+            SELECT dataset_run_id FROM (SELECT dataset_run_id FROM {source('supplier_runs_q')} AS l WHERE dataset_id = 5
                 AND coalesce(run_scope, 'FULL') = 'FULL' ORDER BY dataset_run_id DESC LIMIT 10) AS t
             UNION SELECT 3))""",
 )

@@ -64,6 +64,10 @@ DATASETS = {
                     WHEN l_returnflag = 'N' THEN concat('{"watermark": "', CAST(l_orderkey AS STRING), '"}')
                     ELSE NULL END AS observed_value
         FROM lineitem""",
+    "supplier_runs_q": """
+        SELECT DISTINCT l_orderkey AS dataset_run_id, l_suppkey AS dataset_id,
+               CASE WHEN l_linestatus = 'O' THEN 'FULL' ELSE NULL END AS run_scope
+        FROM lineitem""",
     "recon_results_q": """
         SELECT event_id AS dataset_run_id, user_id AS dataset_id, event_id AS rule_config_id,
                CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'PASS' END AS result,
