@@ -1,4 +1,4 @@
-from plumbline.functions.arithmetic import between_a, between_b, fraction, mostly_at_least, mostly_at_most
+from plumbline.functions.arithmetic import between_a, between_b, fraction, literal, mostly_at_least, mostly_at_most
 from plumbline.functions.columns import as_double, blank, false_if_null, find_column, ignore_rows, quoted
 from plumbline.functions.matching import full_match, members
 
@@ -12,6 +12,7 @@ __all__ = [
     "fraction",
     "full_match",
     "ignore_rows",
+    "literal",
     "members",
     "mostly_at_least",
     "mostly_at_most",

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.arithmetic import between_a, between_b, fraction
-from plumbline.functions.columns import as_double, find_column, quoted, type_of
+from plumbline.functions.arithmetic import between_a, between_b, fraction, json_object
+from plumbline.functions.columns import as_double, false_if_null, find_column, quoted, type_of
 from plumbline.operators.median import median_frame
 from plumbline.operators.spec import (
     FrameSpec,
@@ -87,7 +87,7 @@ def non_null_proportion_between(scope: Scope, rule: Rule) -> ScanSpec:
         share = fraction(m("present"), m("total"))
         return counted(
             m("total"),
-            m("total") - m("present"),
+            f"({m('total')} - {m('present')})",
             between_a(share, *limits),
             observed=share,
         )
@@ -118,21 +118,21 @@ def values_recent(scope: Scope, rule: Rule) -> ScanSpec:
     threshold = F.timestamp_add(unit, F.lit(-amount), now)
 
     def verdict(m):
-        fresh = m("newest").isNotNull() & F.coalesce(m("newest") > threshold, F.lit(False))
-        bad = F.when(fresh, F.lit(0)).otherwise(m("total"))
         return counted(
             m("total"),
-            bad,
-            fresh,
-            details=F.to_json(
-                F.struct(
-                    m("newest").cast("string").alias("most_recent"),
-                    threshold.cast("string").alias("threshold"),
-                )
-            ),
+            f"IF({m('fresh')}, 0, {m('total')})",
+            m("fresh"),
+            details=json_object(most_recent=m("newest"), threshold=m("threshold")),
         )
 
-    return ScanSpec({"total": all_rows(), "newest": F.max(column)}, verdict)
+    newest = F.max(column)
+    measures = {
+        "total": all_rows(),
+        "newest": newest.cast("string"),
+        "threshold": threshold.cast("string"),
+        "fresh": false_if_null(newest > threshold),
+    }
+    return ScanSpec(measures, verdict)
 
 
 def _current_time(scope: Scope, rule: Rule, data_type: T.DataType) -> Column:

@@ -38,7 +38,7 @@ def unexpected_rows(scope: Scope, rule: Rule) -> FrameSpec:
         )
 
     def verdict(m):
-        return counted(m("total"), m("bad"), m("bad") == 0)
+        return counted(m("total"), m("bad"), f"({m('bad')} = 0)")
 
     return FrameSpec(frame, verdict, failing=lambda: query)
 

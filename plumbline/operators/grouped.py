@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.arithmetic import between_a, fraction, mostly_at_least, mostly_at_most
+from plumbline.functions.arithmetic import (
+    between_a,
+    fraction,
+    json_object,
+    mostly_at_least,
+    mostly_at_most,
+)
 from plumbline.functions.columns import find_column, ignore_rows, missing, quoted, type_of
 from plumbline.functions.matching import members, to_column_type
 from plumbline.operators.skew import rows_beyond_first, rows_of_groups
@@ -46,7 +52,7 @@ def values_unique(scope: Scope, rule: Rule) -> GroupSpec:
             mostly_at_least(fraction(m("bad"), m("total")), allowed),
             missing=m("missing"),
             observed=m("unique"),
-            details=F.to_json(F.struct(m("unique").alias("unique_count"))),
+            details=json_object(unique_count=m("unique")),
         )
 
     return GroupSpec(
@@ -163,10 +169,9 @@ def most_common_in_set(scope: Scope, rule: Rule) -> GroupSpec:
     inside = members(c, values, t)
 
     def verdict(m):
-        top_in = F.coalesce(m("inside"), F.lit(0))
-        top_out = F.coalesce(m("outside"), F.lit(0))
-        ok = (top_in > 0) & ((top_in >= top_out) if ties_okay else (top_in > top_out))
-        return all_or_nothing(m("total"), ok, observed=F.greatest(top_in, top_out))
+        inside, outside = f"coalesce({m('inside')}, 0)", f"coalesce({m('outside')}, 0)"
+        ok = f"({inside} > 0 AND {inside} {'>=' if ties_okay else '>'} {outside})"
+        return all_or_nothing(m("total"), ok, observed=f"greatest({inside}, {outside})")
 
     measures = {
         "total": _total(),
@@ -186,20 +191,16 @@ def _distinct_check(scope: Scope, rule: Rule, passes) -> GroupSpec:
     inside = members(c, values, t)
 
     def verdict(m):
-        absent = F.lit(len(values) + impossible) - m("found")
-        ok = passes(absent, m("extra"))
+        absent = f"({len(values) + impossible} - {m('found')})"
+        distinct = f"({m('found')} + {m('extra')})"
         return Verdict(
             element_count=m("present"),
             unexpected_count=m("extra"),
-            observed_value=m("found") + m("extra"),
-            details=F.to_json(
-                F.struct(
-                    (m("found") + m("extra")).alias("distinct_values"),
-                    absent.alias("missing_values"),
-                    m("extra").alias("extra_values"),
-                )
+            observed_value=distinct,
+            details=json_object(
+                distinct_values=distinct, missing_values=absent, extra_values=m("extra")
             ),
-            is_success=ok,
+            is_success=passes(absent, m("extra")),
         )
 
     measures = {
@@ -211,13 +212,13 @@ def _distinct_check(scope: Scope, rule: Rule, passes) -> GroupSpec:
 
 
 def distinct_in_set(scope: Scope, rule: Rule) -> GroupSpec:
-    return _distinct_check(scope, rule, lambda absent, extra: extra == 0)
+    return _distinct_check(scope, rule, lambda absent, extra: f"({extra} = 0)")
 
 
 def distinct_equal_set(scope: Scope, rule: Rule) -> GroupSpec:
-    return _distinct_check(scope, rule, lambda absent, extra: (absent == 0) & (extra == 0))
+    return _distinct_check(scope, rule, lambda absent, extra: f"({absent} = 0 AND {extra} = 0)")
 
 
 def distinct_contain_set(scope: Scope, rule: Rule) -> GroupSpec:
-    return _distinct_check(scope, rule, lambda absent, extra: absent == 0)
+    return _distinct_check(scope, rule, lambda absent, extra: f"({absent} = 0)")
 

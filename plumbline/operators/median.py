@@ -1,12 +1,12 @@
-"""Exact median of a column of any size.
+"""Exact median of a column of any size, by selection.
 
-``percentile`` keeps every distinct value of the input in one task.  Up to
-``IN_MEMORY_ROWS`` values that is fine; beyond it the middle value is found by
-selection: approximate quantiles give pivots around the wanted rank, one
-counting pass tells exactly between which pivots it lies, and the search goes
-on in that interval until few enough values are left.  Each round narrows the
-interval by about three orders of magnitude, and a value equal to a pivot ends
-the search, so copies of a hot value cannot keep it large.
+``percentile`` keeps every distinct value of the input in one task.  Here the
+middle values are found by narrowing an interval instead: approximate
+quantiles give pivots around the wanted rank, one counting pass tells exactly
+between which pivots it lies, and the search goes on in that interval until
+few enough values are left to sort.  A pass narrows the interval by about three
+orders of magnitude, and a rank that falls on a pivot ends the search, so
+copies of a hot value cannot keep the interval large.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IN_MEMORY_ROWS = 1_000_000
+from plumbline.functions.local import small_frame
+
+IN_MEMORY_ROWS = 100_000
 ACCURACY = 10_000
 
+RESULT = "total bigint, missing bigint, observed double"
+
 
 def median_frame(
     df: DataFrame,
@@ -26,49 +30,68 @@ def median_frame(
     in_memory_rows: int = IN_MEMORY_ROWS,
 ) -> DataFrame:
     """One row: total, missing, observed."""
-    counts = [
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(column.isNull()).alias("missing"),
-    ]
+    v = F.col("v")
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if("absent").alias("missing")]
+    rows = df.select(column.isNull().alias("absent"), value.alias("v"))
     if approximate:
-        return df.agg(*counts, F.percentile_approx(value, F.lit(0.5), F.lit(ACCURACY)).alias("observed"))
-    numbers = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    rows = numbers.count()
-    if rows <= in_memory_rows:
-        return df.agg(*counts, F.median(value).alias("observed"))
-    low = value_at(numbers, rows, (rows - 1) // 2, in_memory_rows)
-    high = low if rows % 2 else value_at(numbers, rows, rows // 2, in_memory_rows)
-    return df.agg(*counts).withColumn("observed", F.lit((low + high) / 2.0))
+        return rows.agg(*counts, F.percentile_approx(v, F.lit(0.5), F.lit(ACCURACY)).alias("observed"))
+    first = rows.agg(*counts, F.count(v).alias("present"), _pivots(0.5).alias("pivots")).first()
+    size = first["present"]
+    if size == 0:
+        median = None
+    else:
+        numbers = rows.select("v").where(v.isNotNull())
+        ranks = sorted({(size - 1) // 2, size // 2})
+        found = values_at(numbers, size, ranks, in_memory_rows, pivots=first["pivots"])
+        median = sum(found) / len(found)
+    return small_frame(df.sparkSession, [(first["total"], first["missing"], median)], RESULT)
+
 
+def _pivots(share: float) -> Column:
+    """Values just below, at and just above a quantile."""
+    margin = 2.0 / ACCURACY
+    wanted = [max(0.0, share - margin), share, min(1.0, share + margin)]
+    return F.percentile_approx("v", wanted, ACCURACY)
+
+
+def values_at(
+    numbers: DataFrame,
+    size: int,
+    ranks: list[int],
+    in_memory_rows: int = IN_MEMORY_ROWS,
+    low: float | None = None,
+    high: float | None = None,
+    pivots: list[float] | None = None,
+) -> list[float]:
+    """Values of column ``v`` at 0-based ascending ranks within ``(low, high)``.
 
-def value_at(numbers: DataFrame, rows: int, rank: int, in_memory_rows: int = IN_MEMORY_ROWS) -> float:
-    """The value of the 0-based ``rank`` in ascending order of column ``v``."""
+    ``size`` is the number of values in the interval.
+    """
     v = F.col("v")
-    low = high = None
-    while rows > in_memory_rows:
-        part = numbers.where(_between(v, low, high))
-        share, margin = rank / (rows - 1), 2.0 / ACCURACY
-        wanted = [max(0.0, share - margin), share, min(1.0, share + margin)]
-        pivots = part.agg(F.percentile_approx("v", wanted, ACCURACY).alias("p")).first()["p"]
-        pivots = sorted(set(pivots))
-        # Regions in ascending order: below the first pivot, the pivot, ...
-        regions = []
-        for start, end in zip([low, *pivots], [*pivots, high]):
-            regions.append((start, end, _between(v, start, end)))
-            if end is not high:
-                regions.append((end, end, v == end))
-        counts = part.agg(*[F.count_if(r[2]).alias(f"c{i}") for i, r in enumerate(regions)]).first()
-        for (start, end, _), count in zip(regions, counts):
-            if rank < count:
-                if start is not None and start == end:
-                    return float(start)
-                low, high, rows = start, end, count
-                break
-            rank -= count
-    # At most ``in_memory_rows`` doubles are sorted here.
-    ordered = F.sort_array(F.collect_list("v"))
     part = numbers.where(_between(v, low, high))
-    return float(part.agg(F.element_at(ordered, rank + 1).alias("v")).first()["v"])
+    if size <= in_memory_rows:
+        # At most ``in_memory_rows`` doubles are sorted here.
+        ordered = F.sort_array(F.collect_list("v"))
+        row = part.agg(*[F.element_at(ordered, r + 1).alias(f"v{r}") for r in ranks]).first()
+        return [float(value) for value in row]
+    if pivots is None:
+        pivots = part.agg(_pivots(ranks[0] / (size - 1)).alias("pivots")).first()["pivots"]
+    # Regions in ascending order: below the first pivot, the pivot, ...
+    edges = sorted(set(pivots))
+    regions = [(low, edges[0], _between(v, low, edges[0]))]
+    for pivot, end in zip(edges, [*edges[1:], high]):
+        regions.append((pivot, pivot, v == pivot))
+        regions.append((pivot, end, _between(v, pivot, end)))
+    counts = part.agg(*[F.count_if(r[2]).alias(f"c{i}") for i, r in enumerate(regions)]).first()
+    found, before = [], 0
+    for (start, end, _), count in zip(regions, counts):
+        inside = [r - before for r in ranks if before <= r < before + count]
+        before += count
+        if inside and start is not None and start == end:
+            found.extend([float(start)] * len(inside))
+        elif inside:
+            found.extend(values_at(numbers, count, inside, in_memory_rows, start, end))
+    return found
 
 
 def _between(v: Column, low, high) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arithmetic import json_object, literal, struct
 from plumbline.functions.columns import find_column, quoted
 from plumbline.operators.spec import (
     FrameSpec,
@@ -52,9 +53,8 @@ def source_label(rule: Rule) -> str:
     return str(kw.get("other_dataset_name"))
 
 
-def _part(left: Column, right: Column) -> Column:
-    result = F.when(left == right, F.lit("PASS")).otherwise(F.lit("FAIL"))
-    return F.struct(left.alias("core"), right.alias("conformed"), result.alias("result"))
+def _part(left: str, right: str) -> str:
+    return struct(core=left, conformed=right, result=f"IF({left} = {right}, 'PASS', 'FAIL')")
 
 
 def row_count_equal_other_table(scope: Scope, rule: Rule) -> FrameSpec:
@@ -79,9 +79,9 @@ def _plain(source: DataFrame, target: DataFrame) -> FrameSpec:
     def verdict(m):
         return Verdict(
             element_count=m("core"),
-            unexpected_count=F.abs(m("core") - m("conformed")),
-            details=F.to_json(F.struct(_part(m("core"), m("conformed")).alias("total"))),
-            is_success=m("core") == m("conformed"),
+            unexpected_count=f"abs({m('core')} - {m('conformed')})",
+            details=json_object(total=_part(m("core"), m("conformed"))),
+            is_success=f"({m('core')} = {m('conformed')})",
         )
 
     return FrameSpec(frame, verdict)
@@ -168,27 +168,18 @@ def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:
         return combine_single_rows(frames)
 
     def verdict(m):
-        same = m("core") == m("conformed")
-        gap = F.abs(m("core") - m("conformed"))
-        name = "total" if mode == 1 else "active"
-        parts = [_part(m("core"), m("conformed")).alias(name)]
+        pairs = {"total" if mode == 1 else "active": (m("core"), m("conformed"))}
         if both_states:
-            same = same & (m("core_inactive") == m("conformed_inactive"))
-            gap = gap + F.abs(m("core_inactive") - m("conformed_inactive"))
-            parts.append(_part(m("core_inactive"), m("conformed_inactive")).alias("inactive"))
+            pairs["inactive"] = (m("core_inactive"), m("conformed_inactive"))
         stored = None
         if recon_mode == "incremental":
-            stored = F.to_json(
-                F.struct(
-                    m("core_mark").alias("core_watermark"), m("conf_mark").alias("conf_watermark")
-                )
-            )
+            stored = json_object(core_watermark=m("core_mark"), conf_watermark=m("conf_mark"))
         return Verdict(
             element_count=m("core"),
-            unexpected_count=gap,
+            unexpected_count=" + ".join(f"abs({a} - {b})" for a, b in pairs.values()),
             observed_json=stored,
-            details=F.to_json(F.struct(*parts)),
-            is_success=same,
+            details=json_object(**{name: _part(a, b) for name, (a, b) in pairs.items()}),
+            is_success="(" + " AND ".join(f"{a} = {b}" for a, b in pairs.values()) + ")",
         )
 
     return FrameSpec(frame, verdict)
@@ -254,27 +245,22 @@ def row_count_equal_source_file(scope: Scope, rule: Rule) -> FrameSpec:
         return latest_audit_entry(audit, rule, target)
 
     def verdict(m):
-        found = m("src").isNotNull() | m("core").isNotNull() | m("target").isNotNull()
-        same = found & F.coalesce(m("src") == m("core"), F.lit(False))
-        first = F.split_part(F.split_part(m("target"), F.lit("."), F.lit(3)), F.lit("_"), F.lit(1))
-        label = first
-        for prefix, name in SOURCE_LABELS.items():
-            label = F.when(first == prefix, F.lit(name)).otherwise(label)
-        label = F.coalesce(F.when(label != "", label), F.lit("UNKNOWN"))
-
-        def shown(value):
-            return F.when(found, value.cast("string")).otherwise(F.lit(NO_RECORD))
-
-        part = F.struct(
-            shown(m("src")).alias("src"),
-            shown(m("core")).alias("core"),
-            F.when(same, F.lit("PASS")).otherwise(F.lit("FAIL")).alias("result"),
-            label.alias("source_label"),
+        src, core, table = m("src"), m("core"), m("target")
+        found = f"({src} IS NOT NULL OR {core} IS NOT NULL OR {table} IS NOT NULL)"
+        same = f"({found} AND coalesce({src} = {core}, false))"
+        first = f"split_part(split_part({table}, '.', 3), '_', 1)"
+        renamed = " ".join(f"WHEN {literal(a)} THEN {literal(b)}" for a, b in SOURCE_LABELS.items())
+        label = f"coalesce(nullif(CASE {first} {renamed} ELSE {first} END, ''), 'UNKNOWN')"
+        part = struct(
+            src=f"IF({found}, CAST({src} AS STRING), {literal(NO_RECORD)})",
+            core=f"IF({found}, CAST({core} AS STRING), {literal(NO_RECORD)})",
+            result=f"IF({same}, 'PASS', 'FAIL')",
+            source_label=label,
         )
         return Verdict(
-            element_count=F.coalesce(m("core"), F.lit(0)),
-            unexpected_count=F.coalesce(F.abs(m("src") - m("core")), F.lit(0)),
-            details=F.to_json(F.struct(part.alias("source_to_core"))),
+            element_count=f"coalesce({core}, 0)",
+            unexpected_count=f"coalesce(abs({src} - {core}), 0)",
+            details=json_object(source_to_core=part),
             is_success=same,
         )
 

@@ -9,7 +9,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.arithmetic import fraction, mostly_at_least, mostly_at_most
+from plumbline.functions.arithmetic import fraction, json_object, mostly_at_least, mostly_at_most
 from plumbline.functions.columns import (
     as_double,
     blank,
@@ -89,14 +89,14 @@ def values_in_set(scope: Scope, rule: Rule) -> ScanSpec:
     allowed = mostly(rule.kwargs)
 
     def verdict(m):
-        matched = m("total") - m("missing") - m("bad")
+        matched = f"({m('total')} - {m('missing')} - {m('bad')})"
         return counted(
             m("total"),
             m("bad"),
             mostly_at_most(fraction(m("bad"), m("total")), allowed),
             missing=m("missing"),
             observed=matched,
-            details=F.to_json(F.struct(matched.alias("match_count"))),
+            details=json_object(match_count=matched),
         )
 
     return ScanSpec(spec.measures, verdict, failing=bad, profile=name, prepare=prepare)
@@ -193,7 +193,7 @@ def unique_within_record(scope: Scope, rule: Rule) -> ScanSpec:
     allowed = mostly(rule.kwargs)
 
     def verdict(m):
-        everything = m("total") + m("missing")
+        everything = f"({m('total')} + {m('missing')})"
         return counted(
             m("total"),
             m("bad"),
@@ -218,7 +218,7 @@ def pair_a_greater_than_b(scope: Scope, rule: Rule) -> ScanSpec:
     allowed = mostly(rule.kwargs)
 
     def verdict(m):
-        share = fraction(m("bad"), m("total") - m("missing"))
+        share = fraction(m("bad"), f"({m('total')} - {m('missing')})")
         return counted(m("total"), m("bad"), mostly_at_most(share, allowed), missing=m("missing"))
 
     measures = {
@@ -350,14 +350,15 @@ def z_scores_below(scope: Scope, rule: Rule) -> ScanSpec:
     allowed = mostly(rule.kwargs)
 
     def verdict(m):
-        constant = m("stddev").isNull() | (m("stddev") == 0)
+        constant = f"coalesce({m('stddev')} = 0, true)"
+        near_enough = mostly_at_most(fraction(m("bad"), m("total")), allowed)
         return counted(
             m("total"),
             m("bad"),
-            constant | mostly_at_most(fraction(m("bad"), m("total")), allowed),
+            f"({constant} OR {near_enough})",
             missing=m("missing"),
             observed=m("mean"),
-            details=F.to_json(F.struct(m("mean").alias("mean"), m("stddev").alias("stddev"))),
+            details=json_object(mean=m("mean"), stddev=m("stddev")),
         )
 
     measures = {

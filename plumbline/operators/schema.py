@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 from itertools import zip_longest
 
-from pyspark.sql import functions as F
-
-from plumbline.functions.arithmetic import between_a
+from plumbline.functions.arithmetic import between_a, literal
 from plumbline.operators.spec import ScanSpec, Verdict, all_or_nothing
 from plumbline.rule import Rule, RuleError, flag, name_list, number, require
 from plumbline.sources.datasets import Scope
@@ -24,20 +22,19 @@ def column_exists(scope: Scope, rule: Rule) -> ScanSpec:
     names = [n.lower() for n in scope.df.columns]
     found = names.index(wanted.lower()) if wanted.lower() in names else None
     ok = found is not None and (index is None or found == index)
-    observed = None if found is None else F.lit(found)
-    return _known(all_or_nothing(F.lit(1), F.lit(ok), observed=observed))
+    return _known(all_or_nothing("1", literal(ok), observed=literal(found)))
 
 
 def column_count_equal(scope: Scope, rule: Rule) -> ScanSpec:
     require(rule.kwargs, "value")
     size = len(scope.df.columns)
-    ok = F.lit(size == number(rule.kwargs, "value"))
-    return _known(all_or_nothing(F.lit(size), ok, observed=F.lit(size)))
+    ok = literal(size == number(rule.kwargs, "value"))
+    return _known(all_or_nothing(str(size), ok, observed=str(size)))
 
 
 def column_count_between(scope: Scope, rule: Rule) -> ScanSpec:
     low, high = number(rule.kwargs, "min_value"), number(rule.kwargs, "max_value")
-    size = F.lit(len(scope.df.columns))
+    size = str(len(scope.df.columns))
     ok = between_a(size, low, high, flag(rule.kwargs, "strict_min"), flag(rule.kwargs, "strict_max"))
     return _known(all_or_nothing(size, ok, observed=size))
 
@@ -72,12 +69,12 @@ def columns_match_ordered_list(scope: Scope, rule: Rule) -> ScanSpec:
 
 
 def _mismatches(total: int, bad: int, ok: bool, details: dict) -> Verdict:
-    share = F.lit(100.0 * (bad / total))
+    share = literal(100.0 * (bad / total))
     return Verdict(
-        element_count=F.lit(total),
-        unexpected_count=F.lit(bad),
+        element_count=str(total),
+        unexpected_count=str(bad),
         unexpected_percent=share,
         unexpected_percent_total=share,
-        details=F.lit(json.dumps(details)),
-        is_success=F.lit(ok),
+        details=literal(json.dumps(details)),
+        is_success=literal(ok),
     )

@@ -70,7 +70,7 @@ def salted_rows(df: DataFrame, keys, hot: DataFrame) -> DataFrame:
         df.withColumn(HASH, _key_hash(keys))
         .join(F.broadcast(hot), HASH, "left")
         .withColumn(SALT, F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(spread).cast("int"))
-        .drop(HASH, SPLITS)
+        .drop(HASH)
     )
 
 
@@ -104,7 +104,7 @@ def rows_of_groups(
     for key in keys:
         condition = condition & left[quoted(key)].eqNullSafe(right[names[key]])
     rows = left.join(right, condition, "left_semi")
-    return rows if keep_salt else rows.drop(SALT)
+    return rows if keep_salt else rows.drop(SALT, SPLITS)
 
 
 def rows_beyond_first(
@@ -116,18 +116,21 @@ def rows_beyond_first(
 ) -> DataFrame:
     """Every row of the selected groups but the first in ``order``.
 
-    Ranked in two steps: first within the salted parts of a key, then among the
-    parts' first rows, so no task sorts a whole hot group.
+    Ranked within the salted parts of a key; only hot keys have more than one
+    part, and their parts' first rows are ranked once more.  The number of
+    splits belongs to the window's key so that its filter reaches the join with
+    the hot keys: without any, the second step reads nothing.
     """
     rows = rows_of_groups(df, keys, selected, rows_per_task, keep_salt=True)
     columns = [F.col(quoted(k)) for k in keys]
     ranked = rows.withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(*columns, SALT).orderBy(*order))
+        "__rank", F.row_number().over(Window.partitionBy(*columns, SPLITS, SALT).orderBy(*order))
     )
     later = ranked.where(F.col("__rank") > 1)
     first = (
-        ranked.where(F.col("__rank") == 1)
+        ranked.where(F.col(SPLITS).isNotNull())
+        .where(F.col("__rank") == 1)
         .withColumn("__rank", F.row_number().over(Window.partitionBy(*columns).orderBy(*order)))
         .where(F.col("__rank") > 1)
     )
-    return later.unionByName(first).drop("__rank", SALT)
+    return later.unionByName(first).drop("__rank", SALT, SPLITS)

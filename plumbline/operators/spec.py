@@ -19,28 +19,28 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.arithmetic import percent
+from plumbline.functions.arithmetic import literal, percent, struct
 
 ROWS_IN_GROUP = "__rows"
 
-Measures = Callable[[str], Column]
+Measures = Callable[[str], str]
 
 
 @dataclass(frozen=True)
 class Verdict:
-    """Result columns of one rule; percents are out of 100."""
+    """Result columns of one rule as SQL over its measures; percents are out of 100."""
 
-    element_count: Column
-    is_success: Column
-    missing_count: Column | None = None
-    unexpected_count: Column | None = None
-    missing_percent: Column | None = None
-    unexpected_percent: Column | None = None
-    unexpected_percent_nonmissing: Column | None = None
-    unexpected_percent_total: Column | None = None
-    observed_value: Column | None = None
-    observed_json: Column | None = None
-    details: Column | None = None
+    element_count: str
+    is_success: str
+    missing_count: str | None = None
+    unexpected_count: str | None = None
+    missing_percent: str | None = None
+    unexpected_percent: str | None = None
+    unexpected_percent_nonmissing: str | None = None
+    unexpected_percent_total: str | None = None
+    observed_value: str | None = None
+    observed_json: str | None = None
+    details: str | None = None
 
 
 # Name and type of every verdict column, in result order.
@@ -90,15 +90,14 @@ Spec = ScanSpec | GroupSpec | FrameSpec
 
 
 def counted(
-    total: Column,
-    unexpected: Column,
-    success: Column,
-    missing: Column | None = None,
-    denominator: Column | None = None,
+    total: str,
+    unexpected: str,
+    success: str,
+    missing: str | None = None,
+    denominator: str | None = None,
     same_nonmissing: bool = False,
-    observed: Column | None = None,
-    observed_json: Column | None = None,
-    details: Column | None = None,
+    observed: str | None = None,
+    details: str | None = None,
 ) -> Verdict:
     """A verdict from counts.  ``denominator`` replaces ``total`` in percents."""
     whole = total if denominator is None else denominator
@@ -107,8 +106,7 @@ def counted(
     if same_nonmissing:
         nonmissing = share
     elif missing is not None:
-        rest = total if denominator is not None else total - missing
-        nonmissing = percent(unexpected, rest)
+        nonmissing = percent(unexpected, f"({whole} - {missing})")
     return Verdict(
         element_count=total,
         missing_count=missing,
@@ -118,25 +116,24 @@ def counted(
         unexpected_percent_nonmissing=nonmissing,
         unexpected_percent_total=share,
         observed_value=observed,
-        observed_json=observed_json,
         details=details,
         is_success=success,
     )
 
 
 def all_or_nothing(
-    total: Column,
-    success: Column,
-    missing: Column | None = None,
-    observed: Column | None = None,
-    details: Column | None = None,
+    total: str,
+    success: str,
+    missing: str | None = None,
+    observed: str | None = None,
+    details: str | None = None,
 ) -> Verdict:
     """A verdict about the table as a whole: 0 or 1 unexpected, 0 or 100 percent."""
-    share = F.when(success, F.lit(0.0)).otherwise(F.lit(100.0))
+    share = f"IF({success}, 0D, 100D)"
     return Verdict(
         element_count=total,
         missing_count=missing,
-        unexpected_count=F.when(success, F.lit(0)).otherwise(F.lit(1)),
+        unexpected_count=f"IF({success}, 0, 1)",
         missing_percent=None if missing is None else percent(missing, total),
         unexpected_percent=share,
         unexpected_percent_total=share,
@@ -146,17 +143,15 @@ def all_or_nothing(
     )
 
 
-def result_struct(rule_config_id: int, expectation: str, verdict: Verdict) -> Column:
+def result_struct(rule_config_id: int, expectation: str, verdict: Verdict) -> str:
     """The verdict as one struct, every column in its result type."""
-    columns = [
-        F.lit(rule_config_id).cast("bigint").alias("rule_config_id"),
-        F.lit(expectation).alias("expectation_name"),
-    ]
+    fields = {
+        "rule_config_id": f"CAST({rule_config_id} AS BIGINT)",
+        "expectation_name": literal(expectation),
+    }
     for name, kind in RESULT_TYPES.items():
-        value = getattr(verdict, name)
-        value = F.lit(None) if value is None else value
-        columns.append(value.cast(kind).alias(name))
-    return F.struct(*columns)
+        fields[name] = f"CAST({getattr(verdict, name) or 'NULL'} AS {kind})"
+    return struct(**fields)
 
 
 def count_if(condition: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.functions.arithmetic import between_a
+from plumbline.functions.arithmetic import between_a, literal
 from plumbline.operators.spec import ScanSpec, all_or_nothing, all_rows
 from plumbline.rule import Rule, flag, number, require
 from plumbline.sources.datasets import Scope
@@ -24,6 +24,6 @@ def row_count_equal(scope: Scope, rule: Rule) -> ScanSpec:
     wanted = number(rule.kwargs, "value")
 
     def verdict(m):
-        return all_or_nothing(m("total"), m("total") == wanted, observed=m("total"))
+        return all_or_nothing(m("total"), f"({m('total')} = {literal(wanted)})", observed=m("total"))
 
     return ScanSpec({"total": all_rows()}, verdict)

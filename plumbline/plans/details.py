@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,42 +26,40 @@ LISTED_VALUES = 1000
 def failing_value_counts(compiled: list[Compiled], scope: Scope) -> DataFrame | None:
     """Rows per failing value: ``rule_config_id, value, rows, low, high``.
 
-    One pass for all row rules: a row yields one entry for each rule it fails,
-    and equal entries collapse before the shuffle.
+    The failing rows of a column are counted by value once for all its rules;
+    which rules a value fails is then decided on the distinct values.
     """
+    by_column: dict[str, list[Compiled]] = {}
     frames = []
-    scans = [
-        c
-        for c in compiled
-        if isinstance(c.spec, ScanSpec) and c.spec.failing is not None and c.spec.profile
-    ]
-    if scans:
-        entries = [F.when(c.spec.failing, _entry(c, scope)) for c in scans]
-        rows = prepared(scope.df, scans).select(
-            F.explode(F.array_compact(F.array(*entries))).alias("e")
-        )
-        frames.append(
-            rows.select("e.*")
-            .groupBy("rule_config_id", "value")
-            .agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.min("number").alias("low"),
-                F.max("number").alias("high"),
-            )
-        )
     for c in compiled:
-        if isinstance(c.spec, GroupSpec) and c.spec.failing_groups is not None and c.spec.profile:
+        if isinstance(c.spec, ScanSpec) and c.spec.failing is not None and c.spec.profile:
+            by_column.setdefault(c.spec.profile, []).append(c)
+        elif isinstance(c.spec, GroupSpec) and c.spec.failing_groups is not None and c.spec.profile:
             groups = group_counts(scope.df, c.spec.keys).where(c.spec.failing_groups)
-            frames.append(
-                groups.select(_entry(c, scope).alias("e"), F.col(ROWS_IN_GROUP).alias("rows")).select(
-                    "e.rule_config_id",
-                    "e.value",
-                    "rows",
-                    F.col("e.number").alias("low"),
-                    F.col("e.number").alias("high"),
-                )
+            frames.append(groups.select(_entry(c, scope).alias("e"), F.col(ROWS_IN_GROUP).alias("rows")))
+    for column, rules in by_column.items():
+        failing = reduce(or_, [c.spec.failing for c in rules])
+        rows = prepared(scope.df, rules).where(failing)
+        values = prepared(group_counts(rows, [column]), rules)
+        entries = [F.when(c.spec.failing, _entry(c, scope)) for c in rules]
+        frames.append(
+            values.select(
+                F.explode(F.array_compact(F.array(*entries))).alias("e"),
+                F.col(ROWS_IN_GROUP).alias("rows"),
             )
-    return reduce(DataFrame.unionByName, frames) if frames else None
+        )
+    if not frames:
+        return None
+    # Values that differ only in surrounding spaces are listed as one.
+    return (
+        reduce(DataFrame.unionByName, frames)
+        .groupBy("e.rule_config_id", "e.value")
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.min("e.number").alias("low"),
+            F.max("e.number").alias("high"),
+        )
+    )
 
 
 def _entry(c: Compiled, scope: Scope):

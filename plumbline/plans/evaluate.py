@@ -42,13 +42,8 @@ class Compiled:
 
 
 def compile_rule(scope: Scope, rule: Rule) -> Compiled:
-    """The rule's spec, analysed against the dataset.  Runs no job."""
-    spec = expectation(rule.expectation).build(scope, rule)
-    if isinstance(spec, ScanSpec) and spec.measures:
-        _scan([Compiled(rule, spec)], scope)
-    elif isinstance(spec, GroupSpec):
-        _grouped([Compiled(rule, spec)], scope)
-    return Compiled(rule, spec)
+    """The rule's spec.  Runs no job."""
+    return Compiled(rule, expectation(rule.expectation).build(scope, rule))
 
 
 def compile_rules(scope: Scope, rules: list[Rule]) -> tuple[list[Compiled], dict[int, Exception]]:
@@ -62,6 +57,19 @@ def compile_rules(scope: Scope, rules: list[Rule]) -> tuple[list[Compiled], dict
     return compiled, errors
 
 
+def analysed(compiled: list[Compiled], scope: Scope) -> tuple[list[Compiled], dict[int, Exception]]:
+    """Rules whose plans Spark accepts, and the error of each of the others."""
+    good, errors = [], {}
+    for c in compiled:
+        try:
+            if not isinstance(c.spec, FrameSpec):
+                results([c], scope)
+            good.append(c)
+        except Exception as exc:
+            errors[c.rule.rule_config_id] = exc
+    return good, errors
+
+
 def evaluate(scope: Scope, rules: list[Rule]) -> DataFrame:
     """One result row per rule; raises on the first rule that does not compile."""
     return results([compile_rule(scope, r) for r in rules], scope)
@@ -95,10 +103,10 @@ def _verdicts(frame: DataFrame, compiled: list[Compiled], prefixed: bool = True)
     rows = []
     for c in compiled:
         def measure(name, c=c):
-            return F.col(_measure(c, name)) if prefixed else F.col(name)
+            return quoted(_measure(c, name) if prefixed else name)
 
         rows.append(result_struct(c.rule.rule_config_id, c.label, c.spec.verdict(measure)))
-    return frame.select(F.inline(F.array(*rows)))
+    return frame.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _scan(compiled: list[Compiled], scope: Scope) -> DataFrame:

@@ -16,7 +16,7 @@ from plumbline.operators.custom import combination_profile, query_profile_column
 from plumbline.operators.recon import source_label
 from plumbline.operators.spec import FrameSpec, ScanSpec
 from plumbline.plans import details
-from plumbline.plans.evaluate import Compiled, compile_rules, results, tagged_rows
+from plumbline.plans.evaluate import Compiled, analysed, compile_rules, results, tagged_rows
 from plumbline.plans.pivot import failure_view
 from plumbline.plans.rules import fetch_rules, parse_rule_ids
 from plumbline.rule import Rule, RuleError, name_list, parse_kwargs
@@ -221,15 +221,20 @@ def last_validated(store: Store, dataset_id: int) -> str | None:
 
 def latest_watermarks(rule_results: DataFrame) -> DataFrame:
     """Marks of the last passing result of each rule that stored any."""
-    observed = F.col("observed_value")
-    old = F.get_json_object(observed, "$.watermark")
-    core = F.coalesce(F.get_json_object(observed, "$.core_watermark"), old)
-    conf = F.coalesce(F.get_json_object(observed, "$.conf_watermark"), old)
+    parsed = F.from_json("observed_value", "core_watermark string, conf_watermark string, watermark string")
+    rows = rule_results.where(F.col("is_success")).select(
+        "rule_config_id", "run_timestamp", "dataset_run_id", parsed.alias("o")
+    )
+    core = F.coalesce("o.core_watermark", "o.watermark")
+    conf = F.coalesce("o.conf_watermark", "o.watermark")
     marks = F.struct(core.alias("core"), conf.alias("conf"))
-    passed = rule_results.where(F.col("is_success") & core.isNotNull())
-    return passed.groupBy("rule_config_id").agg(
-        F.max_by(marks, F.struct("run_timestamp", "dataset_run_id", marks)).alias("marks")
-    ).select("rule_config_id", "marks.core", "marks.conf")
+    latest = F.max_by(marks, F.struct("run_timestamp", "dataset_run_id", marks)).alias("marks")
+    return (
+        rows.where(core.isNotNull())
+        .groupBy("rule_config_id")
+        .agg(latest)
+        .select("rule_config_id", "marks.core", "marks.conf")
+    )
 
 
 def stored_watermarks(store: Store, rule_ids: list[int]) -> dict[int, tuple]:
@@ -241,7 +246,12 @@ def stored_watermarks(store: Store, rule_ids: list[int]) -> dict[int, tuple]:
 
 
 def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, dict], dict[int, Exception]]:
-    """One result per rule.  A failing job is repeated part by part, rule by rule."""
+    """One result per rule.
+
+    When the job fails, rules Spark rejects are set aside and the others run
+    together again; a job that fails while running is halved until the rule at
+    fault is alone.
+    """
     if not compiled:
         return {}, {}
     try:
@@ -250,11 +260,12 @@ def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, d
     except Exception as exc:
         if len(compiled) == 1:
             return {}, {compiled[0].rule.rule_config_id: exc}
-    outcome, errors = {}, {}
-    middle = len(compiled) // 2
-    for half in (compiled[:middle], compiled[middle:]):
-        good, bad = collect_results(half, scope)
-        outcome.update(good)
+    good, errors = analysed(compiled, scope)
+    outcome = {}
+    middle = len(good) // 2
+    for part in (good[:middle], good[middle:]) if not errors else (good,):
+        more, bad = collect_results(part, scope)
+        outcome.update(more)
         errors.update(bad)
     return outcome, errors
 

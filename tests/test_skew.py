@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.median import median_frame, value_at
+from plumbline.operators.median import median_frame, values_at
 from plumbline.operators.skew import group_counts, hot_keys, rows_beyond_first, rows_of_groups
 from plumbline.operators.spec import group_rows
 
@@ -77,4 +77,4 @@ def test_any_rank(spark):
     numbers = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
     ordered = sorted(values)
     for rank in (0, 1, 199, 398, 399):
-        assert value_at(numbers, 400, rank, in_memory_rows=10) == ordered[rank]
+        assert values_at(numbers, 400, [rank], in_memory_rows=10) == [ordered[rank]]
