@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.arithmetic import (
@@ -14,12 +14,22 @@ from plumbline.functions.arithmetic import (
 )
 from plumbline.functions.columns import find_column, ignore_rows, missing, quoted, type_of
 from plumbline.functions.matching import members, to_column_type
-from plumbline.operators.skew import rows_beyond_first, rows_of_groups
+from plumbline.operators.skew import (
+    group_counts,
+    is_wide,
+    possibly_repeated,
+    repeated_hashes,
+    rows_beyond_first,
+    rows_of_groups,
+)
 from plumbline.operators.spec import (
     ROWS_IN_GROUP,
+    FrameSpec,
     GroupSpec,
     Verdict,
     all_or_nothing,
+    all_rows,
+    combine_single_rows,
     count_if,
     counted,
     group_rows,
@@ -38,11 +48,10 @@ def _total() -> Column:
     return F.coalesce(F.sum(ROWS_IN_GROUP), F.lit(0))
 
 
-def values_unique(scope: Scope, rule: Rule) -> GroupSpec:
+def values_unique(scope: Scope, rule: Rule) -> GroupSpec | FrameSpec:
     """Every row of a repeated value fails; blanks are left out."""
     name, c, t = _key(scope, rule)
     rows, absent = group_rows(), missing(c, t)
-    repeated = (rows > 1) & ~absent
     allowed = mostly(rule.kwargs)
 
     def verdict(m):
@@ -55,6 +64,16 @@ def values_unique(scope: Scope, rule: Rule) -> GroupSpec:
             details=json_object(unique_count=m("unique")),
         )
 
+    present = scope.df.where(~absent)
+    if is_wide(scope.df, name):
+        return FrameSpec(
+            lambda: _wide_unique(scope.df, name, absent),
+            verdict,
+            failing=lambda: rows_of_groups(_suspects(present, name), [name], group_rows() > 1),
+            profile=name,
+            failing_groups=lambda: group_counts(_suspects(present, name), [name]).where(group_rows() > 1),
+        )
+    repeated = (rows > 1) & ~absent
     return GroupSpec(
         keys=(name,),
         measures={
@@ -64,12 +83,40 @@ def values_unique(scope: Scope, rule: Rule) -> GroupSpec:
             "unique": count_if(~absent),
         },
         verdict=verdict,
-        failing=lambda: rows_of_groups(scope.df.where(~absent), [name], group_rows() > 1),
+        failing=lambda: rows_of_groups(present, [name], group_rows() > 1),
         profile=name,
         failing_groups=repeated,
     )
 
 
+def _wide_unique(df: DataFrame, name: str, absent: Column) -> DataFrame:
+    """Measures of a long text column: hashes first, values only where hashes repeat."""
+    present = df.where(~absent).select(F.col(quoted(name)))
+    hashes, repeated = repeated_hashes(present, name)
+    suspects = possibly_repeated(present, name, repeated)
+    once = F.col(ROWS_IN_GROUP) == 1
+    if suspects is None:
+        suspects, once = present, F.lit(False)
+    groups = group_counts(suspects, [name])
+    one = combine_single_rows(
+        [
+            df.agg(all_rows().alias("total"), count_if(absent).alias("missing")),
+            hashes.agg(count_if(once).alias("single")),
+            groups.agg(
+                sum_if(group_rows() > 1, group_rows()).alias("bad"), all_rows().alias("compared")
+            ),
+        ]
+    )
+    return one.select("total", "missing", "bad", (F.col("single") + F.col("compared")).alias("unique"))
+
+
+def _suspects(present: DataFrame, name: str) -> DataFrame:
+    """The rows among which values can repeat."""
+    _, repeated = repeated_hashes(present, name)
+    rows = possibly_repeated(present, name, repeated)
+    return present if rows is None else rows
+
+
 def row_order(scope: Scope) -> list[Column]:
     """A total order of rows up to exact copies: primary key, then every column."""
     known = [n for n in scope.primary_key if n.lower() in [c.lower() for c in scope.df.columns]]

@@ -1,6 +1,12 @@
 """Joins and windows on keys of which a few may hold much of the data.
 
-A key is *hot* when it holds more than ``ROWS_PER_TASK`` rows and more than
+Rows of selected groups are found by joining the rows with the group keys.
+How depends on the measured size of the selected keys:
+
+* up to ``BROADCAST_BYTES`` they are broadcast and the rows stay where they are;
+* beyond that both sides are shuffled, and *hot* keys are salted.
+
+A key is hot when it holds more than ``ROWS_PER_TASK`` rows and more than
 ``1 / HOT_KEYS`` of all rows.  At most ``HOT_KEYS`` keys can satisfy the second
 condition, so the table of hot keys - a 64-bit hash and a number of splits
 each - has a proven bound and is safe to broadcast, whatever the key's width.
@@ -9,13 +15,17 @@ A hash collision only salts a key that did not need it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import quoted
+from plumbline.functions.columns import is_text, quoted
 from plumbline.operators.spec import ROWS_IN_GROUP
 
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 100_000
 ROWS_PER_TASK = 1_000_000
 
@@ -29,20 +39,48 @@ def group_counts(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
     return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count(F.lit(1)).alias(ROWS_IN_GROUP))
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame written to the session's checkpoint folder, when it has one.
+
+    Used for a result that later jobs read again.  Without a folder the frame
+    is returned as it is and recomputed.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            return frame
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()
+
+
+def bytes_of(frame: DataFrame, columns: list[str]) -> int:
+    """Size of a frame's rows in memory, from their number and their text."""
+    texts = [
+        F.coalesce(F.octet_length(F.col(quoted(c))), F.lit(0))
+        for c in columns
+        if is_text(frame.schema[c].dataType)
+    ]
+    text = F.sum(reduce(add, texts)) if texts else F.lit(0)
+    row = frame.agg(F.count(F.lit(1)).alias("rows"), text.cast("bigint").alias("text")).first()
+    return row["rows"] * (32 + 16 * len(columns)) + (row["text"] or 0)
+
+
 def _key_hash(keys) -> Column:
     return F.xxhash64(*[F.col(quoted(k)) for k in keys])
 
 
+def _splits(rows_per_task: int) -> Column:
+    return F.ceil(F.col(ROWS_IN_GROUP) / F.lit(rows_per_task)).cast("int")
+
+
 def hot_keys(groups: DataFrame, keys, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Hash and number of splits of every hot key: at most ``HOT_KEYS`` rows."""
     total = groups.agg(F.sum(ROWS_IN_GROUP).alias("total")).scalar()
     rows = F.col(ROWS_IN_GROUP)
     return (
         groups.where((rows > rows_per_task) & (rows * HOT_KEYS > total))
-        .select(
-            _key_hash(keys).alias(HASH),
-            F.ceil(rows / F.lit(rows_per_task)).cast("int").alias(SPLITS),
-        )
+        .select(_key_hash(keys).alias(HASH), _splits(rows_per_task).alias(SPLITS))
         .groupBy(HASH)
         .agg(F.max(SPLITS).alias(SPLITS))
     )
@@ -58,30 +96,22 @@ def _hashable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, T.VariantType)
 
 
-def salted_rows(df: DataFrame, keys, hot: DataFrame) -> DataFrame:
-    """Rows with a salt: 0 for ordinary keys, spread over the splits for hot ones.
+def _salt(df: DataFrame) -> Column:
+    """0 for ordinary keys, spread over the splits for hot ones.
 
     The salt comes from the row's content and its partition, so a re-run task
     gives every row the same salt, and exact copies of a row still spread.
     """
     content = [F.col(quoted(f.name)) for f in df.schema.fields if _hashable(f.dataType)]
     spread = F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.col(SPLITS).cast("bigint"))
-    return (
-        df.withColumn(HASH, _key_hash(keys))
-        .join(F.broadcast(hot), HASH, "left")
-        .withColumn(SALT, F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(spread).cast("int"))
-        .drop(HASH)
-    )
+    return F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(spread).cast("int")
 
 
-def salted_groups(groups: DataFrame, keys, hot: DataFrame) -> DataFrame:
-    """One row per key and salt, to meet the rows of ``salted_rows``."""
-    return (
-        groups.withColumn(HASH, _key_hash(keys))
-        .join(F.broadcast(hot), HASH, "left")
-        .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SPLITS), F.lit(1)) - 1)))
-        .drop(HASH, SPLITS)
-    )
+def _matching(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> Column:
+    condition = F.lit(True)
+    for key, name in zip(keys, names):
+        condition = condition & left[quoted(key)].eqNullSafe(right[name])
+    return condition
 
 
 def rows_of_groups(
@@ -89,22 +119,44 @@ def rows_of_groups(
     keys: list[str],
     selected: Column,
     rows_per_task: int = ROWS_PER_TASK,
-    keep_salt: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    salted: bool = False,
 ) -> DataFrame:
-    """All rows of the groups for which ``selected`` holds (keys compare null-safely)."""
+    """All rows of the groups for which ``selected`` holds (keys compare null-safely).
+
+    With ``salted`` the rows carry ``SPLITS`` (NULL for ordinary keys) and
+    ``SALT``.
+    """
+    names = [f"__g{i}" for i in range(len(keys))]
+    renamed = [F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]
     groups = group_counts(df, keys)
+    wanted = settled(groups.where(selected))
+    if bytes_of(wanted, list(keys)) <= broadcast_bytes:
+        hot = F.when(F.col(ROWS_IN_GROUP) > rows_per_task, _splits(rows_per_task))
+        right = F.broadcast(wanted.select(*renamed, hot.alias(SPLITS)))
+        if not salted:
+            return df.join(right, _matching(df, right, keys, names), "left_semi")
+        # Keys are distinct, so the inner join keeps each row once.
+        rows = df.join(right, _matching(df, right, keys, names)).drop(*names)
+        return rows.withColumn(SALT, _salt(df))
     hot = hot_keys(groups, keys, rows_per_task)
-    left = salted_rows(df, keys, hot)
-    wanted = salted_groups(groups.where(selected), keys, hot)
-    names = {k: f"__g{i}" for i, k in enumerate(keys)}
-    right = wanted.select(
-        *[F.col(quoted(k)).alias(names[k]) for k in keys], F.col(SALT).alias("__gsalt")
+    left = (
+        df.withColumn(HASH, _key_hash(keys))
+        .join(F.broadcast(hot), HASH, "left")
+        .withColumn(SALT, _salt(df))
+        .drop(HASH)
+    )
+    right = (
+        wanted.withColumn(HASH, _key_hash(keys))
+        .join(F.broadcast(hot), HASH, "left")
+        .select(
+            *renamed,
+            F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SPLITS), F.lit(1)) - 1)).alias("__gsalt"),
+        )
     )
-    condition = left[SALT] == right["__gsalt"]
-    for key in keys:
-        condition = condition & left[quoted(key)].eqNullSafe(right[names[key]])
+    condition = (left[SALT] == right["__gsalt"]) & _matching(left, right, keys, names)
     rows = left.join(right, condition, "left_semi")
-    return rows if keep_salt else rows.drop(SALT, SPLITS)
+    return rows if salted else rows.drop(SALT, SPLITS)
 
 
 def rows_beyond_first(
@@ -113,15 +165,16 @@ def rows_beyond_first(
     selected: Column,
     order: list[Column],
     rows_per_task: int = ROWS_PER_TASK,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Every row of the selected groups but the first in ``order``.
 
     Ranked within the salted parts of a key; only hot keys have more than one
     part, and their parts' first rows are ranked once more.  The number of
     splits belongs to the window's key so that its filter reaches the join with
-    the hot keys: without any, the second step reads nothing.
+    the group keys: without hot keys, the second step reads nothing.
     """
-    rows = rows_of_groups(df, keys, selected, rows_per_task, keep_salt=True)
+    rows = rows_of_groups(df, keys, selected, rows_per_task, broadcast_bytes, salted=True)
     columns = [F.col(quoted(k)) for k in keys]
     ranked = rows.withColumn(
         "__rank", F.row_number().over(Window.partitionBy(*columns, SPLITS, SALT).orderBy(*order))
@@ -134,3 +187,41 @@ def rows_beyond_first(
         .where(F.col("__rank") > 1)
     )
     return later.unionByName(first).drop("__rank", SALT, SPLITS)
+
+
+# Text keys longer than this on average are first compared by hash.
+WIDE_KEY = 64
+
+
+def is_wide(df: DataFrame, name: str, looked_at: int = 1000) -> bool:
+    """Whether a text column holds long values.
+
+    Looks at a few rows, to choose between two ways to the same result.
+    """
+    if not is_text(df.schema[name].dataType):
+        return False
+    few = df.select(F.octet_length(F.col(quoted(name))).alias("n")).limit(looked_at)
+    return (few.agg(F.avg("n").alias("n")).first()["n"] or 0) > WIDE_KEY
+
+
+def repeated_hashes(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows per 64-bit hash of a column, and the hashes seen more than once.
+
+    Only 16 bytes per row are shuffled.  Equal values have equal hashes, so a
+    value whose hash is seen once is unique.
+    """
+    hashes = settled(
+        df.groupBy(F.xxhash64(F.col(quoted(name))).alias(HASH)).agg(F.count(F.lit(1)).alias(ROWS_IN_GROUP))
+    )
+    return hashes, hashes.where(F.col(ROWS_IN_GROUP) > 1).select(HASH)
+
+
+def possibly_repeated(df: DataFrame, name: str, repeated: DataFrame) -> DataFrame | None:
+    """Rows whose value may occur again; None when too many hashes repeat.
+
+    The caller then groups by the values themselves.
+    """
+    if bytes_of(repeated, [HASH]) > BROADCAST_BYTES:
+        return None
+    hashed = F.xxhash64(F.col(quoted(name))) == F.col(HASH)
+    return df.join(F.broadcast(repeated), hashed, "left_semi")

@@ -84,6 +84,8 @@ class FrameSpec:
     frame: Callable[[], DataFrame]
     verdict: Callable[[Measures], Verdict]
     failing: Callable[[], DataFrame] | None = None
+    profile: str | None = None
+    failing_groups: Callable[[], DataFrame] | None = None
 
 
 Spec = ScanSpec | GroupSpec | FrameSpec

@@ -14,7 +14,7 @@ from plumbline.functions.local import small_frame
 from plumbline.functions.matching import to_column_type
 from plumbline.operators.membership import member_test
 from plumbline.operators.skew import group_counts
-from plumbline.operators.spec import ROWS_IN_GROUP, GroupSpec, ScanSpec
+from plumbline.operators.spec import ROWS_IN_GROUP, FrameSpec, GroupSpec, ScanSpec
 from plumbline.plans.evaluate import Compiled, prepared
 from plumbline.rule import Rule, value_list
 from plumbline.sources.datasets import Scope
@@ -34,8 +34,11 @@ def failing_value_counts(compiled: list[Compiled], scope: Scope) -> DataFrame |
     for c in compiled:
         if isinstance(c.spec, ScanSpec) and c.spec.failing is not None and c.spec.profile:
             by_column.setdefault(c.spec.profile, []).append(c)
-        elif isinstance(c.spec, GroupSpec) and c.spec.failing_groups is not None and c.spec.profile:
-            groups = group_counts(scope.df, c.spec.keys).where(c.spec.failing_groups)
+        elif isinstance(c.spec, (GroupSpec, FrameSpec)) and c.spec.failing_groups is not None:
+            if isinstance(c.spec, FrameSpec):
+                groups = c.spec.failing_groups()
+            else:
+                groups = group_counts(scope.df, c.spec.keys).where(c.spec.failing_groups)
             frames.append(groups.select(_entry(c, scope).alias("e"), F.col(ROWS_IN_GROUP).alias("rows")))
     for column, rules in by_column.items():
         failing = reduce(or_, [c.spec.failing for c in rules])

@@ -221,19 +221,21 @@ def last_validated(store: Store, dataset_id: int) -> str | None:
 
 def latest_watermarks(rule_results: DataFrame) -> DataFrame:
     """Marks of the last passing result of each rule that stored any."""
-    parsed = F.from_json("observed_value", "core_watermark string, conf_watermark string, watermark string")
-    rows = rule_results.where(F.col("is_success")).select(
-        "rule_config_id", "run_timestamp", "dataset_run_id", parsed.alias("o")
-    )
-    core = F.coalesce("o.core_watermark", "o.watermark")
-    conf = F.coalesce("o.conf_watermark", "o.watermark")
-    marks = F.struct(core.alias("core"), conf.alias("conf"))
-    latest = F.max_by(marks, F.struct("run_timestamp", "dataset_run_id", marks)).alias("marks")
-    return (
-        rows.where(core.isNotNull())
+    # Find the latest result that holds a mark first, and parse only that.
+    holds_mark = F.col("observed_value").rlike(r'"(core_)?watermark"\s*:\s*[^\sn]')
+    latest = F.max_by("observed_value", F.struct("run_timestamp", "dataset_run_id", "observed_value"))
+    found = (
+        rule_results.where(F.col("is_success") & holds_mark)
         .groupBy("rule_config_id")
-        .agg(latest)
-        .select("rule_config_id", "marks.core", "marks.conf")
+        .agg(latest.alias("observed"))
+    )
+
+    def mark(name):
+        own = F.get_json_object("observed", f"$.{name}")
+        return F.coalesce(own, F.get_json_object("observed", "$.watermark"))
+
+    return found.select(
+        "rule_config_id", mark("core_watermark").alias("core"), mark("conf_watermark").alias("conf")
     )
 
 

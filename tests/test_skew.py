@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import check, failing, skew
 from plumbline.operators.median import median_frame, values_at
 from plumbline.operators.skew import group_counts, hot_keys, rows_beyond_first, rows_of_groups
 from plumbline.operators.spec import group_rows
@@ -30,20 +31,23 @@ def test_hot_keys_are_found(hot):
     assert sorted(r["__splits"] for r in found) == [9, 9]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 26])
 @pytest.mark.parametrize("rows_per_task", [50, 1_000_000])
-def test_rows_of_groups(hot, rows_per_task):
+def test_rows_of_groups(hot, rows_per_task, broadcast_bytes):
     rows, df = hot
     counts = Counter(r[0] for r in rows)
-    got = Counter(tuple(r) for r in rows_of_groups(df, ["k"], group_rows() > 1, rows_per_task).collect())
+    got = Counter(tuple(r) for r in rows_of_groups(df, ["k"], group_rows() > 1, rows_per_task, broadcast_bytes).collect())
     assert got == Counter(r for r in rows if counts[r[0]] > 1)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 26])
 @pytest.mark.parametrize("rows_per_task", [50, 1_000_000])
-def test_rows_beyond_first(hot, rows_per_task):
+def test_rows_beyond_first(hot, rows_per_task, broadcast_bytes):
     rows, df = hot
     order = [F.col(c).asc_nulls_first() for c in ("a", "b")]
     got = Counter(
-        tuple(r) for r in rows_beyond_first(df, ["k"], group_rows() > 1, order, rows_per_task).collect()
+        tuple(r)
+        for r in rows_beyond_first(df, ["k"], group_rows() > 1, order, rows_per_task, broadcast_bytes).collect()
     )
     groups = defaultdict(list)
     for r in rows:
@@ -78,3 +82,26 @@ def test_any_rank(spark):
     ordered = sorted(values)
     for rank in (0, 1, 199, 398, 399):
         assert values_at(numbers, 400, [rank], in_memory_rows=10) == [ordered[rank]]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_long_texts_are_unique_by_value(spark, monkeypatch, many):
+    """The hash step changes nothing, nor does skipping it when too many hashes repeat."""
+    if many:
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    texts = [f"{i} " * 40 for i in range(30)] + ["again " * 40] * 3 + ["  ", None, "twice " * 50, "twice " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    assert skew.is_wide(df, "t") and not skew.is_wide(df, "id")
+    row = check(df, "expect_column_values_to_be_unique", {"column": "t"}).first()
+    assert (row["element_count"], row["missing_count"], row["unexpected_count"]) == (37, 2, 5)
+    assert row["observed_value"] == 32
+    rows = failing(df, "expect_column_values_to_be_unique", {"column": "t"}).collect()
+    assert sorted(r["id"] for r in rows) == [30, 31, 32, 35, 36]
+
+
+def test_group_keys_are_settled_in_the_checkpoint_folder(spark, hot):
+    assert spark.sparkContext.getCheckpointDir()
+    keys = group_counts(hot[1], ["k"])
+    kept = skew.settled(keys)
+    assert kept.count() == keys.count()
+    assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
