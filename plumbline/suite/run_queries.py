@@ -292,9 +292,12 @@ def _pivot(spark, sf_dir):
     rules = [e[0] for e in CUSTOMER_RULES]
     run = F.col("c_nationkey").cast("bigint").alias("dataset_run_id")
     failures = failing_rows(scope, rules).select("*", run)
+    passes = {21: F.lit(False), 22: F.lit(False), 23: F.lit(False), 24: F.count(F.lit(1)) <= PIVOT_LIMIT}
     verdict = F.array(
-        *[F.struct(F.lit(i).cast("bigint").alias("rule_config_id"), F.lit(False).alias("is_success")) for i in (21, 22, 23)],
-        F.struct(F.lit(24).cast("bigint"), F.count(F.lit(1)) <= PIVOT_LIMIT),
+        *[
+            F.struct(F.lit(i).cast("bigint").alias("rule_config_id"), ok.alias("is_success"))
+            for i, ok in passes.items()
+        ]
     )
     results = scope.df.groupBy(run).agg(verdict.alias("v")).select("dataset_run_id", F.inline("v"))
     return pivot_failures(failures, results, _pivot_rules())
