@@ -13,7 +13,8 @@ from plumbline.functions.arithmetic import (
     mostly_at_most,
 )
 from plumbline.functions.columns import find_column, ignore_rows, missing, quoted, type_of
-from plumbline.functions.matching import members, to_column_type
+from plumbline.functions.matching import to_column_type
+from plumbline.operators.membership import member_test
 from plumbline.operators.skew import (
     group_counts,
     is_wide,
@@ -213,7 +214,7 @@ def most_common_in_set(scope: Scope, rule: Rule) -> GroupSpec:
     values = to_column_type(value_list(rule.kwargs, "value_set"), t)
     ties_okay = flag(rule.kwargs, "ties_okay")
     rows = group_rows()
-    inside = members(c, values, t)
+    member, prepare = member_test(c, values, t)
 
     def verdict(m):
         inside, outside = f"coalesce({m('inside')}, 0)", f"coalesce({m('outside')}, 0)"
@@ -222,10 +223,10 @@ def most_common_in_set(scope: Scope, rule: Rule) -> GroupSpec:
 
     measures = {
         "total": _total(),
-        "inside": F.max(F.when(c.isNotNull() & inside, rows)),
-        "outside": F.max(F.when(c.isNotNull() & ~inside, rows)),
+        "inside": F.max(F.when(c.isNotNull() & member, rows)),
+        "outside": F.max(F.when(c.isNotNull() & ~member, rows)),
     }
-    return GroupSpec((name,), measures, verdict)
+    return GroupSpec((name,), measures, verdict, prepare=prepare)
 
 
 def _distinct_check(scope: Scope, rule: Rule, passes) -> GroupSpec:
@@ -235,7 +236,7 @@ def _distinct_check(scope: Scope, rule: Rule, passes) -> GroupSpec:
     values = to_column_type(given, t)
     impossible = len({repr(v) for v in given if v is not None and not to_column_type([v], t)})
     rows = group_rows()
-    inside = members(c, values, t)
+    member, prepare = member_test(c, values, t)
 
     def verdict(m):
         absent = f"({len(values) + impossible} - {m('found')})"
@@ -252,10 +253,10 @@ def _distinct_check(scope: Scope, rule: Rule, passes) -> GroupSpec:
 
     measures = {
         "present": sum_if(c.isNotNull(), rows),
-        "found": count_if(c.isNotNull() & inside),
-        "extra": count_if(c.isNotNull() & ~inside),
+        "found": count_if(c.isNotNull() & member),
+        "extra": count_if(c.isNotNull() & ~member),
     }
-    return GroupSpec((name,), measures, verdict)
+    return GroupSpec((name,), measures, verdict, prepare=prepare)
 
 
 def distinct_in_set(scope: Scope, rule: Rule) -> GroupSpec:

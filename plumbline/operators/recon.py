@@ -111,7 +111,7 @@ def known_keys(target: DataFrame, keys: list[str], date: str, mark, first_seen:
     if first_seen:
         earliest = rows.groupBy(*names).agg(F.min("__seen").alias("__seen"))
         return earliest.where(F.col("__seen") <= mark).select(*names)
-    return rows.where(F.col("__seen") <= mark).groupBy(*names).agg(F.lit(True).alias("__x")).drop("__x")
+    return rows.where(F.col("__seen") <= mark).select(*names).distinct()
 
 
 def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:

@@ -24,6 +24,7 @@ from plumbline.catalog import expectation
 from plumbline.functions.columns import quoted
 from plumbline.operators.skew import group_counts
 from plumbline.operators.spec import FrameSpec, GroupSpec, ScanSpec, Spec, result_struct
+from plumbline.plans.parallel import side_by_side
 from plumbline.rule import Rule
 from plumbline.sources.datasets import Scope
 
@@ -90,7 +91,8 @@ def parts(compiled: list[Compiled], scope: Scope) -> list[DataFrame]:
         if isinstance(c.spec, GroupSpec):
             by_key.setdefault(tuple(sorted(c.spec.keys)), []).append(c)
     out.extend(_grouped(group, scope) for group in by_key.values())
-    out.extend(_framed(c) for c in compiled if isinstance(c.spec, FrameSpec))
+    framed = [c for c in compiled if isinstance(c.spec, FrameSpec)]
+    out.extend(side_by_side([lambda c=c: _framed(c) for c in framed]))
     return out
 
 
@@ -128,6 +130,9 @@ def prepared(df: DataFrame, compiled: list[Compiled]) -> DataFrame:
 
 def _grouped(compiled: list[Compiled], scope: Scope) -> DataFrame:
     groups = group_counts(scope.df, compiled[0].spec.keys)
+    for c in compiled:
+        if c.spec.prepare is not None:
+            groups = c.spec.prepare(groups)
     aggregates = [
         column.alias(_measure(c, name)) for c in compiled for name, column in c.spec.measures.items()
     ]

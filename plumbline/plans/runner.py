@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import find_column, quoted
 from plumbline.operators.custom import combination_profile, query_profile_columns
 from plumbline.operators.recon import source_label
-from plumbline.operators.spec import FrameSpec, ScanSpec
+from plumbline.operators.spec import ScanSpec
 from plumbline.plans import details
 from plumbline.plans.evaluate import Compiled, analysed, compile_rules, results, tagged_rows
+from plumbline.plans.parallel import side_by_side
 from plumbline.plans.pivot import failure_view
 from plumbline.plans.rules import fetch_rules, parse_rule_ids
 from plumbline.rule import Rule, RuleError, name_list, parse_kwargs
@@ -138,8 +139,7 @@ def run_dataset(
     audit.add(run_id, None, "MAIN_QUERY", "COMPLETED", started, f"{len(outcome)} verdicts")
 
     failed = [c for c in compiled if c.rule.rule_config_id in outcome and _failed(outcome, c)]
-    extras, bad = capture(store, dataset, scope, failed, outcome, run_id, started, audit)
-    errors.update(bad)
+    extras = capture(store, dataset, scope, failed, outcome, run_id, started, audit)
     allowed = [c for c in compiled if c.rule.rule_config_id in outcome]
     extras.update(_matched(scope, allowed, extras))
 
@@ -272,36 +272,53 @@ def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, d
     return outcome, errors
 
 
-def capture(store, dataset, scope, failed, outcome, run_id, started, audit):
-    """Write failing rows and keys; return what the result rows add about them."""
+def capture(store, dataset, scope, failed, outcome, run_id, started, audit) -> dict[int, dict]:
+    """Write failing rows and keys; return what the result rows add about them.
+
+    Verdicts stand even when a capture fails: that is left to the audit trail.
+    """
     extras: dict[int, dict] = {c.rule.rule_config_id: {} for c in failed}
-    errors: dict[int, Exception] = {}
     kept = [c for c in failed if c.rule.error_flag and c.spec.failing is not None]
-    if kept:
-        table = failure_table_name(dataset.dataset_name)
-        try:
-            rows = tagged_rows(kept, scope)
-            stamped = rows.select(
-                F.lit(run_id).cast("bigint").alias("dataset_run_id"),
-                F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
-                "rule_config_id",
-                F.lit(started.isoformat(sep=" ")).cast("timestamp_ntz").alias("dq_load_timestamp"),
-                *[F.col(quoted(n)) for n in scope.df.columns],
-            )
-            store.append_failures(table, stamped)
-            audit.add(run_id, None, "INSERT_FAILED_RECORDS", "COMPLETED", started, table)
-            write_keys(store, dataset, scope, kept, table, run_id, started)
-            audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED", started)
-            for c in kept:
-                extras[c.rule.rule_config_id]["table"] = table
-        except Exception as exc:  # verdicts stand even when capture fails
-            errors.update({c.rule.rule_config_id: exc for c in kept})
-            audit.add(run_id, None, "INSERT_FAILED_RECORDS", "FAILED", started, None, exc)
+    table = failure_table_name(dataset.dataset_name)
+    for c in write_rows(store, dataset, scope, kept, table, run_id, started, audit):
+        extras[c.rule.rule_config_id]["table"] = table
     try:
         _add_details(scope, failed, extras)
     except Exception as exc:
         audit.add(run_id, None, "COMPUTE_ERROR_METRICS", "FAILED", started, None, exc)
-    return extras, errors
+    return extras
+
+
+def write_rows(store, dataset, scope, kept, table, run_id, started, audit) -> list[Compiled]:
+    """Capture in one write; a failing write is halved down to the rule at fault."""
+    if not kept:
+        return []
+    try:
+        rows = tagged_rows(kept, scope).select(
+            F.lit(run_id).cast("bigint").alias("dataset_run_id"),
+            F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
+            "rule_config_id",
+            F.lit(started.isoformat(sep=" ")).cast("timestamp_ntz").alias("dq_load_timestamp"),
+            *[F.col(quoted(n)) for n in scope.df.columns],
+        )
+        store.append_failures(table, rows)
+        audit.add(run_id, None, "INSERT_FAILED_RECORDS", "COMPLETED", started, table)
+    except Exception as exc:
+        if len(kept) == 1:
+            audit.add(run_id, kept[0].rule.rule_config_id, "INSERT_FAILED_RECORDS", "FAILED", started, None, exc)
+            return []
+        middle = len(kept) // 2
+        return [
+            c
+            for half in (kept[:middle], kept[middle:])
+            for c in write_rows(store, dataset, scope, half, table, run_id, started, audit)
+        ]
+    try:
+        write_keys(store, dataset, scope, kept, table, run_id, started)
+        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED", started)
+    except Exception as exc:
+        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "FAILED", started, None, exc)
+    return kept
 
 
 def key_columns(dataset: Dataset, c: Compiled) -> list[str]:
@@ -335,57 +352,84 @@ def write_keys(store, dataset, scope, kept, table, run_id, started) -> None:
 
 
 def _add_details(scope: Scope, failed: list[Compiled], extras: dict[int, dict]) -> None:
-    values = details.failing_value_counts(failed, scope)
-    profiles = {c.rule.rule_config_id: c.spec.profile for c in failed if getattr(c.spec, "profile", None)}
-    if values is not None:
-        for row in details.failure_details(values).collect():
-            listed = {r["value"]: r["rows"] for r in row["listed"] or []}
-            profile = {k: v for k, v in row.asDict().items() if k.startswith("error_")}
-            profile["column_name"] = profiles[row["rule_config_id"]]
-            extras[row["rule_config_id"]].update(
-                profile=profile, counts={"value_counts_without_nan": listed}
-            )
+    """Profiles, frequent values and examples of failing rows, as independent jobs."""
+    tasks = [lambda: _value_details(scope, failed)]
     for c in failed:
         if isinstance(c.spec, ScanSpec) and c.spec.partial_list:
-            rows = details.example_rows(c, scope).collect()
-            extras[c.rule.rule_config_id]["examples"] = [json.loads(r["row"]) for r in rows]
-        if isinstance(c.spec, FrameSpec) and c.label == "unexpected_rows_expectation":
-            query = c.spec.failing()
-            columns = query_profile_columns(query, c.rule)
-            if columns:
-                rows = combination_profile(query, columns).collect()
-                names = ",".join(columns)
-                extras[c.rule.rule_config_id].update(
-                    profile={
-                        "columns_name": names,
-                        "error_total_count": rows[0]["error_total_count"],
-                        "error_unique_count": rows[0]["error_unique_count"],
-                    },
-                    counts={"columns_name": names, "value_counts": {r["value"]: r["rows"] for r in rows}},
-                )
+            tasks.append(lambda c=c: _examples(scope, c))
+        if c.label == "unexpected_rows_expectation":
+            tasks.append(lambda c=c: _combinations(c))
+    for found in side_by_side(tasks):
+        for rule_id, more in found.items():
+            extras[rule_id].update(more)
+
+
+def _value_details(scope: Scope, failed: list[Compiled]) -> dict[int, dict]:
+    values = details.failing_value_counts(failed, scope)
+    if values is None:
+        return {}
+    columns = {c.rule.rule_config_id: c.spec.profile for c in failed}
+    out = {}
+    for row in details.failure_details(values).collect():
+        profile = {k: v for k, v in row.asDict().items() if k.startswith("error_")}
+        profile["column_name"] = columns[row["rule_config_id"]]
+        listed = {r["value"]: r["rows"] for r in row["listed"] or []}
+        out[row["rule_config_id"]] = {
+            "profile": profile,
+            "counts": {"value_counts_without_nan": listed},
+        }
+    return out
+
+
+def _examples(scope: Scope, c: Compiled) -> dict[int, dict]:
+    rows = details.example_rows(c, scope).collect()
+    return {c.rule.rule_config_id: {"examples": [json.loads(r["row"]) for r in rows]}}
+
+
+def _combinations(c: Compiled) -> dict[int, dict]:
+    query = c.spec.failing()
+    columns = query_profile_columns(query, c.rule)
+    rows = combination_profile(query, columns).collect() if columns else []
+    if not rows:
+        return {}
+    names = ",".join(columns)
+    profile = {
+        "columns_name": names,
+        "error_total_count": rows[0]["error_total_count"],
+        "error_unique_count": rows[0]["error_unique_count"],
+    }
+    counts = {"columns_name": names, "value_counts": {r["value"]: r["rows"] for r in rows}}
+    return {c.rule.rule_config_id: {"profile": profile, "counts": counts}}
 
 
 def _matched(scope: Scope, compiled: list[Compiled], extras) -> dict[int, dict]:
     """Rows per allowed value for set checks, per distinct value for set comparisons."""
-    out = {}
-    for c in compiled:
-        rule_id = c.rule.rule_config_id
+
+    def task(c: Compiled):
+        column = c.rule.kwargs.get("column") or c.rule.column_name
         if c.label == "expect_column_values_to_be_in_set":
             rows = details.matched_value_counts(scope, c.rule).collect()
-            matched = {
+            return {
                 "matched_value_counts": {r["value"]: r["rows"] for r in rows},
                 "distinct_match_count": sum(r["spellings"] for r in rows),
             }
-        elif "_distinct_values_to_" in c.label:
-            rows = details.value_counts(scope.df, c.rule.kwargs["column"]).collect()
-            matched = {"value_counts": [{"value": r["value"], "count": r["rows"]} for r in rows]}
-        elif c.label == "expect_column_most_common_value_to_be_in_set":
-            rows = details.most_common_values(scope.df, c.rule.kwargs["column"]).collect()
-            matched = {"most_common_values": [r["value"] for r in rows]}
-        else:
-            continue
-        out[rule_id] = {**extras.get(rule_id, {}), "matched": matched}
-    return out
+        if "_distinct_values_to_" in c.label:
+            rows = details.value_counts(scope.df, column).collect()
+            return {"value_counts": [{"value": r["value"], "count": r["rows"]} for r in rows]}
+        rows = details.most_common_values(scope.df, column).collect()
+        return {"most_common_values": [r["value"] for r in rows]}
+
+    listed = [
+        c
+        for c in compiled
+        if c.label in ("expect_column_values_to_be_in_set", "expect_column_most_common_value_to_be_in_set")
+        or "_distinct_values_to_" in c.label
+    ]
+    found = side_by_side([lambda c=c: task(c) for c in listed])
+    return {
+        c.rule.rule_config_id: {**extras.get(c.rule.rule_config_id, {}), "matched": matched}
+        for c, matched in zip(listed, found)
+    }
 
 
 def write_results(store, dataset, compiled, outcome, extras, run_id, batch_id, started) -> None:

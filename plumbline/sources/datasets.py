@@ -16,7 +16,11 @@ from plumbline.rule import RuleError
 
 @dataclass(frozen=True)
 class Dataset:
-    """A registered dataset: a table, a file path or a custom query."""
+    """A registered dataset: a table, a file path or a custom query.
+
+    ``file_schema`` is a DDL column list and ``file_options`` a JSON object of
+    reader options; CSV files need the former to be read in one pass.
+    """
 
     dataset_id: int
     dataset_name: str
@@ -24,6 +28,8 @@ class Dataset:
     table_name: str | None = None
     path: str | None = None
     file_format: str = "parquet"
+    file_schema: str | None = None
+    file_options: str | None = None
     custom_sql: str | None = None
     project_id: int | None = None
     primary_key_columns: str | None = None
@@ -41,7 +47,12 @@ class Dataset:
         if kind != "TABLE":
             raise RuleError(f"dataset type must be TABLE or QUERY, got {self.dataset_type!r}")
         if self.path:
-            return spark.read.format(self.file_format).load(self.path)
+            reader = spark.read.format(self.file_format)
+            if self.file_options:
+                reader = reader.options(**json.loads(self.file_options))
+            if self.file_schema:
+                reader = reader.schema(self.file_schema)
+            return reader.load(self.path)
         if self.table_name:
             return spark.table(self.table_name)
         raise RuleError(f"dataset {self.dataset_name!r} names neither a table nor a path")

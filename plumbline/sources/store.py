@@ -25,7 +25,8 @@ TABLES = {
     "projects": "project_id bigint, bu_name string, app_name string, project_name string, "
     "project_desc string, created_by string, created_timestamp timestamp_ntz",
     "dataset": "dataset_id bigint, project_id bigint, dataset_type string, dataset_name string, "
-    "table_name string, path string, file_format string, custom_sql string, "
+    "table_name string, path string, file_format string, file_schema string, file_options string, "
+    "custom_sql string, "
     "primary_key_columns string, candidate_key_columns string, is_incremental boolean, "
     "incr_date_column_1 string, incr_date_column_2 string, created_by string, "
     "created_timestamp timestamp_ntz",

@@ -20,8 +20,8 @@ def validate_stream(
 ) -> StreamingQuery:
     """Validate everything available now, batch by batch.
 
-    A batch repeated after a failure is recognised by its run scope and skipped
-    when its run was already logged.
+    Each run is logged under the batch's number, so a batch repeated after a
+    failure is skipped when its run was already logged.
     """
     label = name or f"validate_{dataset_id}"
 

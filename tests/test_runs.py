@@ -218,3 +218,47 @@ def test_store_ids_and_names(store):
     assert store.next_run_id() == 1 and store.next_batch_id() == 1000
     assert failure_table_name("My data-set 1") == "my_data_set_1_dq_failure"
     assert isinstance(store, Store) and load_datasets(store) == []
+
+
+def test_csv_dataset(spark, store, defects, tmp_path):
+    """The defect sample as a CSV file with a declared schema; empty fields are NULL."""
+    path = str(tmp_path / "csv")
+    defects.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in defects.schema.fields)
+    dataset = Dataset(1, "sample", path=path, file_format="csv", file_schema=schema, file_options='{"header": "true"}')
+    register_dataset(store, dataset, now=NOW)
+    register_rules(store, [RULES[0], RULES[1], rule(3, "expect_column_values_to_be_null", column="ISSUES")], now=NOW)
+    assert run_dataset(store, 1, now=NOW).codes == {1: FAILED, 2: FAILED, 3: SUCCESS}
+    rows = {r["rule_config_id"]: r["unexpected_count"] for r in store.read("rule_results").collect()}
+    assert rows == {1: 3, 2: 6, 3: 0}
+
+
+def test_long_sets_on_groups(spark):
+    from plumbline.operators import check
+
+    df = spark.range(3000).select((F.col("id") % 2000).alias("v"))
+    row = check(df, "expect_column_distinct_values_to_be_in_set", {"column": "v", "value_set": list(range(1500))}).first()
+    assert (row["unexpected_count"], row["element_count"]) == (500, 3000)
+    row = check(df, "expect_column_most_common_value_to_be_in_set", {"column": "v", "value_set": list(range(1500))}).first()
+    assert row["is_success"] and row["observed_value"] == 2.0
+
+
+def test_capture_failure_leaves_the_verdict(store, users, monkeypatch):
+    """A rule whose rows cannot be written keeps its verdict; the others are captured."""
+    register_rules(store, RULES[:3], now=NOW)
+    write = Store.append_failures
+
+    def refuse_rule_2(self, table, rows):
+        if not rows.where("rule_config_id = 2").isEmpty():
+            raise RuntimeError("no space")
+        write(self, table, rows)
+
+    monkeypatch.setattr(Store, "append_failures", refuse_rule_2)
+    run = run_dataset(store, 1, now=NOW)
+    assert run.codes == {1: FAILED, 2: FAILED, 3: FAILED}
+    failures = store.spark.table(store.name("users_dq_failure"))
+    assert {r[0] for r in failures.select("rule_config_id").distinct().collect()} == {1, 3}
+    broken = store.read("rule_audit_log").where("status = 'FAILED'").collect()
+    assert [(r["rule_config_id"], r["step_name"]) for r in broken] == [(2, "INSERT_FAILED_RECORDS")]
