@@ -27,6 +27,7 @@ from plumbline.operators.spec import (
     ROWS_IN_GROUP,
     FrameSpec,
     GroupSpec,
+    ScanSpec,
     Verdict,
     all_or_nothing,
     all_rows,
@@ -163,7 +164,8 @@ def compound_unique(scope: Scope, rule: Rule) -> GroupSpec:
     )
 
 
-def unique_count_between(scope: Scope, rule: Rule) -> GroupSpec:
+def unique_count_between(scope: Scope, rule: Rule) -> GroupSpec | ScanSpec:
+    """Exact by grouping; ``approximate`` opts for a sketch in the shared scan."""
     name, c, _ = _key(scope, rule)
     low, high = _bounds(rule)
 
@@ -171,11 +173,13 @@ def unique_count_between(scope: Scope, rule: Rule) -> GroupSpec:
         ok = between_a(m("unique"), low, high, *_strict(rule))
         return all_or_nothing(m("total"), ok, observed=m("unique"))
 
+    if flag(rule.kwargs, "approximate"):
+        return ScanSpec({"total": all_rows(), "unique": F.approx_count_distinct(c)}, verdict)
     measures = {"total": _total(), "unique": count_if(c.isNotNull())}
     return GroupSpec((name,), measures, verdict)
 
 
-def unique_proportion_between(scope: Scope, rule: Rule) -> GroupSpec:
+def unique_proportion_between(scope: Scope, rule: Rule) -> GroupSpec | ScanSpec:
     name, c, _ = _key(scope, rule)
     low, high = number(rule.kwargs, "min_value"), number(rule.kwargs, "max_value")
 
@@ -185,6 +189,9 @@ def unique_proportion_between(scope: Scope, rule: Rule) -> GroupSpec:
             m("total"), between_a(share, low, high, *_strict(rule)), observed=share
         )
 
+    if flag(rule.kwargs, "approximate"):
+        sketch = {"total": all_rows(), "present": F.count(c), "unique": F.approx_count_distinct(c)}
+        return ScanSpec(sketch, verdict)
     measures = {
         "total": _total(),
         "present": sum_if(c.isNotNull(), group_rows()),

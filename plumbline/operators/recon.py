@@ -239,7 +239,7 @@ def row_count_equal_source_file(scope: Scope, rule: Rule) -> FrameSpec:
     if not audit_name:
         raise RuleError("audit_control_table is required")
     audit = scope.lookup(audit_name)
-    target = rule.kwargs.get("target_table") or scope.name
+    target = rule.kwargs.get("target_table") or scope.table_name or scope.name
 
     def frame():
         return latest_audit_entry(audit, rule, target)

@@ -190,6 +190,7 @@ def build_scope(store, dataset, rules, now=None, frame=None) -> tuple[Scope, str
     scope = Scope(
         df=rows,
         name=dataset.dataset_name,
+        table_name=dataset.table_name,
         primary_key=tuple(dataset.primary_key()),
         candidate_key=tuple(dataset.candidate_key()),
         now=now,
@@ -516,7 +517,7 @@ def _recon_rows(dataset, c: Compiled, told: dict, run_id, started) -> list[dict]
                 **common,
                 "layer": "CORE",
                 "data_source": part["source_label"],
-                "table_name": c.rule.kwargs.get("target_table") or dataset.dataset_name,
+                "table_name": c.rule.kwargs.get("target_table") or dataset.table_name or dataset.dataset_name,
                 "validation_on": "SOURCE_TO_CORE_COUNT",
                 "src_value": part["src"],
                 "core_value": part["core"],

@@ -30,8 +30,14 @@ def validate_stream(
         done = store.read("dataset_run_log").where(
             (F.col("dataset_id") == dataset_id) & (F.col("created_by") == marker)
         )
-        if done.isEmpty():
-            run_dataset(store, dataset_id, created_by=marker, frame=batch)
+        if not done.isEmpty():
+            return
+        # A run reads its rows several times; the source is read once.
+        rows = batch.persist()
+        try:
+            run_dataset(store, dataset_id, created_by=marker, frame=rows)
+        finally:
+            rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(validate)

@@ -178,3 +178,14 @@ def test_unknown_arguments_raise(defects):
         check(defects, "expect_column_values_to_not_be_null", {"column": "NOT_THERE"})
     with pytest.raises(RuleError):
         check(defects, "expect_nothing", {})
+
+
+def test_approximate_statistics_join_the_scan(spark):
+    df = spark.range(2000).select((F.col("id") % 500).alias("v"))
+    for name, low, high in (
+        ("expect_column_unique_value_count_to_be_between", 450, 550),
+        ("expect_column_proportion_of_unique_values_to_be_between", 0.2, 0.3),
+        ("expect_column_median_to_be_between", 240, 260),
+    ):
+        row = check(df, name, {"column": "v", "min_value": low, "max_value": high, "approximate": True}).first()
+        assert row["is_success"], name

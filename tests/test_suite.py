@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import pytest
 
@@ -14,6 +15,9 @@ duckdb = pytest.importorskip("duckdb")
 SF_DIR = os.environ.get("SUITE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
+# No Python in the plan, and no cross joins.
+BANNED = re.compile(r"CartesianProduct|NestedLoopJoin|EvalPython|PythonUDF|InPandas|InArrow")
+
 QUERIES, ORACLES = suite.queries(), suite.oracle_sql()
 
 
@@ -37,6 +41,8 @@ def canonical(value) -> str:
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, oracle, name):
     frame = QUERIES[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not BANNED.search(plan)
     assert name in ORACLES
     result = oracle.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
