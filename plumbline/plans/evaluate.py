@@ -25,7 +25,7 @@ from plumbline.functions.columns import quoted
 from plumbline.operators.skew import group_counts
 from plumbline.operators.spec import FrameSpec, GroupSpec, ScanSpec, Spec, result_struct
 from plumbline.plans.parallel import side_by_side
-from plumbline.rule import Rule
+from plumbline.rule import Rule, RuleError
 from plumbline.sources.datasets import Scope
 
 # More aggregates than this in one scan outgrow a generated method.
@@ -73,6 +73,10 @@ def analysed(compiled: list[Compiled], scope: Scope) -> tuple[list[Compiled], di
 
 def evaluate(scope: Scope, rules: list[Rule]) -> DataFrame:
     """One result row per rule; raises on the first rule that does not compile."""
+    ids = [r.rule_config_id for r in rules]
+    repeated = sorted({i for i in ids if ids.count(i) > 1})
+    if repeated:
+        raise RuleError(f"rule ids are used more than once: {repeated}")
     return results([compile_rule(scope, r) for r in rules], scope)
 
 

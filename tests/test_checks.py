@@ -189,3 +189,9 @@ def test_approximate_statistics_join_the_scan(spark):
     ):
         row = check(df, name, {"column": "v", "min_value": low, "max_value": high, "approximate": True}).first()
         assert row["is_success"], name
+
+
+def test_rule_ids_must_differ(defects):
+    same = [Rule(1, "expect_table_row_count_to_equal", {"value": v}) for v in (75, 76)]
+    with pytest.raises(RuleError):
+        evaluate(Scope(defects), same)
