@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from plumbline.llm import op7_pieces, op8_exact_dedup, op10_packing
+from plumbline.llm import (
+    op1_language,
+    op2_urls,
+    op3_jaccard,
+    op4_chats,
+    op5_html,
+    op6_pii,
+    op7_pieces,
+    op8_exact_dedup,
+    op9_neighbours,
+    op10_packing,
+)
 
 QUERIES = {
+    "op1_language": op1_language.op1_language,
+    "op2_urls": op2_urls.op2_urls,
+    "op3_jaccard": op3_jaccard.op3_jaccard,
+    "op4_chats": op4_chats.op4_chats,
+    "op5_html": op5_html.op5_html,
+    "op6_pii": op6_pii.op6_pii,
     "op7_pieces": op7_pieces.op7_pieces,
     "op8_exact_dedup": op8_exact_dedup.op8_exact_dedup,
+    "op9_neighbours": op9_neighbours.op9_neighbours,
     "op10_packing": op10_packing.op10_packing,
 }
 
-ORACLES = {"op8_exact_dedup": op8_exact_dedup.ORACLE}
+ORACLES = {"op4_chats": op4_chats.ORACLE, "op8_exact_dedup": op8_exact_dedup.ORACLE}
