@@ -32,7 +32,7 @@ RULES = {"net/": BLOCK, "example.net/en/": ALLOW, "example.com/de/": BLOCK, "org
 
 BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
-PATH_WEIGHT = 0.5
+PATH_WEIGHT = 0.25
 TABLE_ROWS = 20_000
 ROUNDS, STEP, DECAY = 400, 4.0, 1e-4
 
@@ -47,6 +47,7 @@ ORDINARY = """news times post journal gazette herald library museum school colle
 garden kitchen recipes travel weather sports football health clinic hospital city council park bridge river mountain
 forest ocean books author review forum wiki docs support help project software code data research lab energy solar
 transport railway airport bank insurance market shop store design studio photo film theatre radio""".split()
+SYLLABLES = """al an ber con der di el en er fi gar ha in ka le lo ma mi ne on or pa ra re sa sh ta th ti tion un""".split()
 ENDINGS = ("example.com", "example.org", "example.net", "test")
 FRONTS = ("", "www.", "m.", "blog.")
 PATHS = ("/", "/en/1", "/de/2.html", "/fr/index", "/es/3?x=1", "/about", "/2024/05/item")
@@ -62,8 +63,10 @@ def labelled_urls() -> list[tuple[str, int]]:
                 at = k + n
                 end, front, path = ENDINGS[at % len(ENDINGS)], FRONTS[at % len(FRONTS)], PATHS[at % len(PATHS)]
                 rows.append((f"https://{front}{host}.{end}{path}", label))
-            if not label:  # invented names, as unknown sites have
-                rows.append((f"https://{FRONTS[k % 4]}{mate[:3]}{word[-3:]}{word[:2]}.{ENDINGS[k % 4]}/{word}", 0))
+    for k in range(300):  # invented names, as unknown sites have
+        name = "".join(SYLLABLES[k * (n + 2) * 5 % 31] for n in range(2 + k % 3))
+        at = k % len(PATHS)
+        rows.append((f"https://{FRONTS[k % 4]}{name}.{ENDINGS[k // 4 % 4]}{PATHS[at]}", 0))
     return rows
 
 

@@ -7,10 +7,11 @@ their class and id) are passed over with all they contain.
 
 Each remaining line has a ratio of text to tags.  The ratios are smoothed with
 a Gaussian window; lines at or over the threshold, the ratios' standard
-deviation, are the content cluster.  The region is the innermost element that
-holds nearly all of the cluster's text (``MOST``), and the main text is every
-line of that element, short ones too, so nothing of the article is lost to
-the threshold.
+deviation, are the content cluster.  Where an article (else a main element)
+holds half of the cluster's text, the outermost such is the region; otherwise
+it is the innermost container that holds nearly all of it (``MOST``).  The main
+text is every line of the region, short ones too, so nothing of the article is
+lost to the threshold.
 
 Cases: a null or empty page gives an empty text, and so does one without any
 line; broken markup is read as far as the parser goes and its brackets as
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import by_batches, read
 
 RADIUS, SIGMA = 2, 1.0
-MOST = 0.9
+MOST, HALF = 0.9, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -45,6 +46,7 @@ PASSED = frozenset(
     textarea title video""".split()
 )
 CONTENT = frozenset("html body main article".split())
+CONTAINERS = frozenset("html body main article section div center table tbody td".split())
 # Words of a class or id that mark what is not the article.
 WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion
@@ -69,13 +71,14 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page as ``(text, tags, path of open elements)``."""
+    """Lines of a page as ``(text, tags, path of open containers)``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []
         self.passing = 0  # depth of the element that is passed over, else 0
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.names: dict[int, str] = {}
         self.text: list[str] = []
         self.tags = 0
         self.count = 0
@@ -84,7 +87,8 @@ class Lines(HTMLParser):
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                self.lines.append((line, self.tags, tuple(k for _, k in self.open)))
+                path = tuple(k for tag, k in self.open if tag in CONTAINERS)
+                self.lines.append((line, self.tags, path))
                 self.tags = 0
             self.text = []
 
@@ -117,6 +121,7 @@ class Lines(HTMLParser):
         if not block and tag not in PASSED and not unwanted(attrs):
             return
         self.open.append((tag, self.count))
+        self.names[self.count] = tag
         if not self.passing and (tag in PASSED or (tag not in CONTENT and attrs and unwanted(attrs))):
             self.passing = len(self.open)
 
@@ -155,7 +160,7 @@ def unwanted(attrs) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, tuple[int, ...]]]:
+def read_page(html: str) -> Lines:
     for page in (html, html.replace("<!", "&lt;!"), html.replace("<", "&lt;")):
         parser = Lines()
         try:
@@ -164,8 +169,8 @@ def lines_of(html: str) -> list[tuple[str, int, tuple[int, ...]]]:
         except (AssertionError, ValueError):  # markup that the parser refuses
             continue
         parser.end_line()
-        return parser.lines
-    return []
+        return parser
+    return Lines()
 
 
 WINDOW = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]
@@ -183,25 +188,34 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    if not lines:
-        return ""
-    ratios = [len(text) / max(1, tags) for text, tags, _ in lines]
+def region(page: Lines) -> int | None:
+    """The element that holds the content cluster, or None for the whole page."""
+    ratios = [len(text) / max(1, tags) for text, tags, _ in page.lines]
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     inside = [r >= threshold for r in smoothed(ratios)]
     if not any(inside):
-        inside = [True] * len(lines)
+        inside = [True] * len(ratios)
     weights: dict[int, int] = {}
-    for (text, _, path), chosen in zip(lines, inside, strict=True):
+    total = 0
+    for (text, _, path), chosen in zip(page.lines, inside, strict=True):
         if chosen:
+            total += len(text)
             for element in path:
                 weights[element] = weights.get(element, 0) + len(text)
-    total = sum(len(text) for (text, _, _), chosen in zip(lines, inside, strict=True) if chosen)
-    # Elements are numbered as they open: the last that holds most of the cluster is the innermost.
-    region = max((e for e, w in weights.items() if w >= MOST * total), default=None)
-    return "\n".join(text for text, _, path in lines if region is None or region in path)
+    # Elements are numbered as they open, so of nested ones the outermost has the least number.
+    for tag in ("article", "main"):
+        if found := [e for e, w in weights.items() if page.names[e] == tag and w >= HALF * total]:
+            return min(found)
+    return max((e for e, w in weights.items() if w >= MOST * total), default=None)
+
+
+def main_text(html: str | None) -> str:
+    page = read_page(html or "")
+    if not page.lines:
+        return ""
+    chosen = region(page)
+    return "\n".join(text for text, _, path in page.lines if chosen is None or chosen in path)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -5,10 +5,10 @@ product is the least distance.  A bounded sample (``SAMPLE``) is halved again
 and again at the median of its two-means direction, which gives clusters of
 equal size; their refined centres head the posting lists.  Every vector of the
 table is put into its nearest list and, near a boundary, into up to
-``REPLICAS`` lists: those not much farther, unless a list already chosen is
-nearer to that list than the vector is.  A query walks a neighbour graph of the
-centres, held in memory, and selects the lists whose distance is within
-``RATIO`` of the nearest, ``LISTS_SHARE`` of all at most.
+``REPLICAS`` lists: those at most ``REPLICA_RATIO`` times as far.  A query walks
+a neighbour graph of the centres, held in memory, and selects the lists whose
+distance is within ``RATIO`` of the nearest, at most ``LISTS_LEAST`` or
+``LISTS_SHARE`` of all, whichever is more.
 
 Lists and their queries meet in cells of at most ``CELL_VECTORS`` by
 ``CELL_QUERIES``: a list that holds many copies of one vector is split by the
@@ -39,12 +39,13 @@ from plumbline.llm.common import by_batches, read, settle, ship
 
 NEAREST = 20
 SAMPLE = 20_000
-LIST_VECTORS = 128
+LIST_VECTORS = 64
 SAMPLE_PER_LIST = 20
-REPLICAS = 4
-REPLICA_RATIO = 1.15
-RATIO = 1.12
-LISTS_SHARE = 0.5
+REPLICAS = 3
+REPLICA_RATIO = 1.02
+RATIO = 1.25
+LISTS_LEAST = 64
+LISTS_SHARE = 0.4
 GRAPH_DEGREE = 24
 ENTRIES = 8
 CELL_VECTORS, CELL_QUERIES = 8192, 4096
@@ -67,24 +68,14 @@ class Lists:
         """Row and list of each placement."""
         points = self.raised(vectors)
         gaps = distances(points, self.centres)
-        near = np.argsort(gaps, axis=1, kind="stable")[:, : 4 * REPLICAS]
-        rows, lists = [], []
-        between = distances(self.centres, self.centres)
-        for k, order in enumerate(near):
-            chosen = [order[0]]
-            limit = gaps[k, order[0]] * REPLICA_RATIO
-            for c in order[1:]:
-                if len(chosen) == REPLICAS or gaps[k, c] > limit:
-                    break
-                if all(between[c, o] > gaps[k, c] for o in chosen):
-                    chosen.append(c)
-            rows += [k] * len(chosen)
-            lists += chosen
-        return np.array(rows, np.int64), np.array(lists, np.int64)
+        near = np.argsort(gaps, axis=1, kind="stable")[:, :REPLICAS]
+        far = np.take_along_axis(gaps, near, axis=1)
+        rows, column = np.nonzero(far <= REPLICA_RATIO * far[:, :1])
+        return rows, near[rows, column]
 
     def selected(self, query: np.ndarray) -> list[int]:
         """Lists for one query: a best-first walk of the graph, cut by the ratio of distances."""
-        most = max(1, int(np.ceil(LISTS_SHARE * len(self.centres))))
+        most = max(LISTS_LEAST, int(np.ceil(LISTS_SHARE * len(self.centres))))
         starts = np.unique(np.linspace(0, len(self.centres) - 1, ENTRIES).astype(int))
         seen = np.zeros(len(self.centres), bool)
         seen[starts] = True
