@@ -8,7 +8,7 @@ is each document's component.
 2. *Families.*  Linked sets of at most ``hi`` shingles differ in at most
    ``D = 2 hi (100 - percent) / (100 + percent)`` shingles.  Dealt into more than
    ``D`` segments by hash, they agree in one segment at least.  Each document
-   sends a hash of every non-empty segment; documents that share one are chained,
+   sends a hash of every non-empty segment; documents that share one are joined,
    and the connected components are the families.  No link leaves a family.
    Size bands keep ``D`` near a document's own size.  Very common shingles are
    left out of the segments: that removes differences at most, so agreement
@@ -114,13 +114,14 @@ def bands(percent: int) -> tuple[list[int], list[int], list[int], list[int]]:
     while low < 1 << 32:
         high = max(low, int(low * ratio))
         differ = 2 * high * (100 - percent) // (100 + percent)
-        spare = 1
-        while spare < 2 * differ + 8:  # room for the segments that are empty by chance
+        spare, needed = 0, 1
+        while needed > spare and spare < 2 * differ + 8:  # room for the segments that are empty by chance
+            spare = needed
             n = differ + 1 + spare
-            mean = n * math.exp(-low / n)
-            if spare >= mean + 3 * math.sqrt(mean) + 1:
-                break
-            spare += 1
+            load = low / n
+            mean = n * math.exp(-load)
+            spread = math.sqrt(mean * max(0.0, 1 - (1 + load) * math.exp(-load)))
+            needed = math.ceil(mean + 3 * spread + 1)
         lows.append(low)
         highs.append(high)
         most.append(differ)
@@ -202,12 +203,13 @@ def common_counters(rows: DataFrame) -> np.ndarray:
     return common
 
 
-def chained(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key and id: which rows are their key's first, and the pairs of neighbours in a key."""
-    same = np.append(False, keys[1:] == keys[:-1])[: len(keys)]
-    at = np.flatnonzero(same & np.append(False, ids[1:] != ids[:-1])[: len(keys)])
-    pairs = np.unique(np.stack([ids[at], ids[at - 1]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-    return ~same, pairs[:, 0], pairs[:, 1]
+def starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key and id: which rows are their key's first, and the pairs of each id with its key's first."""
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    heads = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else ids
+    at = np.flatnonzero(heads != ids)
+    pairs = np.unique(np.stack([ids[at], heads[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+    return first, pairs[:, 0], pairs[:, 1]
 
 
 def family_edges(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -224,7 +226,7 @@ def family_edges(docs: DataFrame, words: int, percent: int, common: np.ndarray)
             owners = np.repeat(ids, [len(k) for k in found])
             order = np.lexsort((owners, keys))
             keys, owners = keys[order], owners[order]
-            first, src, dst = chained(keys, owners)
+            first, src, dst = starred(keys, owners)
             spread = mixed(src.astype(np.uint64) + ODD).view(np.int64)
             columns = [
                 np.append(keys[first], spread),
@@ -243,9 +245,9 @@ def family_edges(docs: DataFrame, words: int, percent: int, common: np.ndarray)
             keys, ids = key[~edge], src[~edge]
             if last is not None:
                 keys, ids = np.append(last[0], keys), np.append(last[1], ids)
+            first, a, b = starred(keys, ids)
             if len(keys):
-                last = keys[-1], ids[-1]
-            _, a, b = chained(keys, ids)
+                last = keys[-1], ids[np.flatnonzero(first)[-1]]
             arrays = [pa.array(np.append(a, src[edge]), pa.int64()), pa.array(np.append(b, dst[edge]), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["src", "dst"])
 
@@ -365,8 +367,17 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(s, "<u8") for s in table["shingles"].to_pylist()]
 
 
+EDGE = "src long, dst long"
+
+
 def _edges(ids: list[int], union: Union) -> pa.Table:
-    pairs = [(ids[k], ids[union.find(k)]) for k in range(len(ids)) if union.find(k) != k]
+    """Each member with the least id of its component, where that is another."""
+    least: dict[int, int] = {}
+    for k, key in enumerate(ids):
+        root = union.find(k)
+        least[root] = min(key, least.get(root, key))
+    pairs = {(key, least[union.find(k)]) for k, key in enumerate(ids)}
+    pairs = sorted(p for p in pairs if p[0] != p[1])
     return pa.table(
         [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
         names=["src", "dst"],
@@ -380,9 +391,12 @@ def tree_edges(percent: int):
         ids, sets = table["doc_id"].to_pylist(), _sets_of(table)
         order = in_leaf_order(ids, sets)
         ids, sets = [ids[k] for k in order], [sets[k] for k in order]
-        union = Union(len(ids))
+        union, firsts = Union(len(ids)), {}
+        for k, key in enumerate(ids):  # rows with equal ids are one document
+            union.join(k, firsts.setdefault(key, k))
         traverse(sets, union, percent)
-        return _edges(ids, union)
+        edges = _edges(ids, union)
+        return edges.append_column("large", pa.array([table["blocks"][0].as_py() > 1] * len(edges), pa.bool_()))
 
     return work
 
@@ -436,11 +450,12 @@ def link_components(
     equal = named.join(classes, "digest").where("doc_id <> first").select(
         F.col("doc_id").alias("src"), F.col("first").alias("dst")
     )
-    equal = settle(equal)
+    equal = settle(equal.distinct())
 
     common = common_counters(rows)
     families = components(family_edges(docs, words, percent, common).unionByName(equal))
-    members = families.join(equal.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    firsts = named.join(classes, "digest").where("doc_id = first").select(F.col("doc_id").alias("node")).distinct()
+    members = families.join(firsts, "node", "left_semi")
     sizes = members.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     members = settle(
         members.join(sizes, "component").select(
@@ -456,14 +471,24 @@ def link_components(
         F.array(F.pmod(F.xxhash64("doc_id"), "blocks"))
     )
     dealt = with_sets(placed, words, ["doc_id", "family", "blocks"]).withColumn("block", F.explode(block))
-    found = dealt.groupBy("family", "block").applyInArrow(tree_edges(percent), "src long, dst long")
-    edges = settle(found.unionByName(equal))
-    joined = components(edges)
+    found = settle(dealt.groupBy("family", "block").applyInArrow(tree_edges(percent), f"{EDGE}, large boolean"))
 
+    # A family in one block is done: its members point to the least of their component.
+    joined = found.where("NOT large").select(F.col("src").alias("node"), F.col("dst").alias("component"))
     large = members.where("blocks > 1")
     if not large.isEmpty():
-        edges = edges.unionByName(across_blocks(docs, large, joined, words, percent))
-        joined = components(edges)
+        edges = found.where("large").select("src", "dst")
+        more = across_blocks(docs, large, components(edges), words, percent)
+        joined = joined.unionByName(components(edges.unionByName(more)))
+    several = named.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
+    if not several.isEmpty():  # an id with different texts joins what each of them links with
+        links = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        return sets.select("doc_id", "n"), components(links.unionByName(equal))
+    firsts = joined.select(F.col("node").alias("dst"), "component")
+    copies = equal.join(firsts, "dst", "left").select(
+        F.col("src").alias("node"), F.coalesce("component", "dst").alias("component")
+    )
+    joined = joined.where("node <> component").unionByName(copies)
     return sets.select("doc_id", "n"), joined
 
 
@@ -489,7 +514,7 @@ def across_blocks(docs: DataFrame, large: DataFrame, joined: DataFrame, words: i
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
-    return settle(dealt.groupBy("family", "low", "high").applyInArrow(cross_edges(percent), "src long, dst long"))
+    return settle(dealt.groupBy("family", "low", "high").applyInArrow(cross_edges(percent), EDGE))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
