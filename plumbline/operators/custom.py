@@ -3,28 +3,63 @@
 from __future__ import annotations
 
 import re
+import threading
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import find_column, quoted
 from plumbline.operators.spec import FrameSpec, all_rows, combine_single_rows, counted
-from plumbline.rule import Rule, name_list, require
+from plumbline.rule import Rule, RuleError, name_list, require
 from plumbline.sources.datasets import Scope
 
 
+_VIEWS = threading.Lock()
+
+
+@contextmanager
+def _views(spark: SparkSession, frames: dict[str, DataFrame]):
+    """Temp views for as long as a query is analysed; views of the same names come back after it."""
+    with _VIEWS:
+        temporary = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+        before = {name: spark.table(f"`{name}`") for name in frames if name.lower() in temporary}
+        try:
+            for name, frame in frames.items():
+                frame.createOrReplaceTempView(name)
+            yield
+        finally:
+            for name in frames:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
+
+
 def query_frame(scope: Scope, rule: Rule) -> DataFrame:
-    """The rule's query over temp views named after the datasets."""
+    """The rule's query, over the datasets that it names."""
     (text,) = require(rule.kwargs, "unexpected_rows_query")
-    for name, frame in {**scope.others, scope.name: scope.whole}.items():
-        frame.createOrReplaceTempView(name)
-    return scope.spark.sql(text)
+    names = [n for n in scope.others if _names(text, n)]
+    frames = {**{n: scope.others[n] for n in names}, scope.name: scope.whole}
+    with _views(scope.spark, frames):
+        return scope.spark.sql(text)
+
+
+def _names(text: str, name: str) -> bool:
+    return re.search(rf"(?<![\w.]){re.escape(name)}(?!\w)", text, re.IGNORECASE) is not None
 
 
 def _counted_source(scope: Scope, text: str) -> DataFrame:
-    """The dataset after FROM, whose rows are the total; else the rule's own."""
-    found = re.search(r"\bfrom\s+([\w.`]+)", text, re.IGNORECASE)
-    return scope.lookup(found.group(1).replace("`", "")) if found else scope.whole
+    """The first dataset after a FROM, whose rows are the total; else the rule's own.
+
+    A word after FROM that is no dataset, as in ``extract(year FROM day)``, is passed over.
+    """
+    for found in re.finditer(r"\bfrom\s+([\w.`]+)", text, re.IGNORECASE):
+        try:
+            return scope.lookup(found.group(1).replace("`", ""))
+        except RuleError:
+            continue
+    return scope.whole
 
 
 def unexpected_rows(scope: Scope, rule: Rule) -> FrameSpec:

@@ -17,7 +17,6 @@ from plumbline.functions.matching import to_column_type
 from plumbline.operators.membership import member_test
 from plumbline.operators.skew import (
     group_counts,
-    is_wide,
     possibly_repeated,
     repeated_hashes,
     rows_beyond_first,
@@ -67,7 +66,7 @@ def values_unique(scope: Scope, rule: Rule) -> GroupSpec | FrameSpec:
         )
 
     present = scope.df.where(~absent)
-    if is_wide(scope.df, name):
+    if rule.kwargs.get("by_hash"):  # long texts: compare values only where their hashes repeat
         return FrameSpec(
             lambda: _wide_unique(scope.df, name, absent),
             verdict,

@@ -6,7 +6,8 @@ quantiles give pivots around the wanted rank, one counting pass tells exactly
 between which pivots it lies, and the search goes on in that interval until
 few enough values are left to sort.  A pass narrows the interval by about three
 orders of magnitude, and a rank that falls on a pivot ends the search, so
-copies of a hot value cannot keep the interval large.
+copies of a hot value cannot keep the interval large.  NaN ranks above every
+number, as in sorting, and never takes part in the search.
 """
 
 from __future__ import annotations
@@ -32,17 +33,27 @@ def median_frame(
     """One row: total, missing, observed."""
     v = F.col("v")
     counts = [F.count(F.lit(1)).alias("total"), F.count_if("absent").alias("missing")]
-    rows = df.select(column.isNull().alias("absent"), value.alias("v"))
+    number = value.cast("double")
+    rows = df.select(
+        column.isNull().alias("absent"),
+        F.when(~F.isnan(number), number).alias("v"),
+        F.isnan(number).alias("nan"),
+    )
     if approximate:
-        return rows.agg(*counts, F.percentile_approx(v, F.lit(0.5), F.lit(ACCURACY)).alias("observed"))
-    first = rows.agg(*counts, F.count(v).alias("present"), _pivots(0.5).alias("pivots")).first()
-    size = first["present"]
+        every = F.when(F.col("nan"), F.lit(float("nan"))).otherwise(v)
+        return rows.agg(*counts, F.percentile_approx(every, F.lit(0.5), F.lit(ACCURACY)).alias("observed"))
+    first = rows.agg(
+        *counts, F.count(v).alias("finite"), F.count_if("nan").alias("nans"), _pivots(0.5).alias("pivots")
+    ).first()
+    size = first["finite"] + first["nans"]
     if size == 0:
         median = None
     else:
         numbers = rows.select("v").where(v.isNotNull())
         ranks = sorted({(size - 1) // 2, size // 2})
-        found = values_at(numbers, size, ranks, in_memory_rows, pivots=first["pivots"])
+        below = [r for r in ranks if r < first["finite"]]
+        found = values_at(numbers, first["finite"], below, in_memory_rows, pivots=first["pivots"]) if below else []
+        found += [float("nan")] * (len(ranks) - len(below))
         median = sum(found) / len(found)
     return small_frame(df.sparkSession, [(first["total"], first["missing"], median)], RESULT)
 

@@ -92,26 +92,15 @@ def key_text(key: Column) -> Column:
     return F.coalesce(F.trim(key.cast("string")), F.lit("NA"))
 
 
-def latest_per_key(source: DataFrame, keys: list[str], date: str) -> DataFrame:
-    """One row per key with its latest non-null date.
-
-    An aggregate, not a ranking: rows of a hot key collapse before the shuffle.
-    """
+def distinct_keys(source: DataFrame, keys: list[str], date: str) -> DataFrame:
+    """One row per key with its latest date; rows of a hot key collapse before the shuffle."""
     return source.groupBy(*[F.col(quoted(k)) for k in keys]).agg(
         F.max(F.col(quoted(date))).alias("__latest")
     )
 
 
-def known_keys(target: DataFrame, keys: list[str], date: str, mark, first_seen: bool) -> DataFrame:
-    """Distinct key texts of the target that existed at the mark."""
-    texts = [key_text(F.col(quoted(k))).alias(f"__k{i}") for i, k in enumerate(keys)]
-    seen = F.col(quoted(date))
-    rows = target.select(*texts, seen.alias("__seen"))
-    names = [f"__k{i}" for i in range(len(keys))]
-    if first_seen:
-        earliest = rows.groupBy(*names).agg(F.min("__seen").alias("__seen"))
-        return earliest.where(F.col("__seen") <= mark).select(*names)
-    return rows.where(F.col("__seen") <= mark).select(*names).distinct()
+def _key_texts(frame: DataFrame, keys: list[str]) -> DataFrame:
+    return frame.select(*[key_text(F.col(quoted(k))).alias(f"__k{i}") for i, k in enumerate(keys)])
 
 
 def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:
@@ -127,14 +116,16 @@ def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:
     marks = scope.watermarks.get(rule.rule_config_id) if recon_mode == "incremental" else None
     incremental = marks is not None and marks[0] is not None and marks[1] is not None
 
-    latest = latest_per_key(source, source_keys, source_date)
     updated = F.col(quoted(target_date))
+    core_mark = conf_mark = F.lit(None).cast("string")
+    changed, counted = source, target
     if incremental:
-        source_mark = F.lit(str(marks[0])).cast(source.schema[source_date].dataType)
-        target_mark = F.lit(str(marks[1])).cast(target.schema[target_date].dataType)
-        source_counted, target_counted = F.col("__latest") > source_mark, updated > target_mark
-    else:
-        source_counted = target_counted = F.lit(True)
+        # A key's latest date is after the mark just when some row of it is, so
+        # both sides are filtered before they are grouped; the filters reach the scan.
+        core_mark, conf_mark = F.lit(str(marks[0])), F.lit(str(marks[1]))
+        changed = source.where(F.col(quoted(source_date)) > core_mark.cast(source.schema[source_date].dataType))
+        counted = target.where(updated > conf_mark.cast(target.schema[target_date].dataType))
+    latest = distinct_keys(changed, source_keys, source_date)
 
     active = inactive = F.lit(True)
     if mode == 2:
@@ -146,24 +137,22 @@ def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:
     def frame():
         frames = [
             latest.agg(
-                count_if(source_counted).alias("core"),
-                F.max("__latest").cast("string").alias("core_mark"),
+                all_rows().alias("core"),
+                F.coalesce(F.max("__latest").cast("string"), core_mark).alias("core_mark"),
             ),
-            target.agg(
-                count_if(target_counted & active).alias("conformed"),
-                count_if(target_counted & inactive).alias("conformed_inactive"),
-                F.max(updated).cast("string").alias("conf_mark"),
+            counted.agg(
+                count_if(active).alias("conformed"),
+                count_if(inactive).alias("conformed_inactive"),
+                F.coalesce(F.max(updated).cast("string"), conf_mark).alias("conf_mark"),
             ),
         ]
         if both_states:
-            insert_date = _insert_column(kw, target)
-            known = known_keys(
-                target, target_keys, insert_date or target_date, target_mark, insert_date is None
-            )
-            changed = latest.where(source_counted).select(
-                *[key_text(F.col(quoted(k))).alias(f"__k{i}") for i, k in enumerate(source_keys)]
+            # Keys whose first row is not after the mark are those with any such row.
+            seen = _insert_column(kw, target) or target_date
+            known = target.where(F.col(quoted(seen)) <= conf_mark.cast(target.schema[seen].dataType))
+            again = _key_texts(latest, source_keys).join(
+                _key_texts(known, target_keys), [f"__k{i}" for i in range(len(keys))], "left_semi"
             )
-            again = changed.join(known, [f"__k{i}" for i in range(len(keys))], "left_semi")
             frames.append(again.agg(all_rows().alias("core_inactive")))
         return combine_single_rows(frames)
 
@@ -198,8 +187,7 @@ def _insert_column(kw: dict, target: DataFrame) -> str | None:
     return name
 
 
-# Argument defaults of the audit-log check, and the one table-name prefix that
-# is reported under another name.
+# Argument defaults of the audit-log check.
 SYNC_LEVEL = "SOURCE_TO_CORE"
 AUDIT_COLUMNS = {
     "target_table_col": "TARGET_TABLE",
@@ -207,7 +195,6 @@ AUDIT_COLUMNS = {
     "target_count_col": "NUMBER_OF_RECORDS_TARGET",
     "sync_date_col": "SYNC_START_DATE_TIME",
 }
-SOURCE_LABELS = {"IPSEN": "ROSTER"}
 NO_RECORD = "NO_AUDIT_RECORD"
 
 
@@ -240,6 +227,8 @@ def row_count_equal_source_file(scope: Scope, rule: Rule) -> FrameSpec:
         raise RuleError("audit_control_table is required")
     audit = scope.lookup(audit_name)
     target = rule.kwargs.get("target_table") or scope.table_name or scope.name
+    # Table-name prefixes that are reported under another name.
+    labels = rule.kwargs.get("source_labels") or {}
 
     def frame():
         return latest_audit_entry(audit, rule, target)
@@ -249,8 +238,9 @@ def row_count_equal_source_file(scope: Scope, rule: Rule) -> FrameSpec:
         found = f"({src} IS NOT NULL OR {core} IS NOT NULL OR {table} IS NOT NULL)"
         same = f"({found} AND coalesce({src} = {core}, false))"
         first = f"split_part(split_part({table}, '.', 3), '_', 1)"
-        renamed = " ".join(f"WHEN {literal(a)} THEN {literal(b)}" for a, b in SOURCE_LABELS.items())
-        label = f"coalesce(nullif(CASE {first} {renamed} ELSE {first} END, ''), 'UNKNOWN')"
+        renamed = " ".join(f"WHEN {literal(a)} THEN {literal(b)}" for a, b in labels.items())
+        shown = f"CASE {first} {renamed} ELSE {first} END" if labels else first
+        label = f"coalesce(nullif({shown}, ''), 'UNKNOWN')"
         part = struct(
             src=f"IF({found}, CAST({src} AS STRING), {literal(NO_RECORD)})",
             core=f"IF({found}, CAST({core} AS STRING), {literal(NO_RECORD)})",

@@ -1,22 +1,16 @@
 """Joins and windows on keys of which a few may hold much of the data.
 
-Rows of selected groups are found by joining the rows with the group keys.
-How depends on the measured size of the selected keys:
-
-* up to ``BROADCAST_BYTES`` they are broadcast and the rows stay where they are;
-* beyond that both sides are shuffled, and *hot* keys are salted.
-
-A key is hot when it holds more than ``ROWS_PER_TASK`` rows and more than
-``1 / HOT_KEYS`` of all rows.  At most ``HOT_KEYS`` keys can satisfy the second
-condition, so the table of hot keys - a 64-bit hash and a number of splits
-each - has a proven bound and is safe to broadcast, whatever the key's width.
-A hash collision only salts a key that did not need it.
+Nothing here runs a job while a plan is made, but for the long-text path that a
+rule asks for by ``by_hash``.  Groups are counted with partial aggregation, so
+a hot key sends one row per task; their rows are found by a semi join, which
+adaptive execution broadcasts or splits by measured sizes; rows are ranked
+within parts of a group before the parts' firsts are compared.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +20,12 @@ from plumbline.functions.columns import is_text, quoted
 from plumbline.operators.spec import ROWS_IN_GROUP
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 100_000
-ROWS_PER_TASK = 1_000_000
+# Parts that a group's rows are ranked in.
+PARTS = 32
 
 HASH = "__key_hash"
-SPLITS = "__splits"
 SALT = "__salt"
+RANK = "__rank"
 
 
 def group_counts(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
@@ -66,24 +60,17 @@ def bytes_of(frame: DataFrame, columns: list[str]) -> int:
     return row["rows"] * (32 + 16 * len(columns)) + (row["text"] or 0)
 
 
-def _key_hash(keys) -> Column:
-    return F.xxhash64(*[F.col(quoted(k)) for k in keys])
-
-
-def _splits(rows_per_task: int) -> Column:
-    return F.ceil(F.col(ROWS_IN_GROUP) / F.lit(rows_per_task)).cast("int")
-
+def rows_of_groups(df: DataFrame, keys: list[str], selected: Column) -> DataFrame:
+    """All rows of the groups for which ``selected`` holds (keys compare null-safely).
 
-def hot_keys(groups: DataFrame, keys, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Hash and number of splits of every hot key: at most ``HOT_KEYS`` rows."""
-    total = groups.agg(F.sum(ROWS_IN_GROUP).alias("total")).scalar()
-    rows = F.col(ROWS_IN_GROUP)
-    return (
-        groups.where((rows > rows_per_task) & (rows * HOT_KEYS > total))
-        .select(_key_hash(keys).alias(HASH), _splits(rows_per_task).alias(SPLITS))
-        .groupBy(HASH)
-        .agg(F.max(SPLITS).alias(SPLITS))
-    )
+    A plain semi join: adaptive execution broadcasts the group keys when their
+    shuffled size is small, and splits the rows of a hot key otherwise.
+    """
+    names = [f"__g{i}" for i in range(len(keys))]
+    renamed = [F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]
+    wanted = group_counts(df, keys).where(selected).select(*renamed)
+    condition = reduce(and_, [df[quoted(k)].eqNullSafe(wanted[n]) for k, n in zip(keys, names)])
+    return df.join(wanted, condition, "left_semi")
 
 
 def _hashable(data_type: T.DataType) -> bool:
@@ -97,111 +84,27 @@ def _hashable(data_type: T.DataType) -> bool:
 
 
 def _salt(df: DataFrame) -> Column:
-    """0 for ordinary keys, spread over the splits for hot ones.
-
-    The salt comes from the row's content and its partition, so a re-run task
-    gives every row the same salt, and exact copies of a row still spread.
-    """
+    """A part from the row's content and its partition, so that exact copies of a row spread too."""
     content = [F.col(quoted(f.name)) for f in df.schema.fields if _hashable(f.dataType)]
-    spread = F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.col(SPLITS).cast("bigint"))
-    return F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(spread).cast("int")
-
-
-def _matching(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> Column:
-    condition = F.lit(True)
-    for key, name in zip(keys, names):
-        condition = condition & left[quoted(key)].eqNullSafe(right[name])
-    return condition
-
+    return F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.lit(PARTS)).cast("int")
 
-def rows_of_groups(
-    df: DataFrame,
-    keys: list[str],
-    selected: Column,
-    rows_per_task: int = ROWS_PER_TASK,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salted: bool = False,
-) -> DataFrame:
-    """All rows of the groups for which ``selected`` holds (keys compare null-safely).
 
-    With ``salted`` the rows carry ``SPLITS`` (NULL for ordinary keys) and
-    ``SALT``.
-    """
-    names = [f"__g{i}" for i in range(len(keys))]
-    renamed = [F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]
-    groups = group_counts(df, keys)
-    wanted = settled(groups.where(selected))
-    if bytes_of(wanted, list(keys)) <= broadcast_bytes:
-        hot = F.when(F.col(ROWS_IN_GROUP) > rows_per_task, _splits(rows_per_task))
-        right = F.broadcast(wanted.select(*renamed, hot.alias(SPLITS)))
-        if not salted:
-            return df.join(right, _matching(df, right, keys, names), "left_semi")
-        # Keys are distinct, so the inner join keeps each row once.
-        rows = df.join(right, _matching(df, right, keys, names)).drop(*names)
-        return rows.withColumn(SALT, _salt(df))
-    hot = hot_keys(groups, keys, rows_per_task)
-    left = (
-        df.withColumn(HASH, _key_hash(keys))
-        .join(F.broadcast(hot), HASH, "left")
-        .withColumn(SALT, _salt(df))
-        .drop(HASH)
-    )
-    right = (
-        wanted.withColumn(HASH, _key_hash(keys))
-        .join(F.broadcast(hot), HASH, "left")
-        .select(
-            *renamed,
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SPLITS), F.lit(1)) - 1)).alias("__gsalt"),
-        )
-    )
-    condition = (left[SALT] == right["__gsalt"]) & _matching(left, right, keys, names)
-    rows = left.join(right, condition, "left_semi")
-    return rows if salted else rows.drop(SALT, SPLITS)
-
-
-def rows_beyond_first(
-    df: DataFrame,
-    keys: list[str],
-    selected: Column,
-    order: list[Column],
-    rows_per_task: int = ROWS_PER_TASK,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+def rows_beyond_first(df: DataFrame, keys: list[str], selected: Column, order: list[Column]) -> DataFrame:
     """Every row of the selected groups but the first in ``order``.
 
-    Ranked within the salted parts of a key; only hot keys have more than one
-    part, and their parts' first rows are ranked once more.  The number of
-    splits belongs to the window's key so that its filter reaches the join with
-    the group keys: without hot keys, the second step reads nothing.
+    Rows are ranked within ``PARTS`` parts of their group.  Those beyond a
+    part's first are none of the group's firsts; the parts' first rows are
+    ranked once more among themselves, the others staying spread as they are.
     """
-    rows = rows_of_groups(df, keys, selected, rows_per_task, broadcast_bytes, salted=True)
     columns = [F.col(quoted(k)) for k in keys]
-    ranked = rows.withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(*columns, SPLITS, SALT).orderBy(*order))
-    )
-    later = ranked.where(F.col("__rank") > 1)
-    first = (
-        ranked.where(F.col(SPLITS).isNotNull())
-        .where(F.col("__rank") == 1)
-        .withColumn("__rank", F.row_number().over(Window.partitionBy(*columns).orderBy(*order)))
-        .where(F.col("__rank") > 1)
-    )
-    return later.unionByName(first).drop("__rank", SALT, SPLITS)
-
-
-# Text keys longer than this on average are first compared by hash.
-WIDE_KEY = 64
-
-
-def is_wide(df: DataFrame, name: str, looked_at: int = 1000) -> bool:
-    """Whether a text column holds long values.
-
-    Looks at a few rows, to choose between two ways to the same result.
-    """
-    if not is_text(df.schema[name].dataType):
-        return False
-    few = df.select(F.octet_length(F.col(quoted(name))).alias("n")).limit(looked_at)
-    return (few.agg(F.avg("n").alias("n")).first()["n"] or 0) > WIDE_KEY
+    rows = rows_of_groups(df, keys, selected)
+    rows = rows.withColumn(SALT, _salt(rows))
+    within = Window.partitionBy(*columns, SALT).orderBy(*order)
+    rows = rows.withColumn(RANK, F.row_number().over(within))
+    rows = rows.withColumn(SALT, F.when(F.col(RANK) == 1, F.lit(-1)).otherwise(F.col(SALT)))
+    among = Window.partitionBy(*columns, SALT).orderBy(*order)
+    rows = rows.withColumn("__first", (F.col(RANK) == 1) & (F.row_number().over(among) == 1))
+    return rows.where(~F.col("__first")).drop(SALT, RANK, "__first")
 
 
 def repeated_hashes(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from plumbline.functions.matching import to_column_type
 from plumbline.operators.membership import member_test
 from plumbline.operators.skew import group_counts
 from plumbline.operators.spec import ROWS_IN_GROUP, FrameSpec, GroupSpec, ScanSpec
-from plumbline.plans.evaluate import Compiled, prepared
+from plumbline.plans.evaluate import Compiled, first_rows, prepared, row_limit
 from plumbline.rule import Rule, value_list
 from plumbline.sources.datasets import Scope
 
@@ -91,16 +91,25 @@ def failure_profile(values: DataFrame) -> DataFrame:
     )
 
 
+# Parts a rule's values are ranked in before the parts' best meet.
+RANK_PARTS = 64
+
+
 def top_values(values: DataFrame, limit: int = LISTED_VALUES) -> DataFrame:
     """The most frequent failing values of each rule.
 
-    The rank filter is applied by every task before the shuffle, so a rule with
-    very many distinct values does not arrive in one task.
+    Ranked in parts of a rule first, so that the last rank of a rule gets
+    ``RANK_PARTS * limit`` rows at most, however many tasks there were.
     """
-    order = Window.partitionBy("rule_config_id").orderBy(F.desc("rows"), F.asc("value"))
+    part = F.pmod(F.xxhash64("value"), F.lit(RANK_PARTS))
+    order = [F.desc("rows"), F.asc("value")]
+    first = Window.partitionBy("rule_config_id", part).orderBy(*order)
+    last = Window.partitionBy("rule_config_id").orderBy(*order)
     return (
         values.where(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("rank", F.row_number().over(first))
+        .where(F.col("rank") <= limit)
+        .withColumn("rank", F.row_number().over(last))
         .where(F.col("rank") <= limit)
         .select("rule_config_id", "value", "rows")
     )
@@ -131,15 +140,13 @@ def matched_value_counts(scope: Scope, rule: Rule) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, column: str, limit: int = LISTED_VALUES) -> DataFrame:
-    """The most frequent values of a column (NULL left out)."""
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Every value of a column with its number of rows (NULL left out)."""
     name = find_column(df, column)
     return (
         df.where(F.col(quoted(name)).isNotNull())
         .groupBy(F.col(quoted(name)).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .orderBy(F.desc("rows"), F.asc("value"))
-        .limit(limit)
     )
 
 
@@ -162,26 +169,40 @@ def set_difference(df: DataFrame, column: str, value_set: list) -> DataFrame:
     )
 
 
-def most_common_values(df: DataFrame, column: str, limit: int = LISTED_VALUES) -> DataFrame:
-    """The modes of a column, ties included, in value order."""
+def most_common_values(df: DataFrame, column: str) -> DataFrame:
+    """All modes of a column, ties included."""
     name = find_column(df, column)
     groups = group_counts(df.where(F.col(quoted(name)).isNotNull()), [name])
     top = groups.agg(F.max(ROWS_IN_GROUP).alias("top")).scalar()
-    return (
-        groups.where(F.col(ROWS_IN_GROUP) == top)
-        .select(F.col(quoted(name)).alias("value"), F.col(ROWS_IN_GROUP).alias("rows"))
-        .orderBy("value")
-        .limit(limit)
+    return groups.where(F.col(ROWS_IN_GROUP) == top).select(
+        F.col(quoted(name)).alias("value"), F.col(ROWS_IN_GROUP).alias("rows")
     )
 
 
-def example_rows(compiled: Compiled, scope: Scope, limit: int = 20) -> DataFrame:
-    """A few failing rows of one rule as JSON of the checked columns."""
+def value_lists(scope: Scope, c: Compiled) -> DataFrame:
+    """``kind, value, rows`` of a rule on distinct values or on the mode: whole lists, distributed."""
+    column = c.rule.kwargs.get("column") or c.rule.column_name
+
+    def listed(rows: DataFrame, kind, count) -> DataFrame:
+        return rows.select(kind.alias("kind"), F.col("value").cast("string").alias("value"), count.alias("rows"))
+
+    if "_distinct_values_to_" not in c.label:
+        return listed(most_common_values(scope.df, column), F.lit("mode"), F.col("rows"))
+    wanted = value_list(c.rule.kwargs, "value_set")
+    differing = set_difference(scope.df, column, wanted)
+    return listed(value_counts(scope.df, column), F.lit("observed"), F.col("rows")).unionByName(
+        listed(differing, F.col("side"), F.lit(None).cast("bigint"))
+    )
+
+
+# Example rows of a rule that sets no ``failed_row_count``.
+EXAMPLES = 20
+
+
+def example_rows(compiled: Compiled, scope: Scope) -> DataFrame:
+    """The first failing rows of one rule, as many as it keeps, as JSON of the checked columns."""
     spec = compiled.spec
+    rows = prepared(scope.df, [compiled]).where(spec.failing).select(*[F.col(quoted(c)) for c in scope.df.columns])
     columns = [F.col(quoted(n)) for n in spec.partial_list]
-    return (
-        prepared(scope.df, [compiled])
-        .where(spec.failing)
-        .select(F.to_json(F.struct(*columns)).alias("row"))
-        .limit(limit)
-    )
+    kept = first_rows(rows, scope, row_limit(compiled) or EXAMPLES)
+    return kept.select(F.to_json(F.struct(*columns)).alias("row"))

@@ -19,6 +19,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.catalog import expectation
 from plumbline.functions.columns import quoted
@@ -84,20 +85,28 @@ def results(compiled: list[Compiled], scope: Scope) -> DataFrame:
     return reduce(DataFrame.unionByName, parts(compiled, scope))
 
 
-def parts(compiled: list[Compiled], scope: Scope) -> list[DataFrame]:
-    """Result frames, one for every pass over the data."""
-    out = []
+def passes(compiled: list[Compiled]) -> list[list[Compiled]]:
+    """The rules that share a pass over the data, pass by pass."""
     scans = [c for c in compiled if isinstance(c.spec, ScanSpec)]
-    for start in range(0, len(scans), RULES_PER_SCAN):
-        out.append(_scan(scans[start : start + RULES_PER_SCAN], scope))
+    out = [scans[start : start + RULES_PER_SCAN] for start in range(0, len(scans), RULES_PER_SCAN)]
     by_key: dict[tuple[str, ...], list[Compiled]] = {}
     for c in compiled:
         if isinstance(c.spec, GroupSpec):
             by_key.setdefault(tuple(sorted(c.spec.keys)), []).append(c)
-    out.extend(_grouped(group, scope) for group in by_key.values())
-    framed = [c for c in compiled if isinstance(c.spec, FrameSpec)]
-    out.extend(side_by_side([lambda c=c: _framed(c) for c in framed]))
-    return out
+    return [*out, *by_key.values(), *[[c] for c in compiled if isinstance(c.spec, FrameSpec)]]
+
+
+def parts(compiled: list[Compiled], scope: Scope) -> list[DataFrame]:
+    """Result frames, one for every pass over the data."""
+    out, framed = [], []
+    for group in passes(compiled):
+        if isinstance(group[0].spec, ScanSpec):
+            out.append(_scan(group, scope))
+        elif isinstance(group[0].spec, GroupSpec):
+            out.append(_grouped(group, scope))
+        else:
+            framed.append(group[0])
+    return out + side_by_side([lambda c=c: _framed(c) for c in framed])
 
 
 def _measure(c: Compiled, name: str) -> str:
@@ -152,15 +161,21 @@ def failing_rows(scope: Scope, rules: list[Rule]) -> DataFrame:
     return tagged_rows([compile_rule(scope, r) for r in rules], scope)
 
 
+# Columns of a custom query that the dataset lacks, as a JSON object.
+QUERY_COLUMNS = "query_columns"
+
+
 def tagged_rows(compiled: list[Compiled], scope: Scope) -> DataFrame:
     """``rule_config_id`` and the dataset's columns, one row per failure.
 
-    ``failed_row_count`` caps the rows kept for the rule that sets it.
+    ``failed_row_count`` keeps that many rows of the rule that sets it, the
+    first by primary key and then by all columns.  When a custom query has
+    columns of its own, all rows get ``query_columns`` with those as JSON.
     """
     names = scope.df.columns
     source = [F.col(quoted(c)) for c in names]
     scans = [c for c in compiled if isinstance(c.spec, ScanSpec) and c.spec.failing is not None]
-    free = [c for c in scans if _limit(c) is None]
+    free = [c for c in scans if row_limit(c) is None]
     frames = []
     if free:
         tags = [F.when(c.spec.failing, F.lit(c.rule.rule_config_id).cast("bigint")) for c in free]
@@ -169,28 +184,66 @@ def tagged_rows(compiled: list[Compiled], scope: Scope) -> DataFrame:
             rows.select(F.explode(F.array_compact(F.array(*tags))).alias("rule_config_id"), *source)
         )
     for c in scans:
-        if _limit(c) is not None:
+        if row_limit(c) is not None:
             rows = prepared(scope.df, [c]).where(c.spec.failing).select(*source)
-            frames.append(_tagged(rows.limit(_limit(c)), c, names))
+            frames.append(_tagged(first_rows(rows, scope, row_limit(c)), c, scope.df))
     for c in compiled:
         if isinstance(c.spec, (GroupSpec, FrameSpec)) and c.spec.failing is not None:
             rows = c.spec.failing()
-            if _limit(c) is not None:
-                rows = rows.limit(_limit(c))
-            frames.append(_tagged(rows, c, names))
+            if row_limit(c) is not None:
+                rows = first_rows(rows, scope, row_limit(c))
+            frames.append(_tagged(rows, c, scope.df))
     if not frames:
         empty = scope.df.where(F.lit(False))
         return empty.select(F.lit(0).cast("bigint").alias("rule_config_id"), *source)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _limit(c: Compiled) -> int | None:
+def row_limit(c: Compiled) -> int | None:
     given = c.rule.kwargs.get("failed_row_count")
     return int(given) if given not in (None, "") and int(given) > 0 else None
 
 
-def _tagged(rows: DataFrame, c: Compiled, names: list[str]) -> DataFrame:
-    """The rows under the rule's id, with those of the dataset's columns they have."""
-    have = set(rows.columns)
-    tag = F.lit(c.rule.rule_config_id).cast("bigint").alias("rule_config_id")
-    return rows.select(tag, *[F.col(quoted(n)) for n in names if n in have])
+def first_rows(rows: DataFrame, scope: Scope, limit: int) -> DataFrame:
+    """The first rows by primary key, then by every column that has an order."""
+    have = {n.lower(): n for n in rows.columns}
+    keys = [have[k.lower()] for k in scope.primary_key if k.lower() in have]
+    rest = [f.name for f in rows.schema.fields if f.name not in keys and not _unordered(f.dataType)]
+    order = [F.col(quoted(n)) for n in dict.fromkeys([*keys, *rest])]
+    return rows.orderBy(*order).limit(limit) if order else rows.limit(limit)
+
+
+def _unordered(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.MapType, T.VariantType)) or (
+        isinstance(kind, T.ArrayType) and _unordered(kind.elementType)
+    ) or (isinstance(kind, T.StructType) and any(_unordered(f.dataType) for f in kind.fields))
+
+
+def _tagged(rows: DataFrame, c: Compiled, dataset: DataFrame) -> DataFrame:
+    """The rows under the rule's id with the dataset's columns, whatever their case.
+
+    Columns the rows lack are NULL; columns only the rows have go into
+    ``query_columns``.
+    """
+    if len({n.lower() for n in rows.columns}) < len(rows.columns):
+        rows = rows.toDF(*_distinct_names(rows.columns))
+    have = {n.lower(): n for n in rows.columns}
+    known = {n.lower() for n in dataset.columns}
+    columns = [
+        (F.col(quoted(have[f.name.lower()])) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in dataset.schema.fields
+    ]
+    more = [n for n in rows.columns if n.lower() not in known]
+    if more:
+        columns.append(F.to_json(F.struct(*[F.col(quoted(n)) for n in more])).alias(QUERY_COLUMNS))
+    return rows.select(F.lit(c.rule.rule_config_id).cast("bigint").alias("rule_config_id"), *columns)
+
+
+def _distinct_names(names: list[str]) -> list[str]:
+    """Repeated output names, numbered from the second on."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in names:
+        seen[name.lower()] = seen.get(name.lower(), 0) + 1
+        out.append(name if seen[name.lower()] == 1 else f"{name}_{seen[name.lower()]}")
+    return out

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import catalog
+from plumbline.functions.arithmetic import literal
 from plumbline.functions.columns import quoted
+from plumbline.plans.evaluate import QUERY_COLUMNS
 from plumbline.sources.datasets import Dataset
 from plumbline.sources.store import Store, failure_table_name
 
 # Full runs whose rules get a column, besides the current run.
 RUNS_SHOWN = 10
 
-AUDIT_COLUMNS = ("dataset_run_id", "dataset_id", "rule_config_id", "dq_load_timestamp")
+AUDIT_COLUMNS = ("dataset_run_id", "dataset_id", "rule_config_id", "dq_load_timestamp", QUERY_COLUMNS)
 
 
 def rule_header(rule: dict) -> str:
-    """``COLUMN_DIMENSION_CATEGORY_ID``; ranges, types and lengths show their bounds."""
+    """``COLUMN_DIMENSION_CATEGORY_ID`` (a fixed format); ranges, types and lengths show their bounds."""
     column = (rule.get("column_name") or "TABLE").upper().replace(" ", "_")
     known = catalog.BY_ID.get(rule["expectation_id"])
     category = known.check_type if known else "UNCATEGORIZED"
@@ -35,61 +37,77 @@ def rule_header(rule: dict) -> str:
     return f"{column}_{dimension}_{category}_{rule['rule_config_id']}"
 
 
-def pivot_failures(failures: DataFrame, rule_results: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row per run and distinct failing row, one column per rule.
+def _name(column: str) -> str:
+    return quoted(column)
+
+
+def pivot_sql(
+    failures: str, results: str, rules: list[dict], source: list[str], runs: list[int] | None = None
+) -> str:
+    """The pivot as a query over a failure table and a result table.
 
     Both sides are aggregated before they meet: failing rows to one row per
-    source row, results to one row per run.
+    source row, results to one row per run, so the join's right side has a row
+    per run and adaptive execution broadcasts it by its measured size.  With
+    ``runs`` both sides read those runs alone.
     """
-    source = [c for c in failures.columns if c not in AUDIT_COLUMNS]
-    failed = failures.groupBy("dataset_run_id", *[F.col(quoted(c)) for c in source]).agg(
-        *[
-            F.max(F.when(F.col("rule_config_id") == r["rule_config_id"], 1)).alias(f"__f{i}")
-            for i, r in enumerate(rules)
-        ]
-    )
+    only = "" if runs is None else f"WHERE dataset_run_id IN ({', '.join(map(str, runs or [-1]))})"
+    keys = ["dataset_run_id", *map(_name, source)]
     ids = [r["rule_config_id"] for r in rules]
-    verdicts = (
-        rule_results.where(F.col("rule_config_id").isin(ids))
-        .groupBy("dataset_run_id")
-        .agg(
-            *[
-                F.max(F.when(F.col("rule_config_id") == r["rule_config_id"], F.col("is_success"))).alias(f"__r{i}")
-                for i, r in enumerate(rules)
-            ]
-        )
+    flags = [f"max(CASE WHEN rule_config_id = {i} THEN 1 END) AS __f{n}" for n, i in enumerate(ids)]
+    verdicts = [f"max(CASE WHEN rule_config_id = {i} THEN is_success END) AS __r{n}" for n, i in enumerate(ids)]
+    cells = [f"{_cell(n, r)} AS {_name(rule_header(r))}" for n, r in enumerate(rules)]
+    shown = ["f.dataset_run_id", *cells, *[f"f.{_name(c)}" for c in source]]
+    return (
+        f"SELECT {', '.join(shown)} FROM "
+        f"(SELECT {', '.join([*keys, *flags])} FROM {failures} {only} GROUP BY {', '.join(keys)}) AS f LEFT JOIN "
+        f"(SELECT {', '.join(['dataset_run_id', *verdicts])} FROM {results} {only} GROUP BY dataset_run_id) AS r "
+        "ON f.dataset_run_id = r.dataset_run_id"
     )
-    shown = [_cell(i, r).alias(rule_header(r)) for i, r in enumerate(rules)]
-    joined = failed.join(verdicts, "dataset_run_id", "left")
-    return joined.select("dataset_run_id", *shown, *[F.col(quoted(c)) for c in source])
 
 
-def _cell(i: int, rule: dict) -> Column:
-    failed, verdict = F.col(f"__f{i}"), F.col(f"__r{i}")
+def _source_columns(failures: DataFrame) -> list[str]:
+    return [c for c in failures.columns if c not in AUDIT_COLUMNS]
+
+
+def pivot_failures(failures: DataFrame, rule_results: DataFrame, rules: list[dict]) -> DataFrame:
+    """One row per run and distinct failing row, one column per rule."""
+    text = pivot_sql("__failures", "__results", rules, _source_columns(failures))
+    text = text.replace("{", "{{").replace("}", "}}")
+    text = text.replace("FROM __failures ", "FROM {failures} ").replace("FROM __results ", "FROM {results} ")
+    return failures.sparkSession.sql(text, failures=failures, results=rule_results)
+
+
+def _cell(n: int, rule: dict) -> str:
     known = catalog.BY_ID.get(rule["expectation_id"])
     level = known.check_level if known else "ROW"
     if level == "ROW":
-        cell = F.when(failed == 1, "FAIL").when(verdict.isNull(), "NOT CONFIGURED")
-    else:
-        cell = F.when(verdict.isNull(), "NOT CONFIGURED").when(~verdict, f"FAIL - {level} CHECK")
-    return cell.otherwise("PASS")
+        return f"CASE WHEN f.__f{n} = 1 THEN 'FAIL' WHEN r.__r{n} IS NULL THEN 'NOT CONFIGURED' ELSE 'PASS' END"
+    return (
+        f"CASE WHEN r.__r{n} IS NULL THEN 'NOT CONFIGURED' WHEN NOT r.__r{n} THEN 'FAIL - {level} CHECK' "
+        "ELSE 'PASS' END"
+    )
 
 
-def shown_rules(
-    rule_results: DataFrame, run_log: DataFrame, rule_config: DataFrame, dataset_id: int, run_id: int
-) -> DataFrame:
-    """Rules with results in the last full runs of the dataset or in this run."""
+def shown_runs(run_log: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
+    """The last full runs of the dataset and this run."""
     recent = (
         run_log.where(
-            (F.col("dataset_id") == dataset_id)
-            & (F.coalesce(F.col("run_scope"), F.lit("FULL")) == "FULL")
+            (F.col("dataset_id") == dataset_id) & (F.coalesce(F.col("run_scope"), F.lit("FULL")) == "FULL")
         )
+        .orderBy(F.desc("created_timestamp"), F.desc("dataset_run_id"))
         .select("dataset_run_id")
-        .orderBy(F.desc("dataset_run_id"))
         .limit(RUNS_SHOWN)
     )
     current = run_log.sparkSession.range(run_id, run_id + 1).select(F.col("id").alias("dataset_run_id"))
-    runs = recent.union(current).distinct()
+    return recent.union(current).distinct()
+
+
+def shown_rules(
+    rule_results: DataFrame, run_log: DataFrame, rule_config: DataFrame, dataset_id: int, run_id: int
+) -> DataFrame:
+    """Rules with results in the last full runs of the dataset or in this run."""
+    runs = shown_runs(run_log, dataset_id, run_id)
     used = (
         rule_results.where(F.col("dataset_id") == dataset_id)
         .join(runs, "dataset_run_id", "left_semi")
@@ -103,31 +121,34 @@ def shown_rules(
     )
 
 
-def failure_pivot(store: Store, dataset: Dataset, run_id: int) -> DataFrame | None:
+def failure_pivot_sql(store: Store, dataset: Dataset, run_id: int) -> str | None:
     """The pivot of a dataset's failure table; None when it has no failures yet."""
     table = failure_table_name(dataset.dataset_name)
     if not store.exists(table):
         return None
-    results = store.read("rule_results")
-    chosen = shown_rules(
-        results, store.read("dataset_run_log"), store.read("rule_config"), dataset.dataset_id, run_id
-    )
+    log = store.read("dataset_run_log")
+    chosen = shown_rules(store.read("rule_results"), log, store.read("rule_config"), dataset.dataset_id, run_id)
     rules = [r.asDict() for r in chosen.collect()]
-    failures = store.spark.table(store.name(table))
-    pivot = pivot_failures(failures, results.where(F.col("dataset_id") == dataset.dataset_id), rules)
-    return pivot.select(
-        "dataset_run_id",
-        F.lit(dataset.dataset_id).alias("dataset_id"),
-        F.lit(dataset.dataset_name).alias("dataset_name"),
-        *[F.col(quoted(c)) for c in pivot.columns if c != "dataset_run_id"],
+    runs = [r[0] for r in shown_runs(log, dataset.dataset_id, run_id).collect()]
+    source = _source_columns(store.spark.table(store.name(table)))
+    pivot = pivot_sql(store.name(table), store.name("rule_results"), rules, source, runs)
+    columns = [*[_name(rule_header(r)) for r in rules], *map(_name, source)]
+    return (
+        f"SELECT dataset_run_id, {dataset.dataset_id} AS dataset_id, "
+        f"{literal(dataset.dataset_name)} AS dataset_name, {', '.join(columns)} FROM ({pivot}) AS p"
     )
 
 
+def failure_pivot(store: Store, dataset: Dataset, run_id: int) -> DataFrame | None:
+    text = failure_pivot_sql(store, dataset, run_id)
+    return None if text is None else store.spark.sql(text)
+
+
 def failure_view(store: Store, dataset: Dataset, run_id: int) -> str | None:
-    """Register the pivot as a temp view ``vw_<dataset>_dq_failure``."""
-    pivot = failure_pivot(store, dataset, run_id)
-    if pivot is None:
+    """The pivot as the catalogue view ``vw_<dataset>_dq_failure`` of the store's database."""
+    text = failure_pivot_sql(store, dataset, run_id)
+    if text is None:
         return None
-    name = "vw_" + failure_table_name(dataset.dataset_name)
-    pivot.createOrReplaceTempView(name)
+    name = store.name("vw_" + failure_table_name(dataset.dataset_name))
+    store.spark.sql(f"CREATE OR REPLACE VIEW {name} AS {text}")
     return name

@@ -16,13 +16,21 @@ from plumbline.operators.custom import combination_profile, query_profile_column
 from plumbline.operators.recon import source_label
 from plumbline.operators.spec import ScanSpec
 from plumbline.plans import details
-from plumbline.plans.evaluate import Compiled, analysed, compile_rules, results, tagged_rows
+from plumbline.plans.evaluate import (
+    QUERY_COLUMNS,
+    Compiled,
+    analysed,
+    compile_rules,
+    passes,
+    results,
+    tagged_rows,
+)
 from plumbline.plans.parallel import side_by_side
 from plumbline.plans.pivot import failure_view
 from plumbline.plans.rules import fetch_rules, parse_rule_ids
 from plumbline.rule import Rule, RuleError, name_list, parse_kwargs
-from plumbline.sources.datasets import Dataset, Scope
-from plumbline.sources.store import Store, failure_table_name
+from plumbline.sources.datasets import Dataset, LazyFrames, Scope
+from plumbline.sources.store import Store, failure_table_name, new_id
 
 # Return codes.
 SUCCESS, FAILED, ERROR = 200, 300, 400
@@ -52,13 +60,15 @@ class DatasetRun:
 
 
 class _Audit:
-    """Steps of a run, written once at its end."""
+    """Steps of a run, each from the end of the one before it; written once at the run's end."""
 
     def __init__(self, clock: Callable[[], datetime.datetime]):
         self.clock = clock
+        self.since = clock()
         self.rows: list[dict[str, Any]] = []
 
-    def add(self, run_id, rule_id, step, status, started, message=None, error=None):
+    def add(self, run_id, rule_id, step, status, message=None, error=None):
+        ended = self.clock()
         self.rows.append(
             {
                 "dataset_run_id": run_id,
@@ -66,12 +76,13 @@ class _Audit:
                 "procedure_name": STEP,
                 "step_name": step,
                 "log_message": message,
-                "start_timestamp": started,
-                "end_timestamp": self.clock(),
+                "start_timestamp": self.since,
+                "end_timestamp": ended,
                 "status": status,
-                "error_message": None if error is None else str(error)[:4000],
+                "error_message": None if error is None else str(error),
             }
         )
+        self.since = ended
 
 
 def load_datasets(store: Store, condition=None) -> list[Dataset]:
@@ -100,24 +111,32 @@ def run_dataset(
     spark = store.spark
     started = now or datetime.datetime.now()
     clock = (lambda: started) if now else datetime.datetime.now
-    run_id = run_id or store.next_run_id()
+    run_id = run_id or new_id()
     audit = _Audit(clock)
 
+    def broken(step, message, error) -> DatasetRun:
+        """A run that ends before any rule is evaluated is logged like the others."""
+        audit.add(run_id, None, step, "FAILED", message, error)
+        store.append_rows("rule_audit_log", audit.rows)
+        entry = {"dataset_run_id": run_id, "batch_id": batch_id, "dataset_id": dataset_id, "run_status": "ERROR"}
+        counts = ("evaluated", "successfull", "unsuccessfull", "error")
+        entry |= {f"{c}_expectations": 0 for c in counts} | {"run_scope": "SELECTIVE" if rule_ids else "FULL"}
+        entry |= {"created_by": created_by, "created_timestamp": started, "success_percent": 0.0}
+        entry["run_time"] = (clock() - started).total_seconds()
+        store.append_rows("dataset_run_log", [entry])
+        return DatasetRun(ERROR, run_id, message=message or str(error))
+
     found = load_datasets(store, F.col("dataset_id") == dataset_id)
     if not found:
         message = f"Dataset ID {dataset_id} not found."
-        audit.add(run_id, None, "VALIDATE_DATASET", "FAILED", started, message, message)
-        store.append_rows("rule_audit_log", audit.rows)
-        return DatasetRun(ERROR, message=message)
+        return broken("VALIDATE_DATASET", message, message)
     dataset = found[0]
     chosen = parse_rule_ids(rule_ids) if isinstance(rule_ids, (str, type(None))) else list(rule_ids)
     rows = fetch_rules(store, dataset_id, chosen)
     if not rows:
         message = f"No rules to run for dataset {dataset_id}"
-        audit.add(run_id, None, "RULES_FETCHING", "FAILED", started, message, message)
-        store.append_rows("rule_audit_log", audit.rows)
-        return DatasetRun(ERROR, message=message)
-    audit.add(run_id, None, "RULES_FETCHING", "COMPLETED", started, f"{len(rows)} rules")
+        return broken("RULES_FETCHING", message, message)
+    audit.add(run_id, None, "RULES_FETCHING", "COMPLETED", f"{len(rows)} rules")
 
     rules, errors = [], {}
     for row in rows:
@@ -128,35 +147,36 @@ def run_dataset(
     try:
         scope, watermark = build_scope(store, dataset, rules, now, frame)
     except Exception as exc:  # the dataset itself cannot be read
-        audit.add(run_id, None, "VALIDATE_DATASET", "FAILED", started, None, exc)
-        store.append_rows("rule_audit_log", audit.rows)
-        return DatasetRun(ERROR, run_id, message=str(exc))
+        return broken("VALIDATE_DATASET", None, exc)
 
     compiled, bad = compile_rules(scope, rules)
     errors.update(bad)
     outcome, bad = collect_results(compiled, scope)
     errors.update(bad)
-    audit.add(run_id, None, "MAIN_QUERY", "COMPLETED", started, f"{len(outcome)} verdicts")
+    audit.add(run_id, None, "MAIN_QUERY", "COMPLETED", f"{len(outcome)} verdicts")
 
     failed = [c for c in compiled if c.rule.rule_config_id in outcome and _failed(outcome, c)]
     extras = capture(store, dataset, scope, failed, outcome, run_id, started, audit)
     allowed = [c for c in compiled if c.rule.rule_config_id in outcome]
     extras.update(_matched(scope, allowed, extras))
+    write_lists(store, dataset, scope, allowed, run_id, started, audit)
 
     write_results(store, dataset, allowed, outcome, extras, run_id, batch_id, started)
-    run = _finish(store, dataset, run_id, batch_id, rows, outcome, errors, chosen, watermark,
-                  started, clock(), created_by)
     for rule_id, exc in errors.items():
-        audit.add(run_id, rule_id, "RULE_EXECUTION", "FAILED", started, None, exc)
+        audit.add(run_id, rule_id, "RULE_EXECUTION", "FAILED", None, exc)
     for rule_id in outcome:
-        audit.add(run_id, rule_id, "RULE_EXECUTION", "COMPLETED", started)
+        audit.add(run_id, rule_id, "RULE_EXECUTION", "COMPLETED")
+    view = None
     if any(r["unexpected_count"] for r in outcome.values()):
         try:
-            failure_view(store, dataset, run_id)
+            view = failure_view(store, dataset, run_id)
+            audit.add(run_id, None, "VIEW_CREATION", "COMPLETED", view)
         except Exception as exc:
-            audit.add(run_id, None, "VIEW_CREATION", "FAILED", started, None, exc)
+            audit.add(run_id, None, "VIEW_CREATION", "FAILED", None, exc)
     store.append_rows("rule_audit_log", audit.rows)
-    return run
+    # The log row comes last: it tells that all else is written.
+    return _finish(store, dataset, run_id, batch_id, rows, outcome, errors, chosen, watermark,
+                   started, clock(), created_by, view)
 
 
 def _rule(row) -> Rule:
@@ -180,12 +200,13 @@ def _failed(outcome, c: Compiled) -> bool:
 def build_scope(store, dataset, rules, now=None, frame=None) -> tuple[Scope, str | None]:
     """The rows to validate, and the mark an incremental run leaves behind."""
     spark: SparkSession = store.spark
-    text = " ".join(json.dumps(r.kwargs) for r in rules).lower()
-    others = {
-        d.dataset_name: d.load(spark)
-        for d in load_datasets(store)
-        if d.dataset_id != dataset.dataset_id and d.dataset_name and d.dataset_name.lower() in text
-    }
+    others = LazyFrames(
+        {
+            d.dataset_name: lambda d=d: d.load(spark)
+            for d in load_datasets(store)
+            if d.dataset_id != dataset.dataset_id and d.dataset_name
+        }
+    )
     rows = dataset.load(spark) if frame is None else frame
     scope = Scope(
         df=rows,
@@ -251,9 +272,9 @@ def stored_watermarks(store: Store, rule_ids: list[int]) -> dict[int, tuple]:
 def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, dict], dict[int, Exception]]:
     """One result per rule.
 
-    When the job fails, rules Spark rejects are set aside and the others run
-    together again; a job that fails while running is halved until the rule at
-    fault is alone.
+    When the job fails, rules Spark rejects are set aside.  A job that fails
+    while running is tried again pass by pass (a scan, a grouping, a frame);
+    only the rules of the failing pass are then run one by one.
     """
     if not compiled:
         return {}, {}
@@ -264,10 +285,14 @@ def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, d
         if len(compiled) == 1:
             return {}, {compiled[0].rule.rule_config_id: exc}
     good, errors = analysed(compiled, scope)
+    if errors:
+        groups = [good]
+    else:
+        groups = passes(compiled)
+        groups = groups if len(groups) > 1 else [[c] for c in compiled]
     outcome = {}
-    middle = len(good) // 2
-    for part in (good[:middle], good[middle:]) if not errors else (good,):
-        more, bad = collect_results(part, scope)
+    for group in groups:
+        more, bad = collect_results(group, scope)
         outcome.update(more)
         errors.update(bad)
     return outcome, errors
@@ -286,7 +311,7 @@ def capture(store, dataset, scope, failed, outcome, run_id, started, audit) -> d
     try:
         _add_details(scope, failed, extras)
     except Exception as exc:
-        audit.add(run_id, None, "COMPUTE_ERROR_METRICS", "FAILED", started, None, exc)
+        audit.add(run_id, None, "COMPUTE_ERROR_METRICS", "FAILED", None, exc)
     return extras
 
 
@@ -295,18 +320,21 @@ def write_rows(store, dataset, scope, kept, table, run_id, started, audit) -> li
     if not kept:
         return []
     try:
-        rows = tagged_rows(kept, scope).select(
+        found = tagged_rows(kept, scope)
+        more = F.col(QUERY_COLUMNS) if QUERY_COLUMNS in found.columns else F.lit(None).cast("string")
+        rows = found.select(
             F.lit(run_id).cast("bigint").alias("dataset_run_id"),
             F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
             "rule_config_id",
-            F.lit(started.isoformat(sep=" ")).cast("timestamp_ntz").alias("dq_load_timestamp"),
+            _stamp(started).alias("dq_load_timestamp"),
             *[F.col(quoted(n)) for n in scope.df.columns],
+            more.alias(QUERY_COLUMNS),
         )
         store.append_failures(table, rows)
-        audit.add(run_id, None, "INSERT_FAILED_RECORDS", "COMPLETED", started, table)
+        audit.add(run_id, None, "INSERT_FAILED_RECORDS", "COMPLETED", table)
     except Exception as exc:
         if len(kept) == 1:
-            audit.add(run_id, kept[0].rule.rule_config_id, "INSERT_FAILED_RECORDS", "FAILED", started, None, exc)
+            audit.add(run_id, kept[0].rule.rule_config_id, "INSERT_FAILED_RECORDS", "FAILED", None, exc)
             return []
         middle = len(kept) // 2
         return [
@@ -316,9 +344,9 @@ def write_rows(store, dataset, scope, kept, table, run_id, started, audit) -> li
         ]
     try:
         write_keys(store, dataset, scope, kept, table, run_id, started)
-        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED", started)
+        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED")
     except Exception as exc:
-        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "FAILED", started, None, exc)
+        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "FAILED", None, exc)
     return kept
 
 
@@ -347,7 +375,7 @@ def write_keys(store, dataset, scope, kept, table, run_id, started) -> None:
             F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
             F.lit(dataset.table_name or dataset.dataset_name).alias("table_name"),
             F.to_json(F.struct(*[F.col(quoted(n)) for n in names])).alias("failed_key"),
-            F.lit(started.isoformat(sep=" ")).cast("timestamp_ntz").alias("load_timestamp"),
+            _stamp(started).alias("load_timestamp"),
         )
         store.append("failed_row_keys", rows)
 
@@ -404,28 +432,16 @@ def _combinations(c: Compiled) -> dict[int, dict]:
 
 
 def _matched(scope: Scope, compiled: list[Compiled], extras) -> dict[int, dict]:
-    """Rows per allowed value for set checks, per distinct value for set comparisons."""
+    """Rows per allowed value of set checks."""
 
     def task(c: Compiled):
-        column = c.rule.kwargs.get("column") or c.rule.column_name
-        if c.label == "expect_column_values_to_be_in_set":
-            rows = details.matched_value_counts(scope, c.rule).collect()
-            return {
-                "matched_value_counts": {r["value"]: r["rows"] for r in rows},
-                "distinct_match_count": sum(r["spellings"] for r in rows),
-            }
-        if "_distinct_values_to_" in c.label:
-            rows = details.value_counts(scope.df, column).collect()
-            return {"value_counts": [{"value": r["value"], "count": r["rows"]} for r in rows]}
-        rows = details.most_common_values(scope.df, column).collect()
-        return {"most_common_values": [r["value"] for r in rows]}
-
-    listed = [
-        c
-        for c in compiled
-        if c.label in ("expect_column_values_to_be_in_set", "expect_column_most_common_value_to_be_in_set")
-        or "_distinct_values_to_" in c.label
-    ]
+        rows = details.matched_value_counts(scope, c.rule).collect()
+        return {
+            "matched_value_counts": {r["value"]: r["rows"] for r in rows},
+            "distinct_match_count": sum(r["spellings"] for r in rows),
+        }
+
+    listed = [c for c in compiled if c.label == "expect_column_values_to_be_in_set"]
     found = side_by_side([lambda c=c: task(c) for c in listed])
     return {
         c.rule.rule_config_id: {**extras.get(c.rule.rule_config_id, {}), "matched": matched}
@@ -433,6 +449,35 @@ def _matched(scope: Scope, compiled: list[Compiled], extras) -> dict[int, dict]:
     }
 
 
+def write_lists(store, dataset, scope: Scope, compiled: list[Compiled], run_id, started, audit) -> None:
+    """Whole value lists of rules on distinct values and on the mode, written where they are computed."""
+
+    def task(c: Compiled):
+        rows = details.value_lists(scope, c).select(
+            F.lit(run_id).cast("bigint").alias("dataset_run_id"),
+            F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
+            F.lit(c.rule.rule_config_id).cast("bigint").alias("rule_config_id"),
+            "kind",
+            "value",
+            "rows",
+            _stamp(started).alias("listed_timestamp"),
+        )
+        store.append("value_lists", rows)
+
+    for c in compiled:
+        if c.label != "expect_column_most_common_value_to_be_in_set" and "_distinct_values_to_" not in c.label:
+            continue
+        try:
+            task(c)
+            audit.add(run_id, c.rule.rule_config_id, "LIST_VALUES", "COMPLETED")
+        except Exception as exc:  # a verdict stands without its list
+            audit.add(run_id, c.rule.rule_config_id, "LIST_VALUES", "FAILED", None, exc)
+
+
+def _stamp(moment: datetime.datetime):
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def write_results(store, dataset, compiled, outcome, extras, run_id, batch_id, started) -> None:
     rows, recon = [], []
     for c in compiled:
@@ -484,7 +529,8 @@ def _json(value) -> str | None:
     return json.dumps(value, default=str) if value else None
 
 
-# Names of the compared counts in reconciliation results.
+# Names of the compared counts in reconciliation results; the two
+# ``validation_logic`` texts below are fixed as well.
 VALIDATIONS = {"total": "TOTAL_COUNT", "active": "ACTIVE_COUNT", "inactive": "INACTIVE_COUNT"}
 
 
@@ -529,7 +575,7 @@ def _recon_rows(dataset, c: Compiled, told: dict, run_id, started) -> list[dict]
 
 
 def _finish(store, dataset, run_id, batch_id, rows, outcome, errors, chosen, watermark,
-            started, ended, created_by) -> DatasetRun:
+            started, ended, created_by, view=None) -> DatasetRun:
     codes = {r["rule_config_id"]: ERROR for r in rows}
     for rule_id, result in outcome.items():
         if rule_id not in errors:
@@ -554,6 +600,8 @@ def _finish(store, dataset, run_id, batch_id, rows, outcome, errors, chosen, wat
                 "success_percent": counts[SUCCESS] * 100.0 / len(codes),
                 "created_timestamp": started,
                 "max_validated_timestamp": _moment(watermark),
+                "source_sql": dataset.custom_sql or dataset.table_name or dataset.path,
+                "failure_view": view,
                 "run_scope": "SELECTIVE" if chosen else "FULL",
             }
         ],

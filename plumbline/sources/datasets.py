@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 from dataclasses import dataclass, field, replace
-from typing import Callable, Mapping
+from typing import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +90,28 @@ def since(df: DataFrame, column: str | None, watermark) -> DataFrame:
     return df.where(F.col(quoted(name)) > literal)
 
 
+class LazyFrames(Mapping):
+    """Datasets by name, each loaded when a rule first asks for it.
+
+    A dataset that can't be read fails the rules that name it, and only those.
+    """
+
+    def __init__(self, loaders: Mapping[str, Callable[[], DataFrame]]):
+        self._loaders = dict(loaders)
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._loaders[name]()
+        return self._frames[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._loaders)
+
+    def __len__(self) -> int:
+        return len(self._loaders)
+
+
 @dataclass(frozen=True)
 class Scope:
     """Everything a check may look at while it compiles.
@@ -120,9 +142,9 @@ class Scope:
 
     def lookup(self, name: str) -> DataFrame:
         """Another dataset by registered name (without case), else a catalog table."""
-        for key, frame in self.others.items():
+        for key in self.others:
             if key.lower() == name.lower():
-                return frame
+                return self.others[key]
         if name.lower() == self.name.lower():
             return self.whole
         if self.resolve is not None:

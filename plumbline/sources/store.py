@@ -9,7 +9,11 @@ keeps min/max pruning effective for the usual lookups.
 from __future__ import annotations
 
 import datetime
+import random
 import re
+import threading
+import time
+from collections import defaultdict
 from typing import Any, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +24,8 @@ from plumbline.functions.local import small_frame
 
 DAY = "event_date"
 
-# Column lists of the tables.  ``event_date`` is added to the dated ones.
+# Column lists of the tables, misspelt names included.
+# ``event_date`` is added to the dated ones.
 TABLES = {
     "projects": "project_id bigint, bu_name string, app_name string, project_name string, "
     "project_desc string, created_by string, created_timestamp timestamp_ntz",
@@ -59,6 +64,8 @@ TABLES = {
     "created_by string, success_percent double, created_timestamp timestamp_ntz, "
     "max_validated_timestamp timestamp_ntz, source_sql string, failure_view string, "
     "run_scope string",
+    "value_lists": "dataset_run_id bigint, dataset_id bigint, rule_config_id bigint, kind string, "
+    "value string, rows bigint, listed_timestamp timestamp_ntz",
     "project_run_log": "batch_id bigint, project_id bigint, datasets_total bigint, "
     "datasets_run bigint, datasets_skipped bigint, passed bigint, failed bigint, "
     "errored bigint, run_status string, success_percent double, run_time double, "
@@ -73,6 +80,7 @@ TIMESTAMPS = {
     "rule_audit_log": "start_timestamp",
     "dataset_run_log": "created_timestamp",
     "project_run_log": "created_timestamp",
+    "value_lists": "listed_timestamp",
 }
 
 # Days to keep.
@@ -82,10 +90,27 @@ RETENTION_DAYS = {
     "rule_results": 180,
     "dataset_run_log": 180,
     "recon_results": 90,
+    "value_lists": 180,
 }
 
-FIRST_RUN_ID = 1
-FIRST_BATCH_ID = 1000
+# Spark's file committer shares one staging folder per table, so a process writes
+# to a table with one job at a time.
+_WRITES: defaultdict[str, threading.RLock] = defaultdict(threading.RLock)
+
+_IDS = threading.Lock()
+_last_id = 0
+
+
+def new_id() -> int:
+    """An id that no other run has: microseconds since 1970, then ten random bits.
+
+    Ids of one process ascend; those of two processes differ but for a chance
+    of one in a thousand within the same microsecond.
+    """
+    global _last_id
+    with _IDS:
+        _last_id = max(_last_id + 1, (time.time_ns() // 1000 << 10) | random.SystemRandom().getrandbits(10))
+        return _last_id
 
 
 def cutoff_literal(moment: datetime.datetime) -> Column:
@@ -97,14 +122,20 @@ def failure_table_name(dataset_name: str) -> str:
 
 
 class Store:
-    """The tables of one database of the session's catalog."""
+    """The tables of one database of the session's catalog.
 
-    def __init__(self, spark: SparkSession, database: str = "dq"):
+    ``location`` is where a new database keeps its files: a folder that all
+    machines share.  Without it the session's warehouse decides.
+    """
+
+    def __init__(self, spark: SparkSession, database: str = "dq", location: str | None = None):
         self.spark = spark
         self.database = database
+        self.location = location
 
     def create(self) -> "Store":
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`")
+        at = "" if self.location is None else " LOCATION '{}'".format(self.location.replace("'", "\\'"))
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`{at}")
         for table, columns in TABLES.items():
             dated = table in TIMESTAMPS
             columns += f", {DAY} date" if dated else ""
@@ -135,7 +166,8 @@ class Store:
             rows = rows.withColumn(DAY, F.to_date(TIMESTAMPS[table]))
             order = [c for c in ("dataset_id", "dataset_run_id", "rule_config_id") if c in rows.columns]
             rows = rows.sortWithinPartitions(DAY, *order)
-        rows.write.mode("append").insertInto(self.name(table))
+        with _WRITES[self.name(table)]:
+            rows.write.mode("append").insertInto(self.name(table))
 
     def append_rows(self, table: str, rows: Iterable[dict[str, Any]]) -> None:
         """Append a few rows made on the driver: one per rule or per step."""
@@ -146,15 +178,25 @@ class Store:
         data = [tuple(row.get(f.name) for f in schema.fields) for row in rows]
         self.append(table, small_frame(self.spark, data, schema).coalesce(1))
 
-    def next_id(self, table: str, column: str, first: int) -> int:
-        top = self.read(table).agg(F.max(column).alias("top")).first()["top"]
-        return first if top is None else max(first, int(top) + 1)
-
-    def next_run_id(self) -> int:
-        return self.next_id("dataset_run_log", "dataset_run_id", FIRST_RUN_ID)
-
-    def next_batch_id(self) -> int:
-        return self.next_id("project_run_log", "batch_id", FIRST_BATCH_ID)
+    def discard_run(self, run_id: int, failure_table: str) -> None:
+        """Remove what an unfinished run has left, so that it can be repeated under its id."""
+        for table in ("rule_results", "failed_row_keys", "recon_results", "rule_audit_log", "value_lists"):
+            frame = self.spark.table(self.name(table))
+            mine = F.col("dataset_run_id") == run_id
+            for row in frame.where(mine).select(DAY).distinct().collect():
+                day = F.col(DAY) == F.lit(row[DAY])
+                rest = frame.where(day & ~F.coalesce(mine, F.lit(False)))
+                if rest.isEmpty():
+                    self._drop_day(table, row[DAY])
+                else:
+                    self._replace_day(table, rest)
+        if self.exists(failure_table):
+            parts = self.spark.table(self.name(failure_table)).where(F.col("dataset_run_id") == run_id)
+            for row in parts.select("rule_config_id").distinct().collect():
+                self.spark.sql(
+                    f"ALTER TABLE {self.name(failure_table)} DROP IF EXISTS PARTITION "
+                    f"(dataset_run_id = {run_id}, rule_config_id = {row[0]})"
+                )
 
     def append_failures(self, table: str, rows: DataFrame) -> None:
         """Append failing rows, one directory per run and rule.
@@ -163,13 +205,14 @@ class Store:
         very many rows and pack the small ones together.
         """
         keys = ["dataset_run_id", "rule_config_id"]
-        (
-            rows.hint("rebalance", *keys)
-            .write.mode("append")
-            .format("parquet")
-            .partitionBy(*keys)
-            .saveAsTable(self.name(table))
-        )
+        with _WRITES[self.name(table)]:
+            (
+                rows.hint("rebalance", *keys)
+                .write.mode("append")
+                .format("parquet")
+                .partitionBy(*keys)
+                .saveAsTable(self.name(table))
+            )
 
     def clean_up(
         self,
@@ -202,9 +245,7 @@ class Store:
                 young = frame.where((F.col(DAY) == day) & (stamp >= limit))
                 self._replace_day(table, young)
             for value in expired:
-                self.spark.sql(
-                    f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({DAY} = DATE'{value}')"
-                )
+                self._drop_day(table, value)
             report.append(
                 {
                     "table": table,
@@ -215,8 +256,12 @@ class Store:
             )
         return report
 
+    def _drop_day(self, table: str, day: datetime.date) -> None:
+        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({DAY} = DATE'{day}')")
+
     def _replace_day(self, table: str, rows: DataFrame) -> None:
         """Overwrite only the partition the rows belong to."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(
-            self.name(table)
-        )
+        with _WRITES[self.name(table)]:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(
+                self.name(table)
+            )

@@ -7,12 +7,30 @@ run of the dataset.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.plans.runner import run_dataset
-from plumbline.sources.store import Store
+from plumbline.plans.runner import load_datasets, run_dataset
+from plumbline.sources.store import Store, failure_table_name, new_id
+
+
+STARTED = "BATCH_STARTED"
+
+
+def batch_run_id(store: Store, dataset_id: int, marker: str, now: datetime.datetime) -> int:
+    """The run id of a batch: reserved in the audit log before the first attempt, found there by later ones."""
+    mine = store.read("rule_audit_log").where((F.col("step_name") == STARTED) & (F.col("log_message") == marker))
+    found = mine.agg(F.min("dataset_run_id")).first()[0]
+    run_id = new_id() if found is None else found
+    if found is not None:
+        for dataset in load_datasets(store, F.col("dataset_id") == dataset_id):
+            store.discard_run(run_id, failure_table_name(dataset.dataset_name))
+    row = {"dataset_run_id": run_id, "procedure_name": "validate_stream", "step_name": STARTED, "log_message": marker}
+    store.append_rows("rule_audit_log", [{**row, "start_timestamp": now, "end_timestamp": now, "status": "STARTED"}])
+    return run_id
 
 
 def validate_stream(
@@ -20,24 +38,27 @@ def validate_stream(
 ) -> StreamingQuery:
     """Validate everything available now, batch by batch.
 
-    Each run is logged under the batch's number, so a batch repeated after a
-    failure is skipped when its run was already logged.
+    A batch's run id is reserved before its run begins.  A batch repeated after
+    a failure is skipped when its run was logged; otherwise it runs under the
+    same id, after what the broken run left is removed, so nothing counts twice.  A batch that can't be validated, for want of rules or of the
+    dataset, stops the stream before its offsets are committed.
     """
     label = name or f"validate_{dataset_id}"
 
     def validate(batch: DataFrame, epoch: int) -> None:
-        marker = f"{label}:{epoch}"
-        done = store.read("dataset_run_log").where(
-            (F.col("dataset_id") == dataset_id) & (F.col("created_by") == marker)
-        )
-        if not done.isEmpty():
+        marker = f"{label}:{dataset_id}:{epoch}"
+        log = store.read("dataset_run_log").where((F.col("dataset_id") == dataset_id) & (F.col("created_by") == marker))
+        if not log.where(F.col("evaluated_expectations") > 0).isEmpty():
             return
+        run_id = batch_run_id(store, dataset_id, marker, datetime.datetime.now())
         # A run reads its rows several times; the source is read once.
         rows = batch.persist()
         try:
-            run_dataset(store, dataset_id, created_by=marker, frame=rows)
+            run = run_dataset(store, dataset_id, run_id=run_id, created_by=marker, frame=rows)
         finally:
             rows.unpersist()
+        if not run.codes:
+            raise RuntimeError(f"batch {epoch} of {label} was not validated: {run.message}")
 
     return (
         stream.writeStream.foreachBatch(validate)

@@ -151,7 +151,7 @@ add(
     lambda spark, sf_dir: most_common_values(load(spark, sf_dir, "documents"), "source"),
     "SELECT source AS value, n AS rows FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL "
     "GROUP BY source) AS g WHERE n = (SELECT max(n) FROM (SELECT count(*) AS n FROM documents "
-    "WHERE source IS NOT NULL GROUP BY source) AS h) ORDER BY value LIMIT 1000",
+    "WHERE source IS NOT NULL GROUP BY source) AS h)",
 )
 
 _DISTINCT = (

@@ -236,7 +236,7 @@ for _name, _table, _column, _mostly, _keys in (
     ("keys_unique", "orders", "o_custkey", 0.5, "o_orderkey, o_custkey"),
     ("texts_unique", "documents", "text", 0.8, "doc_id, n_chars"),
 ):
-    _kwargs = {"column": _column, "mostly": _mostly}
+    _kwargs = {"column": _column, "mostly": _mostly, "by_hash": _column == "text"}
     add(
         _name,
         summary(_table, "expect_column_values_to_be_unique", _kwargs),
@@ -308,19 +308,6 @@ add(
 )
 
 
-def _custom_rows(spark, sf_dir):
-    from plumbline.operators.custom import query_frame
-    from plumbline.rule import Rule
-    from plumbline.sources.datasets import Scope
-
-    others = {"customer": load(spark, sf_dir, "customer")}
-    scope = Scope(load(spark, sf_dir, "orders"), name="orders", others=others)
-    return query_frame(scope, Rule(1, "unexpected_rows_expectation", _CUSTOM))
-
-
-add("unexpected_rows_failing", _custom_rows, _QUERY)
-
-
 def _limited(spark, sf_dir):
     """Capture limit: the number of rows kept, not which, is defined."""
     df = load(spark, sf_dir, "orders_q")

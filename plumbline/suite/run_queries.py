@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import datetime
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import catalog
-from plumbline.operators.custom import combination_profile
+from plumbline.operators.custom import combination_profile, query_profile_columns
 from plumbline.plans import details
 from plumbline.plans.evaluate import compile_rule, evaluate, failing_rows
 from plumbline.plans.pivot import pivot_failures, rule_header
-from plumbline.plans.retention import expired_rows, kept_rows
 from plumbline.plans.rules import failed_in_latest_run, runnable_rules
 from plumbline.rule import Rule
 from plumbline.sources.datasets import Scope
@@ -167,21 +163,6 @@ _CAPTURE_SQL = " UNION ALL ".join(
 add("fused_capture", _capture, _CAPTURE_SQL)
 
 
-def _keys(spark, sf_dir):
-    rows = _capture(spark, sf_dir)
-    return rows.select("rule_config_id", F.to_json(F.struct("c_custkey")).alias("failed_key"))
-
-
-add(
-    "failed_row_keys",
-    _keys,
-    " UNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) AS rule_config_id, concat('{{\"c_custkey\":', c_custkey, '}}') AS failed_key "
-        f"FROM customer WHERE {test}"
-        for i, test in _CUSTOMER_TESTS.items()
-    ),
-)
-
 # --- failure details ------------------------------------------------------------
 
 _DETAIL_RULES = [
@@ -267,9 +248,19 @@ add(
 )
 
 
+_COMBINATION_RULE = Rule(
+    1,
+    "unexpected_rows_expectation",
+    {"unexpected_rows_query": "SELECT * FROM orders WHERE o_totalprice > 300000 AND o_custkey > 0 "
+     "AND o_orderstatus <> 'none'", "profile_columns": ["o_custkey", "O_ORDERSTATUS"]},
+)
+
+
 def _combinations(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").where(F.col("o_totalprice") > 300000)
-    return combination_profile(rows, ["o_custkey", "o_orderstatus"])
+    """The failing rows of a custom query by the columns that its rule profiles."""
+    spec = compile_rule(Scope(load(spark, sf_dir, "orders"), name="orders"), _COMBINATION_RULE).spec
+    query = spec.failing()
+    return combination_profile(query, query_profile_columns(query, _COMBINATION_RULE))
 
 
 add(
@@ -277,7 +268,7 @@ add(
     _combinations,
     """
     WITH c AS (SELECT concat_ws(',', CAST(o_custkey AS VARCHAR), o_orderstatus) AS value, count(*) AS rows
-               FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+               FROM orders WHERE o_totalprice > 300000 AND o_custkey > 0 GROUP BY 1)
     SELECT value, rows, (SELECT count(*) FROM c) AS error_unique_count,
            CAST((SELECT sum(rows) FROM c) AS BIGINT) AS error_total_count
     FROM c ORDER BY rows DESC, value LIMIT 1000""",
@@ -339,31 +330,11 @@ add(
 _DATASETS = ((1, "customer", CUSTOMER_RULES), (2, "orders", ORDER_RULES), (3, "part", PART_RULES))
 
 
-def _project_results(spark, sf_dir) -> DataFrame:
-    frames = [
-        _results(spark, sf_dir, table, entries).withColumn("dataset_id", F.lit(i).cast("bigint"))
-        for i, table, entries in _DATASETS
-    ]
-    return reduce(DataFrame.unionByName, frames)
-
-
 _PROJECT_SQL = " UNION ALL ".join(
     _result_sql(entries, table, prefix=f"CAST({i} AS BIGINT) AS dataset_id, ") for i, table, entries in _DATASETS
 )
 
 
-def _summary(results: DataFrame) -> DataFrame:
-    passed = F.count_if("is_success")
-    total = F.count(F.lit(1))
-    return results.groupBy("dataset_id").agg(
-        total.alias("evaluated_expectations"),
-        passed.alias("successfull_expectations"),
-        (total - passed).alias("unsuccessfull_expectations"),
-        (passed * 100.0 / total).alias("success_percent"),
-        F.when(passed == total, "SUCCESS").otherwise("FAILURE").alias("run_status"),
-    )
-
-
 _SUMMARY_SQL = f"""
     SELECT dataset_id, count(*) AS evaluated_expectations,
            count(*) FILTER (WHERE is_success) AS successfull_expectations,
@@ -372,32 +343,6 @@ _SUMMARY_SQL = f"""
            CASE WHEN bool_and(is_success) THEN 'SUCCESS' ELSE 'FAILURE' END AS run_status
     FROM ({_PROJECT_SQL}) AS r GROUP BY dataset_id"""
 
-add("dataset_run_summaries", lambda spark, sf_dir: _summary(_project_results(spark, sf_dir)), _SUMMARY_SQL)
-
-
-def _project(spark, sf_dir):
-    runs = _summary(_project_results(spark, sf_dir))
-    passed = F.count_if(F.col("run_status") == "SUCCESS")
-    return runs.agg(
-        F.count(F.lit(1)).alias("datasets_run"),
-        passed.alias("passed"),
-        F.count_if(F.col("run_status") == "FAILURE").alias("failed"),
-        F.when(passed == F.count(F.lit(1)), "SUCCESS").otherwise("FAILURE").alias("run_status"),
-        (passed * 100.0 / F.count(F.lit(1))).alias("success_percent"),
-    )
-
-
-add(
-    "project_run_summary",
-    _project,
-    f"""
-    SELECT count(*) AS datasets_run, count(*) FILTER (WHERE run_status = 'SUCCESS') AS passed,
-           count(*) FILTER (WHERE run_status = 'FAILURE') AS failed,
-           CASE WHEN bool_and(run_status = 'SUCCESS') THEN 'SUCCESS' ELSE 'FAILURE' END AS run_status,
-           CAST(count(*) FILTER (WHERE run_status = 'SUCCESS') AS DOUBLE) * 100.0 / count(*) AS success_percent
-    FROM ({_SUMMARY_SQL}) AS s""",
-)
-
 # --- rules: fetching and retrying ----------------------------------------------
 
 
@@ -425,38 +370,3 @@ add(
     SELECT DISTINCT rule_config_id FROM {source('rule_results_q')} AS r WHERE dataset_id = 5 AND NOT is_success
     AND dataset_run_id = (SELECT max(dataset_run_id) FROM {source('rule_results_q')} AS s WHERE dataset_id = 5)""",
 )
-
-# --- retention --------------------------------------------------------------------
-
-_NOW = datetime.datetime(2001, 10, 1, 12, 0, 0)
-
-
-def _retention(spark, sf_dir):
-    results = load(spark, sf_dir, "rule_results_q")
-    runs = load(spark, sf_dir, "run_log_q")
-    frames = [
-        frame.groupBy()
-        .count()
-        .select(F.lit(name).alias("table_name"), F.lit(kind).alias("part"), F.col("count").alias("rows"))
-        for name, frame, stamp in (("rule_results", results, "run_timestamp"), ("dataset_run_log", runs, "created_timestamp"))
-        for kind, frame in (
-            ("kept", kept_rows(frame, stamp, _NOW, 180)),
-            ("deleted", expired_rows(frame, stamp, _NOW, 180)),
-        )
-    ]
-    return reduce(DataFrame.unionByName, frames)
-
-
-_CUT = "TIMESTAMP '2001-10-01 12:00:00' - INTERVAL 180 DAY"
-add(
-    "retention",
-    _retention,
-    " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, '{kind}' AS part, count(*) AS rows FROM {source(view)} AS s WHERE {stamp} {op} {_CUT}"
-        for name, view, stamp in (
-            ("rule_results", "rule_results_q", "run_timestamp"),
-            ("dataset_run_log", "run_log_q", "created_timestamp"),
-        )
-        for kind, op in (("kept", ">="), ("deleted", "<"))
-    ),
-)

@@ -154,7 +154,7 @@ _recon(
 _FILE = "expect_table_row_count_to_equal_source_file"
 for _name, _target in (
     ("source_file_count", "sales.core.orders_core"),
-    ("source_file_count_other", "SALES.CORE.IPSEN_X"),
+    ("source_file_count_other", "SALES.CORE.REGION_X"),
     ("source_file_count_unknown", "SALES.CORE.NOTHING"),
 ):
     _entry = (
@@ -164,7 +164,7 @@ for _name, _target in (
     )
     add(
         _name,
-        summary("orders", _FILE, {"audit_control_table": "audit_log_q", "target_table": _target},
+        summary("orders", _FILE, {"audit_control_table": "audit_log_q", "target_table": _target, "source_labels": {"REGION": "AREAS"}},
                 others=("audit_log_q",)),
         f"""
         WITH e AS ({_entry}), m AS (SELECT max(src) AS src, max(core) AS core, count(*) AS n FROM e)

@@ -48,3 +48,33 @@ def test_incremental_filter_reaches_the_scan(spark):
     text = plan(since(events, "TS", "2024-01-15 00:00:00").select("event_id"))
     assert re.search(r"PushedFilters: \[.*GreaterThan\(ts", text)
     assert since(events, None, "2024-01-15") is events and since(events, "ts", None) is events
+
+
+def test_incremental_reconciliation_filters_its_source(spark):
+    """Both sides are filtered by their marks before anything is grouped."""
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    kwargs = {"source_table": "core", "scd_type": 1, "partition_keys": "o_orderkey", "recon_mode": "incremental",
+              "core_insert_date_col": "o_orderdate", "conformed_update_date_col": "o_orderdate"}
+    marks = {1: ("1998-01-01 00:00:00", "1998-02-01 00:00:00")}
+    scope = Scope(orders, name="orders", others={"core": orders}, watermarks=marks)
+    text = plan(evaluate(scope, [Rule(1, "expect_table_row_count_to_equal_other_table", kwargs)]))
+    assert len(re.findall(r"PushedFilters: \[[^\]]*GreaterThan\(o_orderdate", text)) == 2
+
+
+def test_no_job_runs_while_a_plan_is_made(spark):
+    """Failing rows of the grouped checks are plans alone; only files' footers are read."""
+    from plumbline.plans.evaluate import failing_rows
+
+    lineitem = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    rules = [
+        Rule(1, "expect_column_values_to_be_unique", {"column": "l_orderkey"}),
+        Rule(2, "expect_compound_columns_to_be_unique", {"column_list": ["l_orderkey", "l_suppkey"]}),
+        Rule(3, "expect_column_values_to_not_be_null", {"column": "l_tax"}),
+    ]
+    spark.sparkContext.setJobGroup("made", "plans")
+    frame = failing_rows(Scope(lineitem, name="lineitem"), rules)
+    evaluate(Scope(lineitem, name="lineitem"), rules)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("made")) == []
+    frame.count()
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("made"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -114,13 +114,13 @@ FILE = "expect_table_row_count_to_equal_source_file"
         ("SALES.PUBLIC.NOTHING", [], ("NO_AUDIT_RECORD", "NO_AUDIT_RECORD", "FAIL", "UNKNOWN")),
         ("SALES.PUBLIC.ORDERS_CORE", [("SALES.PUBLIC.ORDERS_CORE", 12, 10, "SOURCE_TO_CORE", "Success",
                                        s.at("2025-01-24 10:16:00"))], ("12", "10", "FAIL", "ORDERS")),
-        ("SALES.PUBLIC.IPSEN_X", [("SALES.PUBLIC.IPSEN_X", 1, 1, "SOURCE_TO_CORE", "Success",
+        ("SALES.PUBLIC.LEDGER_X", [("SALES.PUBLIC.LEDGER_X", 1, 1, "SOURCE_TO_CORE", "Success",
                                    s.at("2025-01-24 10:16:00"))], ("1", "1", "PASS", "ROSTER")),
     ],
 )
 def test_source_file(spark, target, extra, expected):
     audit = spark.createDataFrame(s.AUDIT + extra, s.AUDIT_SCHEMA)
-    row = check(spark.range(1), FILE, {"audit_control_table": "audit", "target_table": target}, others={"audit": audit}).first()
+    row = check(spark.range(1), FILE, {"audit_control_table": "audit", "target_table": target, "source_labels": {"LEDGER": "ROSTER"}}, others={"audit": audit}).first()
     told = json.loads(row["details"])["source_to_core"]
     assert (told["src"], told["core"], told["result"], told["source_label"]) == expected
     assert row["is_success"] is (expected[2] == "PASS")

@@ -15,7 +15,7 @@ from plumbline.plans.rules import failed_in_latest_run, register_dataset, regist
 from plumbline.plans.runner import ERROR, FAILED, SUCCESS, load_datasets, run_dataset
 from plumbline.rule import Rule
 from plumbline.sources.datasets import Dataset
-from plumbline.sources.store import RETENTION_DAYS, Store, failure_table_name
+from plumbline.sources.store import RETENTION_DAYS, Store, failure_table_name, new_id
 from tests.samples import EMAIL
 
 NOW = datetime.datetime(2026, 3, 1, 12, 0, 0)
@@ -88,7 +88,8 @@ def test_run_writes_everything(spark, store, users):
     assert pivot.where(F.col(f"`{header}`") == "FAIL").count() == 6
     table_level = next(c for c in pivot.columns if c.endswith("_5"))
     assert {r[0] for r in pivot.select(F.col(f"`{table_level}`")).collect()} == {"FAIL - TABLE CHECK"}
-    assert spark.table("vw_users_dq_failure").count() == pivot.count()
+    assert spark.table(store.name("vw_users_dq_failure")).count() == pivot.count()
+    assert log["failure_view"] == store.name("vw_users_dq_failure") and log["source_sql"] == users.path
 
     rows = reports.run_results(store.read("rule_results"), store.read("rule_config"), 1).collect()
     assert [r["is_success"] for r in rows] == [False] * 8 + [True] * 2
@@ -121,7 +122,11 @@ def test_errors_stay_with_their_rule(store, users):
 def test_unknown_dataset_and_no_rules(store, users):
     assert run_dataset(store, 99, now=NOW).code == ERROR
     assert run_dataset(store, 1, now=NOW).code == ERROR
-    assert store.read("dataset_run_log").count() == 0
+    log = store.read("dataset_run_log").collect()
+    assert [(r["run_status"], r["evaluated_expectations"]) for r in log] == [("ERROR", 0)] * 2
+    assert len({r["dataset_run_id"] for r in log}) == 2
+    audited = {r["dataset_run_id"] for r in store.read("rule_audit_log").collect()}
+    assert audited == {r["dataset_run_id"] for r in log}
 
 
 def test_selective_run_and_retry(store, users):
@@ -133,7 +138,7 @@ def test_selective_run_and_retry(store, users):
     assert sorted(again.codes) == failed
     scopes = [r["run_scope"] for r in store.read("dataset_run_log").orderBy("dataset_run_id").collect()]
     assert scopes == ["FULL", "SELECTIVE"]
-    assert again.dataset_run_id == 2
+    assert again.dataset_run_id > 0
 
 
 def test_incremental_run_validates_new_rows_only(spark, store, tmp_path):
@@ -175,9 +180,9 @@ def test_project_run(store, users, spark, tmp_path):
     )
     run = run_project(store, 10, now=NOW)
     assert (run.datasets_total, run.datasets_run, run.datasets_skipped) == (4, 3, 1)
-    assert (run.passed, run.failed, run.errored, run.status, run.batch_id) == (2, 1, 0, "FAILURE", 1000)
-    assert {r["batch_id"] for r in store.read("dataset_run_log").collect()} == {1000}
-    assert {r["batch_id"] for r in store.read("rule_results").collect()} == {1000}
+    assert (run.passed, run.failed, run.errored, run.status, run.batch_id) == (2, 1, 0, "FAILURE", run.batch_id)
+    assert {r["batch_id"] for r in store.read("dataset_run_log").collect()} == {run.batch_id}
+    assert {r["batch_id"] for r in store.read("rule_results").collect()} == {run.batch_id}
     assert store.read("project_run_log").first()["run_status"] == "FAILURE"
     assert run_project(store, 77).status == "NO_DATASETS"
 
@@ -215,7 +220,8 @@ def test_retention(store):
 
 
 def test_store_ids_and_names(store):
-    assert store.next_run_id() == 1 and store.next_batch_id() == 1000
+    made = [new_id() for _ in range(5000)]
+    assert made == sorted(set(made))
     assert failure_table_name("My data-set 1") == "my_data_set_1_dq_failure"
     assert isinstance(store, Store) and load_datasets(store) == []
 
@@ -262,3 +268,82 @@ def test_capture_failure_leaves_the_verdict(store, users, monkeypatch):
     assert {r[0] for r in failures.select("rule_config_id").distinct().collect()} == {1, 3}
     broken = store.read("rule_audit_log").where("status = 'FAILED'").collect()
     assert [(r["rule_config_id"], r["step_name"]) for r in broken] == [(2, "INSERT_FAILED_RECORDS")]
+
+
+def test_custom_rows_are_captured(spark, store, users):
+    """A subset of the columns in another case, a column of its own, and a repeated name."""
+    query = "SELECT row_id, Score AS SCORE, SCORE * 2 AS twice, 1 AS why, 2 AS why FROM users WHERE SCORE > 1000"
+    register_rules(store, [rule(1, "unexpected_rows_expectation", unexpected_rows_query=query), RULES[7]], now=NOW)
+    run = run_dataset(store, 1, now=NOW)
+    rows = spark.table(store.name("users_dq_failure")).where("rule_config_id = 1").collect()
+    found = store.read("rule_results").where("rule_config_id = 1").first()["unexpected_count"]
+    assert run.codes == {1: FAILED, 8: SUCCESS}
+    assert len(rows) == found > 0
+    for row in rows:
+        assert row["SCORE"] > 1000 and row["ROW_ID"] is not None and row["STATUS"] is None
+        assert json.loads(row["query_columns"])["why"] == 1 and json.loads(row["query_columns"])["why_2"] == 2
+    keys = store.read("failed_row_keys").where("rule_config_id = 1")
+    assert {json.loads(r["failed_key"])["ROW_ID"] for r in keys.collect()} == {r["ROW_ID"] for r in rows}
+
+
+def test_a_dataset_nobody_names_does_no_harm(store, users):
+    register_dataset(store, Dataset(2, "o", path="/no/such/path"), now=NOW)
+    register_rules(
+        store,
+        [RULES[7], rule(30, "expect_table_row_count_to_equal_other_table", other_dataset_name="o", scd_type=0),
+         rule(31, "unexpected_rows_expectation", unexpected_rows_query="SELECT * FROM users JOIN o ON true"),
+         rule(32, "unexpected_rows_expectation",
+              unexpected_rows_query="SELECT extract(year FROM current_date()) AS y FROM users WHERE SCORE IS NOT NULL AND 1 = 0")],
+        now=NOW,
+    )
+    run = run_dataset(store, 1, now=NOW)
+    assert run.codes == {8: SUCCESS, 30: ERROR, 31: ERROR, 32: SUCCESS}
+
+
+def test_views_of_the_user_stay(spark, store, users):
+    spark.range(3).createOrReplaceTempView("users")
+    register_rules(store, [RULES[6]], now=NOW)
+    assert run_dataset(store, 1, now=NOW).codes == {7: FAILED}
+    assert spark.table("users").columns == ["id"] and spark.table("users").count() == 3
+    spark.catalog.dropTempView("users")
+    assert run_dataset(store, 1, now=NOW).codes == {7: FAILED}
+    assert not [t for t in spark.catalog.listTables() if t.name == "users"]
+
+
+def test_runs_at_the_same_time_keep_apart(store, users):
+    from plumbline.plans.parallel import side_by_side
+
+    register_rules(store, RULES[:3], now=NOW)
+    runs = side_by_side([lambda: run_dataset(store, 1, now=NOW) for _ in range(2)])
+    ids = {r.dataset_run_id for r in runs}
+    assert len(ids) == 2
+    counts = store.read("failed_row_keys").groupBy("dataset_run_id").count().collect()
+    assert {r["dataset_run_id"]: r["count"] for r in counts} == {i: 14 for i in ids}
+
+
+def test_steps_have_times_of_their_own(store, users):
+    register_rules(store, RULES[:3])
+    run_dataset(store, 1)
+    steps = store.read("rule_audit_log").orderBy("start_timestamp").collect()
+    assert all(r["start_timestamp"] <= r["end_timestamp"] for r in steps)
+    main = next(r for r in steps if r["step_name"] == "MAIN_QUERY")
+    written = next(r for r in steps if r["step_name"] == "INSERT_FAILED_RECORDS")
+    assert main["end_timestamp"] > main["start_timestamp"] and written["start_timestamp"] >= main["end_timestamp"]
+
+
+def test_limits_keep_the_first_rows(spark, store, users):
+    register_rules(store, [rule(1, "expect_column_values_to_be_between", column="SCORE", min_value=-10**10, max_value=5, failed_row_count=7),
+                           rule(2, "expect_column_value_z_scores_to_be_less_than", column="SCORE", threshold=-5, failed_row_count=3)], now=NOW)
+    run_dataset(store, 1, now=NOW)
+    rows = spark.table(store.name("users_dq_failure"))
+    first = [r[0] for r in users.load(spark).where("SCORE > 5").orderBy("ROW_ID").limit(7).select("ROW_ID").collect()]
+    assert sorted(r["ROW_ID"] for r in rows.where("rule_config_id = 1").collect()) == first
+    told = store.read("rule_results").where("rule_config_id = 2").first()["partial_unexpected_list"]
+    assert len(json.loads(told)) == rows.where("rule_config_id = 2").count() == 3
+
+
+def test_store_in_a_given_place(spark, tmp_path):
+    store = Store(spark, "dq_placed", str(tmp_path / "placed")).create()
+    store.append_rows("rule_audit_log", [{"dataset_run_id": 1, "start_timestamp": NOW}])
+    assert list((tmp_path / "placed").rglob("*.parquet"))
+    spark.sql("DROP DATABASE dq_placed CASCADE")
