@@ -10,11 +10,14 @@ a neighbour graph of the centres, held in memory, and selects the lists whose
 distance is within ``RATIO`` of the nearest, at most ``LISTS_LEAST`` or
 ``LISTS_SHARE`` of all, whichever is more.
 
-Lists and their queries meet in cells of at most ``CELL_VECTORS`` by
-``CELL_QUERIES``: a list that holds many copies of one vector is split by the
-hash of the ids, so no task grows with a list.  A cell keeps each query's best;
-scores are recomputed pair by pair in double precision on the original vectors,
-so equal vectors have equal scores, and ties go to the smaller id.
+Neighbouring lists are stored together in blocks of about ``BLOCK_VECTORS``
+placements; a list with more, for many copies of one vector, is split over
+several blocks by the hash of the ids.  A block and at most ``CELL_QUERIES`` of
+its queries meet in a task, which looks at the selected lists alone and keeps
+each query's best, so a query returns one short answer a block and no task
+grows with a list.  Scores are recomputed pair by pair in double precision on
+the original vectors, so equal vectors have equal scores, and ties go to the
+smaller id.
 
 The index is approximate; ``tests/llm`` holds its recall against brute force.
 
@@ -48,7 +51,7 @@ LISTS_LEAST = 64
 LISTS_SHARE = 0.4
 GRAPH_DEGREE = 24
 ENTRIES = 8
-CELL_VECTORS, CELL_QUERIES = 8192, 4096
+BLOCK_VECTORS, CELL_QUERIES = 8192, 2048
 SLACK = 1e-9
 
 
@@ -108,12 +111,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def balanced(points: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Centres of clusters of equal size, each half cut at the median between two means."""
-    random, parts = np.random.default_rng(seed), [points]
+    random, parts = np.random.default_rng(seed), [("", points)]
     while len(parts) < lists:
-        parts.sort(key=len)
-        part = parts.pop()
+        parts.sort(key=lambda p: len(p[1]))
+        path, part = parts.pop()
         if len(part) < 2:
-            parts.append(part)
+            parts.append((path, part))
             break
         means = part[random.choice(len(part), 2, replace=False)]
         for _ in range(4):
@@ -122,8 +125,9 @@ def balanced(points: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
                 means = np.stack([part[side == 0].mean(axis=0), part[side == 1].mean(axis=0)])
         order = np.argsort(part @ (means[1] - means[0]), kind="stable")
         half = len(part) // 2
-        parts += [part[order[:half]], part[order[half:]]]
-    centres = np.stack([p.mean(axis=0) for p in parts])
+        parts += [(path + "0", part[order[:half]]), (path + "1", part[order[half:]])]
+    # In the order of the halvings, so that neighbours have near numbers.
+    centres = np.stack([p.mean(axis=0) for _, p in sorted(parts, key=lambda p: p[0])])
     for _ in range(3):
         home = distances(points, centres).argmin(axis=1)
         for k in np.unique(home):
@@ -176,18 +180,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def placed(rows: DataFrame, shared, queries: bool) -> DataFrame:
-    """``list, vec_id, vec`` of each placement of a vector, or of each selected list of a query."""
+def placed(rows: DataFrame, shared) -> DataFrame:
+    """``list, vec_id, vec`` of each placement of a vector."""
 
     def work(batches):
         for batch in batches:
-            vectors = matrix(batch.column(1))
-            if queries:
-                picked = [shared.value.selected(q) for q in shared.value.raised(vectors, True)]
-                rows = np.repeat(np.arange(len(picked)), [len(p) for p in picked])
-                lists = np.array([c for p in picked for c in p], np.int64)
-            else:
-                rows, lists = shared.value.homes(vectors)
+            rows, lists = shared.value.homes(matrix(batch.column(1)))
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lists, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)],
@@ -197,34 +195,73 @@ def placed(rows: DataFrame, shared, queries: bool) -> DataFrame:
     return by_batches(rows, work, "list long, vec_id long, vec array<double>")
 
 
-def cells(rows: DataFrame, splits: DataFrame, own: str, other: str) -> DataFrame:
-    """Each row in the cells of its list: one of its own splits, all of the other side's."""
-    every = F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
-    return (
-        rows.join(F.broadcast(splits), "list")
-        .withColumn(own, F.pmod(F.xxhash64("vec_id"), own))
-        .withColumn(other, F.explode(every))
-    )
+def layout(sizes: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each list."""
+    first, many = np.zeros(lists, np.int64), np.ones(lists, np.int64)
+    block = held = 0
+    for k in range(lists):
+        size = sizes.get(k, 0)
+        if held and held + size > BLOCK_VECTORS:
+            block, held = block + 1, 0
+        first[k], many[k] = block, max(1, -(-size // BLOCK_VECTORS))
+        held += size
+        if many[k] > 1:
+            block, held = block + int(many[k]), 0
+    return first, many
+
+
+def sent(queries: DataFrame, shared, blocks) -> DataFrame:
+    """``block, vec_id, vec, lists`` of each query in each block that holds lists it selects."""
+
+    def work(batches):
+        first, many = blocks.value
+        for batch in batches:
+            owners, where, chosen = [], [], []
+            for k, query in enumerate(shared.value.raised(matrix(batch.column(1)), True)):
+                by_block: dict[int, list[int]] = {}
+                for c in shared.value.selected(query):
+                    for block in range(first[c], first[c] + many[c]):
+                        by_block.setdefault(int(block), []).append(c)
+                owners += [k] * len(by_block)
+                where += by_block
+                chosen += by_block.values()
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(where, pa.int64()),
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array(chosen, pa.list_(pa.int64())),
+                ],
+                names=["block", "vec_id", "vec", "lists"],
+            )
+
+    return by_batches(queries, work, "block long, vec_id long, vec array<double>, lists array<long>")
 
 
 def best_in_cell(nearest: int):
     def work(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if vectors.num_rows and queries.num_rows:
-            ids = vectors["vec_id"].to_numpy()
+            ids, lists = vectors["vec_id"].to_numpy(), vectors["list"].to_numpy()
             held = matrix(vectors["vec"].combine_chunks())
             query_ids = queries["vec_id"].to_numpy()
-            asked = matrix(queries["vec"].combine_chunks())
+            asked, chosen = matrix(queries["vec"].combine_chunks()), queries["lists"].to_pylist()
+            low_list = int(lists.min())
             for low in range(0, len(asked), 256):
                 rough = asked[low : low + 256] @ held.T
                 for k, row in enumerate(rough, low):
-                    row[ids == query_ids[k]] = -np.inf
-                    n = min(nearest, len(row))
+                    picked = np.zeros(int(lists.max()) - low_list + 1, bool)
+                    picked[[c - low_list for c in chosen[k] if 0 <= c - low_list < len(picked)]] = True
+                    row[~picked[lists - low_list] | (ids == query_ids[k])] = -np.inf
+                    n = min(nearest * REPLICAS, len(row))
                     least = np.partition(row, len(row) - n)[len(row) - n]
                     slack = SLACK * (1 + abs(least)) if np.isfinite(least) else 0.0
                     at = np.flatnonzero((row >= least - slack) & (row > -np.inf))
                     exact = np.einsum("ij,j->i", held[at], asked[k])
-                    order = np.lexsort((ids[at], -exact))[:nearest]
+                    order = np.lexsort((ids[at], -exact))
+                    _, firsts = np.unique(ids[at][order], return_index=True)  # a vector may be in several lists
+                    order = order[np.sort(firsts)][:nearest]
                     out[0].append(np.full(len(order), query_ids[k]))
                     out[1].append(ids[at][order])
                     out[2].append(exact[order])
@@ -250,20 +287,24 @@ def search(
     if lists is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(lists)
-    asked = valid(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    held = settle(placed(rows, shared, False))
-    asked = settle(placed(asked, shared, True))
+    held = settle(placed(rows, shared))
     # One row for each list, of which there are SAMPLE / SAMPLE_PER_LIST at most.
-    splits = settle(
-        held.groupBy("list")
-        .agg(F.ceil(F.count("*") / CELL_VECTORS).cast("long").alias("v"))
-        .join(asked.groupBy("list").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("long").alias("q")), "list")
-    )
-    keys = ["list", "v", "q"]
+    sizes = {r["list"]: r["count"] for r in held.groupBy("list").count().collect()}
+    first, many = layout(sizes, len(lists.centres))
+    blocks = spark.sparkContext.broadcast((first, many))
+    table = [(k, int(a), int(n)) for k, (a, n) in enumerate(zip(first, many, strict=True))]
+    table = F.broadcast(spark.createDataFrame(table, "list long, first long, many long"))
+    asked = valid(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = settle(sent(asked, shared, blocks))
+    cells = asked.groupBy("block").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("long").alias("cells"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+    stored = held.join(table, "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), "many"))
+    stored = stored.join(cells, "block").withColumn("cell", F.explode(every))
+    asked = asked.join(cells, "block").withColumn("cell", F.pmod(F.xxhash64("vec_id"), "cells"))
     found = (
-        cells(held, splits, "v", "q")
-        .groupBy(*keys)
-        .cogroup(cells(asked, splits, "q", "v").groupBy(*keys))
+        stored.select("block", "cell", "list", "vec_id", "vec")
+        .groupBy("block", "cell")
+        .cogroup(asked.select("block", "cell", "vec_id", "vec", "lists").groupBy("block", "cell"))
         .applyInArrow(best_in_cell(nearest), "query_id long, vec_id long, score double")
     )
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
