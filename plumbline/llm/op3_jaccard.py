@@ -14,14 +14,19 @@ is each document's component.
    left out of the segments: that removes differences at most, so agreement
    holds.  A document with so many empty segments that agreement might be among
    those alone sends the segments of its full set as well.
+   Families are split once more.  Within them, shingles that only one document
+   has come first in a common order; linked documents share one of the first
+   ``n - ceil(n * percent / 100) + 1`` shingles of each.  A document with that many
+   shingles of its own leaves, the others are joined by the shingles they share
+   there.  So documents with a passage in common, but little else, part again.
 3. *Signature trees.*  In a family, sets become bitmaps; a node holds the OR of
    its members' bitmaps and the range of their sizes.  A dual traversal drops
    node pairs whose greatest possible overlap is too small for their sizes, and
    those that already are one component; pairs of leaves that remain are
    checked on the full sets.
-   A large family is dealt into blocks that all hold the family's first member;
-   only if these leave it in several components, pairs of blocks are traversed,
-   skipping what is joined.
+   A large family (``BLOCK_SHINGLES``, ``BLOCK_MEMBERS``) is dealt into blocks that
+   all hold the family's first member; only if these leave it in several
+   components, pairs of blocks are traversed, skipping what is joined.
 
 Segment hashes repeated within a batch leave it once, so a group with a third
 of all documents sends a few rows a task.  Texts are read again instead of
@@ -43,19 +48,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import by_batches, components, read, settle, ship
 
 WORDS, PERCENT = 3, 90
 
-COUNTERS = 1 << 20
-# A counter is common when it holds this many times the mean, and a few more.
-COMMON_TIMES, COMMON_LEAST = 8, 64
+COUNTERS, COUNTERS_A_ROW = 1 << 23, 1 << 16
 BAND_STEPS = {True: 4, False: 2}  # of the size ratio, for percentages of at least 90 and below
 BROADCAST_IDS = 500_000
-BLOCK = 2000
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 21, 8192
 FAN_OUT = 16
 BITS_PER_SHINGLE, MOST_BITS = 8, 1 << 15
 
@@ -105,6 +108,10 @@ def shingle_sets(texts: pa.Array, words: int):
             yield np.zeros(0, np.uint64)
 
 
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 @lru_cache(maxsize=4)
 def bands(percent: int) -> tuple[list[int], list[int], list[int], list[int]]:
     """For each band of sizes: least, greatest, most differences of a linked pair, segments."""
@@ -147,7 +154,7 @@ def meeting_keys(shingles: np.ndarray, percent: int, common: np.ndarray) -> np.n
     size = len(shingles)
     own = bisect_right(lows, size) - 1
     chosen = [own] + ([own + 1] if size * 100 // percent >= lows[own + 1] else [])
-    rare = shingles[~common[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]]
+    rare = shingles[~common[counter_of(shingles)]]
     keys = []
     for band in chosen:
         if not most[band]:
@@ -163,43 +170,51 @@ def meeting_keys(shingles: np.ndarray, percent: int, common: np.ndarray) -> np.n
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, digest`` of every row, and rows of locally common counters."""
+    """``doc_id, n, digest`` of every row, and the counters of shingles that stand out in a task."""
 
     def work(batches):
-        counters = np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             sizes, digests, parts = [], [], []
             for found in shingle_sets(batch.column(1), words):
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 parts.append(found)
-            shingles = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            counters += np.bincount((shingles & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            at, times = np.unique(counter_of(np.concatenate(parts or [np.zeros(0, np.uint64)])), return_counts=True)
+            counters[at] += times.astype(np.int32)
             yield _rows(batch.column(0), sizes, digests)
-        often = np.flatnonzero(counters >= COMMON_LEAST / 4 + COMMON_TIMES / 2 * counters.mean())
-        yield _rows(pa.nulls(len(often), pa.int64()), [0] * len(often), None, often, counters[often])
+        mean = counters.mean()
+        often = np.flatnonzero(counters > max(3, mean + 4 * math.sqrt(mean) + 1))
+        yield _rows(pa.nulls(len(often), pa.int64()), [0] * len(often), None, often)
 
-    def _rows(ids, sizes, digests, counter=None, times=None):
+    def _rows(ids, sizes, digests, counter=None):
         n = len(ids)
         arrays = [
             ids,
             pa.array(sizes, pa.int64()),
             pa.array(digests or [None] * n, pa.binary()),
             pa.nulls(n, pa.int64()) if counter is None else pa.array(counter, pa.int64()),
-            pa.nulls(n, pa.int64()) if times is None else pa.array(times, pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "counter", "times"])
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "counter"])
 
-    return by_batches(docs, work, "doc_id long, n long, digest binary, counter long, times long")
+    return by_batches(docs, work, "doc_id long, n long, digest binary, counter long")
 
 
 def common_counters(rows: DataFrame) -> np.ndarray:
-    """Counters that hold very common shingles; at most ``COUNTERS`` of them by construction."""
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    least = COMMON_LEAST + COMMON_TIMES * total / COUNTERS
-    found = rows.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("times").alias("times"))
+    """The counters that stand out in some task; ``COUNTERS`` bits are collected, whatever the input."""
+
+    def packed(table: pa.Table) -> pa.Table:
+        common = np.zeros(COUNTERS_A_ROW, bool)
+        common[table["counter"].to_numpy() % COUNTERS_A_ROW] = True
+        first = pa.array([table["row"][0].as_py()], pa.int64())
+        return pa.table([first, pa.array([np.packbits(common).tobytes()], pa.binary())], names=["row", "bits"])
+
+    found = rows.where("counter IS NOT NULL").select("counter").distinct()
+    found = found.withColumn("row", F.floor(F.col("counter") / COUNTERS_A_ROW))
     common = np.zeros(COUNTERS, bool)
-    common[[r["counter"] for r in found.where(F.col("times") >= least).select("counter").collect()]] = True
+    for row in found.groupBy("row").applyInArrow(packed, "row long, bits binary").collect():
+        at = row["row"] * COUNTERS_A_ROW
+        common[at : at + COUNTERS_A_ROW] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))
     return common
 
 
@@ -437,6 +452,58 @@ def with_sets(rows: DataFrame, words: int, keep: list[str]) -> DataFrame:
     )
 
 
+def shared_prefixes(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges ``src, dst`` between members that share a shingle among the first of each.
+
+    Shingles of one member alone come first in the order, the others follow by
+    hash.  ``n - r`` being a member's own shingles, its first ``p`` hold the
+    least ``r - (n - p)`` of the ``r`` it shares with anyone.
+    """
+
+    def tokens(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), words))
+            owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owners, pa.int64())], names=["token", "doc_id"])
+
+    def repeated(batches):
+        """Rows whose token the row before or after has too; rows come sorted by token."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            token = table["token"].to_numpy()
+            same = token[1:] == token[:-1] if len(token) else np.zeros(0, bool)
+            keep = np.append(False, same) | np.append(same, False) if len(token) else np.zeros(0, bool)
+            # The last row waits for its successor; one that has a like before it is known already.
+            last = len(token) - 1
+            known = last > 0 and same[-1]
+            keep[last:] = False
+            yield from table.filter(pa.array(keep)).to_batches()
+            if last >= 0:
+                held = table.slice(last).to_batches()[0]
+                if known:
+                    yield held
+                    held = pa.RecordBatch.from_arrays(
+                        [held.column(0), pa.array([None], pa.int64())], names=["token", "doc_id"]
+                    )
+
+    rows = with_texts(docs, members.select("doc_id"), members.count()).select("doc_id", "text")
+    spread = by_batches(rows, tokens, "token long, doc_id long").repartition("token").sortWithinPartitions("token")
+    shared = by_batches_of(spread, repeated, "token long, doc_id long").where("doc_id IS NOT NULL").distinct()
+    shared = settle(shared)
+    needed = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    take = F.col("r") - (F.col("n") - needed)
+    wanted = (
+        shared.groupBy("doc_id").agg(F.count("*").alias("r")).join(members, "doc_id").withColumn("take", take)
+    ).where("take > 0")
+    order = Window.partitionBy("doc_id").orderBy("token")
+    first = shared.join(wanted.select("doc_id", "take"), "doc_id").withColumn("rank", F.row_number().over(order))
+    first = settle(first.where("rank <= take").select("token", "doc_id"))
+    heads = first.groupBy("token").agg(F.min("doc_id").alias("dst"))
+    return first.join(heads, "token").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
+
+
 def link_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -452,16 +519,17 @@ def link_components(
     )
     equal = settle(equal.distinct())
 
-    common = common_counters(rows)
-    families = components(family_edges(docs, words, percent, common).unionByName(equal))
-    firsts = named.join(classes, "digest").where("doc_id = first").select(F.col("doc_id").alias("node")).distinct()
-    members = families.join(firsts, "node", "left_semi")
-    sizes = members.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    families = components(family_edges(docs, words, percent, common_counters(rows)).unionByName(equal))
+    firsts = named.join(classes, "digest").where("doc_id = first")
+    firsts = firsts.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+    members = settle(families.join(firsts, "node").select(F.col("node").alias("doc_id"), "n"))
+    families = components(shared_prefixes(docs, members, words, percent))
+    members = families.join(firsts, "node")
+    sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_MEMBERS))
     members = settle(
-        members.join(sizes, "component").select(
-            F.col("node").alias("doc_id"),
-            F.col("component").alias("family"),
-            F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"),
+        members.join(sizes.where("members > 1"), "component").select(
+            F.col("node").alias("doc_id"), F.col("component").alias("family"), blocks.cast("long").alias("blocks")
         )
     )
     count = members.count()

@@ -98,7 +98,7 @@ def near_texts(seed: int, n: int) -> dict[int, str | None]:
 
 @pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 2000), (5, 80, 2000), (5, 80, 3)])
 def test_near_components(spark, monkeypatch, words, percent, block):
-    monkeypatch.setattr(op3_jaccard, "BLOCK", block)
+    monkeypatch.setattr(op3_jaccard, "BLOCK_MEMBERS", block)
     texts = near_texts(words + block, 260)
     rows, joined = op3_jaccard.link_components(frame(spark, texts.items()).repartition(4), words, percent)
     assert {r["doc_id"]: r["n"] for r in rows.collect()} == {k: len(plain.shingles(t, words)) for k, t in texts.items()}
@@ -117,15 +117,26 @@ def test_rows_with_equal_ids_are_one_document(spark):
     assert joined.select("node").distinct().count() == joined.count()
 
 
-def test_near_copies_with_very_common_shingles(spark, monkeypatch):
-    monkeypatch.setattr(op3_jaccard, "COMMON_LEAST", 4)
-    monkeypatch.setattr(op3_jaccard, "COMMON_TIMES", 0)
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_common_counters_do_not_matter_for_the_result(spark, monkeypatch, share):
+    """Leaving any shingles out of the segments loses no link."""
+    common = np.random.default_rng(1).random(op3_jaccard.COUNTERS) < share
+    monkeypatch.setattr(op3_jaccard, "common_counters", lambda rows: common)
     texts = near_texts(8, 200)
     _, joined = op3_jaccard.link_components(frame(spark, texts.items()), 5, 80)
     found = {k: k for k in texts} | {r["node"]: r["component"] for r in joined.collect()}
     assert found == plain.near_components(texts, 5, 80)
 
 
+def test_common_shingles_stand_out(spark):
+    texts = {k: f"only here {k} " * 3 + "a line that very many documents share" for k in range(500)}
+    rows = op3_jaccard.set_rows(frame(spark, texts.items()).select("doc_id", "text").coalesce(2), 5)
+    common = op3_jaccard.common_counters(rows)
+    shared = next(op3_jaccard.shingle_sets(pa.array(["a line that very many documents share"]), 5))
+    assert common[op3_jaccard.counter_of(shared)].all()
+    assert common.sum() < 40
+
+
 def test_linked_documents_always_meet():
     """The lossless step, tried on pairs of sets just at the limit."""
     draw = np.random.default_rng(2)
