@@ -86,13 +86,13 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     while not now.where("up IS NOT NULL").isEmpty():
         if len(jumps) == ROUNDS:
             raise ValueError("replies run in a circle")
-        jumps.append(now.where("up IS NOT NULL").select("tree", "node", "up"))
-        far = _joined(now, now, "up", "left")
-        now = settle(
-            far.select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")
-            )
+        going = now.where("up IS NOT NULL")
+        jumps.append(going.select("tree", "node", "up"))
+        # Messages that have reached their root take no further part.
+        far = _joined(going, now, "up", "left").select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")
         )
+        now = settle(now.where("up IS NULL").unionByName(far))
     # ``now.sum`` holds the score from each message up to its root.
     replied = own.where("up IS NOT NULL").select(F.col("tree").alias("tree2"), F.col("up").alias("node2")).distinct()
     leaf = F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("node") == F.col("node2"))
