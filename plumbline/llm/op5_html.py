@@ -9,7 +9,7 @@ Each remaining line has a ratio of text to tags.  The ratios are smoothed with
 a Gaussian window; lines at or over the threshold, the ratios' standard
 deviation, are the content cluster.  Where an article (else a main element)
 holds half of the cluster's text, the outermost such is the region; otherwise
-it is the innermost container that holds nearly all of it (``MOST``).  The main
+it is the innermost container of blocks that holds nearly all of it (``MOST``).  The main
 text is every line of the region, short ones too, so nothing of the article is
 lost to the threshold.
 
@@ -79,6 +79,7 @@ class Lines(HTMLParser):
         self.passing = 0  # depth of the element that is passed over, else 0
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: dict[int, str] = {}
+        self.parents: set[int] = set()  # elements with blocks inside
         self.text: list[str] = []
         self.tags = 0
         self.count = 0
@@ -112,6 +113,8 @@ class Lines(HTMLParser):
         if block:
             self.end_line()
             self.end_implied(tag)
+            if self.open:
+                self.parents.add(self.open[-1][1])
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
@@ -207,7 +210,7 @@ def region(page: Lines) -> int | None:
     for tag in ("article", "main"):
         if found := [e for e, w in weights.items() if page.names[e] == tag and w >= HALF * total]:
             return min(found)
-    return max((e for e, w in weights.items() if w >= MOST * total), default=None)
+    return max((e for e, w in weights.items() if w >= MOST * total and e in page.parents), default=None)
 
 
 def main_text(html: str | None) -> str:
