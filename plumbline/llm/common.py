@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 _SHIPPED: set[str] = set()
