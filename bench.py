@@ -10,12 +10,21 @@ import json
 import os
 import re
 import statistics
+import tempfile
 import time
+import uuid
+
+from pyspark.sql import functions as F
 
 from plumbline import suite
+from plumbline.operators.median import median_frame
 from plumbline.plans.evaluate import evaluate
+from plumbline.plans.rules import register_dataset, register_rules
+from plumbline.plans.runner import run_dataset
+from plumbline.rule import Rule
 from plumbline.session import build_session
-from plumbline.sources.datasets import Scope
+from plumbline.sources.datasets import Dataset, Scope
+from plumbline.sources.store import Store
 from plumbline.suite.run_queries import LINE_RULES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -40,6 +49,7 @@ HEADLINE = [
     "most_common_in_set",
     "distinct_in_set",
     "recon_history_full",
+    "recon_current_state_incremental",
     "recon_history_incremental",
     "recon_history_first_seen",
     "latest_watermarks",
@@ -63,6 +73,34 @@ def drain(frame) -> None:
     frame.write.format("noop").mode("overwrite").save()
 
 
+def run_times(spark) -> dict[str, float]:
+    """A whole run of ``lineitem``'s rules through a store, with and without the failing rows."""
+    times = {}
+    for name, captured in (("run_dataset_capture", True), ("run_dataset_no_capture", False)):
+        folder = tempfile.mkdtemp(prefix="plumbline-bench-")
+        store = Store(spark, f"bench_{uuid.uuid4().hex[:8]}", folder).create()
+        register_dataset(store, Dataset(1, "lineitem", path=f"{SF_DIR}/lineitem.parquet"))
+        rules = [e[0] for e in LINE_RULES]
+        rules = [Rule(r.rule_config_id, r.expectation, r.kwargs, dataset_id=1, error_flag=captured) for r in rules]
+        register_rules(store, rules)
+        times[name] = timed(lambda store=store: run_dataset(store, 1))
+        spark.sql(f"DROP DATABASE {store.database} CASCADE")
+    return times
+
+
+def shuffle_mb(spark, action) -> float:
+    """MB that an action's stages write to shuffles, from the status store."""
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> int:
+        stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    action()
+    return round((written() - before) / 1e6, 3)
+
+
 def main() -> None:
     spark = build_session(
         "plumbline-bench",
@@ -88,9 +126,16 @@ def main() -> None:
 
     times["rules_fused"] = timed(lambda: evaluate(Scope(lineitem, name="lineitem"), rules).collect())
     times["rules_one_by_one"] = timed(one_by_one)
+    times |= run_times(spark)
+    value = F.col("l_extendedprice")
+    for name, approximate in (("median_exact", False), ("median_approximate", True)):
+        times[name] = timed(lambda a=approximate: median_frame(lineitem, value, value, a).collect())
+    shuffled = {}
+    for name in ("keys_unique_failing", "compound_unique_failing", "recon_history_full", "recon_history_incremental"):
+        shuffled[name] = shuffle_mb(spark, lambda n=name: drain(queries[n](spark, SF_DIR)))
     spark.stop()
     found = re.search(r"sf([\d.]+)", SF_DIR)
-    headline = sum(v for k, v in times.items() if not k.startswith("rules_"))
+    headline = sum(times[name] for name in HEADLINE)
     print(
         json.dumps(
             {
@@ -98,6 +143,7 @@ def main() -> None:
                 "value": round(headline, 3),
                 "unit": "sec",
                 "queries": times,
+                "shuffle_mb": shuffled,
                 "sf": float(found.group(1)) if found else None,
             }
         )
