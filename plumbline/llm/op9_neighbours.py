@@ -6,9 +6,9 @@ and again at the median of its two-means direction, which gives clusters of
 equal size; their refined centres head the posting lists.  Every vector of the
 table is put into its nearest list and, near a boundary, into up to
 ``REPLICAS`` lists: those at most ``REPLICA_RATIO`` times as far.  A query walks
-a neighbour graph of the centres, held in memory, and selects the lists whose
-distance is within ``RATIO`` of the nearest, at most ``LISTS_LEAST`` or
-``LISTS_SHARE`` of all, whichever is more.
+a neighbour graph of the centres, held in memory, and selects ``LISTS_LEAST``
+or ``LISTS_SHARE`` of all lists, whichever is more; beyond the first
+``LISTS_LEAST`` only those within ``RATIO`` of the last of these.
 
 Neighbouring lists are stored together in blocks of about ``BLOCK_VECTORS``
 placements; a list with more, for many copies of one vector, is split over
@@ -101,7 +101,9 @@ class Lists:
                     if len(best) > most:
                         heapq.heappop(best)
         found = sorted((-g, c) for g, c in best)
-        return [c for g, c in found if g <= RATIO * found[0][0]]
+        # A query may be nearly a centre itself, so the nearest distance is no measure of its surroundings.
+        reach = RATIO * found[min(LISTS_LEAST, len(found)) - 1][0]
+        return [c for g, c in found if g <= reach]
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

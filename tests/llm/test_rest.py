@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,6 +171,29 @@ def test_neighbours_of_odd_vectors(spark):
     assert op9_neighbours.search(rows, rows.where("false")).count() == 0
 
 
+def test_recall_where_lists_are_left_out(spark):
+    """Several hundred lists of vectors without clusters, under half of which are looked at."""
+    vectors = np.random.default_rng(11).normal(size=(30_000, 64))
+    column = pa.FixedSizeListArray.from_arrays(vectors.ravel(), 64).cast(pa.list_(pa.float64()))
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(30_000), "embedding": column}))
+    found: dict = {}
+    for r in op9_neighbours.search(rows, rows.where("vec_id % 250 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 30_000, 250):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        assert len(found[q]) == 20
+        hits += len(found[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_a_query_at_a_centre_looks_around():
+    centres = np.random.default_rng(5).normal(size=(200, 8))
+    lists = op9_neighbours.Lists(centres, op9_neighbours.neighbour_graph(centres), 9.0)
+    assert len(lists.selected(centres[7])) >= op9_neighbours.LISTS_LEAST
+
+
 # Pipeline
 
 
