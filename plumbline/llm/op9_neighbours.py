@@ -23,8 +23,8 @@ The index is approximate; ``tests/llm`` holds its recall against brute force.
 
 Cases: null, empty and zero vectors, vectors with null or non-finite components
 and vectors of another length than most take no part, as query or candidate; of
-rows with equal ids a query takes the least vector, a candidate the best score;
-fewer candidates than asked for give all; empty tables give an empty result;
+rows with equal ids a query takes the least vector, a candidate the best score
+(equal rows are dropped first, and a cell keeps distinct ids); fewer candidates than asked for give all; empty tables give an empty result;
 other columns are not read.
 """
 
@@ -245,8 +245,10 @@ def best_in_cell(nearest: int):
     def work(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if vectors.num_rows and queries.num_rows:
+            vectors = vectors.sort_by("vec_id").combine_chunks()
             ids, lists = vectors["vec_id"].to_numpy(), vectors["list"].to_numpy()
             held = matrix(vectors["vec"].combine_chunks())
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             query_ids = queries["vec_id"].to_numpy()
             asked, chosen = matrix(queries["vec"].combine_chunks()), queries["lists"].to_pylist()
             low_list = int(lists.min())
@@ -256,13 +258,14 @@ def best_in_cell(nearest: int):
                     picked = np.zeros(int(lists.max()) - low_list + 1, bool)
                     picked[[c - low_list for c in chosen[k] if 0 <= c - low_list < len(picked)]] = True
                     row[~picked[lists - low_list] | (ids == query_ids[k])] = -np.inf
-                    n = min(nearest * REPLICAS, len(row))
-                    least = np.partition(row, len(row) - n)[len(row) - n]
+                    best = np.maximum.reduceat(row, starts)  # an id may have several vectors, a vector several lists
+                    n = min(nearest, len(best))
+                    least = np.partition(best, len(best) - n)[len(best) - n]
                     slack = SLACK * (1 + abs(least)) if np.isfinite(least) else 0.0
                     at = np.flatnonzero((row >= least - slack) & (row > -np.inf))
                     exact = np.einsum("ij,j->i", held[at], asked[k])
                     order = np.lexsort((ids[at], -exact))
-                    _, firsts = np.unique(ids[at][order], return_index=True)  # a vector may be in several lists
+                    _, firsts = np.unique(ids[at][order], return_index=True)
                     order = order[np.sort(firsts)][:nearest]
                     out[0].append(np.full(len(order), query_ids[k]))
                     out[1].append(ids[at][order])
@@ -284,7 +287,8 @@ def search(
     """Each query's nearest rows: ``query_id, rank, vec_id, score``."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = valid(vectors, id_col, vec_col)
+    # Equal rows would fill lists and blocks without adding an answer.
+    rows = settle(valid(vectors, id_col, vec_col).distinct())
     lists = build_lists(rows)
     if lists is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -194,6 +194,24 @@ def test_a_query_at_a_centre_looks_around():
     assert len(lists.selected(centres[7])) >= op9_neighbours.LISTS_LEAST
 
 
+def test_neighbours_of_repeated_ids(spark):
+    vectors = np.random.default_rng(13).normal(size=(200, 8))
+    query = np.ones(8)
+    # Id 999 has 100 different vectors, each nearer to the query than any other.
+    many = [(999, (query * (20 + k / 100)).tolist()) for k in range(100)]
+    rows = [(0, query.tolist()), *[(k, v.tolist()) for k, v in enumerate(vectors, 1)]]
+    single = {(r["rank"], r["vec_id"]) for r in search_of(spark, [*rows, many[-1]])}
+    assert len(single) == 20 and (1, 999) in single
+    assert {(r["rank"], r["vec_id"]) for r in search_of(spark, [*rows, *many])} == single
+    assert {(r["rank"], r["vec_id"]) for r in search_of(spark, [*rows, *many[-1:] * 100])} == single
+    assert {(r["rank"], r["vec_id"]) for r in search_of(spark, [*rows, many[-1]] * 5)} == single
+
+
+def search_of(spark, rows):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return op9_neighbours.search(frame, frame.where("vec_id = 0")).collect()
+
+
 # Pipeline
 
 
