@@ -7,11 +7,11 @@ their class and id) are passed over with all they contain.
 
 Each remaining line has a ratio of text to tags.  The ratios are smoothed with
 a Gaussian window; lines at or over the threshold, the ratios' standard
-deviation, are the content cluster.  Where an article (else a main element)
-holds half of the cluster's text, the outermost such is the region; otherwise
-it is the innermost container of blocks that holds nearly all of it (``MOST``).  The main
-text is every line of the region, short ones too, so nothing of the article is
-lost to the threshold.
+deviation, are the content cluster.  Where the articles (else the main elements)
+hold half of the cluster's text, all of them together are the region; otherwise
+it is the innermost container of blocks that holds every line of the cluster and
+every line that is not mostly links.  The main text is every line of the region,
+short ones too, so nothing of the article is lost to the threshold.
 
 Cases: a null or empty page gives an empty text, and so does one without any
 line; broken markup is read as far as the parser goes and its brackets as
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import by_batches, read
 
 RADIUS, SIGMA = 2, 1.0
-MOST, HALF = 0.9, 0.5
+HALF = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -71,17 +71,19 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page as ``(text, tags, path of open containers)``."""
+    """Lines of a page as ``(text, tags, path of open containers, characters in links)``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []
         self.passing = 0  # depth of the element that is passed over, else 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
         self.names: dict[int, str] = {}
         self.parents: set[int] = set()  # elements with blocks inside
         self.text: list[str] = []
         self.tags = 0
+        self.links = 0  # characters of the line that are in links
+        self.linked = False
         self.count = 0
 
     def end_line(self) -> None:
@@ -89,9 +91,10 @@ class Lines(HTMLParser):
             line = " ".join("".join(self.text).split())
             if line:
                 path = tuple(k for tag, k in self.open if tag in CONTAINERS)
-                self.lines.append((line, self.tags, path))
+                self.lines.append((line, self.tags, path, self.links))
                 self.tags = 0
-            self.text = []
+            self.text, self.links = [], 0
+        self.linked = False  # a link left open ends with its line at the latest
 
     def close_to(self, depth: int) -> None:
         del self.open[depth:]
@@ -116,6 +119,8 @@ class Lines(HTMLParser):
             if self.open:
                 self.parents.add(self.open[-1][1])
         self.tags += 1
+        if tag == "a":
+            self.linked = any(name == "href" for name, _ in attrs)
         if tag == "br":
             self.text.append(" ")
         if tag in VOID or not (block or tag in PASSED or attrs):
@@ -135,6 +140,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.linked = False
         if tag in BLOCKS:
             self.end_line()
         for depth in range(len(self.open) - 1, -1, -1):
@@ -145,6 +152,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.passing:
             self.text.append(data)
+            self.links += self.linked * len(data)
 
     def unknown_decl(self, data):
         pass
@@ -191,26 +199,34 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def region(page: Lines) -> int | None:
-    """The element that holds the content cluster, or None for the whole page."""
-    ratios = [len(text) / max(1, tags) for text, tags, _ in page.lines]
+def region(page: Lines) -> set[int] | None:
+    """The elements that hold the content cluster, or None for the whole page."""
+    ratios = [len(text) / max(1, tags) for text, tags, *_ in page.lines]
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     inside = [r >= threshold for r in smoothed(ratios)]
     if not any(inside):
         inside = [True] * len(ratios)
-    weights: dict[int, int] = {}
-    total = 0
-    for (text, _, path), chosen in zip(page.lines, inside, strict=True):
-        if chosen:
-            total += len(text)
-            for element in path:
-                weights[element] = weights.get(element, 0) + len(text)
-    # Elements are numbered as they open, so of nested ones the outermost has the least number.
+    total = sum(len(text) for (text, *_), chosen in zip(page.lines, inside, strict=True) if chosen)
     for tag in ("article", "main"):
-        if found := [e for e, w in weights.items() if page.names[e] == tag and w >= HALF * total]:
-            return min(found)
-    return max((e for e, w in weights.items() if w >= MOST * total and e in page.parents), default=None)
+        found, weight = set(), 0
+        for (text, _, path, _), chosen in zip(page.lines, inside, strict=True):
+            # Paths run inwards, so the first is the outermost.
+            if (outer := next((e for e in path if page.names[e] == tag), None)) is not None:
+                found.add(outer)
+                weight += len(text) * chosen
+        if found and weight >= HALF * total:
+            return found
+    common: tuple[int, ...] | None = None
+    for (text, _, path, links), chosen in zip(page.lines, inside, strict=True):
+        if chosen or links < HALF * len(text):
+            common = path if common is None else common[: shared(common, path)]
+    return next(({e} for e in reversed(common or ()) if e in page.parents), None)
+
+
+def shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Length of the common beginning."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def main_text(html: str | None) -> str:
@@ -218,7 +234,7 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     chosen = region(page)
-    return "\n".join(text for text, _, path in page.lines if chosen is None or chosen in path)
+    return "\n".join(text for text, _, path, _ in page.lines if chosen is None or not chosen.isdisjoint(path))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -112,6 +112,20 @@ def test_odd_pages(spark):
     assert op5_html.extract(pages.where("false")).count() == 0
 
 
+def test_pages_without_an_article_keep_their_ends():
+    body = "".join(f"<p>{'a long sentence of the text ' * (3 + k % 9)}</p>" for k in range(30))
+    links = "<ul>" + "<li><a href='/x'>somewhere else</a></li>" * 5 + "</ul>"
+    text = op5_html.main_text(f"<body>{links}<h1>T</h1><p>lead</p><div>{body}</div><p>end</p></body>").split("\n")
+    assert "T" in text and "lead" in text and text[-1] == "end"
+    inner = op5_html.main_text(f"<body>{links}<div><h1>T</h1><div>{body}</div><p>end</p></div></body>").split("\n")
+    assert inner[0] == "T" and inner[-1] == "end" and len(inner) == 32
+    two = op5_html.main_text(f"<body><section>{body}</section><section><p>and a few words more</p></section></body>")
+    assert two.endswith("and a few words more")
+    parts = "<p>six of ten parts are here</p>" * 6, "<p>four of ten parts are here</p>" * 4
+    found = op5_html.main_text("<main><article>{}</article><article>{}</article></main>".format(*parts))
+    assert found.count("six") == 6 and found.count("four") == 4
+
+
 def test_pages_of_the_table(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     found = {r["page_id"]: r for r in op5_html.op5_html(spark, SF).collect()}
