@@ -2,8 +2,14 @@
 
 The standard library's parser streams over a page.  Block elements end a line;
 inline markup only adds to its count of tags.  Elements that never hold the
-article (scripts, forms, menus and so on, by their tag, role or the words of
-their class and id) are passed over with all they contain.
+article (scripts, forms, menus and so on, by their tag or role) are passed over
+with all they contain.  So are elements by a name in their class or id, but no
+name alone takes much of a page: a first reading counts the text of the named
+elements.  Names of marking words alone (``WORDS``, with ``NEUTRAL`` ones) rule out
+an element with less than nearly all of the page's text (``MOST``), or one that has
+nothing to do with the page's article or main element; names with other words in them
+only an element that is mostly links, and ``MODIFIERS`` take a name's meaning.  If
+nothing is left, the names count for nothing.
 
 Each remaining line has a ratio of text to tags.  The ratios are smoothed with
 a Gaussian window; lines at or over the threshold, the ratios' standard
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import by_batches, read
 
 RADIUS, SIGMA = 2, 1.0
-HALF = 0.5
+MOST, HALF = 0.9, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -55,6 +61,13 @@ WORDS = frozenset(
     recommended newsletter subscribe signup popup modal overlay login search widget widgets toolbar pagination pager
     copyright skip""".split()
 )
+# Words beside them that change nothing, and first words of names that tell of something elsewhere on the page.
+NEUTRAL = frozenset(
+    """area bar block bottom box button buttons center col column container content global group icons inner item
+    items left link links list main middle outer page panel primary right row secondary section site small text top
+    unit wrap wrapper""".split()
+)
+MODIFIERS = frozenset("has have with without no not hide is can".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu".split())
 # What a new element ends, as the end tag may be left out.
 ENDS = {
@@ -73,8 +86,14 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 class Lines(HTMLParser):
     """Lines of a page as ``(text, tags, path of open containers, characters in links)``."""
 
-    def __init__(self):
+    def __init__(self, named_out: frozenset[int] | None = None):
         super().__init__(convert_charrefs=True)
+        self.named_out = named_out  # named elements to pass over; None in a first reading
+        self.named: dict[int, list] = {}  # of each: whether its name is sure, characters, characters in links
+        self.inside: list[tuple[int, int]] = []  # depth and number of the open ones
+        self.marked = False  # whether there is an article or main element
+        self.beside: set[int] = set()  # named elements around or in one
+        self.total = 0
         self.open: list[tuple[str, int]] = []
         self.passing = 0  # depth of the element that is passed over, else 0
         self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
@@ -98,6 +117,8 @@ class Lines(HTMLParser):
 
     def close_to(self, depth: int) -> None:
         del self.open[depth:]
+        while self.inside and self.inside[-1][0] > depth:
+            self.inside.pop()
         if self.passing and depth < self.passing:
             self.passing = 0
 
@@ -126,12 +147,24 @@ class Lines(HTMLParser):
         if tag in VOID or not (block or tag in PASSED or attrs):
             return
         self.count += 1
-        if not block and tag not in PASSED and not unwanted(attrs):
+        name = named(attrs) if attrs and tag not in CONTENT else None
+        if not block and tag not in PASSED and name is None and not unwanted(attrs):
             return
         self.open.append((tag, self.count))
         self.names[self.count] = tag
         if not self.passing and (tag in PASSED or (tag not in CONTENT and attrs and unwanted(attrs))):
             self.passing = len(self.open)
+        elif not self.passing and tag in ("article", "main"):
+            self.marked = True
+            self.beside.update(e for _, e in self.inside)
+        elif not self.passing and name is not None:
+            if self.named_out is None:
+                if self.marked and any(t in ("article", "main") for t, _ in self.open):
+                    self.beside.add(self.count)
+                self.named[self.count] = [name, 0, 0]
+                self.inside.append((len(self.open), self.count))
+            elif self.count in self.named_out:
+                self.passing = len(self.open)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -153,6 +186,11 @@ class Lines(HTMLParser):
         if not self.passing:
             self.text.append(data)
             self.links += self.linked * len(data)
+            size = len("".join(data.split()))
+            self.total += size
+            for _, element in self.inside:
+                self.named[element][1] += size
+                self.named[element][2] += self.linked * size
 
     def unknown_decl(self, data):
         pass
@@ -160,8 +198,6 @@ class Lines(HTMLParser):
 
 def unwanted(attrs) -> bool:
     for name, value in attrs:
-        if name in ("class", "id") and value and not WORDS.isdisjoint(SPLIT.split(value.lower())):
-            return True
         if name == "role" and value and value.lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -171,9 +207,39 @@ def unwanted(attrs) -> bool:
     return False
 
 
+def named(attrs) -> bool | None:
+    """Whether a name of the class or id surely marks what is not the article; None if none may."""
+    found = None
+    for key, value in attrs:
+        if key in ("class", "id") and value:
+            for name in value.lower().split():
+                words = [w for w in SPLIT.split(name) if w and not w.isdigit()]
+                if words and words[0] not in MODIFIERS and not WORDS.isdisjoint(words):
+                    found = found or all(w in WORDS or w in NEUTRAL for w in words)
+    return found
+
+
+def named_out(page: Lines) -> frozenset[int]:
+    """Named elements to pass over: those that do not hold the article by what is in them."""
+    return frozenset(
+        e
+        for e, (sure, size, links) in page.named.items()
+        if ((size < MOST * page.total or (page.marked and e not in page.beside)) if sure else size and links >= HALF * size)
+    )
+
+
 def read_page(html: str) -> Lines:
+    first = read_lines(html, None)
+    out = named_out(first)
+    if not out:
+        return first
+    second = read_lines(html, out)
+    return second if second.lines else first
+
+
+def read_lines(html: str, out: frozenset[int] | None) -> Lines:
     for page in (html, html.replace("<!", "&lt;!"), html.replace("<", "&lt;")):
-        parser = Lines()
+        parser = Lines(out)
         try:
             parser.feed(page)
             parser.close()
@@ -181,7 +247,7 @@ def read_page(html: str) -> Lines:
             continue
         parser.end_line()
         return parser
-    return Lines()
+    return Lines(out)
 
 
 WINDOW = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]

@@ -126,6 +126,18 @@ def test_pages_without_an_article_keep_their_ends():
     assert found.count("six") == 6 and found.count("four") == 4
 
 
+@pytest.mark.parametrize(
+    "name", ["class='content has-sidebar'", "id='page' class='no-comments'", "class='social-science'", "class='post with-ads'", "class='comments'"]
+)
+def test_no_name_alone_takes_the_article(name):
+    body = "<p>a sentence of the text that counts</p>" * 10
+    aside = "<div class='sidebar-left'><p>elsewhere</p></div>"
+    assert op5_html.main_text(f"<body><div {name}>{body}{aside}</div></body>").split("\n") == ["a sentence of the text that counts"] * 10
+    if name != "class='comments'":
+        parts = f"<div {name}><p>first part</p></div><div>{body}</div>"
+        assert op5_html.main_text(f"<body>{parts}</body>").startswith("first part")
+
+
 def test_pages_of_the_table(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     found = {r["page_id"]: r for r in op5_html.op5_html(spark, SF).collect()}
