@@ -266,10 +266,26 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with their own columns.
 
     Rejected are those without any letter; a clean text is never rejected for
-    a low score.
+    a low score, and where no language can be learned all with a letter stay.
     """
-    found = predict(docs, train(docs), names=("__lang", "__score"))
-    return found.where(F.col("__lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = train(docs)
+    if not model.languages:
+        return with_letters(docs)
+    found = predict(docs, model, names=("__lang", "__score"))
+    # The score is 0 only where there is no letter; a language may itself be labelled "und".
+    return found.where("__score > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with a letter, by the text alone."""
+    where = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            keep = [any(map(str.isalpha, text or "")) for text in batch.column(where).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return by_batches(docs, work, docs.schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

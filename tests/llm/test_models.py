@@ -33,6 +33,16 @@ def test_automaton_reads_exactly_the_substrings():
         assert states <= 2 * len(text) + 1
 
 
+def test_documents_stay_where_no_language_is_labelled(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None), (None, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = op1_language.keep_known(docs)
+    assert kept.columns == docs.columns
+    assert {r["text"] for r in kept.collect()} == {"some words", "é", "more words"}
+    named = docs.where("doc_id IS NULL").unionByName(spark.range(10, 90).selectExpr("id AS doc_id", "'some words' AS text", "'und' AS lang"))
+    assert op1_language.keep_known(named).count() == 81
+
+
 def plain_phrases(sample: list[int], text: list[int]) -> int:
     """Greedy longest matches by search; a symbol that the sample lacks is a phrase."""
     joined, at, phrases = bytes(sample), 0, 0
