@@ -210,6 +210,26 @@ def test_trees_add_what_looks_like_personal_data(spark):
     assert found[5000] in ("", "phone:5:19")
 
 
+def test_trees_find_planted_data_in_other_forms(spark):
+    draw = random.Random(4)
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    names = "ann bob.lee carla d_fox eve hans.m ida".split()
+    rows = []
+    for k in range(900):
+        text = f"plain words come first here and there. call +1 ({number(3)}) {number(3)}-{number(4)} now, order {number(10)}, "
+        rows.append((k, text + f"mail {draw.choice(names)}@{draw.choice(names[::2])}.example.org today"))
+    planted = {
+        5000: ("call (504) 555-2652 now", "phone:5:19"),
+        5001: ("call 1 (504) 555-2652 now", "phone:5:21"),
+        5002: ("mail ann at hans dot example dot org today", "email:5:36"),
+        5003: ("order 1234567890 of 12345678", ""),
+        5004: ("they look at the dot product", ""),
+    }
+    docs = spark.createDataFrame([*rows, *[(k, t) for k, (t, _) in planted.items()]], "doc_id long, text string")
+    found = op6_pii.find(docs.where("doc_id >= 5000"), op6_pii.train(docs)).collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == {k: w for k, (_, w) in planted.items()}
+
+
 def test_redaction(spark):
     schema = "doc_id long, text string, n_chars int, spans string"
     rows = [(1, "me@a.org, 1.2.3.4", 17, "s"), (2, None, None, None), (3, "", 0, None), (4, "clean", 5, None)]
