@@ -13,6 +13,9 @@ from plumbline.llm import (
     op8_exact_dedup,
     op9_neighbours,
     op10_packing,
+    op11_codes,
+    op12_toxicity,
+    op13_clusters,
 )
 
 QUERIES = {
@@ -26,6 +29,14 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup.op8_exact_dedup,
     "op9_neighbours": op9_neighbours.op9_neighbours,
     "op10_packing": op10_packing.op10_packing,
+    "op11_codes": op11_codes.op11_codes,
+    "op12_toxicity": op12_toxicity.op12_toxicity,
+    "op13_clusters": op13_clusters.op13_clusters,
 }
 
-ORACLES = {"op4_chats": op4_chats.ORACLE, "op8_exact_dedup": op8_exact_dedup.ORACLE}
+ORACLES = {
+    "op4_chats": op4_chats.ORACLE,
+    "op8_exact_dedup": op8_exact_dedup.ORACLE,
+    "op11_codes": op11_codes.ORACLE,
+    "op13_clusters": op13_clusters.ORACLE,
+}
