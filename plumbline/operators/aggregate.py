@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from plumbline.functions.arithmetic import between_a, between_b, fraction, json_object
 from plumbline.functions.columns import as_double, false_if_null, find_column, quoted, type_of
-from plumbline.operators.median import median_frame
+from plumbline.operators.median import approximate_median
 from plumbline.operators.spec import (
-    FrameSpec,
+    MedianSpec,
     ScanSpec,
     all_or_nothing,
     all_rows,
@@ -63,20 +63,24 @@ mean_between = _statistic(F.avg, need_one=False)
 stdev_between = _statistic(F.stddev_samp)
 
 
-def median_between(scope: Scope, rule: Rule) -> FrameSpec:
-    """Exact interpolated median; ``approximate`` opts for one cheap pass."""
+def median_between(scope: Scope, rule: Rule) -> MedianSpec | ScanSpec:
+    """Exact interpolated median; ``approximate`` opts for a measure of the shared scan."""
     column, data_type = _column(scope, rule)
     limits = _limits(rule, need_one=False)
     value = as_double(column, data_type)
 
-    def frame():
-        return median_frame(scope.df, column, value, approximate=flag(rule.kwargs, "approximate"))
-
     def verdict(m):
         ok = between_b(m("observed"), *limits)
         return all_or_nothing(m("total"), ok, missing=m("missing"), observed=m("observed"))
 
-    return FrameSpec(frame, verdict)
+    if flag(rule.kwargs, "approximate"):
+        measures = {
+            "total": all_rows(),
+            "missing": count_if(column.isNull()),
+            "observed": approximate_median(value),
+        }
+        return ScanSpec(measures, verdict)
+    return MedianSpec(column, value, verdict)
 
 
 def non_null_proportion_between(scope: Scope, rule: Rule) -> ScanSpec:

@@ -4,6 +4,7 @@
                share one scan.
 ``GroupSpec``  aggregates over the groups of a key; specs with the same key
                share one shuffle, and duplicates collapse before it.
+``MedianSpec`` the middle value of a column; all of them share three scans.
 ``FrameSpec``  a one-row frame of measures of its own (other tables, queries).
 
 Each carries a ``verdict`` that turns measures into the result columns, so a
@@ -89,7 +90,18 @@ class FrameSpec:
     failing_groups: Callable[[], DataFrame] | None = None
 
 
-Spec = ScanSpec | GroupSpec | FrameSpec
+@dataclass(frozen=True)
+class MedianSpec:
+    """Measures ``total``, ``missing`` and ``observed`` of a column's numeric reading."""
+
+    column: Column
+    value: Column
+    verdict: Callable[[Measures], Verdict]
+    failing: None = None
+    profile: None = None
+
+
+Spec = ScanSpec | GroupSpec | MedianSpec | FrameSpec
 
 
 def counted(

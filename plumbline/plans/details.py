@@ -15,6 +15,7 @@ from plumbline.functions.matching import to_column_type
 from plumbline.operators.membership import member_test
 from plumbline.operators.skew import group_counts
 from plumbline.operators.spec import ROWS_IN_GROUP, FrameSpec, GroupSpec, ScanSpec
+from plumbline.plans.capture import fails, rows_failing
 from plumbline.plans.evaluate import Compiled, first_rows, prepared, row_limit
 from plumbline.rule import Rule, value_list
 from plumbline.sources.datasets import Scope
@@ -53,15 +54,32 @@ def failing_value_counts(compiled: list[Compiled], scope: Scope) -> DataFrame |
         )
     if not frames:
         return None
-    # Values that differ only in surrounding spaces are listed as one.
-    return (
-        reduce(DataFrame.unionByName, frames)
-        .groupBy("e.rule_config_id", "e.value")
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.min("e.number").alias("low"),
-            F.max("e.number").alias("high"),
-        )
+    return _by_value(reduce(DataFrame.unionByName, frames))
+
+
+def has_values(c: Compiled) -> bool:
+    """Whether the rule's failing values are listed."""
+    if isinstance(c.spec, ScanSpec):
+        return c.spec.failing is not None and bool(c.spec.profile)
+    return isinstance(c.spec, (GroupSpec, FrameSpec)) and c.spec.failing_groups is not None
+
+
+def stored_value_counts(compiled: list[Compiled], scope: Scope, stored: DataFrame) -> DataFrame:
+    """The same counts from failing rows that are stored with the rules they fail."""
+    entries = [
+        F.when(fails(i), F.struct(_entry(c, scope).alias("e"), rows_failing(i).alias("rows")))
+        for c in compiled
+        for i in [c.rule.rule_config_id]
+    ]
+    return _by_value(stored.select(F.inline(F.array_compact(F.array(*entries)))))
+
+
+def _by_value(entries: DataFrame) -> DataFrame:
+    """Values that differ only in surrounding spaces are one."""
+    return entries.groupBy("e.rule_config_id", "e.value").agg(
+        F.sum("rows").alias("rows"),
+        F.min("e.number").alias("low"),
+        F.max("e.number").alias("high"),
     )
 
 

@@ -4,6 +4,7 @@
 
 * all plain aggregates go into one scan,
 * rules on the same key share one grouping of that key,
+* all medians share three scans,
 * everything else brings its own one-row frame,
 
 and the parts are unioned, so one job answers all rules and Spark schedules
@@ -17,14 +18,16 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.catalog import expectation
 from plumbline.functions.columns import quoted
+from plumbline.functions.local import small_frame
+from plumbline.operators.median import medians
 from plumbline.operators.skew import group_counts
-from plumbline.operators.spec import FrameSpec, GroupSpec, ScanSpec, Spec, result_struct
+from plumbline.operators.spec import FrameSpec, GroupSpec, MedianSpec, ScanSpec, Spec, result_struct
 from plumbline.plans.parallel import side_by_side
 from plumbline.rule import Rule, RuleError
 from plumbline.sources.datasets import Scope
@@ -87,8 +90,10 @@ def results(compiled: list[Compiled], scope: Scope) -> DataFrame:
 
 def passes(compiled: list[Compiled]) -> list[list[Compiled]]:
     """The rules that share a pass over the data, pass by pass."""
-    scans = [c for c in compiled if isinstance(c.spec, ScanSpec)]
-    out = [scans[start : start + RULES_PER_SCAN] for start in range(0, len(scans), RULES_PER_SCAN)]
+    out = []
+    for kind in (ScanSpec, MedianSpec):
+        scans = [c for c in compiled if isinstance(c.spec, kind)]
+        out += [scans[start : start + RULES_PER_SCAN] for start in range(0, len(scans), RULES_PER_SCAN)]
     by_key: dict[tuple[str, ...], list[Compiled]] = {}
     for c in compiled:
         if isinstance(c.spec, GroupSpec):
@@ -97,16 +102,18 @@ def passes(compiled: list[Compiled]) -> list[list[Compiled]]:
 
 
 def parts(compiled: list[Compiled], scope: Scope) -> list[DataFrame]:
-    """Result frames, one for every pass over the data."""
-    out, framed = [], []
+    """Result frames, one for every pass over the data; medians take two jobs to make."""
+    out, made = [], []
     for group in passes(compiled):
         if isinstance(group[0].spec, ScanSpec):
             out.append(_scan(group, scope))
         elif isinstance(group[0].spec, GroupSpec):
             out.append(_grouped(group, scope))
+        elif isinstance(group[0].spec, MedianSpec):
+            made.append(lambda g=group: _medians(g, scope))
         else:
-            framed.append(group[0])
-    return out + side_by_side([lambda c=c: _framed(c) for c in framed])
+            made.append(lambda c=group[0]: _framed(c))
+    return out + side_by_side(made)
 
 
 def _measure(c: Compiled, name: str) -> str:
@@ -124,10 +131,18 @@ def _verdicts(frame: DataFrame, compiled: list[Compiled], prefixed: bool = True)
     return frame.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
+def measures(compiled: list[Compiled]) -> list[Column]:
+    """The aggregates of scan or group rules, each under a name of its own."""
+    return [column.alias(_measure(c, name)) for c in compiled for name, column in c.spec.measures.items()]
+
+
+def verdicts_of(spark: SparkSession, compiled: list[Compiled], found: dict, kinds: T.StructType) -> DataFrame:
+    """Result rows from measures that are known."""
+    return _verdicts(small_frame(spark, [tuple(found[f.name] for f in kinds.fields)], kinds), compiled)
+
+
 def _scan(compiled: list[Compiled], scope: Scope) -> DataFrame:
-    aggregates = [
-        column.alias(_measure(c, name)) for c in compiled for name, column in c.spec.measures.items()
-    ]
+    aggregates = measures(compiled)
     if not aggregates:  # schema checks alone
         return _verdicts(scope.spark.range(1), compiled)
     return _verdicts(prepared(scope.df, compiled).agg(*aggregates), compiled)
@@ -146,10 +161,12 @@ def _grouped(compiled: list[Compiled], scope: Scope) -> DataFrame:
     for c in compiled:
         if c.spec.prepare is not None:
             groups = c.spec.prepare(groups)
-    aggregates = [
-        column.alias(_measure(c, name)) for c in compiled for name, column in c.spec.measures.items()
-    ]
-    return _verdicts(groups.agg(*aggregates), compiled)
+    return _verdicts(groups.agg(*measures(compiled)), compiled)
+
+
+def _medians(compiled: list[Compiled], scope: Scope) -> DataFrame:
+    wanted = {_measure(c, ""): (c.spec.column, c.spec.value) for c in compiled}
+    return _verdicts(medians(scope.df, wanted), compiled)
 
 
 def _framed(c: Compiled) -> DataFrame:
@@ -172,8 +189,16 @@ def tagged_rows(compiled: list[Compiled], scope: Scope) -> DataFrame:
     first by primary key and then by all columns.  When a custom query has
     columns of its own, all rows get ``query_columns`` with those as JSON.
     """
-    names = scope.df.columns
-    source = [F.col(quoted(c)) for c in names]
+    frames = failing_frames(compiled, scope)
+    if not frames:
+        source = [F.col(quoted(c)) for c in scope.df.columns]
+        return scope.df.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("rule_config_id"), *source)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def failing_frames(compiled: list[Compiled], scope: Scope) -> list[DataFrame]:
+    """The parts of ``tagged_rows``: one for all row predicates, one for each other rule."""
+    source = [F.col(quoted(c)) for c in scope.df.columns]
     scans = [c for c in compiled if isinstance(c.spec, ScanSpec) and c.spec.failing is not None]
     free = [c for c in scans if row_limit(c) is None]
     frames = []
@@ -193,10 +218,7 @@ def tagged_rows(compiled: list[Compiled], scope: Scope) -> DataFrame:
             if row_limit(c) is not None:
                 rows = first_rows(rows, scope, row_limit(c))
             frames.append(_tagged(rows, c, scope.df))
-    if not frames:
-        empty = scope.df.where(F.lit(False))
-        return empty.select(F.lit(0).cast("bigint").alias("rule_config_id"), *source)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return frames
 
 
 def row_limit(c: Compiled) -> int | None:

@@ -12,12 +12,14 @@ from plumbline.functions.arithmetic import literal
 from plumbline.functions.columns import quoted
 from plumbline.plans.evaluate import QUERY_COLUMNS
 from plumbline.sources.datasets import Dataset
-from plumbline.sources.store import Store, failure_table_name
+from plumbline.sources.store import DAY, FAILED_RULES, Store, failure_table_name, stored_table_name
 
 # Full runs whose rules get a column, besides the current run.
 RUNS_SHOWN = 10
 
-AUDIT_COLUMNS = ("dataset_run_id", "dataset_id", "rule_config_id", "dq_load_timestamp", QUERY_COLUMNS)
+AUDIT_COLUMNS = (
+    "dataset_run_id", "dataset_id", "rule_config_id", "dq_load_timestamp", QUERY_COLUMNS, FAILED_RULES, DAY,
+)
 
 
 def rule_header(rule: dict) -> str:
@@ -103,6 +105,17 @@ def shown_runs(run_log: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
     return recent.union(current).distinct()
 
 
+def shown_verdicts(rule_results: DataFrame, run_log: DataFrame, rule_config: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
+    """The shown runs, each with the verdicts of its rules; a run without results has one row."""
+    told = rule_results.where(F.col("dataset_id") == dataset_id).select("dataset_run_id", "rule_config_id", "is_success")
+    rules = rule_config.select("rule_config_id", "expectation_id", "kwargs", "column_name")
+    return (
+        shown_runs(run_log, dataset_id, run_id)
+        .join(told, "dataset_run_id", "left")
+        .join(rules.withColumn("known", F.lit(True)), "rule_config_id", "left")
+    )
+
+
 def shown_rules(
     rule_results: DataFrame, run_log: DataFrame, rule_config: DataFrame, dataset_id: int, run_id: int
 ) -> DataFrame:
@@ -122,16 +135,27 @@ def shown_rules(
 
 
 def failure_pivot_sql(store: Store, dataset: Dataset, run_id: int) -> str | None:
-    """The pivot of a dataset's failure table; None when it has no failures yet."""
+    """The pivot of a dataset's failing rows; None when it has none yet.
+
+    Stored rows hold each distinct failing row once, so the pivot is a
+    projection of them; the verdicts of the shown runs are part of its text.
+    Rows of custom queries may differ in columns that the pivot doesn't show:
+    with such rules it is grouped.
+    """
     table = failure_table_name(dataset.dataset_name)
     if not store.exists(table):
         return None
-    log = store.read("dataset_run_log")
-    chosen = shown_rules(store.read("rule_results"), log, store.read("rule_config"), dataset.dataset_id, run_id)
-    rules = [r.asDict() for r in chosen.collect()]
-    runs = [r[0] for r in shown_runs(log, dataset.dataset_id, run_id).collect()]
-    source = _source_columns(store.spark.table(store.name(table)))
-    pivot = pivot_sql(store.name(table), store.name("rule_results"), rules, source, runs)
+    told = shown_verdicts(
+        store.read("rule_results"), store.read("dataset_run_log"), store.read("rule_config"), dataset.dataset_id, run_id
+    ).collect()
+    runs = sorted({r["dataset_run_id"] for r in told})
+    rules = {r["rule_config_id"]: r.asDict() for r in told if r["known"]}
+    rules = [rules[i] for i in sorted(rules)]
+    source = _source_columns(store.spark.table(store.name(stored_table_name(table))))
+    if any(_custom(r) for r in rules):
+        pivot = pivot_sql(store.name(table), store.name("rule_results"), rules, source, runs)
+    else:
+        pivot = projection_sql(store.name(stored_table_name(table)), told, rules, source, runs)
     columns = [*[_name(rule_header(r)) for r in rules], *map(_name, source)]
     return (
         f"SELECT dataset_run_id, {dataset.dataset_id} AS dataset_id, "
@@ -139,6 +163,33 @@ def failure_pivot_sql(store: Store, dataset: Dataset, run_id: int) -> str | None
     )
 
 
+def _custom(rule: dict) -> bool:
+    known = catalog.BY_ID.get(rule["expectation_id"])
+    return known is None or known.name == "unexpected_rows_expectation"
+
+
+def projection_sql(stored: str, told: list, rules: list[dict], source: list[str], runs: list[int]) -> str:
+    """The pivot over stored rows: no grouping, no join."""
+
+    def among(rule_id: int, *verdicts: bool) -> str:
+        found = [r["dataset_run_id"] for r in told if r["rule_config_id"] == rule_id and r["is_success"] in verdicts]
+        return f"dataset_run_id IN ({', '.join(map(str, sorted(found) or [-1]))})"
+
+    def cell(rule: dict) -> str:
+        known, i = catalog.BY_ID.get(rule["expectation_id"]), rule["rule_config_id"]
+        level = known.check_level if known else "ROW"
+        if level == "ROW":
+            fails, configured = f"map_contains_key({FAILED_RULES}, CAST({i} AS BIGINT))", among(i, True, False)
+            return f"CASE WHEN {fails} THEN 'FAIL' WHEN {configured} THEN 'PASS' ELSE 'NOT CONFIGURED' END"
+        return (
+            f"CASE WHEN {among(i, False)} THEN 'FAIL - {level} CHECK' WHEN {among(i, True)} THEN 'PASS' "
+            "ELSE 'NOT CONFIGURED' END"
+        )
+
+    shown = ["dataset_run_id", *[f"{cell(r)} AS {_name(rule_header(r))}" for r in rules], *map(_name, source)]
+    return f"SELECT {', '.join(shown)} FROM {stored} WHERE dataset_run_id IN ({', '.join(map(str, runs or [-1]))})"
+
+
 def failure_pivot(store: Store, dataset: Dataset, run_id: int) -> DataFrame | None:
     text = failure_pivot_sql(store, dataset, run_id)
     return None if text is None else store.spark.sql(text)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 import json
 import re
+import threading
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any, Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +18,8 @@ from plumbline.operators.custom import combination_profile, query_profile_column
 from plumbline.operators.recon import source_label
 from plumbline.operators.spec import ScanSpec
 from plumbline.plans import details
-from plumbline.plans.evaluate import (
-    QUERY_COLUMNS,
-    Compiled,
-    analysed,
-    compile_rules,
-    passes,
-    results,
-    tagged_rows,
-)
+from plumbline.plans.capture import observed, stageable, stored_rows
+from plumbline.plans.evaluate import Compiled, analysed, compile_rules, passes, results, row_limit
 from plumbline.plans.parallel import side_by_side
 from plumbline.plans.pivot import failure_view
 from plumbline.plans.rules import fetch_rules, parse_rule_ids
@@ -60,29 +55,35 @@ class DatasetRun:
 
 
 class _Audit:
-    """Steps of a run, each from the end of the one before it; written once at the run's end."""
+    """Steps of a run; written once at the run's end.
+
+    A step begins where the last one ended, unless it tells its own start:
+    steps that run side by side do.
+    """
 
     def __init__(self, clock: Callable[[], datetime.datetime]):
         self.clock = clock
         self.since = clock()
         self.rows: list[dict[str, Any]] = []
-
-    def add(self, run_id, rule_id, step, status, message=None, error=None):
-        ended = self.clock()
-        self.rows.append(
-            {
-                "dataset_run_id": run_id,
-                "rule_config_id": rule_id,
-                "procedure_name": STEP,
-                "step_name": step,
-                "log_message": message,
-                "start_timestamp": self.since,
-                "end_timestamp": ended,
-                "status": status,
-                "error_message": None if error is None else str(error),
-            }
-        )
-        self.since = ended
+        self._lock = threading.Lock()
+
+    def add(self, run_id, rule_id, step, status, message=None, error=None, since=None, until=None):
+        with self._lock:
+            ended = until or self.clock()
+            self.rows.append(
+                {
+                    "dataset_run_id": run_id,
+                    "rule_config_id": rule_id,
+                    "procedure_name": STEP,
+                    "step_name": step,
+                    "log_message": message,
+                    "start_timestamp": since or self.since,
+                    "end_timestamp": ended,
+                    "status": status,
+                    "error_message": None if error is None else str(error),
+                }
+            )
+            self.since = max(self.since, ended)
 
 
 def load_datasets(store: Store, condition=None) -> list[Dataset]:
@@ -151,21 +152,24 @@ def run_dataset(
 
     compiled, bad = compile_rules(scope, rules)
     errors.update(bad)
-    outcome, bad = collect_results(compiled, scope)
-    errors.update(bad)
-    audit.add(run_id, None, "MAIN_QUERY", "COMPLETED", f"{len(outcome)} verdicts")
-
-    failed = [c for c in compiled if c.rule.rule_config_id in outcome and _failed(outcome, c)]
-    extras = capture(store, dataset, scope, failed, outcome, run_id, started, audit)
-    allowed = [c for c in compiled if c.rule.rule_config_id in outcome]
-    extras.update(_matched(scope, allowed, extras))
-    write_lists(store, dataset, scope, allowed, run_id, started, audit)
+    began = clock()
+    try:
+        outcome, bad, staged = decide(store, dataset, scope, compiled, run_id)
+        errors.update(bad)
+        decided = clock()
+        audit.add(run_id, None, "MAIN_QUERY", "COMPLETED", f"{len(outcome)} verdicts", since=began, until=decided)
+        failed = [c for c in compiled if c.rule.rule_config_id in outcome and _failed(outcome, c)]
+        allowed = [c for c in compiled if c.rule.rule_config_id in outcome]
+        extras = capture(store, dataset, scope, failed, allowed, staged, run_id, started, audit)
+    finally:
+        store.unstage(run_id)
 
-    write_results(store, dataset, allowed, outcome, extras, run_id, batch_id, started)
     for rule_id, exc in errors.items():
-        audit.add(run_id, rule_id, "RULE_EXECUTION", "FAILED", None, exc)
+        audit.add(run_id, rule_id, "RULE_EXECUTION", "FAILED", None, exc, since=began, until=decided)
+    # Rules share their passes, so each has taken as long as all of them.
     for rule_id in outcome:
-        audit.add(run_id, rule_id, "RULE_EXECUTION", "COMPLETED")
+        audit.add(run_id, rule_id, "RULE_EXECUTION", "COMPLETED", since=began, until=decided)
+    write_results(store, dataset, allowed, outcome, extras, run_id, batch_id, started)
     view = None
     if any(r["unexpected_count"] for r in outcome.values()):
         try:
@@ -298,55 +302,105 @@ def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, d
     return outcome, errors
 
 
-def capture(store, dataset, scope, failed, outcome, run_id, started, audit) -> dict[int, dict]:
-    """Write failing rows and keys; return what the result rows add about them.
+def decide(
+    store: Store, dataset: Dataset, scope: Scope, compiled: list[Compiled], run_id: int
+) -> tuple[dict[int, dict], dict[int, Exception], bool]:
+    """Results and errors of the rules, and whether failing rows were staged on the way.
+
+    Where failing rows are likely, the scan rules' verdicts come from the pass
+    that stages them.  A dataset whose last run had no failure is first read
+    for its verdicts alone, in the columns they need.
+    """
+    scans = [c for c in compiled if isinstance(c.spec, ScanSpec)]
+    if not any(stageable(c) for c in scans) or not failed_before(store, dataset.dataset_id):
+        return *collect_results(compiled, scope), False
+
+    def together():
+        try:
+            return observed(store, scope, scans, run_id)
+        except Exception:  # the rules at fault are found by running them without the capture
+            return None
+
+    others = [c for c in compiled if not isinstance(c.spec, ScanSpec)]
+    found, (outcome, errors) = side_by_side([together, lambda: collect_results(others, scope)])
+    if found is None:
+        more, bad = collect_results(scans, scope)
+        return {**outcome, **more}, {**errors, **bad}, False
+    return {**outcome, **found}, errors, True
+
+
+def failed_before(store: Store, dataset_id: int) -> bool:
+    """Whether the dataset's last run had failures, or there was none."""
+    log = store.read("dataset_run_log").where(F.col("dataset_id") == dataset_id)
+    bad = F.col("unsuccessfull_expectations") + F.col("error_expectations")
+    last = log.agg(F.max_by(bad, "dataset_run_id")).first()[0]
+    return last is None or last > 0
+
+
+def capture(store, dataset, scope, failed, allowed, staged, run_id, started, audit) -> dict[int, dict]:
+    """Write failing rows, keys and value lists; return what the result rows add about them.
 
-    Verdicts stand even when a capture fails: that is left to the audit trail.
+    Verdicts stand even when any of it fails: that is left to the audit trail.
     """
-    extras: dict[int, dict] = {c.rule.rule_config_id: {} for c in failed}
+    extras: dict[int, dict] = {c.rule.rule_config_id: {} for c in allowed}
     kept = [c for c in failed if c.rule.error_flag and c.spec.failing is not None]
     table = failure_table_name(dataset.dataset_name)
-    for c in write_rows(store, dataset, scope, kept, table, run_id, started, audit):
+    written = write_rows(store, dataset, scope, kept, staged, table, run_id, started, audit)
+    for c in written:
         extras[c.rule.rule_config_id]["table"] = table
-    try:
-        _add_details(scope, failed, extras)
-    except Exception as exc:
-        audit.add(run_id, None, "COMPUTE_ERROR_METRICS", "FAILED", None, exc)
+    tasks = [
+        lambda: write_keys(store, dataset, scope, written, table, run_id, started, audit),
+        lambda: write_lists(store, dataset, scope, allowed, run_id, started, audit),
+    ]
+    details_of = [
+        lambda: _value_details(store, scope, failed, written, table, run_id),
+        *[lambda c=c: _examples(scope, c) for c in failed if isinstance(c.spec, ScanSpec) and c.spec.partial_list],
+        *[lambda c=c: _combinations(c) for c in failed if c.label == "unexpected_rows_expectation"],
+        *[lambda c=c: _matched(scope, c) for c in allowed if c.label == "expect_column_values_to_be_in_set"],
+    ]
+
+    def guarded(task):
+        began = audit.clock()
+        try:
+            return task()
+        except Exception as exc:
+            audit.add(run_id, None, "COMPUTE_ERROR_METRICS", "FAILED", None, exc, since=began)
+            return {}
+
+    found = side_by_side([*tasks, *[lambda t=t: guarded(t) for t in details_of]])
+    for part in found[len(tasks):]:
+        for rule_id, more in part.items():
+            extras[rule_id].update(more)
     return extras
 
 
-def write_rows(store, dataset, scope, kept, table, run_id, started, audit) -> list[Compiled]:
-    """Capture in one write; a failing write is halved down to the rule at fault."""
+def write_rows(store, dataset, scope, kept, staged, table, run_id, started, audit) -> list[Compiled]:
+    """Store the failing rows in one write; a failing write is halved down to the rule at fault."""
     if not kept:
         return []
+    began = audit.clock()
     try:
-        found = tagged_rows(kept, scope)
-        more = F.col(QUERY_COLUMNS) if QUERY_COLUMNS in found.columns else F.lit(None).cast("string")
-        rows = found.select(
-            F.lit(run_id).cast("bigint").alias("dataset_run_id"),
-            F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
-            "rule_config_id",
-            _stamp(started).alias("dq_load_timestamp"),
-            *[F.col(quoted(n)) for n in scope.df.columns],
-            more.alias(QUERY_COLUMNS),
+        rows = stored_rows(scope, kept, store.staged(run_id) if staged else None)
+        store.append_failures(
+            table,
+            rows.select(
+                F.lit(run_id).cast("bigint").alias("dataset_run_id"),
+                F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
+                _stamp(started).alias("dq_load_timestamp"),
+                "*",
+            ),
         )
-        store.append_failures(table, rows)
-        audit.add(run_id, None, "INSERT_FAILED_RECORDS", "COMPLETED", table)
+        audit.add(run_id, None, "INSERT_FAILED_RECORDS", "COMPLETED", table, since=began)
     except Exception as exc:
         if len(kept) == 1:
-            audit.add(run_id, kept[0].rule.rule_config_id, "INSERT_FAILED_RECORDS", "FAILED", None, exc)
+            audit.add(run_id, kept[0].rule.rule_config_id, "INSERT_FAILED_RECORDS", "FAILED", None, exc, since=began)
             return []
         middle = len(kept) // 2
         return [
             c
             for half in (kept[:middle], kept[middle:])
-            for c in write_rows(store, dataset, scope, half, table, run_id, started, audit)
+            for c in write_rows(store, dataset, scope, half, staged, table, run_id, started, audit)
         ]
-    try:
-        write_keys(store, dataset, scope, kept, table, run_id, started)
-        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED")
-    except Exception as exc:
-        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "FAILED", None, exc)
     return kept
 
 
@@ -360,43 +414,46 @@ def key_columns(dataset: Dataset, c: Compiled) -> list[str]:
     return keys
 
 
-def write_keys(store, dataset, scope, kept, table, run_id, started) -> None:
-    """Keys of the failing rows, read back from the rows just written."""
+def write_keys(store, dataset, scope, written, table, run_id, started, audit) -> None:
+    """Keys of the failing rows, read back from the rows just stored."""
     by_key: dict[tuple[str, ...], list[int]] = {}
-    for c in kept:
-        names = tuple(find_column(scope.df, n) for n in key_columns(dataset, c))
-        if names:
-            by_key.setdefault(names, []).append(c.rule.rule_config_id)
-    written = store.spark.table(store.name(table)).where(F.col("dataset_run_id") == run_id)
-    for names, rule_ids in by_key.items():
-        rows = written.where(F.col("rule_config_id").isin(rule_ids)).select(
-            F.col("dataset_run_id").cast("bigint"),
-            F.col("rule_config_id").cast("bigint"),
-            F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
-            F.lit(dataset.table_name or dataset.dataset_name).alias("table_name"),
-            F.to_json(F.struct(*[F.col(quoted(n)) for n in names])).alias("failed_key"),
-            _stamp(started).alias("load_timestamp"),
-        )
-        store.append("failed_row_keys", rows)
-
-
-def _add_details(scope: Scope, failed: list[Compiled], extras: dict[int, dict]) -> None:
-    """Profiles, frequent values and examples of failing rows, as independent jobs."""
-    tasks = [lambda: _value_details(scope, failed)]
-    for c in failed:
-        if isinstance(c.spec, ScanSpec) and c.spec.partial_list:
-            tasks.append(lambda c=c: _examples(scope, c))
-        if c.label == "unexpected_rows_expectation":
-            tasks.append(lambda c=c: _combinations(c))
-    for found in side_by_side(tasks):
-        for rule_id, more in found.items():
-            extras[rule_id].update(more)
-
-
-def _value_details(scope: Scope, failed: list[Compiled]) -> dict[int, dict]:
-    values = details.failing_value_counts(failed, scope)
-    if values is None:
+    began = audit.clock()
+    try:
+        for c in written:
+            names = tuple(find_column(scope.df, n) for n in key_columns(dataset, c))
+            if names:
+                by_key.setdefault(names, []).append(c.rule.rule_config_id)
+        frames = []
+        for names, rule_ids in by_key.items():
+            rows = store.spark.table(store.name(table)).where(F.col("dataset_run_id") == run_id)
+            frames.append(
+                rows.where(F.col("rule_config_id").isin(rule_ids)).select(
+                    F.col("dataset_run_id").cast("bigint"),
+                    F.col("rule_config_id").cast("bigint"),
+                    F.lit(dataset.dataset_id).cast("bigint").alias("dataset_id"),
+                    F.lit(dataset.table_name or dataset.dataset_name).alias("table_name"),
+                    F.to_json(F.struct(*[F.col(quoted(n)) for n in names])).alias("failed_key"),
+                    _stamp(started).alias("load_timestamp"),
+                )
+            )
+        if frames:
+            store.append("failed_row_keys", reduce(DataFrame.unionByName, frames))
+            audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED", since=began)
+    except Exception as exc:
+        audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "FAILED", None, exc, since=began)
+
+
+def _value_details(store, scope: Scope, failed, written, table, run_id) -> dict[int, dict]:
+    """Profiles and frequent values: of stored rows where all failing rows were stored, else of the dataset."""
+    stored = [c for c in written if details.has_values(c) and row_limit(c) is None]
+    ids = {c.rule.rule_config_id for c in stored}
+    frames = [details.failing_value_counts([c for c in failed if c.rule.rule_config_id not in ids], scope)]
+    if stored:
+        frames.append(details.stored_value_counts(stored, scope, store.failing_rows(table, run_id)))
+    frames = [f for f in frames if f is not None]
+    if not frames:
         return {}
+    values = reduce(DataFrame.unionByName, frames)
     columns = {c.rule.rule_config_id: c.spec.profile for c in failed}
     out = {}
     for row in details.failure_details(values).collect():
@@ -431,22 +488,14 @@ def _combinations(c: Compiled) -> dict[int, dict]:
     return {c.rule.rule_config_id: {"profile": profile, "counts": counts}}
 
 
-def _matched(scope: Scope, compiled: list[Compiled], extras) -> dict[int, dict]:
-    """Rows per allowed value of set checks."""
-
-    def task(c: Compiled):
-        rows = details.matched_value_counts(scope, c.rule).collect()
-        return {
-            "matched_value_counts": {r["value"]: r["rows"] for r in rows},
-            "distinct_match_count": sum(r["spellings"] for r in rows),
-        }
-
-    listed = [c for c in compiled if c.label == "expect_column_values_to_be_in_set"]
-    found = side_by_side([lambda c=c: task(c) for c in listed])
-    return {
-        c.rule.rule_config_id: {**extras.get(c.rule.rule_config_id, {}), "matched": matched}
-        for c, matched in zip(listed, found)
+def _matched(scope: Scope, c: Compiled) -> dict[int, dict]:
+    """Rows per allowed value of a set check."""
+    rows = details.matched_value_counts(scope, c.rule).collect()
+    matched = {
+        "matched_value_counts": {r["value"]: r["rows"] for r in rows},
+        "distinct_match_count": sum(r["spellings"] for r in rows),
     }
+    return {c.rule.rule_config_id: {"matched": matched}}
 
 
 def write_lists(store, dataset, scope: Scope, compiled: list[Compiled], run_id, started, audit) -> None:
@@ -467,11 +516,12 @@ def write_lists(store, dataset, scope: Scope, compiled: list[Compiled], run_id,
     for c in compiled:
         if c.label != "expect_column_most_common_value_to_be_in_set" and "_distinct_values_to_" not in c.label:
             continue
+        began = audit.clock()
         try:
             task(c)
-            audit.add(run_id, c.rule.rule_config_id, "LIST_VALUES", "COMPLETED")
+            audit.add(run_id, c.rule.rule_config_id, "LIST_VALUES", "COMPLETED", since=began)
         except Exception as exc:  # a verdict stands without its list
-            audit.add(run_id, c.rule.rule_config_id, "LIST_VALUES", "FAILED", None, exc)
+            audit.add(run_id, c.rule.rule_config_id, "LIST_VALUES", "FAILED", None, exc, since=began)
 
 
 def _stamp(moment: datetime.datetime):
@@ -521,8 +571,9 @@ def write_results(store, dataset, compiled, outcome, extras, run_id, batch_id, s
             }
         )
         recon.extend(_recon_rows(dataset, c, told, run_id, started))
-    store.append_rows("rule_results", rows)
-    store.append_rows("recon_results", recon)
+    side_by_side(
+        [lambda: store.append_rows("rule_results", rows), lambda: store.append_rows("recon_results", recon)]
+    )
 
 
 def _json(value) -> str | None:

@@ -118,9 +118,26 @@ def cutoff_literal(moment: datetime.datetime) -> Column:
 
 
 def failure_table_name(dataset_name: str) -> str:
+    """The view with one row for each failing row and rule."""
     return re.sub(r"[^a-zA-Z0-9]", "_", dataset_name).lower() + "_dq_failure"
 
 
+# Rule id -> number of the dataset's rows that a stored failing row stands for.
+FAILED_RULES = "failed_rules"
+STORED = "_rows"
+# Copies are unfolded in two steps, each of arrays that fit a task.
+COPIES = 1_000_000
+
+
+def stored_table_name(failure_table: str) -> str:
+    """The table behind the view: each distinct failing row of a run once."""
+    return failure_table + STORED
+
+
+def _deleted(table: str, keep: int, rows: int) -> dict[str, Any]:
+    return {"table": table, "retention_days": keep, "rows_deleted": rows, "status": "SUCCESS"}
+
+
 class Store:
     """The tables of one database of the session's catalog.
 
@@ -190,29 +207,60 @@ class Store:
                     self._drop_day(table, row[DAY])
                 else:
                     self._replace_day(table, rest)
-        if self.exists(failure_table):
-            parts = self.spark.table(self.name(failure_table)).where(F.col("dataset_run_id") == run_id)
-            for row in parts.select("rule_config_id").distinct().collect():
-                self.spark.sql(
-                    f"ALTER TABLE {self.name(failure_table)} DROP IF EXISTS PARTITION "
-                    f"(dataset_run_id = {run_id}, rule_config_id = {row[0]})"
-                )
+        stored = stored_table_name(failure_table)
+        if self.exists(stored):
+            rows = self.spark.table(self.name(stored)).where(F.col("dataset_run_id") == run_id)
+            for row in rows.select(DAY).distinct().collect():
+                self._drop_run(stored, row[DAY], run_id)
+        self.unstage(run_id)
+
+    def _staged(self, run_id: int) -> str:
+        return f"staged_{run_id}"
+
+    def stage(self, run_id: int, rows: DataFrame) -> None:
+        """Keep rows until the run has stored what it needs of them."""
+        rows.write.mode("overwrite").format("parquet").saveAsTable(self.name(self._staged(run_id)))
+
+    def staged(self, run_id: int) -> DataFrame:
+        return self.spark.table(self.name(self._staged(run_id)))
+
+    def unstage(self, run_id: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(self._staged(run_id))}")
 
     def append_failures(self, table: str, rows: DataFrame) -> None:
-        """Append failing rows, one directory per run and rule.
+        """Append stored failing rows, one directory a day and run, and offer them as a view.
 
-        The rebalance hint lets adaptive execution split a rule that failed on
-        very many rows and pack the small ones together.
+        ``rows`` has ``dataset_run_id``, ``dataset_id``, ``dq_load_timestamp``,
+        the dataset's columns, ``query_columns`` and ``failed_rules``.
         """
-        keys = ["dataset_run_id", "rule_config_id"]
-        with _WRITES[self.name(table)]:
+        stored = stored_table_name(table)
+        with _WRITES[self.name(stored)]:
             (
-                rows.hint("rebalance", *keys)
+                rows.withColumn(DAY, F.to_date("dq_load_timestamp"))
                 .write.mode("append")
                 .format("parquet")
-                .partitionBy(*keys)
-                .saveAsTable(self.name(table))
+                .partitionBy(DAY, "dataset_run_id")
+                .saveAsTable(self.name(stored))
             )
+            if not self.exists(table):
+                self.spark.sql(f"CREATE VIEW {self.name(table)} AS {self._unfolded(stored)}")
+
+    def failing_rows(self, table: str, run_id: int) -> DataFrame:
+        """The stored failing rows of a run."""
+        return self.spark.table(self.name(stored_table_name(table))).where(F.col("dataset_run_id") == run_id)
+
+    def _unfolded(self, stored: str) -> str:
+        """A row for each failing row and rule, copies included."""
+        audit = ("dataset_run_id", "dataset_id", "rule_config_id", "dq_load_timestamp")
+        names = self.spark.table(self.name(stored)).columns
+        rest = [f"`{n.replace('`', '``')}`" for n in names if n not in (*audit, DAY, FAILED_RULES)]
+        shown = ", ".join([*audit, *rest])
+        kept = ", ".join([*[a for a in audit if a != "rule_config_id"], *rest])
+        return (
+            f"SELECT {shown} FROM (SELECT *, explode(sequence(1L, least(__left, {COPIES}L))) AS __copy FROM ("
+            f"SELECT *, explode(transform(sequence(0L, (__n - 1) DIV {COPIES}L), k -> __n - k * {COPIES}L)) AS __left FROM ("
+            f"SELECT {kept}, explode({FAILED_RULES}) AS (rule_config_id, __n) FROM {self.name(stored)})))"
+        )
 
     def clean_up(
         self,
@@ -246,19 +294,33 @@ class Store:
                 self._replace_day(table, young)
             for value in expired:
                 self._drop_day(table, value)
-            report.append(
-                {
-                    "table": table,
-                    "retention_days": keep,
-                    "rows_deleted": counts["old"],
-                    "status": "SUCCESS",
-                }
-            )
+            report.append(_deleted(table, keep, counts["old"]))
+        return report + self._clean_failures(now, (days or RETENTION_DAYS).get("failed_row_keys"))
+
+    def _clean_failures(self, now: datetime.datetime, keep: int | None) -> list[dict[str, Any]]:
+        """Drop the failing rows of runs whose keys have expired; a run's rows share one timestamp."""
+        report = []
+        for table in self._stored_tables() if keep is not None else ():
+            limit = cutoff_literal(now - datetime.timedelta(days=keep))
+            runs = self.spark.table(self.name(table)).where(F.col("dq_load_timestamp") < limit)
+            expired = runs.groupBy(DAY, "dataset_run_id").agg(F.count(F.lit(1)).alias("n")).collect()
+            for row in expired:
+                self._drop_run(table, row[DAY], row["dataset_run_id"])
+            report.append(_deleted(table, keep, sum(r["n"] for r in expired)))
         return report
 
+    def _stored_tables(self) -> list[str]:
+        found = self.spark.sql(f"SHOW TABLES IN `{self.database}`").collect()
+        return sorted(r["tableName"] for r in found if r["tableName"].endswith("_dq_failure" + STORED))
+
     def _drop_day(self, table: str, day: datetime.date) -> None:
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({DAY} = DATE'{day}')")
 
+    def _drop_run(self, table: str, day: datetime.date, run_id: int) -> None:
+        self.spark.sql(
+            f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({DAY} = DATE'{day}', dataset_run_id = {run_id})"
+        )
+
     def _replace_day(self, table: str, rows: DataFrame) -> None:
         """Overwrite only the partition the rows belong to."""
         with _WRITES[self.name(table)]:

@@ -306,10 +306,10 @@ _VALUE = "CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedp
 def _nan_medians(spark, sf_dir):
     value = F.expr(_VALUE)
     frames = [
-        median_frame(load(spark, sf_dir, "lineitem"), value, value, in_memory_rows=n).select(
+        median_frame(load(spark, sf_dir, "lineitem"), value, value, **sizes).select(
             F.lit(name).alias("way"), "total", F.round("observed", 6).alias("observed")
         )
-        for name, n in (("narrowed", 100), ("sorted", 10_000_000))
+        for name, sizes in (("narrowed", {}), ("sorted", {"bins": 1, "steps": 1}))
     ]
     return frames[0].unionByName(frames[1])
 

@@ -7,7 +7,9 @@ import re
 
 import pytest
 
-from plumbline.plans.evaluate import evaluate
+from pyspark.sql import functions as F
+
+from plumbline.plans.evaluate import compile_rules, evaluate
 from plumbline.rule import Rule
 from plumbline.sources.datasets import Scope, since
 from plumbline.suite.run_queries import LINE_RULES
@@ -78,3 +80,37 @@ def test_no_job_runs_while_a_plan_is_made(spark):
     frame.count()
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("made"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def rows_read(spark, action) -> int:
+    """Rows that the stages of an action read from files."""
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+
+    def read() -> int:
+        stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).inputRecords() for k in range(stages.size()))
+
+    before = read()
+    action()
+    return read() - before
+
+
+def test_medians_share_three_scans(spark):
+    """Four medians read the table three times, and no job runs while they are compiled."""
+    lineitem = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    columns = ("l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    rules = [
+        Rule(k, "expect_column_median_to_be_between", {"column": c, "min_value": 0}) for k, c in enumerate(columns)
+    ]
+    whole = lineitem.count()
+    found = []
+    scope = Scope(lineitem, name="lineitem")
+    spark.sparkContext.setJobGroup("medians", "compiled")
+    assert compile_rules(scope, rules)[1] == {}
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("medians")) == []
+    assert rows_read(spark, lambda: found.extend(evaluate(scope, rules).collect())) == 3 * whole
+    # A sketch, counts and values, each with the stages adaptive execution runs as jobs.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("medians")) <= 9
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for row, column in zip(sorted(found, key=lambda r: r["rule_config_id"]), columns, strict=True):
+        assert row["observed_value"] == lineitem.agg(F.median(F.col(column).cast("double"))).first()[0]

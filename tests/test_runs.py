@@ -257,7 +257,7 @@ def test_capture_failure_leaves_the_verdict(store, users, monkeypatch):
     write = Store.append_failures
 
     def refuse_rule_2(self, table, rows):
-        if not rows.where("rule_config_id = 2").isEmpty():
+        if not rows.where("map_contains_key(failed_rules, 2L)").isEmpty():
             raise RuntimeError("no space")
         write(self, table, rows)
 

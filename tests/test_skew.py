@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import check, failing, skew
-from plumbline.operators.median import median_frame, values_at
+from plumbline.operators.median import median_frame, medians
 from plumbline.operators.skew import group_counts, rows_beyond_first, rows_of_groups
 from plumbline.operators.spec import group_rows
 
@@ -60,30 +61,51 @@ def test_median_by_selection(spark, kind, size):
     }[kind]
     values = [make(i) for i in range(size)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
-    row = median_frame(df, F.col("v"), F.col("v"), in_memory_rows=20).first()
-    assert row["observed"] == statistics.median(values)
-    assert (row["total"], row["missing"]) == (size + 1, 1)
+    for sizes in ({}, {"sketch": 8, "steps": 3}, {"steps": 1, "bins": 1}):
+        row = median_frame(df, F.col("v"), F.col("v"), **sizes).first()
+        assert row["observed"] == statistics.median(values)
+        assert (row["total"], row["missing"]) == (size + 1, 1)
 
 
 @pytest.mark.parametrize("numbers", [0, 39, 40, 41, 60])
-@pytest.mark.parametrize("in_memory_rows", [10, 100_000])
-def test_median_with_nan(spark, numbers, in_memory_rows):
+@pytest.mark.parametrize("sizes", [{}, {"sketch": 8, "steps": 50, "bins": 2}])
+def test_median_with_nan(spark, numbers, sizes):
     """NaN ranks above every number, whichever way the median is found."""
     nan = float("nan")
     values = [float(k) for k in range(numbers)] + [nan] * 40
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
-    got = median_frame(df, F.col("v"), F.col("v"), in_memory_rows=in_memory_rows).first()["observed"]
+    got = median_frame(df, F.col("v"), F.col("v"), **sizes).first()["observed"]
     middle = values[(len(values) - 1) // 2], values[len(values) // 2]
     wanted = sum(middle) / 2
     assert got == wanted or (got != got and wanted != wanted)
 
 
-def test_any_rank(spark):
-    values = [float(v) for v in random.Random(3).choices(range(50), k=400)]
-    numbers = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
-    ordered = sorted(values)
-    for rank in (0, 1, 199, 398, 399):
-        assert values_at(numbers, 400, [rank], in_memory_rows=10) == [ordered[rank]]
+def test_medians_of_many_columns(spark):
+    """Columns of every kind at once, each as if it were alone."""
+    inf, nan = float("inf"), float("nan")
+    draw = random.Random(3)
+    columns = {
+        "spread": [draw.gauss(0, 1e9) for _ in range(301)],
+        "hot": [7.0] * 200 + [draw.random() * 20 for _ in range(101)],
+        "huge": [draw.choice([-1.7e308, 1.7e308, 1e300]) for _ in range(301)],
+        "infinite": [draw.choice([-inf, inf, 1.0]) for _ in range(301)],
+        "few": [None] * 299 + [3.0, 4.0],
+        "none": [None] * 301,
+        "nans": [nan] * 301,
+        "zeros": [draw.choice([0.0, -0.0]) for _ in range(301)],
+    }
+    rows = list(zip(*columns.values(), strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(4)
+    row = medians(df, {c + "_": (F.col(c), F.col(c)) for c in columns}).first()
+    for c, values in columns.items():
+        assert row[f"{c}_total"] == 301 and row[f"{c}_missing"] == values.count(None)
+        present = sorted(v for v in values if v is not None and v == v)
+        if c == "nans":
+            assert math.isnan(row[f"{c}_observed"])
+        else:
+            assert row[f"{c}_observed"] == (statistics.median(present) if present else None)
+    empty = medians(df.limit(0), {"": (F.col("hot"), F.col("hot"))}).first()
+    assert tuple(empty) == (0, 0, None)
 
 
 @pytest.mark.parametrize("many", [False, True])
