@@ -11,15 +11,20 @@ text is parsed in blocks of ``BLOCK`` characters that all advance together: a
 step of the parse is one lookup in the automaton's table for every block.
 
 The sample is bounded: ``TRAIN_DOCS`` documents a language, by the order of a
-hash of their ids, and ``TRAIN_CHARS`` characters of those together, so a table
-has at most 2 * TRAIN_CHARS states.  The tables are broadcast; their size
-depends on the number of languages alone, about 7 MB each.  Prediction streams
-over all rows without a shuffle, and every character of a text counts.
+hash of their ids, and ``TRAIN_CHARS`` characters of those together, an equal
+share of each.  A language's table knows its own letters alone; any other is
+strange to it.  With few letters it is a plain table of states by letters, at
+most ``DENSE`` entries of 4 bytes; with many it keeps the automaton's
+transitions only, at most ``3 * TRAIN_CHARS`` of them with 16 bytes each, which
+a step finds by binary search.  So a language takes 8 MB at most, whatever its
+script, and the tables of all languages are broadcast together.  Prediction
+streams over all rows without a shuffle, and every character of a text counts.
 
 Cases: null, empty and letterless text gives ``und`` with score 0, and so does
 every text where nothing can be learned; unlabelled rows and rows without id
 are never learned from; repeated rows each get their result; an empty table
-gives an empty result; other columns pass through ``predict`` untouched.
+gives an empty result; other columns pass through ``predict`` untouched, but
+those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from plumbline.llm.common import by_batches, read
 
 TRAIN_DOCS = 60
 TRAIN_CHARS = 24_000
+DENSE = 1 << 21
 FOLDS = 5
 BLOCK = 256
 SLICE = 1 << 20
@@ -75,24 +81,53 @@ def suffix_automaton(text: list[int]) -> tuple[list[dict[int, int]], int]:
     return moves, len(moves)
 
 
-def parse_table(text: list[int], classes: int) -> np.ndarray:
-    """``state * classes + symbol`` -> ``next state * classes * 4 + phrases ended``.
+@dataclass
+class Table:
+    """A language's parse: which letters it knows, and what a symbol does in a state.
 
-    Where no match goes on, the next phrase starts with this symbol; a symbol
-    that the sample lacks is a phrase of its own.
+    A step is ``next state * 4 + phrases ended``.  Where no match goes on, the
+    next phrase starts with this symbol; a symbol that the sample lacks is a
+    phrase of its own.  ``keys`` is None for a plain table of states by
+    symbols, whose states are numbered by their rows' places.
     """
+
+    symbols: np.ndarray
+    width: int
+    steps: np.ndarray
+    keys: np.ndarray | None
+    root: np.ndarray
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.steps.take(state + symbols)
+        wanted = state * self.width + symbols
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        missed = np.where(symbols == PAD, state * 4, self.root[symbols] + (state > 0))
+        return np.where(self.keys[at] == wanted, self.steps[at], missed)
+
+
+def parse_table(text: list[int], classes: int, dense: int = DENSE) -> Table:
+    """The table of a sample text over symbols below ``classes``."""
     moves, states = suffix_automaton(text)
-    root = np.zeros(classes, np.int64)
-    root[:] = 1  # stay at the root, one phrase
+    used = sorted({SPACE, STRANGE, PAD, *text})
+    symbols = np.full(classes, STRANGE, np.int32)
+    symbols[used] = np.arange(len(used))
+    width = len(used)
+    unit = width if states * width <= dense else 1
+    root = np.ones(width, np.int64)  # stay at the root, one phrase
     for symbol, target in moves[0].items():
-        root[symbol] = target * classes * 4
+        root[symbols[symbol]] = target * unit * 4
+    if unit == 1:
+        found = sorted((state * width + int(symbols[s]), t * 4) for state, row in enumerate(moves) for s, t in row.items())
+        keys, steps = (np.array(column, np.int64) for column in zip(*found, strict=True))
+        return Table(symbols, width, steps, keys, root)
     table = np.tile(root + 1, (states, 1))  # the phrase so far ends here
     table[0] = root
     for state, row in enumerate(moves):
         for symbol, target in row.items():
-            table[state, symbol] = target * classes * 4
-    table[:, PAD] = np.arange(states) * classes * 4
-    return table.ravel().astype(np.int32)
+            table[state, symbols[symbol]] = target * unit * 4
+    table[:, PAD] = np.arange(states) * unit * 4
+    return Table(symbols, width, table.ravel().astype(np.int32), None, root)
 
 
 @dataclass
@@ -100,7 +135,7 @@ class Model:
     """Languages, their tables, the price of a phrase, and the class of each letter."""
 
     languages: list[str]
-    tables: list[np.ndarray]
+    tables: list[Table]
     prices: list[float]
     letters: dict[str, int]
 
@@ -110,7 +145,7 @@ class Model:
 
 
 def class_table(letters: dict[str, int]) -> np.ndarray:
-    table = np.fromiter((chr(k).isalpha() for k in range(0x110000)), np.uint8, 0x110000)  # STRANGE or SPACE
+    table = np.fromiter((chr(k).isalpha() for k in range(0x110000)), np.int32, 0x110000)  # STRANGE or SPACE
     for letter, k in letters.items():
         table[ord(letter)] = k
     return table
@@ -127,7 +162,7 @@ def normal(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model from sample texts per language, each language's cut at ``TRAIN_CHARS``."""
-    samples = {k: " ".join(v).lower()[:TRAIN_CHARS] for k, v in sorted(samples.items())}
+    samples = {k: " ".join(t[:share] for t in v).lower()[:TRAIN_CHARS] for k, v in sorted(samples.items()) for share in [equal_share(v)]}
     seen = sorted({c for text in samples.values() for c in text if c.isalpha()})
     letters = {c: FIRST_LETTER + k for k, c in enumerate(seen)}
     model = Model([], [], [], letters)
@@ -142,6 +177,17 @@ def fit(samples: dict[str, list[str]]) -> Model:
     return model
 
 
+def equal_share(texts: list[str]) -> int:
+    """The most characters of each text that ``TRAIN_CHARS`` allow, short ones leaving theirs to the others."""
+    left = TRAIN_CHARS
+    lengths = sorted(map(len, texts))
+    for k, length in enumerate(lengths):
+        if length * (len(lengths) - k) >= left:
+            return max(1, left // (len(lengths) - k))
+        left -= length
+    return TRAIN_CHARS
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """The training texts: rows whose fold isn't 0, by language."""
     rows = docs.select(
@@ -187,10 +233,10 @@ def phrase_counts(model: Model, codes: np.ndarray, firsts: np.ndarray, sizes: np
         at = starts[part] + np.arange(BLOCK)[:, None]
         rows = np.where(at < ends[part], codes[np.minimum(at, len(codes) - 1)], PAD).astype(np.int32)
         for k, table in enumerate(model.tables):
-            state = np.zeros(rows.shape[1], np.int32)
+            state = np.zeros(rows.shape[1], np.int32 if table.keys is None else np.int64)
             ended = np.ones(rows.shape[1], np.int32)
-            for row in rows:
-                step = table.take(state + row)
+            for row in table.symbols[rows]:
+                step = table.step(state, row)
                 ended += step & 3
                 state = step >> 2
             counts[:, k] += np.bincount(owner[part], ended, len(sizes)).astype(np.int64)
@@ -225,7 +271,9 @@ def predict(
 ) -> DataFrame:
     """All columns of ``docs`` with the predicted language and its score under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names or c == text_col])
     where = docs.columns.index(text_col)
+    kept = [k for k, c in enumerate(docs.columns) if c not in names]
 
     def work(batches):
         model, classes = shared.value, None
@@ -237,11 +285,12 @@ def predict(
                 found += more[0]
                 scores += more[1]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, *names],
+                [*[batch.column(k) for k in kept], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                names=[*[batch.schema.names[k] for k in kept], *names],
             )
 
-    schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    columns = [F.col(f"`{docs.columns[k]}`") for k in kept]
+    schema = docs.select(*columns, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
     return by_batches(docs, work, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,11 +56,13 @@ def plain_phrases(sample: list[int], text: list[int]) -> int:
     return phrases
 
 
-def test_phrase_counts_equal_plain_parsing():
+@pytest.mark.parametrize("dense", [0, op1_language.DENSE])
+def test_phrase_counts_equal_plain_parsing(dense):
     draw = random.Random(2)
     letters = {chr(97 + k): op1_language.FIRST_LETTER + k for k in range(4)}
     samples = [[draw.randrange(3) + 3 for _ in range(200)] for _ in range(2)]
-    tables = [op1_language.parse_table(s, op1_language.FIRST_LETTER + 4) for s in samples]
+    tables = [op1_language.parse_table(s, op1_language.FIRST_LETTER + 4, dense) for s in samples]
+    assert all((t.keys is None) == bool(dense) for t in tables)
     model = op1_language.Model(["x", "y"], tables, [1.0, 1.0], letters)
     texts = [[draw.randrange(4) + 3 for _ in range(n)] for n in (0, 1, 5, 255, 256, 257, 700)]
     sizes = np.array([len(t) for t in texts])
@@ -74,6 +77,45 @@ def test_phrase_counts_equal_plain_parsing():
             assert abs(found[k, j] - wanted) <= len(parts)
 
 
+def test_languages_of_any_script_are_told_apart(spark):
+    """Twenty languages, one of them with 5000 letters and one that shares some of those."""
+    draw = random.Random(8)
+    many = [chr(0x4E00 + k) for k in range(5000)]
+    scripts = {"zz": many, "zy": many[:300]}
+    scripts |= {f"l{k:02}": [chr(0xAC00 + 40 * k + j) for j in range(40)] for k in range(18)}
+    words = {n: ["".join(draw.choices(letters, k=draw.randint(1, 3))) for _ in range(3000)] for n, letters in scripts.items()}
+
+    def text(name, n):
+        return " ".join(draw.choice(words[name]) for _ in range(n))
+
+    rows = [(k * 100 + i, text(name, 600), name, "x", 1) for k, name in enumerate(scripts) for i in range(12)]
+    schema = "doc_id long, text string, lang string, lang_pred string, score int"
+    docs = spark.createDataFrame(rows, schema)
+    model = op1_language.train(docs)
+    assert len(model.languages) == 20 and len(model.letters) > 3000
+    for table in model.tables:
+        held = table.symbols.nbytes + table.steps.nbytes + table.root.nbytes
+        held += 0 if table.keys is None else table.keys.nbytes
+        assert held < 4 * op1_language.DENSE + 8 * (len(model.letters) + 100)
+    assert {t.keys is None for t in model.tables} == {True, False}
+    found = op1_language.predict(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    rows = found.collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.99 * len(rows)
+    mixed = spark.createDataFrame([(1, text("zz", 3) + " " + text("l03", 3), None, "", 0), (2, "12 ?!", None, "", 0)], schema)
+    kept = op1_language.keep_known(docs.unionByName(mixed))
+    assert kept.columns == docs.columns and kept.count() == docs.count() + 1
+
+
+def test_a_long_text_is_not_a_languages_whole_sample():
+    texts = ["a" * 10_000_000, *["b" * 500] * 9]
+    share = op1_language.equal_share(texts)
+    assert sum(min(len(t), share) for t in texts) <= op1_language.TRAIN_CHARS
+    assert share == op1_language.TRAIN_CHARS - 9 * 500
+    assert op1_language.equal_share(["a" * 10]) == op1_language.TRAIN_CHARS
+    assert op1_language.equal_share(["a" * 99_999] * 60) == op1_language.TRAIN_CHARS // 60
+
+
 def test_languages_are_told_apart(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = op1_language.op1_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
