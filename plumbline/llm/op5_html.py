@@ -3,7 +3,9 @@
 The standard library's parser streams over a page.  Block elements end a line;
 inline markup only adds to its count of tags.  Elements that never hold the
 article (scripts, forms, menus and so on, by their tag or role) are passed over
-with all they contain.  So are elements by a name in their class or id, but no
+with all they contain, unless one turns out to be round the article: it has the
+page's only article or main element inside, or nearly all of its text, not mostly
+links (a form round the page, a menu or button left open).  So are elements by a name in their class or id, but no
 name alone takes much of a page: a first reading counts the text of the named
 elements.  Names of marking words alone (``WORDS``, with ``NEUTRAL`` ones) rule out
 an element with less than nearly all of the page's text (``MOST``), or one that has
@@ -22,13 +24,16 @@ short ones too, so nothing of the article is lost to the threshold.
 Cases: a null or empty page gives an empty text, and so does one without any
 line; broken markup is read as far as the parser goes and its brackets as
 text; repeated pages give equal results; a page of any length is read whole;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read.  Time and memory
+grow with a page's length alone, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -51,6 +56,9 @@ PASSED = frozenset(
     label menu meter nav noembed noframes noscript object option output progress script select style svg template
     textarea title video""".split()
 )
+# Of these the ones whose text is seen: one may turn out to be round the article.
+READABLE = frozenset("button dialog fieldset footer form header label menu nav object".split())
+DEEPER = 4
 CONTENT = frozenset("html body main article".split())
 CONTAINERS = frozenset("html body main article section div center table tbody td".split())
 # Words of a class or id that mark what is not the article.
@@ -84,20 +92,31 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page as ``(text, tags, path of open containers, characters in links)``."""
+    """Lines of a page as ``(text, tags, innermost open container, characters in links)``.
 
-    def __init__(self, named_out: frozenset[int] | None = None):
+    Elements are numbered as they open, so those inside an element have the
+    numbers after its own up to ``last`` of it.
+    """
+
+    def __init__(self, named_out: frozenset[int] | None = None, taken_back: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.named_out = named_out  # named elements to pass over; None in a first reading
+        self.taken_back = taken_back  # elements that are read in spite of their tag
         self.named: dict[int, list] = {}  # of each: whether its name is sure, characters, characters in links
         self.inside: list[tuple[int, int]] = []  # depth and number of the open ones
         self.marked = False  # whether there is an article or main element
         self.beside: set[int] = set()  # named elements around or in one
         self.total = 0
+        self.total_links = 0
+        self.passed: dict[int, list] = {}  # of each element passed over by its tag: characters, those in links, whether it is marked
         self.open: list[tuple[str, int]] = []
+        self.open_tags: Counter[str] = Counter()
+        self.containers: list[int] = []  # numbers of the open containers
         self.passing = 0  # depth of the element that is passed over, else 0
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.names: dict[int, str] = {}
+        self.last: dict[int, int] = {}
+        self.above: dict[int, int] = {}  # the container around an element, 0 for none
         self.parents: set[int] = set()  # elements with blocks inside
         self.text: list[str] = []
         self.tags = 0
@@ -109,19 +128,32 @@ class Lines(HTMLParser):
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                path = tuple(k for tag, k in self.open if tag in CONTAINERS)
-                self.lines.append((line, self.tags, path, self.links))
+                at = self.containers[-1] if self.containers else 0
+                self.lines.append((line, self.tags, at, self.links))
                 self.tags = 0
             self.text, self.links = [], 0
         self.linked = False  # a link left open ends with its line at the latest
 
     def close_to(self, depth: int) -> None:
+        for tag, number in self.open[depth:]:
+            self.last[number] = self.count
+            self.open_tags[tag] -= 1
+            if tag in CONTAINERS:
+                self.containers.pop()
         del self.open[depth:]
         while self.inside and self.inside[-1][0] > depth:
-            self.inside.pop()
+            # What was read since the element opened; both sums were taken off then.
+            held = self.named[self.inside.pop()[1]]
+            held[1] += self.total
+            held[2] += self.total_links
         if self.passing and depth < self.passing:
             self.passing = 0
 
+    def close(self) -> None:
+        super().close()
+        self.end_line()
+        self.close_to(0)
+
     def end_implied(self, tag: str) -> None:
         ends = ENDS.get(tag, {"p"} if tag in BLOCKS else ())
         for depth in range(len(self.open) - 1, -1, -1):
@@ -151,9 +183,17 @@ class Lines(HTMLParser):
         if not block and tag not in PASSED and name is None and not unwanted(attrs):
             return
         self.open.append((tag, self.count))
+        self.open_tags[tag] += 1
         self.names[self.count] = tag
-        if not self.passing and (tag in PASSED or (tag not in CONTENT and attrs and unwanted(attrs))):
+        if tag in CONTAINERS:
+            self.above[self.count] = self.containers[-1] if self.containers else 0
+            self.containers.append(self.count)
+        out = tag in PASSED or (tag not in CONTENT and attrs and unwanted(attrs))
+        if self.passing and tag in ("article", "main"):
+            self.passed[self.open[self.passing - 1][1]][2] = True
+        if not self.passing and out and self.count not in self.taken_back:
             self.passing = len(self.open)
+            self.passed[self.count] = [0, 0, False]
         elif not self.passing and tag in ("article", "main"):
             self.marked = True
             self.beside.update(e for _, e in self.inside)
@@ -161,10 +201,11 @@ class Lines(HTMLParser):
             if self.named_out is None:
                 if self.marked and any(t in ("article", "main") for t, _ in self.open):
                     self.beside.add(self.count)
-                self.named[self.count] = [name, 0, 0]
+                self.named[self.count] = [name, -self.total, -self.total_links]
                 self.inside.append((len(self.open), self.count))
             elif self.count in self.named_out:
                 self.passing = len(self.open)
+                self.passed[self.count] = [0, 0, False]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -177,6 +218,8 @@ class Lines(HTMLParser):
             self.linked = False
         if tag in BLOCKS:
             self.end_line()
+        if not self.open_tags[tag]:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 self.close_to(depth)
@@ -188,9 +231,11 @@ class Lines(HTMLParser):
             self.links += self.linked * len(data)
             size = len("".join(data.split()))
             self.total += size
-            for _, element in self.inside:
-                self.named[element][1] += size
-                self.named[element][2] += self.linked * size
+            self.total_links += self.linked * size
+        elif self.open[-1][0] in READABLE or self.names[self.open[self.passing - 1][1]] in READABLE:
+            held, size = self.passed[self.open[self.passing - 1][1]], len("".join(data.split()))
+            held[0] += size
+            held[1] += self.linked * size
 
     def unknown_decl(self, data):
         pass
@@ -228,26 +273,47 @@ def named_out(page: Lines) -> frozenset[int]:
     )
 
 
+def taken_back(page: Lines) -> frozenset[int]:
+    """Elements passed over by their tag that hold the page's article: a form round all of it, a menu left open.
+
+    Those with an article or main element inside, where there is none outside;
+    else one that holds nearly all of the page's text and is not mostly links.
+    """
+    if page.marked:
+        return frozenset()
+    read = {e: held for e, held in page.passed.items() if page.names[e] in READABLE}
+    around = frozenset(e for e, held in read.items() if held[2])
+    whole = page.total + sum(held[0] for held in read.values())
+    return around or frozenset(e for e, (size, links, _) in read.items() if size and size >= MOST * whole and links < HALF * size)
+
+
 def read_page(html: str) -> Lines:
-    first = read_lines(html, None)
+    back: frozenset[int] = frozenset()
+    first = read_lines(html, None, back)
+    # Each reading goes one such element deeper; a few are enough for a form in a form.
+    for _ in range(DEEPER):
+        more = taken_back(first) - back
+        if not more:
+            break
+        back |= more
+        first = read_lines(html, None, back)
     out = named_out(first)
     if not out:
         return first
-    second = read_lines(html, out)
+    second = read_lines(html, out, back)
     return second if second.lines else first
 
 
-def read_lines(html: str, out: frozenset[int] | None) -> Lines:
+def read_lines(html: str, out: frozenset[int] | None, back: frozenset[int]) -> Lines:
     for page in (html, html.replace("<!", "&lt;!"), html.replace("<", "&lt;")):
-        parser = Lines(out)
+        parser = Lines(out, back)
         try:
             parser.feed(page)
             parser.close()
         except (AssertionError, ValueError):  # markup that the parser refuses
             continue
-        parser.end_line()
         return parser
-    return Lines(out)
+    return Lines(out, back)
 
 
 WINDOW = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]
@@ -275,24 +341,33 @@ def region(page: Lines) -> set[int] | None:
         inside = [True] * len(ratios)
     total = sum(len(text) for (text, *_), chosen in zip(page.lines, inside, strict=True) if chosen)
     for tag in ("article", "main"):
+        outer = outermost(page, tag)
         found, weight = set(), 0
-        for (text, _, path, _), chosen in zip(page.lines, inside, strict=True):
-            # Paths run inwards, so the first is the outermost.
-            if (outer := next((e for e in path if page.names[e] == tag), None)) is not None:
-                found.add(outer)
+        for (text, _, at, _), chosen in zip(page.lines, inside, strict=True):
+            if outer.get(at):
+                found.add(outer[at])
                 weight += len(text) * chosen
         if found and weight >= HALF * total:
             return found
-    common: tuple[int, ...] | None = None
-    for (text, _, path, links), chosen in zip(page.lines, inside, strict=True):
+    common = None
+    for (text, _, at, links), chosen in zip(page.lines, inside, strict=True):
         if chosen or links < HALF * len(text):
-            common = path if common is None else common[: shared(common, path)]
-    return next(({e} for e in reversed(common or ()) if e in page.parents), None)
+            common = at if common is None else common
+            while common and not common <= at <= page.last[common]:
+                common = page.above[common]
+    while common and common not in page.parents:
+        common = page.above[common]
+    return {common} if common else None
 
 
-def shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Length of the common beginning."""
-    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+def outermost(page: Lines, tag: str) -> dict[int, int]:
+    """For each container the outermost element of a tag that it is or lies in."""
+    outer: dict[int, int] = {}
+    for number, above in page.above.items():  # in the order they opened
+        held = outer.get(above) or (number if page.names[number] == tag else 0)
+        if held:
+            outer[number] = held
+    return outer
 
 
 def main_text(html: str | None) -> str:
@@ -300,7 +375,16 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     chosen = region(page)
-    return "\n".join(text for text, _, path, _ in page.lines if chosen is None or not chosen.isdisjoint(path))
+    if chosen is None:
+        return "\n".join(text for text, *_ in page.lines)
+    # Regions don't overlap: the last that opened at or before a line's container is the only one that may hold it.
+    starts = sorted(chosen)
+    kept = []
+    for text, _, at, _ in page.lines:
+        k = bisect_right(starts, at)
+        if k and at <= page.last[starts[k - 1]]:
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import itertools
 import re
 
@@ -67,3 +68,20 @@ def kept_exact(rows: list[tuple[int, str | None]]) -> dict[str, int]:
     for key, text in rows:
         best[text or ""] = max(key, best.get(text or "", key))
     return best
+
+
+BLOCK = "address|article|blockquote|center|dd|div|dl|dt|figcaption|figure|h[1-6]|hr|li|main|ol|p|pre|section|table|tbody|td|th|tr|ul"
+GONE = "aside|button|fieldset|footer|form|header|iframe|label|nav|noscript|script|select|style|svg|textarea"
+
+
+def article_text(page: str) -> str:
+    """The article of a page whose markup is sound, by patterns alone."""
+    page = re.sub(r"(?is)<!--.*?-->", "", page)
+    body = re.search(r"(?is)<article\b[^>]*>(.*)</article>", page)[1]
+    body = re.sub(rf"(?is)<({GONE})\b.*?</\1>", "", body)
+    body = re.sub(r"(?is)<(div|section|p|ul)\b[^>]*\b(class|id)=[\"']?(ad|ads|comments|share|related)\b.*?</\1>", "", body)
+    # White space of the source is one blank; only blocks end a line.
+    body = re.sub(rf"(?i)</?({BLOCK})\b[^>]*>", "\n", " ".join(body.split()))
+    body = html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br\b[^>]*>", " ", body)))
+    lines = (" ".join(line.split()) for line in body.split("\n"))
+    return "\n".join(line for line in lines if line)

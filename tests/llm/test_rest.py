@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -283,3 +285,42 @@ def test_pipeline_runs(spark):
 def test_models_are_used_by_the_stages():
     assert op1_language.UNKNOWN == "und"
     assert op6_pii.KINDS == ("email", "ip", "card", "phone")
+
+
+# Html: elements round the article, depth, a second extractor
+
+BODY = "<p>Some words of the article that go on for a while.</p>" * 6
+
+
+@pytest.mark.parametrize("around", ["<form>{}</form>", "<form><fieldset>{}</fieldset></form>", "<nav><a href=x>menu</a>{}", "<button>{}", "<header>{}", "<label>{}</label>"])
+@pytest.mark.parametrize("inner", ["<article><h1>T</h1>{}</article>", "<div><h1>T</h1>{}</div>"])
+def test_an_element_round_the_article_is_read(around, inner):
+    text = op5_html.main_text("<body>" + around.format(inner.format(BODY)) + "</body>").split("\n")
+    assert text[-7:] == ["T", *["Some words of the article that go on for a while."] * 6] and len(text) <= 8
+
+
+def test_elements_beside_the_article_stay_out():
+    links = "<a href=x>one of many links of a menu</a> " * 40
+    for page in (
+        f"<nav>{links}</nav><div>{BODY}</div><footer>rights</footer>",
+        f"<form>{BODY}{BODY}{BODY}</form><article>{BODY}</article>",
+        f"<article>{BODY}<form>comment here</form></article><footer>{BODY}{BODY}</footer>",
+    ):
+        assert op5_html.main_text(f"<body>{page}</body>").split("\n") == ["Some words of the article that go on for a while."] * 6
+
+
+@pytest.mark.parametrize("opening", ["<div>w ", "<div class=ad>w ", "<form>w ", "<p class=ad><b class=ad>w "])
+def test_unclosed_elements_take_time_in_proportion(opening):
+    times = []
+    for count in (25_000, 100_000):
+        started = time.process_time()
+        op5_html.main_text(opening * count)
+        times.append(time.process_time() - started)
+    assert times[1] < 8 * times[0] + 1 and times[1] < 60
+    assert op5_html.main_text("<div>" * 100_000 + "x" + "</span>" * 100_000) == "x"
+
+
+def test_pages_equal_a_plain_extractor(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    found = {r["page_id"]: r["text"] for r in op5_html.op5_html(spark, SF).collect()}
+    assert found == {k: plain.article_text(h) for k, h in pages.items()}
