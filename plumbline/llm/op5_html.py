@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -110,7 +110,8 @@ class Lines(HTMLParser):
         self.total_links = 0
         self.passed: dict[int, list] = {}  # of each element passed over by its tag: characters, those in links, whether it is marked
         self.open: list[tuple[str, int]] = []
-        self.open_tags: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements by tag
+        self.scopes: list[int] = []  # depths of the open elements beyond which no tag is implied
         self.containers: list[int] = []  # numbers of the open containers
         self.passing = 0  # depth of the element that is passed over, else 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -137,7 +138,9 @@ class Lines(HTMLParser):
     def close_to(self, depth: int) -> None:
         for tag, number in self.open[depth:]:
             self.last[number] = self.count
-            self.open_tags[tag] -= 1
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
             if tag in CONTAINERS:
                 self.containers.pop()
         del self.open[depth:]
@@ -156,13 +159,9 @@ class Lines(HTMLParser):
 
     def end_implied(self, tag: str) -> None:
         ends = ENDS.get(tag, {"p"} if tag in BLOCKS else ())
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name in ends:
-                self.close_to(depth)
-                return
-            if name in SCOPES:
-                return
+        inner = max((self.places[t][-1] for t in ends if self.places[t]), default=-1)
+        if inner > (self.scopes[-1] if self.scopes else -1):
+            self.close_to(inner)
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCKS
@@ -182,8 +181,10 @@ class Lines(HTMLParser):
         name = named(attrs) if attrs and tag not in CONTENT else None
         if not block and tag not in PASSED and name is None and not unwanted(attrs):
             return
+        self.places[tag].append(len(self.open))
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
         self.open.append((tag, self.count))
-        self.open_tags[tag] += 1
         self.names[self.count] = tag
         if tag in CONTAINERS:
             self.above[self.count] = self.containers[-1] if self.containers else 0
@@ -218,12 +219,8 @@ class Lines(HTMLParser):
             self.linked = False
         if tag in BLOCKS:
             self.end_line()
-        if not self.open_tags[tag]:
-            return
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self.close_to(depth)
-                return
+        if self.places[tag]:
+            self.close_to(self.places[tag][-1])
 
     def handle_data(self, data):
         if not self.passing:
