@@ -39,14 +39,18 @@ def _views(spark: SparkSession, frames: dict[str, DataFrame]):
 def query_frame(scope: Scope, rule: Rule) -> DataFrame:
     """The rule's query, over the datasets that it names."""
     (text,) = require(rule.kwargs, "unexpected_rows_query")
-    names = [n for n in scope.others if _names(text, n)]
+    read = relations(scope.spark, text)
+    names = [n for n in scope.others if n.lower() in read]
     frames = {**{n: scope.others[n] for n in names}, scope.name: scope.whole}
     with _views(scope.spark, frames):
         return scope.spark.sql(text)
 
 
-def _names(text: str, name: str) -> bool:
-    return re.search(rf"(?<![\w.]){re.escape(name)}(?!\w)", text, re.IGNORECASE) is not None
+def relations(spark: SparkSession, text: str) -> set[str]:
+    """Names of the tables a query reads, in lower case: of its parsed plan, so aliases and columns don't count."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    found = re.findall(r"'?UnresolvedRelation \[([^\]]*)\]", plan.toString())
+    return {name.lower() for name in found}
 
 
 def _counted_source(scope: Scope, text: str) -> DataFrame:
@@ -54,9 +58,13 @@ def _counted_source(scope: Scope, text: str) -> DataFrame:
 
     A word after FROM that is no dataset, as in ``extract(year FROM day)``, is passed over.
     """
+    read = relations(scope.spark, text)
     for found in re.finditer(r"\bfrom\s+([\w.`]+)", text, re.IGNORECASE):
+        name = found.group(1).replace("`", "")
+        if "." not in name and name.lower() not in read:
+            continue
         try:
-            return scope.lookup(found.group(1).replace("`", ""))
+            return scope.lookup(name)
         except RuleError:
             continue
     return scope.whole

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.arithmetic import json_object, literal, struct
 from plumbline.functions.columns import find_column, quoted
+from plumbline.operators.skew import BROADCAST_BYTES, bytes_of
 from plumbline.operators.spec import (
     FrameSpec,
     Verdict,
@@ -103,6 +104,22 @@ def _key_texts(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.select(*[key_text(F.col(quoted(k))).alias(f"__k{i}") for i, k in enumerate(keys)])
 
 
+def keys_known(changed: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: how many of the changed keys are among the known ones.
+
+    The known keys are all of a history, the changed ones what came after a
+    mark.  So the history is filtered by them where it is read and only matches
+    go on: by a broadcast where they are measured to fit one, else by a semi
+    join, for which Spark may build a Bloom filter of the changed keys.
+    """
+    names = changed.columns
+    wanted = changed.distinct()
+    if bytes_of(wanted, names) <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    matched = known.join(wanted, names, "left_semi").distinct()
+    return changed.join(matched, names, "left_semi").agg(all_rows().alias("core_inactive"))
+
+
 def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:
     kw = rule.kwargs
     source_keys = [find_column(source, k) for k in keys]
@@ -150,10 +167,7 @@ def _keyed(scope, rule, source, target, keys, mode) -> FrameSpec:
             # Keys whose first row is not after the mark are those with any such row.
             seen = _insert_column(kw, target) or target_date
             known = target.where(F.col(quoted(seen)) <= conf_mark.cast(target.schema[seen].dataType))
-            again = _key_texts(latest, source_keys).join(
-                _key_texts(known, target_keys), [f"__k{i}" for i in range(len(keys))], "left_semi"
-            )
-            frames.append(again.agg(all_rows().alias("core_inactive")))
+            frames.append(keys_known(_key_texts(latest, source_keys), _key_texts(known, target_keys)))
         return combine_single_rows(frames)
 
     def verdict(m):

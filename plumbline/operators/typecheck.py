@@ -35,12 +35,30 @@ TYPE_FAMILIES = {
         "TIMESTAMP_NTZ": "timestamp_ntz",
         "TIMESTAMP_LTZ": "timestamp",
         "TIMESTAMP_TZ": "timestamp",
+        "TIME": "time",
     },
     "boolean": {"BOOLEAN": "boolean"},
     "text": {"VARCHAR": "string", "STRING": "string", "TEXT": "string", "CHAR": "string"},
 }
 
 
+CLOCK = r"\A\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\z"
+
+
+def _fits(column, declared: T.DataType, target: str):
+    """Whether a value of the column can be read as the type.
+
+    A time of day is text like ``23:59`` or ``23:59:59.5``, or any timestamp; a date holds none.
+    """
+    if target != "time":
+        text = F.trim(column) if is_text(declared) else column
+        return text.try_cast(target).isNotNull()
+    if is_text(declared):
+        text = F.trim(column)
+        return text.rlike(CLOCK) & F.concat(F.lit("1970-01-01 "), text).try_cast("timestamp_ntz").isNotNull()
+    return F.lit(isinstance(declared, (T.TimestampType, T.TimestampNTZType)))
+
+
 def _declared(data_type: T.DataType) -> tuple[str, tuple[str, ...]]:
     """Family of a column type and the rule type names that are the same type."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
@@ -67,18 +85,18 @@ def values_of_type(scope: Scope, rule: Rule) -> ScanSpec:
     if family is None:
         raise RuleError(f"unknown type {wanted!r}")
     column = F.col(quoted(name))
-    declared, same = _declared(type_of(scope.df, name))
+    kind = type_of(scope.df, name)
+    declared, same = _declared(kind)
 
     if wanted in same or family == "text":
         absent, bad = F.lit(False), F.lit(False)
     elif declared == "text":
         absent = blank(column)
-        target = TYPE_FAMILIES[family][wanted]
-        bad = false_if_null(~absent & F.trim(column).try_cast(target).isNull())
+        bad = false_if_null(~absent & ~_fits(column, kind, TYPE_FAMILIES[family][wanted]))
     elif declared == family:
         # Within a family only a value that does not fit is wrong.
         absent = column.isNull()
-        bad = false_if_null(~absent & column.try_cast(TYPE_FAMILIES[family][wanted]).isNull())
+        bad = false_if_null(~absent & ~_fits(column, kind, TYPE_FAMILIES[family][wanted]))
     else:
         absent, bad = F.lit(False), F.lit(True)
     allowed = mostly(rule.kwargs)

@@ -23,19 +23,16 @@ AUDIT_COLUMNS = (
 
 
 def rule_header(rule: dict) -> str:
-    """``COLUMN_DIMENSION_CATEGORY_ID`` (a fixed format); ranges, types and lengths show their bounds."""
-    column = (rule.get("column_name") or "TABLE").upper().replace(" ", "_")
+    """``COLUMN_DIMENSION_CATEGORY_ID`` (a fixed format); some expectations show arguments in the category."""
     known = catalog.BY_ID.get(rule["expectation_id"])
-    category = known.check_type if known else "UNCATEGORIZED"
-    dimension = known.dimension if known else "UNCATEGORIZED"
+    category, dimension = (known.check_type, known.dimension) if known else ("UNCATEGORIZED", "UNCATEGORIZED")
     try:
-        args = json.loads(rule.get("kwargs") or "{}")
+        kwargs = json.loads(rule.get("kwargs") or "{}")
+        if kwargs and known and known.header:
+            category = known.header.text(kwargs)
     except json.JSONDecodeError:
-        args, category = {}, f"{category}_PARSE_ERROR"
-    if args and category in ("RANGE_CHECK", "LENGTH_CHECK"):
-        category += f"({args.get('min_value', 'MIN')}_{args.get('max_value', 'MAX')})"
-    elif args and category == "DATA_TYPE_CHECK":
-        category = f"DATATYPE_CHECK({args.get('type_', 'UNKNOWN')})"
+        category = f"{category}_PARSE_ERROR"
+    column = (rule.get("column_name") or "TABLE").upper().replace(" ", "_")
     return f"{column}_{dimension}_{category}_{rule['rule_config_id']}"
 
 
@@ -105,7 +102,7 @@ def shown_runs(run_log: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
     return recent.union(current).distinct()
 
 
-def shown_verdicts(rule_results: DataFrame, run_log: DataFrame, rule_config: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
+def history_verdicts(rule_results: DataFrame, run_log: DataFrame, rule_config: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
     """The shown runs, each with the verdicts of its rules; a run without results has one row."""
     told = rule_results.where(F.col("dataset_id") == dataset_id).select("dataset_run_id", "rule_config_id", "is_success")
     rules = rule_config.select("rule_config_id", "expectation_id", "kwargs", "column_name")
@@ -134,22 +131,36 @@ def shown_rules(
     )
 
 
-def failure_pivot_sql(store: Store, dataset: Dataset, run_id: int) -> str | None:
+def known_verdicts(store: Store, verdicts: list[dict]) -> list[dict]:
+    """Verdicts beside the configuration of their rules."""
+    ids = sorted({v["rule_config_id"] for v in verdicts})
+    config = store.read("rule_config").where(F.col("rule_config_id").isin(ids))
+    rules = {
+        r["rule_config_id"]: r.asDict() | {"known": True}
+        for r in config.select("rule_config_id", "expectation_id", "kwargs", "column_name").collect()
+    }
+    return [{"known": None} | rules.get(v["rule_config_id"], {}) | v for v in verdicts]
+
+
+def failure_pivot_sql(store: Store, dataset: Dataset, run_id: int, verdicts: list[dict] | None = None) -> str | None:
     """The pivot of a dataset's failing rows; None when it has none yet.
 
     Stored rows hold each distinct failing row once, so the pivot is a
     projection of them; the verdicts of the shown runs are part of its text.
     Rows of custom queries may differ in columns that the pivot doesn't show:
-    with such rules it is grouped.
+    with such rules it is grouped.  ``verdicts`` spares a reading of the history.
     """
     table = failure_table_name(dataset.dataset_name)
     if not store.exists(table):
         return None
-    told = shown_verdicts(
-        store.read("rule_results"), store.read("dataset_run_log"), store.read("rule_config"), dataset.dataset_id, run_id
-    ).collect()
+    if verdicts is None:
+        results, log, config = (store.read(t) for t in ("rule_results", "dataset_run_log", "rule_config"))
+        rows = history_verdicts(results, log, config, dataset.dataset_id, run_id).collect()
+        told = [r.asDict() for r in rows]
+    else:
+        told = known_verdicts(store, verdicts)
     runs = sorted({r["dataset_run_id"] for r in told})
-    rules = {r["rule_config_id"]: r.asDict() for r in told if r["known"]}
+    rules = {r["rule_config_id"]: r for r in told if r["known"]}
     rules = [rules[i] for i in sorted(rules)]
     source = _source_columns(store.spark.table(store.name(stored_table_name(table))))
     if any(_custom(r) for r in rules):
@@ -195,9 +206,9 @@ def failure_pivot(store: Store, dataset: Dataset, run_id: int) -> DataFrame | No
     return None if text is None else store.spark.sql(text)
 
 
-def failure_view(store: Store, dataset: Dataset, run_id: int) -> str | None:
+def failure_view(store: Store, dataset: Dataset, run_id: int, verdicts: list[dict] | None = None) -> str | None:
     """The pivot as the catalogue view ``vw_<dataset>_dq_failure`` of the store's database."""
-    text = failure_pivot_sql(store, dataset, run_id)
+    text = failure_pivot_sql(store, dataset, run_id, verdicts)
     if text is None:
         return None
     name = store.name("vw_" + failure_table_name(dataset.dataset_name))

@@ -23,6 +23,7 @@ from plumbline.plans.evaluate import Compiled, analysed, compile_rules, passes,
 from plumbline.plans.parallel import side_by_side
 from plumbline.plans.pivot import failure_view
 from plumbline.plans.rules import fetch_rules, parse_rule_ids
+from plumbline.plans.state import after_run, change_state, read_state, shown_verdicts
 from plumbline.rule import Rule, RuleError, name_list, parse_kwargs
 from plumbline.sources.datasets import Dataset, LazyFrames, Scope
 from plumbline.sources.store import Store, failure_table_name, new_id
@@ -127,13 +128,19 @@ def run_dataset(
         store.append_rows("dataset_run_log", [entry])
         return DatasetRun(ERROR, run_id, message=message or str(error))
 
-    found = load_datasets(store, F.col("dataset_id") == dataset_id)
+    chosen = parse_rule_ids(rule_ids) if isinstance(rule_ids, (str, type(None))) else list(rule_ids)
+    datasets, rows, state = side_by_side(
+        [
+            lambda: load_datasets(store),
+            lambda: fetch_rules(store, dataset_id, chosen),
+            lambda: read_state(store, dataset_id),
+        ]
+    )
+    found = [d for d in datasets if d.dataset_id == dataset_id]
     if not found:
         message = f"Dataset ID {dataset_id} not found."
         return broken("VALIDATE_DATASET", message, message)
     dataset = found[0]
-    chosen = parse_rule_ids(rule_ids) if isinstance(rule_ids, (str, type(None))) else list(rule_ids)
-    rows = fetch_rules(store, dataset_id, chosen)
     if not rows:
         message = f"No rules to run for dataset {dataset_id}"
         return broken("RULES_FETCHING", message, message)
@@ -146,7 +153,7 @@ def run_dataset(
         except RuleError as exc:
             errors[row["rule_config_id"]] = exc
     try:
-        scope, watermark = build_scope(store, dataset, rules, now, frame)
+        scope, watermark = build_scope(store, dataset, rules, now, frame, state, datasets)
     except Exception as exc:  # the dataset itself cannot be read
         return broken("VALIDATE_DATASET", None, exc)
 
@@ -154,7 +161,7 @@ def run_dataset(
     errors.update(bad)
     began = clock()
     try:
-        outcome, bad, staged = decide(store, dataset, scope, compiled, run_id)
+        outcome, bad, staged = decide(store, scope, compiled, run_id, state)
         errors.update(bad)
         decided = clock()
         audit.add(run_id, None, "MAIN_QUERY", "COMPLETED", f"{len(outcome)} verdicts", since=began, until=decided)
@@ -173,12 +180,12 @@ def run_dataset(
     view = None
     if any(r["unexpected_count"] for r in outcome.values()):
         try:
-            view = failure_view(store, dataset, run_id)
+            view = failure_view(store, dataset, run_id, shown_verdicts(state, run_id, outcome))
             audit.add(run_id, None, "VIEW_CREATION", "COMPLETED", view)
         except Exception as exc:
             audit.add(run_id, None, "VIEW_CREATION", "FAILED", None, exc)
     store.append_rows("rule_audit_log", audit.rows)
-    # The log row comes last: it tells that all else is written.
+    # The log row comes last but for the state: it tells that all else is written.
     return _finish(store, dataset, run_id, batch_id, rows, outcome, errors, chosen, watermark,
                    started, clock(), created_by, view)
 
@@ -201,13 +208,15 @@ def _failed(outcome, c: Compiled) -> bool:
     return (outcome[c.rule.rule_config_id]["unexpected_count"] or 0) > 0
 
 
-def build_scope(store, dataset, rules, now=None, frame=None) -> tuple[Scope, str | None]:
+def build_scope(store, dataset, rules, now=None, frame=None, state=None, datasets=None) -> tuple[Scope, str | None]:
     """The rows to validate, and the mark an incremental run leaves behind."""
     spark: SparkSession = store.spark
+    state = read_state(store, dataset.dataset_id) if state is None else state
+    marks = {int(i): tuple(m) for i, m in state["rules"].items()}
     others = LazyFrames(
         {
             d.dataset_name: lambda d=d: d.load(spark)
-            for d in load_datasets(store)
+            for d in (load_datasets(store) if datasets is None else datasets)
             if d.dataset_id != dataset.dataset_id and d.dataset_name
         }
     )
@@ -220,12 +229,12 @@ def build_scope(store, dataset, rules, now=None, frame=None) -> tuple[Scope, str
         candidate_key=tuple(dataset.candidate_key()),
         now=now,
         others=others,
-        watermarks=stored_watermarks(store, [r.rule_config_id for r in rules if _recon(r)]),
+        watermarks={r.rule_config_id: marks[r.rule_config_id] for r in rules if _recon(r) and r.rule_config_id in marks},
     )
     column = dataset.incremental_column()
     if not dataset.is_incremental or column is None or frame is not None:
         return scope, None
-    mark = last_validated(store, dataset.dataset_id)
+    mark = state["mark"]
     scope = scope.narrowed(column, mark)
     newest = scope.df.agg(F.max(F.col(quoted(find_column(rows, column)))).cast("string")).first()[0]
     return scope, newest or mark
@@ -235,44 +244,6 @@ def _recon(rule: Rule) -> bool:
     return rule.expectation.lower().endswith("row_count_to_equal_other_table")
 
 
-def last_validated(store: Store, dataset_id: int) -> str | None:
-    """The newest value validated by a full run that ended without errors."""
-    runs = store.read("dataset_run_log").where(
-        (F.col("dataset_id") == dataset_id)
-        & (F.coalesce(F.col("run_scope"), F.lit("FULL")) == "FULL")
-        & (F.col("run_status") != "ERROR")
-    )
-    return runs.agg(F.max("max_validated_timestamp").cast("string")).first()[0]
-
-
-def latest_watermarks(rule_results: DataFrame) -> DataFrame:
-    """Marks of the last passing result of each rule that stored any."""
-    # Find the latest result that holds a mark first, and parse only that.
-    holds_mark = F.col("observed_value").rlike(r'"(core_)?watermark"\s*:\s*[^\sn]')
-    latest = F.max_by("observed_value", F.struct("run_timestamp", "dataset_run_id", "observed_value"))
-    found = (
-        rule_results.where(F.col("is_success") & holds_mark)
-        .groupBy("rule_config_id")
-        .agg(latest.alias("observed"))
-    )
-
-    def mark(name):
-        own = F.get_json_object("observed", f"$.{name}")
-        return F.coalesce(own, F.get_json_object("observed", "$.watermark"))
-
-    return found.select(
-        "rule_config_id", mark("core_watermark").alias("core"), mark("conf_watermark").alias("conf")
-    )
-
-
-def stored_watermarks(store: Store, rule_ids: list[int]) -> dict[int, tuple]:
-    if not rule_ids:
-        return {}
-    mine = store.read("rule_results").where(F.col("rule_config_id").isin(rule_ids))
-    rows = latest_watermarks(mine).collect()
-    return {r["rule_config_id"]: (r["core"], r["conf"]) for r in rows}
-
-
 def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, dict], dict[int, Exception]]:
     """One result per rule.
 
@@ -303,7 +274,7 @@ def collect_results(compiled: list[Compiled], scope: Scope) -> tuple[dict[int, d
 
 
 def decide(
-    store: Store, dataset: Dataset, scope: Scope, compiled: list[Compiled], run_id: int
+    store: Store, scope: Scope, compiled: list[Compiled], run_id: int, state: dict
 ) -> tuple[dict[int, dict], dict[int, Exception], bool]:
     """Results and errors of the rules, and whether failing rows were staged on the way.
 
@@ -312,7 +283,7 @@ def decide(
     for its verdicts alone, in the columns they need.
     """
     scans = [c for c in compiled if isinstance(c.spec, ScanSpec)]
-    if not any(stageable(c) for c in scans) or not failed_before(store, dataset.dataset_id):
+    if not any(stageable(c) for c in scans) or state["failures"] == 0:
         return *collect_results(compiled, scope), False
 
     def together():
@@ -329,14 +300,6 @@ def decide(
     return {**outcome, **found}, errors, True
 
 
-def failed_before(store: Store, dataset_id: int) -> bool:
-    """Whether the dataset's last run had failures, or there was none."""
-    log = store.read("dataset_run_log").where(F.col("dataset_id") == dataset_id)
-    bad = F.col("unsuccessfull_expectations") + F.col("error_expectations")
-    last = log.agg(F.max_by(bad, "dataset_run_id")).first()[0]
-    return last is None or last > 0
-
-
 def capture(store, dataset, scope, failed, allowed, staged, run_id, started, audit) -> dict[int, dict]:
     """Write failing rows, keys and value lists; return what the result rows add about them.
 
@@ -345,19 +308,6 @@ def capture(store, dataset, scope, failed, allowed, staged, run_id, started, aud
     extras: dict[int, dict] = {c.rule.rule_config_id: {} for c in allowed}
     kept = [c for c in failed if c.rule.error_flag and c.spec.failing is not None]
     table = failure_table_name(dataset.dataset_name)
-    written = write_rows(store, dataset, scope, kept, staged, table, run_id, started, audit)
-    for c in written:
-        extras[c.rule.rule_config_id]["table"] = table
-    tasks = [
-        lambda: write_keys(store, dataset, scope, written, table, run_id, started, audit),
-        lambda: write_lists(store, dataset, scope, allowed, run_id, started, audit),
-    ]
-    details_of = [
-        lambda: _value_details(store, scope, failed, written, table, run_id),
-        *[lambda c=c: _examples(scope, c) for c in failed if isinstance(c.spec, ScanSpec) and c.spec.partial_list],
-        *[lambda c=c: _combinations(c) for c in failed if c.label == "unexpected_rows_expectation"],
-        *[lambda c=c: _matched(scope, c) for c in allowed if c.label == "expect_column_values_to_be_in_set"],
-    ]
 
     def guarded(task):
         began = audit.clock()
@@ -367,9 +317,34 @@ def capture(store, dataset, scope, failed, allowed, staged, run_id, started, aud
             audit.add(run_id, None, "COMPUTE_ERROR_METRICS", "FAILED", None, exc, since=began)
             return {}
 
-    found = side_by_side([*tasks, *[lambda t=t: guarded(t) for t in details_of]])
-    for part in found[len(tasks):]:
-        for rule_id, more in part.items():
+    def rows_first():
+        """What is read back from the stored rows follows them; all else runs beside."""
+        written = write_rows(store, dataset, scope, kept, staged, table, run_id, started, audit)
+        told = {c.rule.rule_config_id: {"table": table} for c in written}
+        found = side_by_side(
+            [
+                lambda: guarded(lambda: _value_details(store, scope, failed, written, table, run_id)),
+                lambda: write_keys(store, dataset, scope, written, table, run_id, started, audit),
+            ]
+        )[0]
+        for rule_id, more in found.items():
+            told.setdefault(rule_id, {}).update(more)
+        return told
+
+    tasks = [
+        *[lambda c=c: _examples(scope, c) for c in failed if isinstance(c.spec, ScanSpec) and c.spec.partial_list],
+        *[lambda c=c: _combinations(c) for c in failed if c.label == "unexpected_rows_expectation"],
+        *[lambda c=c: _matched(scope, c) for c in allowed if c.label == "expect_column_values_to_be_in_set"],
+    ]
+    found = side_by_side(
+        [
+            rows_first,
+            lambda: write_lists(store, dataset, scope, allowed, run_id, started, audit),
+            *[lambda t=t: guarded(t) for t in tasks],
+        ]
+    )
+    for part in found:
+        for rule_id, more in (part or {}).items():
             extras[rule_id].update(more)
     return extras
 
@@ -657,6 +632,12 @@ def _finish(store, dataset, run_id, batch_id, rows, outcome, errors, chosen, wat
             }
         ],
     )
+    mark = _moment(watermark)
+    change_state(
+        store,
+        dataset.dataset_id,
+        after_run(run_id, not chosen, counts[FAILED], counts[ERROR], None if mark is None else str(mark), outcome),
+    )
     return DatasetRun(code, run_id, status, codes, {k: str(v) for k, v in errors.items()})
 
 

@@ -66,6 +66,7 @@ TABLES = {
     "run_scope string",
     "value_lists": "dataset_run_id bigint, dataset_id bigint, rule_config_id bigint, kind string, "
     "value string, rows bigint, listed_timestamp timestamp_ntz",
+    "run_state": "state string, dataset_id bigint",
     "project_run_log": "batch_id bigint, project_id bigint, datasets_total bigint, "
     "datasets_run bigint, datasets_skipped bigint, passed bigint, failed bigint, "
     "errored bigint, run_status string, success_percent double, run_time double, "
@@ -157,6 +158,7 @@ class Store:
             dated = table in TIMESTAMPS
             columns += f", {DAY} date" if dated else ""
             by = f" PARTITIONED BY ({DAY})" if dated else ""
+            by = " PARTITIONED BY (dataset_id)" if table == "run_state" else by
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet{by}")
         return self
 
@@ -195,6 +197,12 @@ class Store:
         data = [tuple(row.get(f.name) for f in schema.fields) for row in rows]
         self.append(table, small_frame(self.spark, data, schema).coalesce(1))
 
+    def replace_state(self, dataset_id: int, state: str) -> None:
+        """Put a dataset's state in place of the one before."""
+        row = small_frame(self.spark, [(state, dataset_id)], TABLES["run_state"]).coalesce(1)
+        with _WRITES[self.name("run_state")]:
+            row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name("run_state"))
+
     def discard_run(self, run_id: int, failure_table: str) -> None:
         """Remove what an unfinished run has left, so that it can be repeated under its id."""
         for table in ("rule_results", "failed_row_keys", "recon_results", "rule_audit_log", "value_lists"):

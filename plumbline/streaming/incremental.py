@@ -14,22 +14,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.plans.runner import load_datasets, run_dataset
+from plumbline.plans.state import change_state, logged_since, read_state
 from plumbline.sources.store import Store, failure_table_name, new_id
 
 
 STARTED = "BATCH_STARTED"
 
 
-def batch_run_id(store: Store, dataset_id: int, marker: str, now: datetime.datetime) -> int:
-    """The run id of a batch: reserved in the audit log before the first attempt, found there by later ones."""
-    mine = store.read("rule_audit_log").where((F.col("step_name") == STARTED) & (F.col("log_message") == marker))
-    found = mine.agg(F.min("dataset_run_id")).first()[0]
-    run_id = new_id() if found is None else found
-    if found is not None:
+def reserve(store: Store, dataset_id: int, label: str, marker: str, now: datetime.datetime) -> int | None:
+    """The run id of a batch, or None for one whose run was logged.
+
+    The id is reserved in the dataset's state before the first attempt and found
+    there by later ones.  The log is read from the day of the reservation on.
+    """
+    held = read_state(store, dataset_id)["streams"].get(label)
+    row = {"procedure_name": "validate_stream", "step_name": STARTED, "log_message": marker, "status": "STARTED"}
+    if held is not None and held["marker"] == marker:
+        run_id = held["run"]
+        if logged_since(store, dataset_id, marker, datetime.date.fromisoformat(held["day"])):
+            return None
         for dataset in load_datasets(store, F.col("dataset_id") == dataset_id):
             store.discard_run(run_id, failure_table_name(dataset.dataset_name))
-    row = {"dataset_run_id": run_id, "procedure_name": "validate_stream", "step_name": STARTED, "log_message": marker}
-    store.append_rows("rule_audit_log", [{**row, "start_timestamp": now, "end_timestamp": now, "status": "STARTED"}])
+    elif held is None and logged_since(store, dataset_id, marker, None):  # a stream older than the state
+        return None
+    else:
+        run_id = new_id()
+        entry = {"marker": marker, "run": run_id, "day": now.date().isoformat()}
+        change_state(store, dataset_id, lambda state: state["streams"].update({label: entry}))
+    store.append_rows("rule_audit_log", [{**row, "dataset_run_id": run_id, "start_timestamp": now, "end_timestamp": now}])
     return run_id
 
 
@@ -47,11 +59,11 @@ def validate_stream(
 
     def validate(batch: DataFrame, epoch: int) -> None:
         marker = f"{label}:{dataset_id}:{epoch}"
-        log = store.read("dataset_run_log").where((F.col("dataset_id") == dataset_id) & (F.col("created_by") == marker))
-        if not log.where(F.col("evaluated_expectations") > 0).isEmpty():
+        run_id = reserve(store, dataset_id, label, marker, datetime.datetime.now())
+        if run_id is None:
             return
-        run_id = batch_run_id(store, dataset_id, marker, datetime.datetime.now())
-        # A run reads its rows several times; the source is read once.
+        # A run reads its rows several times; the source is read once, and again
+        # only for what a lost executor held.
         rows = batch.persist()
         try:
             run = run_dataset(store, dataset_id, run_id=run_id, created_by=marker, frame=rows)

@@ -1,7 +1,8 @@
 """Whole runs through a store, read back from its tables.
 
-The runs of one session over one set of tables are made once, in a database of
-their own, and shared by the queries that look at different tables of them.
+The runs of one session over one set of files are made once, in a database of
+their own, and shared by the queries that look at different tables of them; files
+that change get runs of their own.
 """
 
 from __future__ import annotations
@@ -56,9 +57,20 @@ BESIDE = (
       Rule(67, "expect_column_values_to_not_be_null", {"column": "no_such_column"}),
       Rule(68, "expect_table_row_count_to_equal_other_table", {"other_dataset_name": "o", "scd_type": 0})]),
 )
-NATIONS = [Rule(69, "expect_column_values_to_be_between", {"column": "n_regionkey", "min_value": 0, "max_value": 2})]
+# Orders written as CSV, prices with a blank now and then.
+PRICES = [
+    Rule(69, "expect_column_values_to_be_between", {"column": "o_totalprice", "min_value": 1000, "max_value": 200000}),
+    Rule(70, "expect_column_values_to_be_in_set", {"column": "o_orderstatus", "value_set": ["O", "F"]}),
+]
 
-_made: dict[tuple[str, str], Store] = {}
+_made: dict[tuple, Store] = {}
+
+
+def _files(spark, sf_dir) -> tuple:
+    """The files of the tables that the runs read, with their sizes and times."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("customer", "orders", "part")]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return tuple(sorted(tuple(r) for r in listed.select("path", "length", "modificationTime").collect()))
 
 
 def _folder(spark) -> str:
@@ -77,7 +89,7 @@ def _with_dataset(rules, dataset_id):
 
 def store_of_runs(spark, sf_dir) -> Store:
     """A store after a project run and the runs of the datasets beside it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir))
     if key in _made:
         return _made[key]
     store = new_store(spark)
@@ -95,14 +107,15 @@ def store_of_runs(spark, sf_dir) -> Store:
         dataset = Dataset(number, name, path=path, project_id=OTHERS, primary_key_columns=primary, candidate_key_columns=candidate)
         register_dataset(store, dataset, now=NOW)
         register_rules(store, _with_dataset(rules, number), now=NOW)
-    csv = f"{_folder(spark)}/{store.database}_nation_csv"
-    load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(csv)
-    schema = "n_nationkey int, n_name string, n_regionkey int"
+    csv = f"{_folder(spark)}/{store.database}_orders_csv"
+    priced = F.when(F.col("o_orderkey") % 10 > 0, F.col("o_totalprice")).alias("o_totalprice")
+    load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", priced).write.option("header", True).csv(csv)
+    schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
     options = '{"header": "true"}'
     register_dataset(
-        store, Dataset(9, "nation_csv", path=csv, file_format="csv", file_schema=schema, file_options=options), now=NOW
+        store, Dataset(9, "orders_csv", path=csv, file_format="csv", file_schema=schema, file_options=options), now=NOW
     )
-    register_rules(store, _with_dataset(NATIONS, 9), now=NOW)
+    register_rules(store, _with_dataset(PRICES, 9), now=NOW)
     # A dataset nobody can read; only the rule that names it may notice.
     register_dataset(store, Dataset(99, "o", path=f"{sf_dir}/no_such_table.parquet", project_id=OTHERS), now=NOW)
     run_project(store, PROJECT)
@@ -196,8 +209,14 @@ add(
 )
 add(
     "csv_dataset_run",
-    _read("rule_results", "element_count", "unexpected_count", where="dataset_id = 9"),
-    "SELECT count(*) AS element_count, count(*) FILTER (WHERE n_regionkey < 0 OR n_regionkey > 2) AS unexpected_count FROM nation",
+    _read("rule_results", "rule_config_id", "element_count", "missing_count", "unexpected_count", where="dataset_id = 9"),
+    """
+    WITH o AS (SELECT o_orderstatus, CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice END AS p FROM orders)
+    SELECT CAST(69 AS BIGINT) AS rule_config_id, count(*) AS element_count, count(*) FILTER (WHERE p IS NULL) AS missing_count,
+           count(*) FILTER (WHERE p < 1000 OR p > 200000) AS unexpected_count FROM o
+    UNION ALL
+    SELECT CAST(70 AS BIGINT), count(*), count(*) FILTER (WHERE trim(o_orderstatus) = ''),
+           count(*) FILTER (WHERE trim(o_orderstatus) NOT IN ('O', 'F', '')) FROM o""",
 )
 _CUSTOM_ROWS = """
     SELECT o_orderkey, CAST(NULL AS {key}) AS o_custkey, CAST(NULL AS VARCHAR) AS o_orderstatus, o_totalprice,

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog import validate_rule
+from plumbline.catalog import rule_problems, schema_frame
 from plumbline.plans import reports
 from plumbline.plans.pivot import shown_rules
-from plumbline.rule import Rule
 from plumbline.suite.helpers import add
 from plumbline.suite.tables import load, source
 
@@ -171,23 +170,30 @@ add(
 
 
 def _validation(spark, d):
-    """Problems of some rule configurations, next to the rows they would run on."""
-    df = load(spark, d, "lineitem")
-    rules = [
-        Rule(1, "expect_column_values_to_be_between", {"column": "l_quantity", "min_value": 1, "max_value": 2}),
-        Rule(2, "expect_column_values_to_be_between", {"column": "l_returnflag", "min_value": 1}),
-        Rule(3, "expect_column_values_to_match_regex", {"column": "l_tax", "regex": "x"}),
-        Rule(4, "expect_column_values_to_be_unique", {}),
-    ]
-    problems = F.array(*[F.struct(F.lit(r.rule_config_id).cast("bigint").alias("rule_config_id"),
-                                  F.lit(len(validate_rule(r, df))).cast("bigint").alias("problems")) for r in rules])
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return rows.select(F.col("rows"), F.inline(problems))
+    """What is wrong with each of the rules that the test tables configure."""
+    columns = schema_frame(spark, {1: load(spark, d, "lineitem")})
+    return rule_problems(load(spark, d, "rules_q"), columns)
 
 
 add(
     "rule_validation",
     _validation,
-    "SELECT (SELECT count(*) FROM lineitem) AS rows, CAST(id AS BIGINT) AS rule_config_id, CAST(n AS BIGINT) AS problems "
-    "FROM (VALUES (1, 0), (2, 2), (3, 1), (4, 1)) AS v(id, n)",
+    f"""
+    WITH r AS (SELECT rule_config_id, lower(expectation_name) AS e, nullif(kwargs ->> '$.column', '') AS c, kwargs
+               FROM {source('rules_q')} AS q),
+         needed AS (SELECT * FROM (VALUES
+            ('expect_column_values_to_be_between', 'column'), ('expect_column_values_to_be_between', 'min_value'),
+            ('expect_column_values_to_be_between', 'max_value'), ('column_values_to_match_regex', 'column'),
+            ('column_values_to_match_regex', 'regex'), ('expect_column_values_to_be_unique', 'column'),
+            ('expect_column_to_exist', 'column')) AS v(e, a)),
+         cols AS (SELECT lower(column_name) AS name, column_type AS kind FROM (DESCRIBE SELECT * FROM lineitem)),
+         asked AS (SELECT * FROM r LEFT JOIN cols ON lower(c) = name
+                   WHERE c IS NOT NULL AND e NOT IN ('no_such_check', 'expect_column_to_exist'))
+    SELECT rule_config_id, 'unknown expectation' AS problem, e AS detail FROM r WHERE e = 'no_such_check'
+    UNION ALL SELECT rule_config_id, 'missing argument', a FROM r JOIN needed USING (e)
+        WHERE coalesce(kwargs ->> concat('$.', a), '') = ''
+    UNION ALL SELECT rule_config_id, 'unknown column', c FROM asked WHERE name IS NULL
+    UNION ALL SELECT rule_config_id, 'column type', c FROM asked
+        WHERE (e LIKE '%between' AND (kind = 'VARCHAR' OR kind LIKE '%TIME%' OR kind = 'DATE'))
+           OR (e LIKE '%regex' AND kind <> 'VARCHAR')""",
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.operators.recon import latest_audit_entry
 from plumbline.plans.evaluate import evaluate
-from plumbline.plans.runner import latest_watermarks
+from plumbline.plans.state import latest_watermarks
 from plumbline.rule import Rule
 from plumbline.sources.datasets import Scope, since
 from plumbline.suite.helpers import add, counts_sql, summary, summary_columns
@@ -16,11 +16,56 @@ LINEITEM = (
 ).split()
 
 
-def _literal(expectation, total, bad, percent, observed, ok):
+# The table's columns as the other engine sees them, by position.
+_COLUMNS = "cols AS (SELECT column_name AS name, row_number() OVER () - 1 AS i FROM (DESCRIBE SELECT * FROM lineitem))"
+
+
+def _list_sql(names) -> str:
+    """Expected names by position; ``CS:`` marks those compared with their case."""
+    rows = [f"({k}, '{n.removeprefix('CS:')}', {n.startswith('CS:')})" for k, n in enumerate(names)]
+    return f"wanted AS (SELECT * FROM (VALUES {', '.join(rows)}) AS v(i, name, exact))"
+
+
+def _schema_sql(expectation, total, bad, ok, observed="0", percent=None, also=""):
+    """Schema checks from the described table: counts as scalar SQL over ``cols`` and ``wanted``."""
+    percent = percent or "CASE WHEN bad = 0 THEN 0.0 ELSE 100.0 END"
     return (
-        f"SELECT '{expectation}' AS expectation, CAST({total} AS BIGINT) AS element_count, "
-        f"CAST(0 AS BIGINT) AS missing_count, CAST({bad} AS BIGINT) AS unexpected_count, "
-        f"CAST({percent} AS DOUBLE) AS unexpected_percent, CAST({observed} AS DOUBLE) AS observed_value, {ok} AS is_success"
+        f"WITH {_COLUMNS}{', ' + also if also else ''}, "
+        f"found AS (SELECT CAST(({total}) AS BIGINT) AS total, CAST(({bad}) AS BIGINT) AS bad, ({ok}) AS ok, "
+        f"CAST(({observed}) AS DOUBLE) AS observed) "
+        f"SELECT '{expectation}' AS expectation, total AS element_count, CAST(0 AS BIGINT) AS missing_count, "
+        f"bad AS unexpected_count, round({percent}, 8) AS unexpected_percent, observed AS observed_value, ok AS is_success FROM found"
+    )
+
+
+def _exists_sql(expectation, column, index):
+    at = f"SELECT max(i) FROM cols WHERE lower(name) = '{column.lower()}'"
+    return _schema_sql(expectation, "1", f"CASE WHEN ({at}) = {index} THEN 0 ELSE 1 END", f"coalesce(({at}) = {index}, false)", at)
+
+
+def _count_sql(expectation, test):
+    whole = "SELECT count(*) FROM cols"
+    holds = test.format(n=f"({whole})")
+    return _schema_sql(expectation, whole, f"CASE WHEN {holds} THEN 0 ELSE 1 END", holds, whole)
+
+
+_SAME = "(CASE WHEN w.exact THEN w.name = c.name ELSE lower(w.name) = lower(c.name) END)"
+_MISSING = f"(SELECT count(*) FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM cols c WHERE {_SAME}))"
+# A column is extra only if no expected name is the same but for case.
+_EXTRA = "(SELECT count(*) FROM cols c WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE lower(w.name) = lower(c.name)))"
+_SHARE = "bad * 100.0 / total"
+
+
+def _set_sql(expectation, names, exact):
+    bad = f"{_MISSING} + {_EXTRA}"
+    ok = f"{bad} = 0" if exact else f"{_MISSING} = 0"
+    return _schema_sql(expectation, "SELECT count(*) FROM wanted", bad, ok, percent=_SHARE, also=_list_sql(names))
+
+
+def _order_sql(expectation, names):
+    bad = "SELECT count(*) FROM wanted w FULL JOIN cols c ON w.i = c.i WHERE w.name IS DISTINCT FROM c.name"
+    return _schema_sql(
+        expectation, "SELECT count(*) FROM wanted", bad, f"({bad}) = 0", percent=_SHARE, also=_list_sql(names)
     )
 
 
@@ -32,31 +77,28 @@ _ROWS_SQL = (
     "CAST(count(*) AS DOUBLE), count(*) >= 1 FROM lineitem"
 )
 
-for _name, _expectation, _kwargs, _expected in (
-    ("column_exists", "expect_column_to_exist", {"column": "L_TAX", "column_index": 7},
-     (1, 0, 0.0, 7, "TRUE")),
-    ("column_exists_elsewhere", "expect_column_to_exist", {"column": "l_tax", "column_index": 2},
-     (1, 1, 100.0, 7, "FALSE")),
-    ("column_count_equal", "expect_table_column_count_to_equal", {"value": 11}, (11, 0, 0.0, 11, "TRUE")),
-    ("column_count_between", "expect_table_column_count_to_be_between",
-     {"min_value": 11, "max_value": 20, "strict_min": True}, (11, 1, 100.0, 11, "FALSE")),
-    ("columns_match_set", "expect_table_columns_to_match_set",
-     {"column_set": LINEITEM[:9] + ["CS:l_linestatus", "CS:L_SHIPDATE"]}, (11, 1, 100.0 / 11, 0, "FALSE")),
-    ("columns_match_subset", "expect_table_columns_to_match_set",
-     {"column_set": "l_orderkey, L_TAX", "exact_match": False}, (2, 9, 450.0, 0, "TRUE")),
-    ("columns_match_ordered_list", "expect_table_columns_to_match_ordered_list",
-     {"column_list": LINEITEM[:8] + ["L_RETURNFLAG"]}, (9, 3, 100.0 * 3 / 9, 0, "FALSE")),
+_SET = LINEITEM[:9] + ["CS:l_linestatus", "CS:L_SHIPDATE"]
+_ORDER = LINEITEM[:8] + ["L_RETURNFLAG"]
+_EXISTS, _SETS = "expect_column_to_exist", "expect_table_columns_to_match_set"
+_EQUALS, _WITHIN = "expect_table_column_count_to_equal", "expect_table_column_count_to_be_between"
+_ORDERED = "expect_table_columns_to_match_ordered_list"
+
+for _name, _expectation, _kwargs, _sql in (
+    ("column_exists", _EXISTS, {"column": "L_TAX", "column_index": 7}, _exists_sql(_EXISTS, "l_tax", 7)),
+    ("column_exists_elsewhere", _EXISTS, {"column": "l_tax", "column_index": 2}, _exists_sql(_EXISTS, "l_tax", 2)),
+    ("column_count_equal", _EQUALS, {"value": 11}, _count_sql(_EQUALS, "{n} = 11")),
+    ("column_count_between", _WITHIN, {"min_value": 11, "max_value": 20, "strict_min": True},
+     _count_sql(_WITHIN, "({n} > 11 AND {n} <= 20)")),
+    ("columns_match_set", _SETS, {"column_set": _SET}, _set_sql(_SETS, _SET, True)),
+    ("columns_match_subset", _SETS, {"column_set": "l_orderkey, L_TAX", "exact_match": False},
+     _set_sql(_SETS, ["l_orderkey", "L_TAX"], False)),
+    ("columns_match_ordered_list", _ORDERED, {"column_list": _ORDER}, _order_sql(_ORDERED, _ORDER)),
 ):
     def _schema(spark, sf_dir, expectation=_expectation, kwargs=_kwargs):
         scope = Scope(load(spark, sf_dir, "lineitem"), name="lineitem")
         return summary_columns(evaluate(scope, [Rule(1, expectation, kwargs), _ROWS]))
 
-    _total, _bad, _percent, _observed, _ok = _expected
-    add(
-        _name,
-        _schema,
-        f"{_literal(_expectation, _total, _bad, round(_percent, 8), _observed, _ok)} UNION ALL {_ROWS_SQL}",
-    )
+    add(_name, _schema, f"{_sql} UNION ALL {_ROWS_SQL}")
 
 
 def _volume(name, expectation, kwargs, ok):

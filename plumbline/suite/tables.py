@@ -42,6 +42,16 @@ DATASETS = {
                p_retailprice < 1500 AS is_active, p_size > 25 AS error_flag,
                p_brand AS created_by
         FROM part""",
+    # Configured rules, right and wrong ones, over the columns of lineitem.
+    "rules_q": """
+        SELECT p_partkey AS rule_config_id, CAST(1 AS BIGINT) AS dataset_id, CAST(NULL AS STRING) AS column_name,
+               CASE p_size % 5 WHEN 0 THEN 'expect_column_values_to_be_between'
+                    WHEN 1 THEN 'column_values_to_match_regex' WHEN 2 THEN 'Expect_Column_Values_To_Be_Unique'
+                    WHEN 3 THEN 'no_such_check' ELSE 'expect_column_to_exist' END AS expectation_name,
+               CASE p_partkey % 4 WHEN 0 THEN concat('{"column": "l_quantity", "min_value": ', CAST(p_size AS STRING), ', "max_value": 99}')
+                    WHEN 1 THEN '{"column": "L_RETURNFLAG", "regex": "x"}' WHEN 2 THEN '{"min_value": 1}'
+                    ELSE '{"column": "l_nothing", "regex": ""}' END AS kwargs
+        FROM part""",
     "dataset_q": """
         SELECT c_custkey AS dataset_id, c_name AS dataset_name, CAST(c_nationkey AS BIGINT) AS project_id,
                c_mktsegment AS created_by
@@ -75,7 +85,7 @@ DATASETS = {
         FROM events""",
     # An audit log of loads: one entry per day and status of the orders.
     "audit_log_q": """
-        SELECT concat('SALES.CORE.', CASE o_orderstatus WHEN 'F' THEN 'ORDERS_CORE' WHEN 'P' THEN 'Ipsen_X'
+        SELECT concat('SALES.CORE.', CASE o_orderstatus WHEN 'F' THEN 'ORDERS_CORE' WHEN 'P' THEN 'Returns_X'
                       ELSE 'CUSTOMERS_CORE' END) AS target_table,
                o_orderdate AS sync_start_date_time, 'SOURCE_TO_CORE' AS sync_level,
                count(*) AS number_of_records_source,

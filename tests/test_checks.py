@@ -195,3 +195,27 @@ def test_rule_ids_must_differ(defects):
     same = [Rule(1, "expect_table_row_count_to_equal", {"value": v}) for v in (75, 76)]
     with pytest.raises(RuleError):
         evaluate(Scope(defects), same)
+
+
+def test_time_of_day(spark):
+    """Text that is a time of day; timestamps hold one, dates and numbers don't."""
+    texts = ["12:30", "23:59:59.25", " 1:05:00 ", "24:00", "12:60", "noon", "2024-01-01 10:00:00", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        "t", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "date'2024-01-01' AS d", "1 AS n"
+    )
+    got = {}
+    for column in ("t", "ts", "d", "n"):
+        row = check(df, "expect_column_values_to_be_of_type", {"column": column, "type_": "time"}).first()
+        got[column] = (row["unexpected_count"], row["missing_count"], row["is_success"])
+    assert got == {"t": (4, 2, False), "ts": (0, 0, True), "d": (9, 0, False), "n": (9, 0, False)}
+
+
+def test_a_query_reads_the_tables_of_its_plan(spark):
+    from plumbline.operators.custom import relations
+
+    text = (
+        "WITH w AS (SELECT * FROM first) SELECT o.* FROM `orders` o JOIN w ON o.k IN (SELECT k FROM inner_one) "
+        "WHERE extract(year FROM o.day) > 1 AND EXISTS (SELECT 1 FROM db.other)"
+    )
+    found = relations(spark, text)
+    assert {"first", "orders", "inner_one"} <= found and not found & {"o", "day", "k", "year"}

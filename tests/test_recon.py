@@ -137,3 +137,33 @@ def test_recon_error_code(store, spark):
     register_dataset(store, Dataset(1, "three", table_name="three_rows"), now=DAY)
     register_rules(store, [Rule(1, EQUAL, {"source_table": "absent_table"}, dataset_id=1)], now=DAY)
     assert run_dataset(store, 1, now=DAY).code == ERROR
+
+
+@pytest.mark.parametrize("room", [None, 0])
+def test_history_is_filtered_by_the_changed_keys(spark, monkeypatch, room):
+    """Of a long history only the rows of changed keys go beyond its scan; without room for a broadcast the result is the same."""
+    from plumbline.operators import recon
+
+    if room is not None:
+        monkeypatch.setattr(recon, "BROADCAST_BYTES", room)
+    changed = spark.createDataFrame([("5",), ("5",), ("-1",), ("NA",), ("77",)], "__k0 string")
+    known = spark.range(20_000).selectExpr("CAST(id % 10000 AS string) AS __k0")
+    frame = recon.keys_known(changed, known)
+    assert frame.collect()[0]["core_inactive"] == 3
+    if room is None:
+        plan = frame._jdf.queryExecution().executedPlan()
+        text = plan.toString()
+        assert "BroadcastHashJoin" in text
+        written = {}
+
+        def visit(node):
+            metrics = node.metrics()
+            if metrics.contains("shuffleRecordsWritten"):
+                written[node.toString()[:80]] = metrics.apply("shuffleRecordsWritten").value()
+            children = node.children()
+            for k in range(children.size()):
+                visit(children.apply(k))
+
+        final = plan.executedPlan() if hasattr(plan, "executedPlan") else plan
+        visit(final)
+        assert all(n < 100 for n in written.values())

@@ -293,11 +293,12 @@ def test_a_dataset_nobody_names_does_no_harm(store, users):
         [RULES[7], rule(30, "expect_table_row_count_to_equal_other_table", other_dataset_name="o", scd_type=0),
          rule(31, "unexpected_rows_expectation", unexpected_rows_query="SELECT * FROM users JOIN o ON true"),
          rule(32, "unexpected_rows_expectation",
-              unexpected_rows_query="SELECT extract(year FROM current_date()) AS y FROM users WHERE SCORE IS NOT NULL AND 1 = 0")],
+              unexpected_rows_query="SELECT extract(year FROM current_date()) AS y FROM users WHERE SCORE IS NOT NULL AND 1 = 0"),
+         rule(33, "unexpected_rows_expectation", unexpected_rows_query="SELECT o.* FROM users o WHERE o.SCORE IS NULL AND 1 = 0")],
         now=NOW,
     )
     run = run_dataset(store, 1, now=NOW)
-    assert run.codes == {8: SUCCESS, 30: ERROR, 31: ERROR, 32: SUCCESS}
+    assert run.codes == {8: SUCCESS, 30: ERROR, 31: ERROR, 32: SUCCESS, 33: SUCCESS}
 
 
 def test_views_of_the_user_stay(spark, store, users):
