@@ -74,8 +74,11 @@ def _files(spark, sf_dir) -> tuple:
 
 
 def _folder(spark) -> str:
-    """A folder all machines share: the session's checkpoint folder, where it has one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-suite-")
+    """A folder all machines share: the session's checkpoint folder; a temporary one on a single machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("stores of the suite need spark.checkpoint.dir, a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="plumbline-suite-")
 
 
 def new_store(spark) -> Store:
