@@ -6,17 +6,21 @@ generators propose overlapping spans (any grouped number, any spelled-out or
 plain address).  Gradient-boosted trees judge a proposal by its format (length,
 groups, separators) and its context (neighbouring characters, words before it),
 not by the fixed checks themselves.  Only what touches no base span can be added,
-so they learn from that, over a bounded sample of documents: positive are base
+so they learn from that, over every whole text: positive are base
 spans written another way in their own context (a phone without its plus or its
 country code, an address spelled out), negative are failed matches, numbers of
 orders and the like, and plain words around "at" and "dot"; what may be either is
-left out.  Per kind a threshold is calibrated on held-out proposals, the least that keeps the given
-precision.  Proposals over their threshold that touch no base span are added,
-best first.  Where the sample has too few proposals of either class, nothing
-is added.
+left out.  Per kind a threshold is calibrated on the proposals of held-out
+documents, the least that keeps the given precision.  Proposals over their threshold
+that touch no base span are added, best first.  Where there are too few proposals
+of either class, nothing is added.
 
-Offsets are code points, ends exclusive.  One pass over the rows, no shuffle;
-only the trees are sent to the tasks.
+Features are small whole numbers, so the proposals to learn from are counted by
+what they look like; the trees and thresholds take each once, weighted by its
+count.  Up to ``BINS`` squared of those, every value of a feature is tried as a split.
+
+Offsets are code points, ends exclusive.  Two passes over the rows, one to learn;
+only counted proposals are shuffled, only the trees are sent to the tasks.
 
 Cases: a null text counts as empty and has no spans; texts are read whole; rows
 are judged one by one, so repeated rows give repeated results and ties can't
@@ -27,12 +31,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import by_batches, read, settle
@@ -51,6 +57,7 @@ SPELLED = re.compile(r"(?:\(|\[| )at(?:\)|\]| )", re.I)
 SPELLED_LEFT = re.compile(r"[A-Za-z0-9._%+-]+ ?\Z")
 SPELLED_RIGHT = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\(|\[| )dot(?:\)|\]| ) ?[A-Za-z0-9-]+)+", re.I)
 DIGITS = re.compile(r"[0-9]+")
+WORD = re.compile(r"(?<!\S)[^\W\d_]+(?!\S)")
 HINTS = (
     re.compile(r"(?:tel|phone|call|fax|mobil)", re.I),
     re.compile(r"(?:card|credit|visa|carte|tarjeta|karte)", re.I),
@@ -60,11 +67,12 @@ HINTS = (
 )
 CONTEXT = 24
 
-SAMPLE_DOCS = 3000
-SAMPLE_PROPOSALS = 20_000
 LEAST_OF_CLASS = 20
 PRECISION = 0.98
 TREES, DEPTH = 8, 3
+# Spark looks at all rows for its splits while they are at most the square of this.
+BINS = 4096
+ROWS_A_TASK = 50_000
 NEVER = 2.0
 
 Span = tuple[int, int, str]
@@ -211,8 +219,9 @@ def examples(text: str, base: list[Span]):
     for span in proposals(text, base):
         if not touches(span, base) and refused(text, span):
             yield features(text, span), 0.0, span[2]
-    words = list(re.finditer(r"(?<!\S)[^\W\d_]+(?!\S)", text[:4096]))
-    for a, b, c in zip(words[::9], words[1::9], words[2::9], strict=False):
+    words = WORD.finditer(text)
+    while len(nine := list(islice(words, 9))) > 2:
+        a, b, c = nine[:3]
         if b.start() - a.end() == 1 == c.start() - b.end():
             yield rewritten(a.start(), c.end(), f"{a[0]} at {b[0]} dot {c[0]}", "email"), 0.0, "email"
             break
@@ -260,48 +269,70 @@ def _node(node):
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``features, label, kind, held`` of proposals of a bounded sample of documents."""
-    share = min(1.0, 1.2 * SAMPLE_DOCS / max(1, docs.count()))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(SAMPLE_DOCS)
+    """``features, label, kind, held`` of the proposals of all documents, and how many (``n``) are alike."""
 
     def work(batches):
         for batch in batches:
-            out = ([], [], [], [])
+            counts: Counter = Counter()
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row, label, kind in examples(text or "", base_spans(text or "")):
-                    out[0].append(row)
-                    out[1].append(label)
-                    out[2].append(kind)
-                    out[3].append(zlib.crc32(str(key).encode()) % 3 == 0)
-            kinds = [pa.list_(pa.float64()), pa.float64(), pa.string(), pa.bool_()]
-            arrays = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["features", "label", "kind", "held"])
+                if text:
+                    held = zlib.crc32(str(key).encode()) % 3 == 0
+                    counts.update((tuple(row), label, kind, held) for row, label, kind in examples(text, base_spans(text)))
+            columns = [*zip(*counts, strict=True)] if counts else [()] * 4
+            kinds = [pa.list_(pa.float64()), pa.float64(), pa.string(), pa.bool_(), pa.int64()]
+            arrays = [pa.array(v, k) for v, k in zip([*columns, [*counts.values()]], kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["features", "label", "kind", "held", "n"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = by_batches(rows, work, "features array<double>, label double, kind string, held boolean, n long")
+    return found.groupBy("features", "label", "kind", "held").agg(F.sum("n").alias("n"))
+
+
+def thresholds(rows: DataFrame, model: Trees) -> dict[str, float]:
+    """Per kind the least score whose proposals, with all better ones, keep the precision.
+
+    Trees of a fixed number and depth give few scores, whatever the input; they are ranked by Spark.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    found = by_batches(chosen, work, "features array<double>, label double, kind string, held boolean")
-    return found.limit(SAMPLE_PROPOSALS)
+    def work(batches):
+        model = shared.value
+        for batch in batches:
+            scores = pa.array([model.score(row) for row in batch.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores, *batch.columns[2:]], names=["kind", "score", "n", "right"])
+
+    right = F.when(F.col("label") > 0, F.col("n")).otherwise(0).cast("long")
+    judged = by_batches(
+        rows.select("kind", "features", "n", right.alias("right")), work, "kind string, score double, n long, right long"
+    )
+    better = Window.partitionBy("kind").orderBy(F.desc("score"))
+    passing = (
+        judged.groupBy("kind", "score")
+        .agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+        .select("kind", "score", F.sum("n").over(better).alias("n"), F.sum("right").over(better).alias("right"))
+        .where((F.col("n") >= LEAST_OF_CLASS) & (F.col("right") >= F.lit(PRECISION) * F.col("n")))
+    )
+    never = NEVER * sum(map(abs, model.weights)) + NEVER
+    least = passing.groupBy("kind").agg(F.min("score").alias("score")).collect()
+    return dict.fromkeys(KINDS, never) | {r["kind"]: r["score"] for r in least}
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees and thresholds from a bounded sample (``SAMPLE_DOCS``, ``SAMPLE_PROPOSALS``)."""
+    """Trees and thresholds from the proposals of all documents."""
     rows = settle(labelled(docs, id_col, text_col))
-    counts = {r["label"]: r["n"] for r in rows.where("NOT held").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    told = rows.where("NOT held").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    counts = {r["label"]: r["n"] for r in told}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST_OF_CLASS:
         return Trees()
+    # Rows in one order, so that the same documents give the same trees however they are stored.
+    parts = 1 + sum(r["rows"] for r in told) // ROWS_A_TASK
+    learn = rows.where("NOT held").repartition(parts, "features").sortWithinPartitions("features", "label", "kind")
     fit = GBTClassifier(
-        featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False
-    ).fit(rows.where("NOT held").select(array_to_vector("features").alias("vector"), "label").coalesce(4))
+        featuresCol="vector", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS,
+        stepSize=0.3, seed=7, cacheNodeIds=False,
+    ).fit(learn.select(array_to_vector("features").alias("vector"), "label", F.col("n").cast("double").alias("n")))
     model = Trees([_node(t._call_java("rootNode")) for t in fit.trees], [float(w) for w in fit.treeWeights])
-    held = rows.where("held").collect()
-    for kind in KINDS:
-        judged = sorted(((model.score(r["features"]), r["label"]) for r in held if r["kind"] == kind), reverse=True)
-        right, best = 0.0, NEVER * sum(map(abs, model.weights)) + NEVER
-        for n, (score, label) in enumerate(judged, 1):
-            right += label
-            last_of_score = n == len(judged) or judged[n][0] != score
-            if last_of_score and n >= LEAST_OF_CLASS and right >= PRECISION * n:
-                best = score
-        model.thresholds[kind] = best
+    model.thresholds = thresholds(rows.where("held"), model)
     return model
 
 

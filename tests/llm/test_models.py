@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -272,6 +274,27 @@ def test_trees_find_planted_data_in_other_forms(spark):
     assert {r["doc_id"]: r["spans"] for r in found} == {k: w for k, (_, w) in planted.items()}
 
 
+def test_trees_learn_from_every_document(spark):
+    """More documents than a sample would hold; a triple of words comes late in each text."""
+    rows = [(k, "1 " * 2500 + f"some plain words {k} call +1 (504) 555-{k:04} now, order {k:010}.") for k in range(3700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op6_pii.labelled(docs, "doc_id", "text").groupBy("kind", "label").agg({"n": "sum"}).collect()
+    plainly = Counter((kind, label) for _, t in rows for _, label, kind in op6_pii.examples(t, op6_pii.base_spans(t)))
+    assert {(r["kind"], r["label"]): r["sum(n)"] for r in found} == plainly
+    assert plainly["email", 0.0] == len(rows) and plainly["phone", 1.0] == 2 * len(rows)
+    one, seven = (op6_pii.train(docs.repartition(n)) for n in (1, 7))
+    assert one.trees and (one.trees, one.thresholds) == (seven.trees, seven.thresholds)
+    held = [(row, label) for k, t in rows if zlib.crc32(str(k).encode()) % 3 == 0
+            for row, label, kind in op6_pii.examples(t, op6_pii.base_spans(t)) if kind == "phone"]
+    scores = [one.score(row) for row, _ in held]
+    passing = []
+    for score in set(scores):
+        labels = [label for s, (_, label) in zip(scores, held, strict=True) if s >= score]
+        if len(labels) >= op6_pii.LEAST_OF_CLASS and sum(labels) >= op6_pii.PRECISION * len(labels):
+            passing.append(score)
+    assert one.thresholds["phone"] == min(passing)
+
+
 def test_redaction(spark):
     schema = "doc_id long, text string, n_chars int, spans string"
     rows = [(1, "me@a.org, 1.2.3.4", 17, "s"), (2, None, None, None), (3, "", 0, None), (4, "clean", 5, None)]
