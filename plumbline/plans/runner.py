@@ -412,7 +412,7 @@ def write_keys(store, dataset, scope, written, table, run_id, started, audit) ->
                 )
             )
         if frames:
-            store.append("failed_row_keys", reduce(DataFrame.unionByName, frames))
+            store.append("failed_row_keys", reduce(DataFrame.unionByName, frames), one_day=True)
             audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "COMPLETED", since=began)
     except Exception as exc:
         audit.add(run_id, None, "CAPTURE_FAILED_KEYS", "FAILED", None, exc, since=began)
@@ -486,7 +486,7 @@ def write_lists(store, dataset, scope: Scope, compiled: list[Compiled], run_id,
             "rows",
             _stamp(started).alias("listed_timestamp"),
         )
-        store.append("value_lists", rows)
+        store.append("value_lists", rows, one_day=True)
 
     for c in compiled:
         if c.label != "expect_column_most_common_value_to_be_in_set" and "_distinct_values_to_" not in c.label:

@@ -94,6 +94,9 @@ RETENTION_DAYS = {
     "value_lists": 180,
 }
 
+# Partitions that one statement drops.
+DROPPED_AT_ONCE = 500
+
 # Spark's file committer shares one staging folder per table, so a process writes
 # to a table with one job at a time.
 _WRITES: defaultdict[str, threading.RLock] = defaultdict(threading.RLock)
@@ -172,19 +175,27 @@ class Store:
         frame = self.spark.table(self.name(table))
         return frame.drop(DAY) if table in TIMESTAMPS else frame
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Append a frame, filling columns it does not have with NULL."""
-        schema = T.StructType.fromDDL(TABLES[table])
+    def append(self, table: str, rows: DataFrame, one_day: bool = False) -> None:
+        """Append a frame, filling columns it does not have with NULL.
+
+        Rows of many days meet by day first, so the number of files follows the
+        days and the bytes, not the tasks times the days; a day of many rows is
+        split.  Rows of ``one_day`` are written where they are.
+        """
+        fields = T.StructType.fromDDL(TABLES[table]).fields
         have = {c.lower() for c in rows.columns}
-        columns = [
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-        rows = rows.select(*columns)
         if table in TIMESTAMPS:
-            rows = rows.withColumn(DAY, F.to_date(TIMESTAMPS[table]))
-            order = [c for c in ("dataset_id", "dataset_run_id", "rule_config_id") if c in rows.columns]
+            known = [f for f in fields if f.name in have]
+            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in known])
+            stamp = F.col(TIMESTAMPS[table]) if TIMESTAMPS[table] in have else F.lit(None)
+            rows = rows.withColumn(DAY, F.to_date(stamp))
+            rows = rows if one_day else rows.hint("rebalance", DAY)
+            order = [c for c in ("dataset_id", "dataset_run_id", "rule_config_id") if c in have]
             rows = rows.sortWithinPartitions(DAY, *order)
+        columns = [
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+        ]
+        rows = rows.select(*columns, *([DAY] if table in TIMESTAMPS else []))
         with _WRITES[self.name(table)]:
             rows.write.mode("append").insertInto(self.name(table))
 
@@ -195,7 +206,7 @@ class Store:
             return
         schema = T.StructType.fromDDL(TABLES[table])
         data = [tuple(row.get(f.name) for f in schema.fields) for row in rows]
-        self.append(table, small_frame(self.spark, data, schema).coalesce(1))
+        self.append(table, small_frame(self.spark, data, schema).coalesce(1), one_day=True)
 
     def replace_state(self, dataset_id: int, state: str) -> None:
         """Put a dataset's state in place of the one before."""
@@ -212,7 +223,7 @@ class Store:
                 day = F.col(DAY) == F.lit(row[DAY])
                 rest = frame.where(day & ~F.coalesce(mine, F.lit(False)))
                 if rest.isEmpty():
-                    self._drop_day(table, row[DAY])
+                    self._drop_days(table, [row[DAY]])
                 else:
                     self._replace_day(table, rest)
         stored = stored_table_name(failure_table)
@@ -287,22 +298,17 @@ class Store:
             limit = cutoff_literal(cutoff)
             day = F.lit(cutoff.date().isoformat()).cast("date")
             frame = self.spark.table(self.name(table))
-            counts = frame.where(F.col(DAY) <= day).agg(
-                F.count_if(stamp < limit).alias("old"),
-                F.count_if((F.col(DAY) == day) & (stamp < limit)).alias("old_today"),
-                F.count_if((F.col(DAY) == day) & (stamp >= limit)).alias("young_today"),
-            ).first()
-            expired = [
-                row[DAY]
-                for row in frame.where(F.col(DAY) <= day).select(DAY).distinct().collect()
-                if row[DAY] < cutoff.date() or (counts["old_today"] and not counts["young_today"])
-            ]
-            if counts["old_today"] and counts["young_today"]:
-                young = frame.where((F.col(DAY) == day) & (stamp >= limit))
-                self._replace_day(table, young)
-            for value in expired:
-                self._drop_day(table, value)
-            report.append(_deleted(table, keep, counts["old"]))
+            young = stamp >= limit
+            days_told = frame.where(F.col(DAY) <= day).groupBy(DAY).agg(
+                F.count_if(stamp < limit).alias("old"), F.count_if(young).alias("young")
+            ).collect()
+            today = next((r for r in days_told if r[DAY] == cutoff.date()), None)
+            if today and today["old"] and today["young"]:
+                self._replace_day(table, frame.where((F.col(DAY) == day) & young))
+            self._drop_days(
+                table, [r[DAY] for r in days_told if r[DAY] < cutoff.date() or (r["old"] and not r["young"])]
+            )
+            report.append(_deleted(table, keep, sum(r["old"] for r in days_told)))
         return report + self._clean_failures(now, (days or RETENTION_DAYS).get("failed_row_keys"))
 
     def _clean_failures(self, now: datetime.datetime, keep: int | None) -> list[dict[str, Any]]:
@@ -321,8 +327,10 @@ class Store:
         found = self.spark.sql(f"SHOW TABLES IN `{self.database}`").collect()
         return sorted(r["tableName"] for r in found if r["tableName"].endswith("_dq_failure" + STORED))
 
-    def _drop_day(self, table: str, day: datetime.date) -> None:
-        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({DAY} = DATE'{day}')")
+    def _drop_days(self, table: str, days: list[datetime.date]) -> None:
+        for first in range(0, len(days), DROPPED_AT_ONCE):
+            parts = ", ".join(f"PARTITION ({DAY} = DATE'{d}')" for d in days[first : first + DROPPED_AT_ONCE])
+            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {parts}")
 
     def _drop_run(self, table: str, day: datetime.date, run_id: int) -> None:
         self.spark.sql(

@@ -219,6 +219,24 @@ def test_retention(store):
     assert store.clean_up(NOW)[0]["rows_deleted"] == 0
 
 
+def test_files_of_many_days_follow_the_days(spark, store, monkeypatch):
+    """Rows of 120 days from 12 tasks: a file a day, not a file a task and day; days are dropped some at a time."""
+    monkeypatch.setattr("plumbline.sources.store.DROPPED_AT_ONCE", 7)
+    moment = F.lit(NOW.isoformat(sep=" ")).cast("timestamp_ntz") - F.make_dt_interval(F.col("id") % 120, F.col("id") % 3)
+    rows = spark.range(0, 6000, 1, 12).select(F.col("id").alias("dataset_run_id"), moment.alias("start_timestamp"))
+    rows = rows.unionByName(spark.sql("SELECT -1L AS dataset_run_id, CAST(NULL AS TIMESTAMP_NTZ) AS start_timestamp"))
+    store.append("rule_audit_log", rows)
+    held = spark.table(store.name("rule_audit_log"))
+    assert held.count() == 6001 and held.where("step_name IS NOT NULL").isEmpty()
+    assert len(held.inputFiles()) <= 2 * (120 + 1)
+    old = rows.where(F.col("start_timestamp") < NOW - datetime.timedelta(days=90)).count()
+    assert 0 < old < 1500 + 50
+    assert [r["rows_deleted"] for r in store.clean_up(NOW, {"rule_audit_log": 90})] == [old]
+    left = store.read("rule_audit_log")
+    assert left.count() == 6001 - old
+    assert left.where(F.col("start_timestamp") < NOW - datetime.timedelta(days=90)).isEmpty()
+
+
 def test_store_ids_and_names(store):
     made = [new_id() for _ in range(5000)]
     assert made == sorted(set(made))
