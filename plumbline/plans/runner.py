@@ -428,10 +428,15 @@ def _value_details(store, scope: Scope, failed, written, table, run_id) -> dict[
     frames = [f for f in frames if f is not None]
     if not frames:
         return {}
-    values = reduce(DataFrame.unionByName, frames)
+    # Profile and frequent values both read the counts; without this each would make them anew.
+    values = reduce(DataFrame.unionByName, frames).persist()
+    try:
+        found = details.failure_details(values).collect()
+    finally:
+        values.unpersist()
     columns = {c.rule.rule_config_id: c.spec.profile for c in failed}
     out = {}
-    for row in details.failure_details(values).collect():
+    for row in found:
         profile = {k: v for k, v in row.asDict().items() if k.startswith("error_")}
         profile["column_name"] = columns[row["rule_config_id"]]
         listed = {r["value"]: r["rows"] for r in row["listed"] or []}

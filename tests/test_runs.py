@@ -237,6 +237,38 @@ def test_files_of_many_days_follow_the_days(spark, store, monkeypatch):
     assert left.where(F.col("start_timestamp") < NOW - datetime.timedelta(days=90)).isEmpty()
 
 
+def test_values_are_counted_once_for_profile_and_list(store, users, monkeypatch):
+    """Both readers of the failing values share one count, which is let go afterwards."""
+    from plumbline.plans import details
+
+    seen, read = [], details.failure_details
+
+    def watched(values):
+        seen.append((values, values.storageLevel.useMemory))
+        return read(values)
+
+    monkeypatch.setattr(details, "failure_details", watched)
+    register_rules(store, RULES[:3], now=NOW)
+    run_dataset(store, 1, now=NOW)
+    assert [held for _, held in seen] == [True]
+    assert not seen[0][0].storageLevel.useMemory
+    told = [json.loads(r["unexpected_rows"]) for r in store.read("rule_results").where("unexpected_rows IS NOT NULL").collect()]
+    assert told and all(t["error_total_count"] > 0 for t in told)
+
+
+def test_runs_of_the_suite_overlap(spark):
+    """Runs of different datasets share the machine, and each has all its results."""
+    from plumbline.suite import product_queries
+
+    store = product_queries.store_of_runs(spark, "/root/testdata/sf0.001")
+    log = store.read("dataset_run_log").collect()
+    assert sorted(r["dataset_id"] for r in log) == list(range(1, 10))
+    spans = {r["dataset_id"]: (r["created_timestamp"], r["created_timestamp"] + datetime.timedelta(seconds=r["run_time"])) for r in log}
+    assert max(spans[i][0] for i in range(4, 9)) < min(spans[i][1] for i in range(4, 9))
+    codes = {r["dataset_id"]: r["run_status"] for r in log}
+    assert codes == {1: "FAILURE", 2: "SUCCESS", 3: "SUCCESS", 4: "FAILURE", 5: "FAILURE", 6: "FAILURE", 7: "FAILURE", 8: "ERROR", 9: "FAILURE"}
+
+
 def test_store_ids_and_names(store):
     made = [new_id() for _ in range(5000)]
     assert made == sorted(set(made))
