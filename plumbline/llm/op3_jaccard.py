@@ -331,17 +331,21 @@ class SignatureTree:
     def children(self, level: int, node: int) -> range:
         return range(node * FAN_OUT, min(len(self.levels[level - 1][0]), (node + 1) * FAN_OUT))
 
-    def may_link(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs ``a x b`` of a level's nodes can hold a linked pair by overlap and sizes."""
+    def may_link(self, level: int, a: np.ndarray, b: np.ndarray, percent: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Which pairs ``a x b`` of a level's nodes can hold a linked pair: by sizes, and of those by overlap."""
         maps, least, most, excess = self.levels[level]
-        common = np.bitwise_count(maps[a][:, None, :] & maps[b][None, :, :]).sum(axis=2, dtype=np.int64)
-        common += np.minimum(excess[a][:, None], excess[b][None, :])
-        overlap = np.minimum(common, np.minimum(most[a][:, None], most[b][None, :]))
-        enough = (100 + percent) * overlap >= percent * (least[a][:, None] + least[b][None, :])
-        near = (100 * most[a][:, None] >= percent * least[b][None, :]) & (
+        may = (100 * most[a][:, None] >= percent * least[b][None, :]) & (
             100 * most[b][None, :] >= percent * least[a][:, None]
         )
-        return enough & near
+        if wanted is not None:
+            may &= wanted
+        i, j = np.nonzero(may)
+        one, two = a[i], b[j]
+        common = np.bitwise_count(maps[one] & maps[two]).sum(axis=1, dtype=np.int64)
+        common += np.minimum(excess[one], excess[two])
+        overlap = np.minimum(common, np.minimum(most[one], most[two]))
+        may[i, j] = (100 + percent) * overlap >= percent * (least[one] + least[two])
+        return may
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -365,17 +369,24 @@ def traverse(sets: list[np.ndarray], union: Union, percent: int, sides: list[int
                 union.join(a, b)
             continue
         one, two = np.array(tree.children(level, a)), np.array(tree.children(level, b))
-        may = tree.may_link(level - 1, one, two, percent)
+        wanted = None
         if a == b:
-            may &= one[:, None] <= two[None, :] if level > 1 else one[:, None] < two[None, :]
+            wanted = one[:, None] <= two[None, :] if level > 1 else one[:, None] < two[None, :]
+        may = tree.may_link(level - 1, one, two, percent, wanted)
         # Pairs near the diagonal last: they are popped, and joined, first.
         pairs = sorted(zip(*(x.tolist() for x in np.nonzero(may)), strict=True), key=lambda p: p[0] - p[1])
         stack += [(level - 1, int(one[i]), int(two[j])) for i, j in pairs]
 
 
-def in_leaf_order(ids: list[int], sets: list[np.ndarray]) -> list[int]:
-    """Similar sets next to each other: by their least shingles, then size."""
-    return sorted(range(len(ids)), key=lambda k: (*sets[k][:2].tolist(), len(sets[k]), ids[k]))
+def in_leaf_order(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
+    """Sets that may link next to each other: by bands of size, in them by their least shingles.
+
+    Linked sets lie in one band or in two that follow each other, so the sizes
+    of nodes tell most pairs of them apart.
+    """
+    width = math.log(100 / percent)
+    band = [int(math.log(max(1, len(s))) / width) if width else len(s) for s in sets]
+    return sorted(range(len(ids)), key=lambda k: (band[k], *sets[k][:2].tolist(), len(sets[k]), ids[k]))
 
 
 def _sets_of(table: pa.Table) -> list[np.ndarray]:
@@ -404,7 +415,7 @@ def tree_edges(percent: int):
 
     def work(table: pa.Table) -> pa.Table:
         ids, sets = table["doc_id"].to_pylist(), _sets_of(table)
-        order = in_leaf_order(ids, sets)
+        order = in_leaf_order(ids, sets, percent)
         ids, sets = [ids[k] for k in order], [sets[k] for k in order]
         union, firsts = Union(len(ids)), {}
         for k, key in enumerate(ids):  # rows with equal ids are one document
@@ -422,7 +433,7 @@ def cross_edges(percent: int):
     def work(table: pa.Table) -> pa.Table:
         ids, sets = table["doc_id"].to_pylist(), _sets_of(table)
         known, blocks = table["component"].to_pylist(), table["block"].to_pylist()
-        order = in_leaf_order(ids, sets)
+        order = in_leaf_order(ids, sets, percent)
         union, first = Union(len(ids)), {}
         for k, at in enumerate(order):
             union.join(k, first.setdefault(known[at], k))

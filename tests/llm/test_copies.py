@@ -173,3 +173,35 @@ def test_components_of_chains_and_hubs(spark):
     assert all(found[k] == 5 for k in range(5, 40))
     assert found[201] == 200
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_trees_tell_members_of_other_sizes_apart(monkeypatch):
+    """A family around one common line: few pairs of nodes are looked at, and no link is lost."""
+    draw = np.random.default_rng(5)
+    line = draw.integers(1 << 62, size=8, dtype=np.uint64)
+    sets = []
+    for k in range(900):
+        own = draw.integers(1 << 62, size=int(10 * 1.012 ** (k % 450)), dtype=np.uint64)
+        sets.append(np.unique(np.append(line, own)))
+        if k % 7 == 0:
+            sets.append(np.unique(np.append(sets[-1][: -len(sets[-1]) // 20 or None], draw.integers(1 << 62, size=1, dtype=np.uint64))))
+    ids = list(range(len(sets)))
+    looks, may_link = [], op3_jaccard.SignatureTree.may_link
+
+    def counted(self, *args):
+        looks.append(1)
+        return may_link(self, *args)
+
+    monkeypatch.setattr(op3_jaccard.SignatureTree, "may_link", counted)
+    table = pa.table({"doc_id": ids, "blocks": [1] * len(ids), "shingles": [s.astype("<u8").tobytes() for s in sets]})
+    found = op3_jaccard.tree_edges(90)(table)
+    brute = op3_jaccard.Union(len(sets))
+    for a in ids:
+        for b in range(a):
+            if 9 * len(sets[a]) <= 10 * len(sets[b]) and 9 * len(sets[b]) <= 10 * len(sets[a]):
+                if op3_jaccard.linked(sets[a], sets[b], 90):
+                    brute.join(a, b)
+    edges = {(k, brute.find(k)) for k in ids if brute.find(k) != k}
+    assert len(edges) > 50 and edges == set(zip(found["src"].to_pylist(), found["dst"].to_pylist(), strict=True))
+    nodes = len(sets) / op3_jaccard.FAN_OUT
+    assert len(looks) < nodes * nodes / 4
