@@ -88,26 +88,31 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while not _is_stars(now):
         # Large star: neighbours larger than a node point to the smallest around it.
-        both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("low"))
-        least = least.select("src", F.least("src", "low").alias("low"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        least = _both_ways(now).groupBy("src").agg(F.min("dst").alias("low"))
+        least = least.select(F.col("src").alias("dst"), F.least("src", "low").alias("low"))
+        large = now.join(least, "dst").select("src", F.col("low").alias("dst"))
         # Small star: smaller neighbours of a node point to the smallest of them.
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(low, "src")
-        now = settle(
-            small.select("src", F.col("low").alias("dst"))
-            .unionByName(small.where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")))
-            .distinct()
-        )
+        now = settle(_pairs(small, ("src", "low"), ("dst", "low")).where("src > dst").distinct())
     inner = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return inner.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
+def _pairs(frame: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """``src, dst`` for each of the pairs of columns, from one reading of the frame."""
+    made = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in pairs]
+    return frame.select(F.inline(F.array(*made)))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return _pairs(edges, ("src", "dst"), ("dst", "src"))
+
+
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every source has one target and no target is a source."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
-        edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    # Sources are larger than their targets, so the direction of a row tells which end a node is.
+    degrees = _both_ways(edges).groupBy("src").agg(
+        F.count(F.when(F.col("src") > F.col("dst"), 1)).alias("out"), F.max(F.col("src") < F.col("dst")).alias("into")
     )
-    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return degrees.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+    return not degrees.agg(F.max(F.expr("out > 1 OR (out = 1 AND into)"))).first()[0]

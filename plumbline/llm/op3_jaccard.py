@@ -8,17 +8,18 @@ is each document's component.
 2. *Families.*  Linked sets of at most ``hi`` shingles differ in at most
    ``D = 2 hi (100 - percent) / (100 + percent)`` shingles.  Dealt into more than
    ``D`` segments by hash, they agree in one segment at least.  Each document
-   sends a hash of every non-empty segment; documents that share one are joined,
-   and the connected components are the families.  No link leaves a family.
+   sends a hash of every non-empty segment; those that share one with another
+   document stay, the others link with nothing but equal sets.
    Size bands keep ``D`` near a document's own size.  Very common shingles are
    left out of the segments: that removes differences at most, so agreement
    holds.  A document with so many empty segments that agreement might be among
    those alone sends the segments of its full set as well.
-   Families are split once more.  Within them, shingles that only one document
-   has come first in a common order; linked documents share one of the first
-   ``n - ceil(n * percent / 100) + 1`` shingles of each.  A document with that many
-   shingles of its own leaves, the others are joined by the shingles they share
-   there.  So documents with a passage in common, but little else, part again.
+   Of those that stay, shingles that only one document has come first in a common
+   order; linked documents share one of the first ``n - ceil(n * percent / 100) + 1``
+   shingles of each.  A document with that many shingles of its own leaves, the
+   others are joined by the shingles they share there, and the connected components
+   are the families.  No link leaves a family, and documents with a passage in
+   common, but little else, lie in different ones.
 3. *Signature trees.*  In a family, sets become bitmaps; a node holds the OR of
    its members' bitmaps and the range of their sizes.  A dual traversal drops
    node pairs whose greatest possible overlap is too small for their sizes, and
@@ -28,8 +29,8 @@ is each document's component.
    all hold the family's first member; only if these leave it in several
    components, pairs of blocks are traversed, skipping what is joined.
 
-Segment hashes repeated within a batch leave it once, so a group with a third
-of all documents sends a few rows a task.  Texts are read again instead of
+Segment hashes repeated within a batch leave it once, with a row for each document
+that has one, so a group with a third of all documents sends few rows a task.  Texts are read again instead of
 moving sets: only documents of a family with different sets are ever shuffled.
 
 Cases: null, empty and blank texts have an empty set and link with nothing;
@@ -218,17 +219,16 @@ def common_counters(rows: DataFrame) -> np.ndarray:
     return common
 
 
-def starred(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key and id: which rows are their key's first, and the pairs of each id with its key's first."""
-    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    heads = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else ids
-    at = np.flatnonzero(heads != ids)
-    pairs = np.unique(np.stack([ids[at], heads[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-    return first, pairs[:, 0], pairs[:, 1]
+def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, sorted by key and id, without repeats, and which of them have a key that another id has too."""
+    new = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))[: len(keys)]
+    keys, ids = keys[new], ids[new]
+    same = np.append(False, keys[1:] == keys[:-1])[: len(keys)]
+    return keys, ids, same | np.append(same[1:], False)[: len(keys)]
 
 
-def family_edges(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Edges ``src, dst`` between documents that share a segment."""
+def sharing(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+    """``doc_id`` of the documents that share a segment with another one, each once."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def send(batches):
@@ -240,34 +240,32 @@ def family_edges(docs: DataFrame, words: int, percent: int, common: np.ndarray)
             keys = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             owners = np.repeat(ids, [len(k) for k in found])
             order = np.lexsort((owners, keys))
-            keys, owners = keys[order], owners[order]
-            first, src, dst = starred(keys, owners)
-            spread = mixed(src.astype(np.uint64) + ODD).view(np.int64)
+            keys, owners, same = distinct_pairs(keys[order], owners[order])
+            # A document known to share one goes on at once; a key once, as others may wait for it.
+            known = np.unique(owners[same])
+            first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            spread = mixed(known.astype(np.uint64) + ODD).view(np.int64)
             columns = [
                 np.append(keys[first], spread),
-                np.append(owners[first], src),
-                np.append(np.full(int(first.sum()), -1), dst),
-                np.append(np.zeros(int(first.sum()), bool), np.ones(len(src), bool)),
+                np.append(owners[first], known),
+                np.append(np.zeros(int(first.sum()), bool), np.ones(len(known), bool)),
             ]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            kinds = [pa.int64(), pa.int64(), pa.bool_()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "src", "dst", "edge"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "known"])
 
-    def link(batches):
-        last = None
+    def meet(batches):
+        last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            key, src, dst, edge = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            keys, ids = key[~edge], src[~edge]
-            if last is not None:
-                keys, ids = np.append(last[0], keys), np.append(last[1], ids)
-            first, a, b = starred(keys, ids)
-            if len(keys):
-                last = keys[-1], ids[np.flatnonzero(first)[-1]]
-            arrays = [pa.array(np.append(a, src[edge]), pa.int64()), pa.array(np.append(b, dst[edge]), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["src", "dst"])
+            key, owner, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            keys, ids = np.append(last[0], key[~known]), np.append(last[1], owner[~known])
+            keys, ids, same = distinct_pairs(keys, ids)
+            last = keys[-1:], ids[-1:]
+            found = np.unique(np.append(ids[same], owner[known]))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["doc_id"])
 
-    sent = by_batches(docs.where("doc_id IS NOT NULL"), send, "key long, src long, dst long, edge boolean")
-    return by_batches_of(sent.repartition("key").sortWithinPartitions("key", "src"), link, "src long, dst long")
+    sent = by_batches(docs.where("doc_id IS NOT NULL"), send, "key long, doc_id long, known boolean")
+    return by_batches_of(sent.repartition("key").sortWithinPartitions("key", "doc_id"), meet, "doc_id long").distinct()
 
 
 def by_batches_of(frame: DataFrame, work, schema: str) -> DataFrame:
@@ -524,18 +522,16 @@ def link_components(
     rows = settle(set_rows(docs, words))
     sets = rows.where("counter IS NULL").select("doc_id", "n", "digest")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    equal = named.join(classes, "digest").where("doc_id <> first").select(
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    equal = named.join(classes.select("digest", "first"), "digest").where("doc_id <> first").select(
         F.col("doc_id").alias("src"), F.col("first").alias("dst")
     )
     equal = settle(equal.distinct())
 
-    families = components(family_edges(docs, words, percent, common_counters(rows)).unionByName(equal))
-    firsts = named.join(classes, "digest").where("doc_id = first")
-    firsts = firsts.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
-    members = settle(families.join(firsts, "node").select(F.col("node").alias("doc_id"), "n"))
+    firsts = classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n").alias("n"))
+    members = settle(sharing(docs, words, percent, common_counters(rows)).join(firsts, "doc_id"))
     families = components(shared_prefixes(docs, members, words, percent))
-    members = families.join(firsts, "node")
+    members = families.join(members.withColumnRenamed("doc_id", "node"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_MEMBERS))
     members = settle(
@@ -559,8 +555,8 @@ def link_components(
         edges = found.where("large").select("src", "dst")
         more = across_blocks(docs, large, components(edges), words, percent)
         joined = joined.unionByName(components(edges.unionByName(more)))
-    several = named.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1")
-    if not several.isEmpty():  # an id with different texts joins what each of them links with
+    several = named.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several"))
+    if several.agg(F.max("several")).first()[0]:  # an id with different texts joins what each of them links with
         links = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         return sets.select("doc_id", "n"), components(links.unionByName(equal))
     firsts = joined.select(F.col("node").alias("dst"), "component")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from plumbline.llm import common as common_helpers
 from plumbline.llm import op3_jaccard, op8_exact_dedup
 from plumbline.llm.common import components
 from tests.llm import plain
@@ -205,3 +206,38 @@ def test_trees_tell_members_of_other_sizes_apart(monkeypatch):
     assert len(edges) > 50 and edges == set(zip(found["src"].to_pylist(), found["dst"].to_pylist(), strict=True))
     nodes = len(sets) / op3_jaccard.FAN_OUT
     assert len(looks) < nodes * nodes / 4
+
+
+def test_one_component_search_for_small_families(spark, monkeypatch):
+    """Each search is many small stages; the segments only need their documents, not components."""
+    searches, search = [], op3_jaccard.components
+
+    def counted(edges):
+        searches.append(1)
+        return search(edges)
+
+    monkeypatch.setattr(op3_jaccard, "components", counted)
+    texts = near_texts(3, 120)
+    _, joined = op3_jaccard.link_components(frame(spark, texts.items()), 5, 80)
+    found = {k: k for k in texts} | {r["node"]: r["component"] for r in joined.collect()}
+    assert found == plain.near_components(texts, 5, 80)
+    assert len(searches) == 1
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_documents_that_share_a_segment(spark, monkeypatch, batch):
+    """Whichever batch and task they come from; a document alone under its id shares with none."""
+    monkeypatch.setattr(common_helpers, "BATCH_ROWS", batch)
+    texts = near_texts(9, 90)
+    alone = " ".join(f"alone{k}" for k in range(50))
+    rows = [*texts.items(), (500, alone), (500, alone), (None, alone)]
+    nothing = np.zeros(op3_jaccard.COUNTERS, bool)
+    docs = frame(spark, rows).select("doc_id", "text").repartition(3)
+    found = [r["doc_id"] for r in op3_jaccard.sharing(docs, 5, 80, nothing).collect()]
+    owners: dict[int, set[int]] = {}
+    for doc_id, text in rows:
+        shingles = next(op3_jaccard.shingle_sets(pa.array([text], pa.string()), 5))
+        if doc_id is not None and len(shingles):
+            for key in op3_jaccard.meeting_keys(shingles, 80, nothing).tolist():
+                owners.setdefault(key, set()).add(doc_id)
+    assert sorted(found) == sorted(set().union(*(ids for ids in owners.values() if len(ids) > 1)))
