@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 * 1024 * 1024
+DROP_SHUFFLED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _SHIPPED: set[str] = set()
@@ -40,14 +41,24 @@ def settle(frame: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
     unset (tests on one machine) is a temporary folder used.  A lost executor
-    loses nothing of a settled frame.
+    loses nothing of a settled frame.  Files that were shuffled for it go as
+    soon as it is kept, not when the driver happens to collect its garbage.
     """
-    ship(frame.sparkSession)
-    context = frame.sparkSession.sparkContext
+    spark = frame.sparkSession
+    ship(spark)
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoints-"))
-    return frame.checkpoint()
+    before = spark.conf.get(DROP_SHUFFLED, None)
+    spark.conf.set(DROP_SHUFFLED, "true")
+    try:
+        return frame.select("*").checkpoint()  # a frame of its own, planned with the setting
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLED)
+        else:
+            spark.conf.set(DROP_SHUFFLED, before)
 
 
 def by_batches(

@@ -14,12 +14,13 @@ is each document's component.
    left out of the segments: that removes differences at most, so agreement
    holds.  A document with so many empty segments that agreement might be among
    those alone sends the segments of its full set as well.
-   Of those that stay, shingles that only one document has come first in a common
-   order; linked documents share one of the first ``n - ceil(n * percent / 100) + 1``
+   Of those that stay, shingles come in a common order, those that fewest of them have
+   first; linked documents share one of the first ``n - ceil(n * percent / 100) + 1``
    shingles of each.  A document with that many shingles of its own leaves, the
-   others are joined by the shingles they share there, and the connected components
-   are the families.  No link leaves a family, and documents with a passage in
-   common, but little else, lie in different ones.
+   others are joined by the shingles they share there, as far as the place of the
+   shingle leaves room for an overlap that is enough for both sizes; the connected
+   components are the families.  No link leaves a family, and documents with a passage
+   in common, but little else, lie in different ones.
 3. *Signature trees.*  In a family, sets become bitmaps; a node holds the OR of
    its members' bitmaps and the range of their sizes.  A dual traversal drops
    node pairs whose greatest possible overlap is too small for their sizes, and
@@ -29,9 +30,11 @@ is each document's component.
    all hold the family's first member; only if these leave it in several
    components, pairs of blocks are traversed, skipping what is joined.
 
-Segment hashes repeated within a batch leave it once, with a row for each document
+Segment hashes repeated within a load of a task leave it once, with a row for each document
 that has one, so a group with a third of all documents sends few rows a task.  Texts are read again instead of
-moving sets: only documents of a family with different sets are ever shuffled.
+moving sets: only documents of a family with different sets are ever shuffled.  Hashes
+of segments and shingles are shuffled packed (``packed``), cut to ``SHORT`` bits: two
+that become one make a family larger at most, links are checked on the full sets.
 
 Cases: null, empty and blank texts have an empty set and link with nothing;
 shorter texts than a shingle are one shingle; rows without id keep a null
@@ -53,6 +56,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import by_batches, components, read, settle, ship
+from plumbline.llm.packed import PACKED, dealt, gathered, loads, part_of, parts_for
 
 WORDS, PERCENT = 3, 90
 
@@ -65,6 +69,9 @@ BITS_PER_SHINGLE, MOST_BITS = 8, 1 << 15
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+NONE = np.zeros(0, np.uint64)
+SHORT = 48  # bits
+ANY = (1 << 40) - 1  # more shingles than any document has
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,6 +116,16 @@ def shingle_sets(texts: pa.Array, words: int):
             yield np.zeros(0, np.uint64)
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Fewer bits, for shuffles; where two hashes become one, more seems shared, and nothing less."""
+    return (hashes >> np.uint64(64 - SHORT)).view(np.int64)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    return np.append(True, values[1:] != values[:-1])[: len(values)]
+
+
 def counter_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -227,45 +244,43 @@ def distinct_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, ids, same | np.append(same[1:], False)[: len(keys)]
 
 
-def sharing(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+def id_part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return part_of(mixed(ids.astype(np.uint64) + ODD), 64, parts)
+
+
+def sharing(docs: DataFrame, words: int, percent: int, common: np.ndarray, shingles: int = 0) -> DataFrame:
     """``doc_id`` of the documents that share a segment with another one, each once."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    parts = parts_for(shingles)
 
-    def send(batches):
+    def keys_of(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = [
                 meeting_keys(s, percent, shared.value) if len(s) else s for s in shingle_sets(batch.column(1), words)
             ]
-            keys = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            owners = np.repeat(ids, [len(k) for k in found])
+            yield short(np.concatenate(found or [NONE])), np.repeat(ids, [len(k) for k in found])
+
+    def send(batches):
+        for keys, owners in loads(keys_of(batches)):
             order = np.lexsort((owners, keys))
             keys, owners, same = distinct_pairs(keys[order], owners[order])
             # A document known to share one goes on at once; a key once, as others may wait for it.
             known = np.unique(owners[same])
             first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-            spread = mixed(known.astype(np.uint64) + ODD).view(np.int64)
-            columns = [
-                np.append(keys[first], spread),
-                np.append(owners[first], known),
-                np.append(np.zeros(int(first.sum()), bool), np.ones(len(known), bool)),
-            ]
-            kinds = [pa.int64(), pa.int64(), pa.bool_()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "known"])
+            yield dealt(part_of(keys[first], SHORT, parts), 0, [keys[first], owners[first]])
+            place = id_part(known, parts)
+            order = np.argsort(place, kind="stable")
+            yield dealt(place[order], 1, [known[order]])
 
-    def meet(batches):
-        last = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            key, owner, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            keys, ids = np.append(last[0], key[~known]), np.append(last[1], owner[~known])
-            keys, ids, same = distinct_pairs(keys, ids)
-            last = keys[-1:], ids[-1:]
-            found = np.unique(np.append(ids[same], owner[known]))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["doc_id"])
+    def meet(table: pa.Table) -> pa.Table:
+        keys, owners = gathered(table, 0, 2)
+        order = np.lexsort((owners, keys))
+        _, ids, same = distinct_pairs(keys[order], owners[order])
+        return pa.table([pa.array(np.unique(np.append(ids[same], gathered(table, 1, 1)[0])), pa.int64())], names=["doc_id"])
 
-    sent = by_batches(docs.where("doc_id IS NOT NULL"), send, "key long, doc_id long, known boolean")
-    return by_batches_of(sent.repartition("key").sortWithinPartitions("key", "doc_id"), meet, "doc_id long").distinct()
+    sent = by_batches(docs.where("doc_id IS NOT NULL"), send, PACKED)
+    return sent.groupBy("part").applyInArrow(meet, "doc_id long").distinct()
 
 
 def by_batches_of(frame: DataFrame, work, schema: str) -> DataFrame:
@@ -462,55 +477,92 @@ def with_sets(rows: DataFrame, words: int, keep: list[str]) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges ``src, dst`` between members that share a shingle among the first of each.
+    """Edges ``src, dst`` between members that share a shingle among the first of each and may link by it.
 
+    ``members`` has ``doc_id, n``; an ``n`` of 0 says that a member has several
+    texts: all its shingles count as first ones, at any size.
     Shingles of one member alone come first in the order, the others follow by
-    hash.  ``n - r`` being a member's own shingles, its first ``p`` hold the
-    least ``r - (n - p)`` of the ``r`` it shares with anyone.
+    the number of members that have them, then by hash.  ``n - r`` being a
+    member's own shingles, its first ``p`` hold the least ``r - (n - p)`` of the
+    ``r`` it shares with anyone.
     """
+    parts = parts_for(members.agg(F.sum("n")).first()[0] or 0)
 
-    def tokens(batches):
+    def tokens_of(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), words))
             owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owners, pa.int64())], names=["token", "doc_id"])
+            yield short(np.concatenate(sets or [NONE])), owners
 
-    def repeated(batches):
-        """Rows whose token the row before or after has too; rows come sorted by token."""
-        held = None
+    def send(batches):
+        for tokens, owners in loads(tokens_of(batches)):
+            order = np.argsort(tokens, kind="stable")
+            yield dealt(part_of(tokens[order], SHORT, parts), 0, [tokens[order], owners[order]])
+
+    def counted(table: pa.Table) -> pa.Table:
+        """To each member its tokens that others have too, and how many have them."""
+        tokens, owners = gathered(table, 0, 2)
+        order = np.argsort(tokens, kind="stable")
+        times = np.diff(np.append(np.flatnonzero(_starts(tokens[order])), len(order)))
+        times = np.repeat(times, times)
+        order, times = order[times > 1], times[times > 1]
+        place = id_part(owners[order], parts)
+        by_part = np.argsort(place, kind="stable")
+        order, times = order[by_part], times[by_part]
+        return pa.Table.from_batches([dealt(place[by_part], 0, [tokens[order], owners[order], times])])
+
+    def sizes(batches):
+        for ids, n in loads(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches):
+            place = id_part(ids, parts)
+            order = np.lexsort((ids, place))
+            yield dealt(place[order], 1, [ids[order], n[order]])
+
+    def firsts(table: pa.Table) -> pa.Table:
+        """The first shared tokens of each member, and the greatest size of a set that may link by one."""
+        tokens, owners, times = gathered(table, 0, 3)
+        ids, n = gathered(table, 1, 2)
+        order = np.lexsort((tokens, times, owners))
+        tokens, owners = tokens[order], owners[order]
+        starts = np.flatnonzero(_starts(owners))
+        r = np.diff(np.append(starts, len(owners)))
+        by_id = np.argsort(ids)
+        n = n[by_id][np.searchsorted(ids[by_id], owners[starts])] if len(starts) else n[:0]
+        needed = n - (n * percent + 99) // 100 + 1
+        take = np.where(n > 0, r - (n - needed), r)
+        rank = np.arange(len(owners)) - np.repeat(starts, r)
+        # With ``before`` shingles that can't be shared, the overlap is ``n - before`` at most.
+        n, before = np.repeat(n, r), np.repeat(n - r, r) + rank
+        most = np.where(n > 0, np.clip((100 + percent) * (n - before) // percent - n, 0, ANY), ANY)
+        keep = rank < np.repeat(take, r)
+        columns = [tokens[keep], n[keep], owners[keep], most[keep]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["token", "n", "doc_id", "most"])
+
+    def runs(batches):
+        """Rows come sorted by token and size; a run ends where the next size is too large for all before it."""
+        last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            token = table["token"].to_numpy()
-            same = token[1:] == token[:-1] if len(token) else np.zeros(0, bool)
-            keep = np.append(False, same) | np.append(same, False) if len(token) else np.zeros(0, bool)
-            # The last row waits for its successor; one that has a like before it is known already.
-            last = len(token) - 1
-            known = last > 0 and same[-1]
-            keep[last:] = False
-            yield from table.filter(pa.array(keep)).to_batches()
-            if last >= 0:
-                held = table.slice(last).to_batches()[0]
-                if known:
-                    yield held
-                    held = pa.RecordBatch.from_arrays(
-                        [held.column(0), pa.array([None], pa.int64())], names=["token", "doc_id"]
-                    )
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if last is not None:
+                columns = [np.append(x, c) for x, c in zip(last, columns, strict=True)]
+            token, n, doc_id, most = columns
+            if not len(token):
+                continue
+            new = _starts(token)
+            base = np.cumsum(new) * (ANY + 1)
+            most = np.maximum.accumulate(base + most) - base
+            new[1:] |= most[:-1] < n[1:]
+            head = doc_id[np.flatnonzero(new)][np.cumsum(new) - 1]
+            last = token[-1:], n[-1:], head[-1:], most[-1:]
+            edge = head != doc_id
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_id[edge], pa.int64()), pa.array(head[edge], pa.int64())], names=["src", "dst"]
+            )
 
     rows = with_texts(docs, members.select("doc_id"), members.count()).select("doc_id", "text")
-    spread = by_batches(rows, tokens, "token long, doc_id long").repartition("token").sortWithinPartitions("token")
-    shared = by_batches_of(spread, repeated, "token long, doc_id long").where("doc_id IS NOT NULL").distinct()
-    shared = settle(shared)
-    needed = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    take = F.col("r") - (F.col("n") - needed)
-    wanted = (
-        shared.groupBy("doc_id").agg(F.count("*").alias("r")).join(members, "doc_id").withColumn("take", take)
-    ).where("take > 0")
-    order = Window.partitionBy("doc_id").orderBy("token")
-    first = shared.join(wanted.select("doc_id", "take"), "doc_id").withColumn("rank", F.row_number().over(order))
-    first = settle(first.where("rank <= take").select("token", "doc_id"))
-    heads = first.groupBy("token").agg(F.min("doc_id").alias("dst"))
-    return first.join(heads, "token").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
+    shared = by_batches(rows, send, PACKED).groupBy("part").applyInArrow(counted, PACKED)
+    shared = shared.unionByName(by_batches_of(members.select("doc_id", "n"), sizes, PACKED))
+    first = shared.groupBy("part").applyInArrow(firsts, "token long, n long, doc_id long, most long")
+    return by_batches_of(first.repartition("token").sortWithinPartitions("token", "n", "doc_id"), runs, EDGE)
 
 
 def link_components(
@@ -529,8 +581,15 @@ def link_components(
     equal = settle(equal.distinct())
 
     firsts = classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n").alias("n"))
-    members = settle(sharing(docs, words, percent, common_counters(rows)).join(firsts, "doc_id"))
-    families = components(shared_prefixes(docs, members, words, percent))
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    members = settle(sharing(docs, words, percent, common_counters(rows), shingles).join(firsts, "doc_id"))
+    several = named.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several"))
+    several = settle(several.where("several").select("doc_id", F.lit(0).cast("long").alias("none")))
+    mixed_ids = not several.isEmpty()
+    sized = members
+    if mixed_ids:
+        sized = members.join(several, "doc_id", "left").select("doc_id", F.coalesce("none", "n").alias("n"))
+    families = components(shared_prefixes(docs, sized, words, percent))
     members = families.join(members.withColumnRenamed("doc_id", "node"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_MEMBERS))
@@ -555,8 +614,7 @@ def link_components(
         edges = found.where("large").select("src", "dst")
         more = across_blocks(docs, large, components(edges), words, percent)
         joined = joined.unionByName(components(edges.unionByName(more)))
-    several = named.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several"))
-    if several.agg(F.max("several")).first()[0]:  # an id with different texts joins what each of them links with
+    if mixed_ids:  # an id with different texts joins what each of them links with
         links = joined.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         return sets.select("doc_id", "n"), components(links.unionByName(equal))
     firsts = joined.select(F.col("node").alias("dst"), "component")

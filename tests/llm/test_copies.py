@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from plumbline.llm import common as common_helpers
-from plumbline.llm import op3_jaccard, op8_exact_dedup
+from plumbline.llm import op3_jaccard, op8_exact_dedup, packed
 from plumbline.llm.common import components
 from tests.llm import plain
 
@@ -241,3 +243,78 @@ def test_documents_that_share_a_segment(spark, monkeypatch, batch):
             for key in op3_jaccard.meeting_keys(shingles, 80, nothing).tolist():
                 owners.setdefault(key, set()).add(doc_id)
     assert sorted(found) == sorted(set().union(*(ids for ids in owners.values() if len(ids) > 1)))
+
+
+def test_numbers_are_packed_and_dealt(monkeypatch):
+    monkeypatch.setattr(packed, "LOAD_NUMBERS", 300)
+    draw = np.random.default_rng(6)
+    hashes = draw.integers(0, 1 << 48, 1000)
+    ids = draw.choice([-(1 << 63), -5, 0, 7, (1 << 63) - 1], 1000)
+    few = draw.integers(0, 3, 1000)
+    sent = list(packed.loads(zip(*(np.split(c, 10) for c in (hashes, ids, few)), strict=True)))
+    assert [len(load[0]) for load in sent] == [300, 300, 300, 100]
+    batches = []
+    for load in sent:
+        order = np.argsort(load[0], kind="stable")
+        load = [c[order] for c in load]
+        place = packed.part_of(load[0], 48, 7)
+        assert (np.diff(place) >= 0).all() and place.min() >= 0 and place.max() < 7
+        batches.append(packed.dealt(place, 0, load))
+    batches.append(packed.dealt(np.zeros(0, np.int64), 1, [np.zeros(0, np.int64)]))
+    table = pa.Table.from_batches(batches)
+    assert table.num_rows == 28
+    found = packed.gathered(table, 0, 3)
+    assert sorted(zip(*found, strict=True)) == sorted(zip(hashes, ids, few, strict=True))
+    assert [len(c) for c in packed.gathered(table, 1, 1)] == [0]
+    small = packed.pack([np.arange(1 << 40, (1 << 40) + 1000), np.full(1000, 300)])
+    assert len(small) < 4000
+
+
+def test_rare_shingles_come_first(spark):
+    """A passage that all have doesn't make one family of documents that link in pairs."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = {}
+    for k in range(40):
+        own = [f"own{k}x{j}" for j in range(90)]
+        texts[2 * k] = " ".join(own) + " " + passage
+        texts[2 * k + 1] = " ".join([*own, "more"]) + " " + passage
+    docs = frame(spark, texts.items()).select("doc_id", "text")
+    members = spark.createDataFrame([(k, len(plain.shingles(t, 5))) for k, t in texts.items()], "doc_id long, n long")
+    families = {r["node"]: r["component"] for r in components(op3_jaccard.shared_prefixes(docs, members, 5, 80)).collect()}
+    assert families == {k: k - k % 2 for k in texts}
+
+
+def test_sizes_end_a_run(spark):
+    """The rarest shingles of a document, shared with a much smaller one, join nothing; with several texts they do."""
+    small, base = " ".join(f"s{k}" for k in range(40)), " ".join(f"b{k}" for k in range(400))
+    rows = [(1, small), (2, f"{base} {small}"), (3, f"{base} more"), (4, f"{base} and more")]
+    docs = frame(spark, rows).select("doc_id", "text")
+    for mixed_id, least in ((None, {2: 2, 3: 2, 4: 2}), (2, {1: 1, 2: 1, 3: 1, 4: 1})):
+        sized = [(k, 0 if k == mixed_id else len(plain.shingles(t, 5))) for k, t in rows]
+        members = spark.createDataFrame(sized, "doc_id long, n long")
+        edges = op3_jaccard.shared_prefixes(docs, members, 5, 80)
+        assert {r["node"]: r["component"] for r in components(edges).collect()} == least
+
+
+def test_short_hashes_lose_no_link(spark, monkeypatch):
+    """Hashes of so few bits that most are shared only make families larger."""
+    texts = near_texts(12, 150)
+    cut = lambda hashes: ((hashes >> np.uint64(58)) << np.uint64(42)).view(np.int64)
+    monkeypatch.setattr(op3_jaccard, "short", cut)
+    _, joined = op3_jaccard.link_components(frame(spark, texts.items()), 5, 80)
+    found = {k: k for k in texts} | {r["node"]: r["component"] for r in joined.collect()}
+    assert found == plain.near_components(texts, 5, 80)
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    before = files()
+    kept = common_helpers.settle(spark.range(10_000).repartition(5, "id"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(common_helpers.DROP_SHUFFLED) == "false"
+    assert kept.count() == 10_000
